@@ -10,10 +10,6 @@ from voc.functions.classify import issue_domain, sentiment
 from voc.functions.scores import dominant_sentiment, prevalence, round1, share, signal_strength
 from voc.functions.text import contains_any
 
-# all cluster-level frames hold at most one row per issue domain
-_WHOLE = Window.partitionBy()
-
-
 def classify(df: DataFrame) -> DataFrame:
     text = F.col("cleaned_text")
     return df.withColumns({"sub_domain": issue_domain(text), "sentiment": sentiment(text, F.col("rating"))})
@@ -43,6 +39,7 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     """
     groups = range(len(rules.EVIDENCE_GROUPS))
     moods = rules.SENTIMENT_ORDER
+    whole = Window.partitionBy()  # over at most one row per issue domain
     flag = F.col("is_noise") if "is_noise" in df.columns else F.lit(False)
     df = df.withColumn("is_noise", flag)
     per_source = df.groupBy("sub_domain", "source").agg(
@@ -63,9 +60,9 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     )
     return stats.withColumns({
         "cluster_id": F.dense_rank().over(Window.orderBy("sub_domain")) - 1,
-        "total": F.sum("n").over(_WHOLE),
-        **{f"e{i}_n": F.sum(f"e{i}_n").over(_WHOLE) for i in groups},
-        **{f"e{i}_ord": F.min(f"e{i}_ord").over(_WHOLE) for i in groups},
+        "total": F.sum("n").over(whole),
+        **{f"e{i}_n": F.sum(f"e{i}_n").over(whole) for i in groups},
+        **{f"e{i}_ord": F.min(f"e{i}_ord").over(whole) for i in groups},
     })
 
 

@@ -97,12 +97,12 @@ def extraction_document(df: DataFrame, tagged_rows: DataFrame, theme_rules) -> D
         F.transform(F.array_sort(F.collect_list(F.struct("place", "quote"))), lambda s: s["quote"]).alias("sample_quotes")
     )
     entry = F.struct(
-        (-F.col("count")).alias("desc"), "rule_no", "class",
+        F.struct(-F.col("count"), "rule_no").alias("key"), "class",
         F.struct("theme_id", "label", F.col("class").alias("classification"), "count", "pct_of_substantive",
                  "rating_dist", "sample_quotes").alias("entry"),
     )
     themes = rule_counts(tagged_rows, theme_rules).join(quotes, "theme_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("all")
+        F.array_sort(F.collect_list(entry), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)).alias("all")
     )
 
     def of(kind: str):

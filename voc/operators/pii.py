@@ -9,7 +9,7 @@ from voc import rules
 from voc.functions.text import redact
 
 # fixed value: the line boundaries of Unicode-aware line splitting
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def _found(line: Column, pattern: str) -> Column:
@@ -26,20 +26,17 @@ def _is_phone(line: Column):
     return keep
 
 
+def _typed(no: int, name: str, found: Column) -> Column:
+    return F.transform(found, lambda match, i: F.struct(
+        F.lit(no).alias("type_no"), F.lit(name).alias("type"), match.alias("match"), (i + 1).cast("bigint").alias("place"),
+    ))
+
+
 def line_findings(line: Column) -> Column:
     """All findings of one line: type in scan order, match, position within its type."""
     phones = F.filter(_found(line, rules.PHONE), _is_phone(line))
     matches = (_found(line, rules.EMAIL), phones, _found(line, rules.HANDLE), _found(line, rules.LONG_ID))
-    return F.concat(*[
-        F.transform(
-            found,
-            lambda m, i, no=no, name=name: F.struct(
-                F.lit(no).alias("type_no"), F.lit(name).alias("type"), m.alias("match"),
-                (i + 1).cast("bigint").alias("place"),
-            ),
-        )
-        for no, (name, found) in enumerate(zip(rules.PII_TYPES, matches))
-    ])
+    return F.concat(*[_typed(no, name, found) for no, (name, found) in enumerate(zip(rules.PII_TYPES, matches))])
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:

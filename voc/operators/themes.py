@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from voc import rules, wording as w
 from voc.functions import scores
@@ -179,10 +180,9 @@ def question_prompt() -> Column:
 
 def parse_reply(reply: Column) -> Column:
     """A stored JSON reply as a struct: an object, the first object of a list, otherwise all fields NULL."""
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in REPLY.fields)
     text = F.ltrim(reply)
-    first = F.try_element_at(F.from_json(reply, f"array<struct<{ddl}>>"), F.lit(1))
-    return F.when(text.startswith("["), first).when(text.startswith("{"), F.from_json(reply, ddl))
+    first = F.try_element_at(F.from_json(reply, ArrayType(REPLY)), F.lit(1))
+    return F.when(text.startswith("["), first).when(text.startswith("{"), F.from_json(reply, REPLY))
 
 
 # ---------------------------------------------------------------- scores and consolidation

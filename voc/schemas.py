@@ -2,67 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-FEEDBACK = T.StructType.fromDDL(
-    "ord BIGINT, id STRING, source STRING, text STRING, rating DOUBLE, date STRING, upvotes INT, url STRING"
+from pyspark.sql.types import (
+    ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType,
 )
-CLEANED = T.StructType(FEEDBACK.fields + [T.StructField("cleaned_text", T.StringType())])
+
+TEXT, INT, BIG, DOUBLE = StringType(), IntegerType(), LongType(), DoubleType()
+TEXTS = ArrayType(TEXT)
+
+
+def table(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
+
+
+FEEDBACK = table(ord=BIG, id=TEXT, source=TEXT, text=TEXT, rating=DOUBLE, date=TEXT, upvotes=INT, url=TEXT)
+CLEANED = StructType([*FEEDBACK.fields, StructField("cleaned_text", TEXT)])
 
 # raw records; pos is the optional position in the load, written by our own landing sink
-PLAY_RAW = T.StructType.fromDDL(
-    "pos BIGINT, reviewId STRING, content STRING, score INT, at STRING, thumbsUpCount INT, repliedAt STRING"
-)
-APP_RAW = T.StructType.fromDDL(
-    "pos BIGINT, userName STRING, review STRING, rating INT, date STRING, review_id STRING"
-)
-REDDIT_RAW = T.StructType.fromDDL(
-    "pos BIGINT, id STRING, subreddit STRING, text STRING, score INT, url STRING, created_utc BIGINT, type STRING"
+PLAY_RAW = table(pos=BIG, reviewId=TEXT, content=TEXT, score=INT, at=TEXT, thumbsUpCount=INT, repliedAt=TEXT)
+APP_RAW = table(pos=BIG, userName=TEXT, review=TEXT, rating=INT, date=TEXT, review_id=TEXT)
+REDDIT_RAW = table(
+    pos=BIG, id=TEXT, subreddit=TEXT, text=TEXT, score=INT, url=TEXT, created_utc=BIG, type=TEXT
 )
 
-_LABEL = "STRUCT<label: STRING>"
-FEED_PAYLOAD = T.StructType.fromDDL(
-    f"feed STRUCT<entry: ARRAY<STRUCT<id: {_LABEL}, title: {_LABEL}, content: {_LABEL}, `im:rating`: {_LABEL}, "
-    f"`im:name`: {_LABEL}, author: STRUCT<name: {_LABEL}>>>>"
-)
-LIBRARY_REVIEW = T.StructType.fromDDL(
-    "userName STRING, title STRING, review STRING, rating STRING, date STRING, id STRING"
+_LABEL = table(label=TEXT)
+FEED_PAYLOAD = table(
+    feed=table(entry=ArrayType(table(**{
+        "id": _LABEL, "title": _LABEL, "content": _LABEL, "im:rating": _LABEL, "im:name": _LABEL,
+        "author": table(name=_LABEL),
+    })))
 )
-FORUM_PAYLOAD = T.StructType.fromDDL(
-    "data ARRAY<STRUCT<id: STRING, title: STRING, selftext: STRING, body: STRING, subreddit: STRING, score: INT, "
-    "full_link: STRING, permalink: STRING, created_utc: BIGINT>>"
+LIBRARY_REVIEW = table(userName=TEXT, title=TEXT, review=TEXT, rating=TEXT, date=TEXT, id=TEXT)
+FORUM_PAYLOAD = table(
+    data=ArrayType(table(
+        id=TEXT, title=TEXT, selftext=TEXT, body=TEXT, subreddit=TEXT, score=INT, full_link=TEXT, permalink=TEXT,
+        created_utc=BIG,
+    ))
 )
 
-THEME = T.StructType.fromDDL(
-    "cluster_id INT, theme STRING, primary_issue STRING, research_relevance STRING, evidence_summary STRING, "
-    "observed_facts ARRAY<STRING>, observed_behavior STRING, behavioral_mechanism STRING, underlying_need STRING, "
-    "barrier_or_driver STRING, business_impact STRING, confidence STRING, confidence_explanation STRING, "
-    "signal_strength STRING, customer_journey_stage STRING, alternative_explanations ARRAY<STRING>, "
-    "contradictory_evidence STRING, product_opportunity STRING, research_hypothesis STRING, "
-    "research_questions ARRAY<STRING>, why_these_quotes_matter STRING, assumptions ARRAY<STRING>, "
-    "reasoning_trace STRING, out_of_scope_reason STRING, example_quotes ARRAY<STRING>, frequency BIGINT, "
-    "prevalence_score DOUBLE, signal_strength_score DOUBLE, sources ARRAY<STRING>, sentiment STRING, action STRING"
+THEME = table(
+    cluster_id=INT, theme=TEXT, primary_issue=TEXT, research_relevance=TEXT, evidence_summary=TEXT,
+    observed_facts=TEXTS, observed_behavior=TEXT, behavioral_mechanism=TEXT, underlying_need=TEXT,
+    barrier_or_driver=TEXT, business_impact=TEXT, confidence=TEXT, confidence_explanation=TEXT, signal_strength=TEXT,
+    customer_journey_stage=TEXT, alternative_explanations=TEXTS, contradictory_evidence=TEXT,
+    product_opportunity=TEXT, research_hypothesis=TEXT, research_questions=TEXTS, why_these_quotes_matter=TEXT,
+    assumptions=TEXTS, reasoning_trace=TEXT, out_of_scope_reason=TEXT, example_quotes=TEXTS, frequency=BIG,
+    prevalence_score=DOUBLE, signal_strength_score=DOUBLE, sources=TEXTS, sentiment=TEXT, action=TEXT,
 )
 THEME_COLUMNS = THEME.fieldNames()
-RESULT_THEME = T.StructType(
-    THEME.fields
-    + [T.StructField(n, T.StringType()) for n in ("status", "suggested_insight", "suggested_research_question")]
-)
-RESULT_METADATA = T.StructType.fromDDL(
-    "total_feedback_analyzed BIGINT, total_themes_discovered BIGINT, promoted_research_questions_count BIGINT, "
-    "out_of_scope_themes_count BIGINT, coverage_warning STRING"
-)
-RESULTS = T.StructType([
-    T.StructField("metadata", RESULT_METADATA),
-    T.StructField("themes", T.ArrayType(RESULT_THEME)),
+RESULT_THEME = StructType([
+    *THEME.fields,
+    *table(status=TEXT, suggested_insight=TEXT, suggested_research_question=TEXT).fields,
 ])
+RESULT_METADATA = table(
+    total_feedback_analyzed=BIG, total_themes_discovered=BIG, promoted_research_questions_count=BIG,
+    out_of_scope_themes_count=BIG, coverage_warning=TEXT,
+)
+RESULTS = table(metadata=RESULT_METADATA, themes=ArrayType(RESULT_THEME))
 
 # a stored labelling reply; every field may be missing
-REPLY = T.StructType.fromDDL(
-    "research_relevance STRING, relevance_reason STRING, primary_issue STRING, theme_name STRING, "
-    "evidence_summary STRING, observed_facts ARRAY<STRING>, observed_behavior STRING, behavioral_mechanism STRING, "
-    "underlying_need STRING, barrier_or_driver STRING, business_impact STRING, signal_strength STRING, "
-    "customer_journey_stage STRING, alternative_explanations ARRAY<STRING>, product_opportunity STRING, "
-    "research_hypothesis STRING, research_questions ARRAY<STRING>, why_these_quotes_matter STRING, "
-    "assumptions ARRAY<STRING>, out_of_scope_reason STRING"
+REPLY = table(
+    research_relevance=TEXT, relevance_reason=TEXT, primary_issue=TEXT, theme_name=TEXT, evidence_summary=TEXT,
+    observed_facts=TEXTS, observed_behavior=TEXT, behavioral_mechanism=TEXT, underlying_need=TEXT,
+    barrier_or_driver=TEXT, business_impact=TEXT, signal_strength=TEXT, customer_journey_stage=TEXT,
+    alternative_explanations=TEXTS, product_opportunity=TEXT, research_hypothesis=TEXT, research_questions=TEXTS,
+    why_these_quotes_matter=TEXT, assumptions=TEXTS, out_of_scope_reason=TEXT,
 )
