@@ -6,50 +6,76 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import SPACE, contains_any, matches_any
+from voc.functions.patterns import has_group, literal, match_mask
 
 
 def is_spam(text: Column) -> Column:
-    return matches_any(F.lower(text), rules.SPAM_PATTERNS)
+    return has_group(match_mask(F.lower(text), [rules.SPAM_PATTERNS]), 0)
 
 
-def is_noise(text: Column) -> Column:
+# one Arrow pass finds all of these in a cleaned text
+_NOISE = (rules.RESIDUAL_SPAM_PATTERNS, rules.BEHAVIOUR_PATTERNS, rules.NOISE_PATTERNS)
+_DOMAINS = tuple(literal(words) for _, words in rules.DOMAIN_WORDS)
+_EVIDENCE = tuple(literal(phrases) for *_, phrases in rules.EVIDENCE_GROUPS)
+
+
+def review_mask(text: Column) -> Column:
+    """Noise patterns, domain words and counter-evidence phrases of a text, one bit each."""
+    return match_mask(F.lower(text), _NOISE + _DOMAINS + _EVIDENCE)
+
+
+def is_noise(mask: Column) -> Column:
     """Decision list: residual spam is noise, behaviour words keep a text, then operational noise goes."""
-    low = F.lower(text)
-    return (
-        F.when(matches_any(low, rules.RESIDUAL_SPAM_PATTERNS), F.lit(True))
-        .when(matches_any(low, rules.BEHAVIOUR_PATTERNS), F.lit(False))
-        .otherwise(matches_any(low, rules.NOISE_PATTERNS))
-    )
+    spam, behaviour, noise = (has_group(mask, i) for i in range(len(_NOISE)))
+    return spam | (~behaviour & noise)
 
 
-def issue_domain(text: Column) -> Column:
+def issue_domain(mask: Column) -> Column:
     """The first issue domain one of whose words occurs in the text."""
-    low = F.lower(text)
     branches = F
-    for name, words in rules.DOMAIN_WORDS:
-        branches = branches.when(contains_any(low, words), F.lit(name))
+    for i, (name, _) in enumerate(rules.DOMAIN_WORDS, len(_NOISE)):
+        branches = branches.when(has_group(mask, i), F.lit(name))
     return branches.otherwise(F.lit(rules.GENERAL_DOMAIN))
 
 
+def opposing(mask: Column, i: int) -> Column:
+    """True where the text holds a phrase of counter-evidence group i."""
+    return has_group(mask, len(_NOISE) + len(_DOMAINS) + i)
+
+
 def sentiment(text: Column, rating: Column) -> Column:
-    """Clear ratings decide; otherwise distinct lexicon words vote. Punctuation stays part of a word."""
-    words = F.split(F.lower(text), SPACE)
-    pos = F.size(F.array_intersect(words, F.array(*map(F.lit, rules.POSITIVE_WORDS))))
-    neg = F.size(F.array_intersect(words, F.array(*map(F.lit, rules.NEGATIVE_WORDS))))
+    """Clear ratings decide; otherwise distinct lexicon words of a cleaned text vote. Punctuation stays part of a word."""
+    words = F.split(F.lower(text), " ")
+
+    def hits(found: Column, lexicon) -> Column:
+        return F.size(F.array_intersect(found, F.array(*map(F.lit, lexicon))))
+
+    def name(v: Column) -> Column:
+        return (
+            F.when(v["pos"] > v["neg"], F.lit("positive"))
+            .when(v["neg"] > v["pos"], F.lit("negative"))
+            .when(v["pos"] > 0, F.lit("mixed"))
+            .otherwise(F.lit("neutral"))
+        )
+
+    # bound to lambda variables, so that the text is split and each lexicon looked up once
+    votes = F.transform(
+        F.array(words),
+        lambda ws: F.struct(hits(ws, rules.POSITIVE_WORDS).alias("pos"), hits(ws, rules.NEGATIVE_WORDS).alias("neg")),
+    )
     return (
         F.when(rating >= 4, F.lit("positive"))
         .when((rating > 0) & (rating <= 2), F.lit("negative"))
-        .when(pos > neg, F.lit("positive"))
-        .when(neg > pos, F.lit("negative"))
-        .when(pos > 0, F.lit("mixed"))
-        .otherwise(F.lit("neutral"))
+        .otherwise(F.transform(votes, name)[0])
     )
 
 
-def matching_rules(text: Column, theme_rules) -> Column:
-    """Ids of all theme rules with a pattern found in the text, in rule order."""
-    low = F.lower(text)
+def rule_mask(text: Column, theme_rules) -> Column:
+    return match_mask(F.lower(text), [r.patterns for r in theme_rules])
+
+
+def matching_rules(mask: Column, theme_rules) -> Column:
+    """Ids of all theme rules found, in rule order."""
     return F.array_compact(
-        F.array(*[F.when(matches_any(low, r.patterns), F.lit(r.theme_id)) for r in theme_rules])
+        F.array(*[F.when(has_group(mask, i), F.lit(r.theme_id)) for i, r in enumerate(theme_rules)])
     )

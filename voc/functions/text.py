@@ -6,7 +6,7 @@ from functools import reduce
 from operator import or_
 from typing import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
@@ -17,6 +17,8 @@ STRIP_CHARS = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+# fixed value: separators that count as white space but that the pattern class leaves out
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 URL = r"(?U)https?://\S+|www\.\S+"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -26,9 +28,14 @@ def contains_any(col: Column, words: Iterable[str]) -> Column:
     return reduce(or_, (col.contains(w) for w in words))
 
 
-def matches_any(col: Column, patterns: Iterable[str]) -> Column:
-    """True where any pattern is found; one alternation, Unicode word characters."""
-    return col.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+def once(df: DataFrame, name: str, col: Column) -> DataFrame:
+    """Adds a column that is evaluated once per row.
+
+    A filter on a plain computed column is pushed below the projection and evaluates the expression again; it is not
+    pushed below a generator.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(col)).alias(name))
 
 
 def strip(col: Column) -> Column:
@@ -41,9 +48,13 @@ def raw_text(col: Column) -> Column:
 
 
 def clean_text(col: Column) -> Column:
-    """Line breaks and tabs to blanks, links removed, runs of white space to one blank."""
-    one_line = F.regexp_replace(F.coalesce(col, F.lit("")), r"[\r\n\t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(one_line, URL, ""), SPACE, " "))
+    """Links removed, then runs of white space (line breaks and tabs included) to one blank."""
+    text = F.coalesce(col, F.lit(""))
+    no_links = F.when(contains_any(text, ("http", "www.")), F.regexp_replace(text, URL, "")).otherwise(text)
+    spaced = F.when(
+        contains_any(text, SEPARATORS), F.translate(no_links, SEPARATORS, " " * len(SEPARATORS))
+    ).otherwise(no_links)
+    return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
 
 
 def title_and_body(title: Column, body: Column, sep: str = " - ") -> Column:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.classify import issue_domain, sentiment
+from voc.functions.classify import issue_domain, opposing, sentiment
 from voc.functions.scores import dominant_sentiment, prevalence, round1, share, signal_strength
-from voc.functions.text import contains_any
+from voc.operators.feedback import masked, noise_flagged
 
 def classify(df: DataFrame) -> DataFrame:
-    text = F.col("cleaned_text")
-    return df.withColumns({"sub_domain": issue_domain(text), "sentiment": sentiment(text, F.col("rating"))})
+    """Adds issue domain and sentiment."""
+    mood = sentiment(F.col("cleaned_text"), F.col("rating"))
+    return masked(df).withColumns({"sub_domain": issue_domain(F.col("mask")), "sentiment": mood})
 
 
 def cluster_ids(df: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def assign_clusters(df: DataFrame) -> DataFrame:
 
 
 def _evidence(i: int) -> Column:
-    return contains_any(F.lower(F.col("cleaned_text")), rules.EVIDENCE_GROUPS[i][2]) & ~F.col("is_noise")
+    return opposing(F.col("mask"), i) & ~F.col("is_noise")
 
 
 def cluster_stats(df: DataFrame) -> DataFrame:
@@ -40,8 +41,7 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     groups = range(len(rules.EVIDENCE_GROUPS))
     moods = rules.SENTIMENT_ORDER
     whole = Window.partitionBy()  # over at most one row per issue domain
-    flag = F.col("is_noise") if "is_noise" in df.columns else F.lit(False)
-    df = df.withColumn("is_noise", flag)
+    df = noise_flagged(df)
     per_source = df.groupBy("sub_domain", "source").agg(
         F.count("*").alias("n"),
         F.sum(F.length("cleaned_text")).alias("chars"),

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.classify import matching_rules
+from voc.functions.classify import matching_rules, rule_mask
 from voc.functions.scores import round1
-from voc.functions.text import cut
+from voc.functions.text import cut, once
 from voc.operators.clusters import first_k, sample_key
 
 
@@ -18,7 +18,8 @@ def substantive(df: DataFrame) -> DataFrame:
 
 def tagged(df: DataFrame, theme_rules) -> DataFrame:
     """Substantive rows with the ids of all rules they match; every pattern is tried once per row."""
-    return substantive(df).withColumn("theme_ids", matching_rules(F.col("cleaned_text"), theme_rules))
+    masked = once(substantive(df), "mask", rule_mask(F.col("cleaned_text"), theme_rules))
+    return masked.withColumn("theme_ids", matching_rules(F.col("mask"), theme_rules)).drop("mask")
 
 
 def labelled(tagged_rows: DataFrame, theme_rules) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.classify import is_noise, is_spam
-from voc.functions.text import clean_text, contains_any
+from voc.functions.classify import is_noise, is_spam, review_mask
+from voc.functions.text import clean_text, contains_any, once
 
 
 def unify(tables: Iterable[DataFrame]) -> DataFrame:
@@ -40,11 +40,8 @@ def ingest(df: DataFrame) -> DataFrame:
 def cleaned_rows(df: DataFrame) -> DataFrame:
     """Cleaned text added, short texts and spam dropped. The length test comes first, it is the cheap one."""
     text = F.col("cleaned_text")
-    return (
-        df.withColumn("cleaned_text", clean_text(F.col("text")))
-        .where(F.length(text) >= rules.MIN_CLEAN_CHARS)
-        .where(~is_spam(text))
-    )
+    long = once(df, "cleaned_text", clean_text(F.col("text"))).where(F.length(text) >= rules.MIN_CLEAN_CHARS)
+    return long.where(~is_spam(text))
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -56,9 +53,16 @@ def clean(df: DataFrame) -> DataFrame:
     return keep_first(cleaned_rows(df), "cleaned_text")
 
 
-def noise_flagged(df: DataFrame) -> DataFrame:
+def masked(df: DataFrame) -> DataFrame:
+    """Adds ``mask``: which fixed patterns a cleaned text holds. Without a cleaned text the text itself is taken."""
+    if "mask" in df.columns:
+        return df
     text = F.col("cleaned_text") if "cleaned_text" in df.columns else F.col("text").cast("string")
-    return df.withColumns({"cleaned_text": text, "is_noise": is_noise(text)})
+    return once(df.withColumn("cleaned_text", text), "mask", review_mask(F.col("cleaned_text")))
+
+
+def noise_flagged(df: DataFrame) -> DataFrame:
+    return masked(df).withColumn("is_noise", is_noise(F.col("mask")))
 
 
 def drop_noise(flagged: DataFrame, probe: DataFrame | None = None) -> DataFrame:

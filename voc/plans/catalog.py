@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voc import rules, wording as w
 from voc.functions import scores
-from voc.functions.classify import is_noise, is_spam
+from voc.functions.classify import is_spam
 from voc.functions.text import clean_text, cut, event_time, paraphrase, redact, split_list, word_count
 from voc.operators import clusters, dashboard, extraction, feedback, keywords, note, pii, report, themes, vectors
 from voc.plans import theme_report
@@ -16,7 +16,7 @@ from voc.plans.samples import proposals
 from voc.schemas import CLEANED, RESULT_THEME, THEME_COLUMNS
 from voc.settings import DEFAULT, Settings
 from voc.sources import files, payloads, raw
-from voc.storage import scratch_path
+from voc.storage import materialize, scratch_path
 
 LIST_SEP = " | "
 RULES = rules.theme_rules(DEFAULT)
@@ -238,7 +238,7 @@ def spam_flags(spark, sf):
 
 
 def noise_flags(spark, sf):
-    return cleaned(spark, sf).select("ord", is_noise(F.col("cleaned_text")).alias("is_noise"))
+    return feedback.noise_flagged(cleaned(spark, sf)).select("ord", "is_noise")
 
 
 def noise_filtered(spark, sf):
@@ -379,7 +379,8 @@ def extraction_meta(spark, sf):
 def extraction_document(spark, sf):
     """The JSON document read back into one row per theme."""
     rows = classified(spark, sf).select("ord", "source", "rating", "cleaned_text")
-    doc = extraction.extraction_document(rows, extraction.tagged(rows, RULES), RULES)
+    tags = materialize(extraction.tagged(rows, RULES), "tagged")
+    doc = extraction.extraction_document(rows, tags, RULES)
     entry = ("array<struct<theme_id:string,label:string,classification:string,count:bigint,pct_of_substantive:double,"
              "rating_dist:map<string,bigint>,sample_quotes:array<string>>>")
     body = F.from_json("document", f"meta struct<total_reviews:bigint,substantive_reviews:bigint>, "

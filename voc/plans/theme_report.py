@@ -16,7 +16,7 @@ from voc.storage import materialize
 def classified_feedback(fb: DataFrame) -> DataFrame:
     """Clean, noise-free rows with issue domain and sentiment: one shuffle, on the cleaned text."""
     candidates = feedback.noise_flagged(feedback.cleaned_rows(feedback.long_enough(fb)))
-    cleaned = feedback.keep_first(candidates.drop("is_noise"), "cleaned_text")
+    cleaned = feedback.keep_first(candidates.drop("mask", "is_noise"), "cleaned_text")
     kept = feedback.drop_noise(feedback.noise_flagged(cleaned), probe=candidates)
     return clusters.classify(kept)
 
@@ -32,7 +32,7 @@ class ClusterTables:
 def cluster_tables(fb: DataFrame, settings: Settings = DEFAULT) -> ClusterTables:
     """The rows are written once; statistics, samples, keywords and look-ups then read only their columns."""
     rows = materialize(
-        classified_feedback(fb).select("ord", "source", "rating", "cleaned_text", "is_noise", "sub_domain", "sentiment"),
+        classified_feedback(fb).select("ord", "source", "rating", "cleaned_text", "mask", "sub_domain", "sentiment"),
         "classified",
     )
     # at most one row per domain; written too, because three later steps start from it
