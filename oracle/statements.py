@@ -162,6 +162,94 @@ select vec_id, cast(label as bigint) as label, max(cos) filter (g = label) as ow
 from (select *, max(cos) over (partition by vec_id) as best from scored) group by vec_id, label
 """
 
+
+
+def _cat(*parts: str) -> str:
+    """Columns, and literal texts marked by a leading =."""
+    return " || ".join(q(p[1:]) if p.startswith("=") else p for p in parts)
+
+
+def _lines(*lines: str) -> str:
+    return f"array_to_string([{', '.join(lines)}], chr(10))"
+
+
+def _join(name: str) -> str:
+    return f"array_to_string({name}, ', ')"
+
+
+_NL = "chr(10)"
+_QUOTES = "array_to_string(list_transform(example_quotes[1:3], lambda x: '  > \"' || x || '\"' || chr(10)), chr(10))"
+_PROMOTED = " || chr(10) || ".join((
+    _lines(
+        _cat("=### ", "row_number() over (partition by action order by position)", "=. ", "theme", _NL),
+        _cat("=- **Primary Issue**: `", "primary_issue", "=` | **Relevance**: `", "research_relevance", "=` | **Journey Stage**: `", "customer_journey_stage", "=`", _NL),
+        _cat("=- **Business Impact**: `", "business_impact", "=` | **Confidence**: `", "confidence", "=` (", "confidence_explanation", "=)", _NL),
+        _cat("=- **Evidence Summary**: ", "evidence_summary", _NL),
+        _cat("=- **Observed Facts**: ", _join("observed_facts"), _NL),
+        _cat("=- **Observed Behavior (WHAT)**: ", "observed_behavior", _NL),
+        _cat('=- **Behavioral Mechanism (WHY)**: *"', "behavioral_mechanism", '="*', _NL),
+        _cat("=- **Underlying Need / JTBD**: ", "underlying_need", _NL),
+        _cat("=- **Barrier / Driver**: ", "barrier_or_driver", _NL),
+        _cat('=- **Product Opportunity (Solution-Agnostic)**: 🚀 **"', "product_opportunity", '="**', _NL),
+        _cat('=- **Research Hypothesis**: 🧪 *"', "research_hypothesis", '="*', _NL),
+        _cat("=- **Research Questions**: ", "array_to_string(list_transform(research_questions, lambda x: '\"' || x || '\"'), ', ')", _NL),
+        _cat("=- **Alternative Explanations**: ", _join("alternative_explanations"), _NL),
+        _cat("=- **Contradictory Evidence**: ", "contradictory_evidence", _NL),
+        _cat("=- **Assumptions**: ", _join("assumptions"), _NL),
+        _cat("=- **Full Reasoning Trace**: `", "reasoning_trace", "=`", _NL),
+        _cat("=- **Supporting Verbatim Customer Evidence**:", _NL),
+    ), _QUOTES, "chr(10) || '---' || chr(10)",
+))
+_WATCHED = _cat("=- **", "theme", "=** (`", "primary_issue", "=`) — Stage: ", "customer_journey_stage", "= | Impact: ", "business_impact",
+                "= | Confidence: ", "confidence", _NL)
+_ASIDE = _lines(
+    _cat("=### 📌 ", "theme", _NL),
+    _cat("=- **Primary Area**: `", "primary_issue", "=` | **Journey Stage**: `", "customer_journey_stage", "=` | **Mentions**: ", "frequency", _NL),
+    _cat("=- **Out of Scope Rationale**: ", "out_of_scope_reason", _NL), _cat("=- **Sample Quote**:", _NL),
+    "'  > \"' || example_quotes[1] || '\"' || chr(10)", _NL,
+)
+
+
+def _blocks(block: str, where: str, order: str = "position") -> str:
+    return f"(select string_agg(b, chr(10) order by o) from (select {block} as b, {order} as o from themes where {where}))"
+
+
+_MARKDOWN = f"""
+select '# AI Product Discovery Engine — Master Knowledge Report' || chr(10) || chr(10)
+  || '**Business Objective**: *Increase percentage of Monthly Active Customers purchasing from at least one new category every month.*' || chr(10) || chr(10) || chr(10)
+  || '**Total Feedback Analyzed**: ' || total_feedback_analyzed || ' clean customer items across Play Store, App Store, and Reddit.' || chr(10) || chr(10)
+  || case when {_WARNING} <> '' then '⚠️ **' || {_WARNING} || '**' || chr(10) || chr(10) || chr(10) else '' end
+  || '## 🎯 Promoted Product Opportunities & Auditable Reasoning Chains' || chr(10) || chr(10)
+  || coalesce({_blocks(_PROMOTED, f"action = {q(w.PROMOTE)}")}, '_No themes met the dual High Category Impact + High Signal Strength threshold._' || chr(10)) || chr(10)
+  || coalesce(chr(10) || '## 📊 Secondary / Monitored Signals' || chr(10) || chr(10)
+      || {_blocks(_WATCHED, "contains(action, 'Monitor') or contains(action, 'Niche')", "contains(action, 'Niche')::int * 1000 + position")} || chr(10), '')
+  || chr(10) || '## 🛑 Out of Scope Themes (Routed to Operational Product Teams)' || chr(10) || chr(10)
+  || coalesce({_blocks(_ASIDE, f"action = {q(w.OUT_ACTION)}")}, '_None_' || chr(10)) as markdown
+from ({_META})
+"""
+_CONTEXT_BLOCK = (
+    "chr(10) || " + _lines(
+        _cat('=Theme: "', "theme", '="'), _cat("=  Primary Area: ", "primary_issue"), _cat("=  Relevance: ", "research_relevance"),
+        _cat("=  Journey Stage: ", "customer_journey_stage"), _cat("=  Observed Facts: ", _join("observed_facts")),
+        _cat("=  Observed Behavior: ", "observed_behavior"), _cat("=  Behavioral Mechanism: ", "behavioral_mechanism"),
+        _cat("=  Underlying Need / JTBD: ", "underlying_need"), _cat("=  Barrier / Driver: ", "barrier_or_driver"),
+        _cat("=  Business Impact: ", "business_impact", "= | Confidence: ", "confidence"),
+        _cat("=  Product Opportunity: ", "product_opportunity"), _cat("=  Research Question: ", "suggested_research_question"),
+        _cat("=  Action / Priority: ", "action"),
+    )
+    + " || case when out_of_scope_reason <> '' then chr(10) || '  Out of Scope Reason: ' || out_of_scope_reason else '' end"
+    + " || chr(10) || '  Customer Quotes:' || chr(10) || array_to_string(list_transform(example_quotes, lambda x: '    - \"' || x || '\"'), chr(10))"
+)
+_CONTEXT = f"""
+select '=== {DEFAULT.brand.upper()} CUSTOMER FEEDBACK CORPUS CONTEXT ===' || chr(10)
+  || 'Total Feedback Analyzed: ' || total_feedback_analyzed || ' clean items' || chr(10)
+  || 'Total Unique Themes: ' || total_themes_discovered || chr(10)
+  || 'Promoted Interview Hypotheses: ' || promoted_research_questions_count || chr(10)
+  || 'Out of Scope Themes: ' || out_of_scope_themes_count || chr(10) || chr(10)
+  || '--- DISCOVERED THEMES & BEHAVIORAL MECHANISMS ---' || chr(10) || {_blocks(_CONTEXT_BLOCK, "true")} as context
+from ({_META})
+"""
+
 STATEMENTS: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "play_source": _PLAY,
@@ -298,6 +386,8 @@ STATEMENTS: dict[str, str] = {
     "results_table": with_tables(f"select {', '.join(_result_column(t, n) for t, n in w.RESULT_COLUMNS)} from themes", "themes"),
     "results_metadata": with_tables(f"select * exclude (share), {_WARNING} as coverage_warning, {round1('share')} as play_store_pct from ({_META})", "themes"),
     "results_document": with_tables(f"select position, total, {_flat(RESULT_THEME.fieldNames())} from themes", "themes"),
+    "markdown_report": with_tables(_MARKDOWN, "themes"),
+    "chat_context": with_tables(_CONTEXT, "themes"),
     "last_messages": "select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn desc) as back from conversations qualify back <= 5",
     "last_query": "select * from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1",
     "bucket_counts": with_tables(f"select {_bucket('a')} as bucket, count(*) as n from (select {_PROPOSED_ACTION} as a from proposals) group by 1", "proposals"),

@@ -7,40 +7,41 @@ from pyspark.sql import functions as F
 
 from voc import rules
 from voc.functions.patterns import has_group, literal, match_mask
+from voc.functions.text import word_list
 
 
-def is_spam(text: Column) -> Column:
-    return has_group(match_mask(F.lower(text), [rules.SPAM_PATTERNS]), 0)
-
-
-# one Arrow pass finds all of these in a cleaned text
-_NOISE = (rules.RESIDUAL_SPAM_PATTERNS, rules.BEHAVIOUR_PATTERNS, rules.NOISE_PATTERNS)
+# one Arrow pass finds all of these in a cleaned text; the order gives the bits
+_FILTERS = (rules.SPAM_PATTERNS, rules.RESIDUAL_SPAM_PATTERNS, rules.BEHAVIOUR_PATTERNS, rules.NOISE_PATTERNS)
 _DOMAINS = tuple(literal(words) for _, words in rules.DOMAIN_WORDS)
 _EVIDENCE = tuple(literal(phrases) for *_, phrases in rules.EVIDENCE_GROUPS)
 
 
 def review_mask(text: Column) -> Column:
-    """Noise patterns, domain words and counter-evidence phrases of a text, one bit each."""
-    return match_mask(F.lower(text), _NOISE + _DOMAINS + _EVIDENCE)
+    """Spam and noise patterns, domain words and counter-evidence phrases of a text, one bit each."""
+    return match_mask(F.lower(text), _FILTERS + _DOMAINS + _EVIDENCE)
+
+
+def is_spam(mask: Column) -> Column:
+    return has_group(mask, 0)
 
 
 def is_noise(mask: Column) -> Column:
     """Decision list: residual spam is noise, behaviour words keep a text, then operational noise goes."""
-    spam, behaviour, noise = (has_group(mask, i) for i in range(len(_NOISE)))
+    spam, behaviour, noise = (has_group(mask, i) for i in (1, 2, 3))
     return spam | (~behaviour & noise)
 
 
 def issue_domain(mask: Column) -> Column:
     """The first issue domain one of whose words occurs in the text."""
     branches = F
-    for i, (name, _) in enumerate(rules.DOMAIN_WORDS, len(_NOISE)):
+    for i, (name, _) in enumerate(rules.DOMAIN_WORDS, len(_FILTERS)):
         branches = branches.when(has_group(mask, i), F.lit(name))
     return branches.otherwise(F.lit(rules.GENERAL_DOMAIN))
 
 
 def opposing(mask: Column, i: int) -> Column:
     """True where the text holds a phrase of counter-evidence group i."""
-    return has_group(mask, len(_NOISE) + len(_DOMAINS) + i)
+    return has_group(mask, len(_FILTERS) + len(_DOMAINS) + i)
 
 
 def sentiment(text: Column, rating: Column) -> Column:
@@ -48,7 +49,7 @@ def sentiment(text: Column, rating: Column) -> Column:
     words = F.split(F.lower(text), " ")
 
     def hits(found: Column, lexicon) -> Column:
-        return F.size(F.array_intersect(found, F.array(*map(F.lit, lexicon))))
+        return F.size(F.array_intersect(found, word_list(lexicon)))
 
     def name(v: Column) -> Column:
         return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voc import rules, wording as w
-from voc.functions.text import contains_any
+from voc.functions.text import contains_any, word_list
 
 
 def round1(x: Column) -> Column:
@@ -53,7 +53,7 @@ def dominant_sentiment(counts: dict[str, Column]) -> Column:
     best = F.array_max(
         F.array(*[F.struct(counts[n].alias("n"), F.lit(-i).alias("rank")) for i, n in enumerate(order)])
     )
-    return F.element_at(F.array(*map(F.lit, order)), F.lit(1) - best["rank"])
+    return F.element_at(word_list(order), F.lit(1) - best["rank"])
 
 
 def action(relevance: Column, prev: Column, signal: Column) -> Column:

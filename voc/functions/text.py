@@ -23,6 +23,11 @@ URL = r"(?U)https?://\S+|www\.\S+"
 WORD = r"[\p{L}\p{N}_]{2,}"
 
 
+def word_list(words: Iterable[str]) -> Column:
+    """A constant array of texts, written as one literal."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def contains_any(col: Column, words: Iterable[str]) -> Column:
     """True where the text holds any of the words as a substring."""
     return reduce(or_, (col.contains(w) for w in words))
@@ -73,14 +78,15 @@ def cut(col: Column, n: int, tail: str = "") -> Column:
     return F.concat(F.substring(col, 1, n), F.lit(tail)) if tail else F.substring(col, 1, n)
 
 
-def tokens(col: Column) -> Column:
-    """Lower-cased words of at least two letters, digits or underscores."""
-    return F.regexp_extract_all(F.lower(col), F.lit(WORD), F.lit(0))
+def tokens(name: str) -> Column:
+    """Lower-cased words of a text column: at least two letters, digits or underscores."""
+    return F.expr(f"regexp_extract_all(lower({name}), r'{WORD}', 0)")
 
 
-def kept_tokens(col: Column, stop_words: Iterable[str]) -> Column:
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(tokens(col), lambda t: ~F.array_contains(stop, t))
+def kept_tokens(name: str, stop_words: Iterable[str]) -> Column:
+    """Words without stop words; a long IN list is looked up in a hash set."""
+    stop = ", ".join(f"'{w}'" for w in stop_words)
+    return F.expr(f"filter(regexp_extract_all(lower({name}), r'{WORD}', 0), t -> t not in ({stop}))")
 
 
 def ngrams(words: Column) -> Column:
@@ -106,16 +112,22 @@ def word_count(markdown: Column) -> Column:
     return F.size(F.filter(F.split(plain, SPACE), lambda w: w != "")).cast("bigint")
 
 
+def may_hold_pii(col: Column) -> Column:
+    """A cheap necessary test: every finding holds an @, or ten characters that begin and end with a digit."""
+    return col.contains("@") | col.rlike("(?U)" + rules.PHONE.removeprefix(r"\+?"))
+
+
 def redact(col: Column) -> Column:
     """E-mail addresses, phone numbers, handles and long ids replaced, in this order."""
+    text = col
     for pattern, mark in (
         (rules.EMAIL, "[REDACTED_EMAIL]"),
         (rules.PHONE, "[REDACTED_PHONE]"),
         (rules.HANDLE, "@user"),
         (rules.LONG_ID, "[REDACTED_ID]"),
     ):
-        col = F.regexp_replace(col, "(?U)" + pattern, mark)
-    return col
+        text = F.regexp_replace(text, "(?U)" + pattern, mark)
+    return F.when(may_hold_pii(col), text).otherwise(col)
 
 
 def paraphrase(quote: Column, limit: int) -> Column:

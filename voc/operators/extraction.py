@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voc import rules
@@ -11,6 +11,8 @@ from voc.functions.scores import round1
 from voc.functions.text import cut, once
 from voc.operators.clusters import first_k, sample_key
 
+ALL_ROWS = "*"
+
 
 def substantive(df: DataFrame) -> DataFrame:
     return df.where(F.length("cleaned_text") > rules.MIN_SUBSTANTIVE_CHARS)
@@ -22,17 +24,21 @@ def tagged(df: DataFrame, theme_rules) -> DataFrame:
     return masked.withColumn("theme_ids", matching_rules(F.col("mask"), theme_rules)).drop("mask")
 
 
-def labelled(tagged_rows: DataFrame, theme_rules) -> DataFrame:
-    """One row per row and matching rule, with label and class from the fixed rule table."""
+def with_rule(rows: DataFrame, theme_rules) -> DataFrame:
+    """Label and class of ``theme_id`` from the fixed rule table."""
     facts = F.create_map(*[
         x for r in theme_rules
         for x in (F.lit(r.theme_id), F.struct(F.lit(r.label).alias("label"), F.lit(r.kind).alias("class")))
     ])
-    rows = tagged_rows.withColumn("theme_id", F.explode("theme_ids")).drop("theme_ids")
     rule = F.element_at(facts, F.col("theme_id"))
     return rows.withColumns({"label": rule["label"], "class": rule["class"]})
 
 
+def labelled(tagged_rows: DataFrame, theme_rules) -> DataFrame:
+    """One row per row and matching rule."""
+    return with_rule(tagged_rows.withColumn("theme_id", F.explode("theme_ids")).drop("theme_ids"), theme_rules)
+
+
 def unclassified(tagged_rows: DataFrame) -> DataFrame:
     return tagged_rows.where(F.size("theme_ids") == 0).drop("theme_ids")
 
@@ -47,21 +53,27 @@ def rule_counts(tagged_rows: DataFrame, theme_rules) -> DataFrame:
 
     The first aggregate is per theme and rating; the second one sees at most rules x ratings rows.
     """
-    n_rows = tagged_rows.agg(F.count("*").alias("n")).scalar()
-    per_rating = labelled(tagged_rows.select("theme_ids", rating_key().alias("rating")), theme_rules).groupBy(
-        "theme_id", "label", "class", "rating"
-    ).agg(F.count("*").alias("n"))
+    # one extra id counts the rows themselves, in the same pass
+    ids = F.explode(F.concat("theme_ids", F.array(F.lit(ALL_ROWS)))).alias("theme_id")
+    per_rating = tagged_rows.select(ids, rating_key().alias("rating")).groupBy("theme_id", "rating").agg(
+        F.count("*").alias("n")
+    )
+    rows = F.sum(F.when(F.col("theme_id") == ALL_ROWS, F.col("n"))).over(Window.partitionBy())
+    counted = per_rating.withColumn("rows", rows).where(F.col("theme_id") != ALL_ROWS)
     order = F.create_map(*[x for i, r in enumerate(theme_rules) for x in (F.lit(r.theme_id), F.lit(i))])
     return (
-        per_rating.groupBy("theme_id", "label", "class")
+        with_rule(counted, theme_rules)
+        .groupBy("theme_id", "label", "class")
         .agg(
             F.sum("n").alias("count"),
+            F.max("rows").alias("rows"),
             F.map_from_entries(F.array_sort(F.collect_list(F.struct("rating", "n")))).alias("rating_dist"),
         )
         .withColumns({
-            "pct_of_substantive": round1(F.col("count") * 100 / n_rows),
+            "pct_of_substantive": round1(F.col("count") * 100 / F.col("rows")),
             "rule_no": F.element_at(order, F.col("theme_id")),
         })
+        .drop("rows")
     )
 
 

@@ -38,10 +38,10 @@ def ingest(df: DataFrame) -> DataFrame:
 
 
 def cleaned_rows(df: DataFrame) -> DataFrame:
-    """Cleaned text added, short texts and spam dropped. The length test comes first, it is the cheap one."""
-    text = F.col("cleaned_text")
-    long = once(df, "cleaned_text", clean_text(F.col("text"))).where(F.length(text) >= rules.MIN_CLEAN_CHARS)
-    return long.where(~is_spam(text))
+    """Cleaned text and pattern mask added, short texts and spam dropped. The length test comes first, it is cheap."""
+    cleaned = once(df, "cleaned_text", clean_text(F.col("text")))
+    long = cleaned.where(F.length("cleaned_text") >= rules.MIN_CLEAN_CHARS)
+    return masked(long).where(~is_spam(F.col("mask")))
 
 
 def clean(df: DataFrame) -> DataFrame:
@@ -68,12 +68,13 @@ def noise_flagged(df: DataFrame) -> DataFrame:
 def drop_noise(flagged: DataFrame, probe: DataFrame | None = None) -> DataFrame:
     """Rows that are not noise, or all rows if every row is noise.
 
-    ``probe`` is any frame with ``is_noise`` that has a kept row exactly if ``flagged`` has one; the test stops at
-    its first hit, so a frame before deduplication avoids a second shuffle.
+    Whether any row is kept is tested when the plan is built, partition by partition up to the first hit, so it
+    usually costs one task. ``probe`` is a frame that has a kept row exactly if ``flagged`` has one; a frame before
+    deduplication avoids a shuffle.
     """
-    kept = (probe if probe is not None else flagged).where(~F.col("is_noise")).select(F.lit(1).alias("one")).limit(1)
-    none_kept = kept.agg((F.count("*") == 0).alias("none")).scalar()
-    return flagged.where(~F.col("is_noise") | none_kept)
+    keep = ~F.col("is_noise")
+    nothing_kept = (probe if probe is not None else flagged).where(keep).isEmpty()
+    return flagged if nothing_kept else flagged.where(keep)
 
 
 def limit_per_source(df: DataFrame, limits: dict[str, int]) -> DataFrame:

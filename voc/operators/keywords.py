@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import kept_tokens, ngrams
+from voc.functions.text import kept_tokens, ngrams, word_list
 from voc.operators.clusters import first_k
 
 
 def top_keywords(df: DataFrame, stop_words: Iterable[str], k: int = rules.TOP_KEYWORDS) -> DataFrame:
     """The k most frequent words of each cluster with their place; equal counts in alphabetical order."""
-    words = df.select("sub_domain", F.explode(kept_tokens(F.col("cleaned_text"), stop_words)).alias("term"))
+    words = df.select("sub_domain", F.explode(kept_tokens("cleaned_text", stop_words)).alias("term"))
     counts = words.groupBy("sub_domain", "term").agg(F.count("*").alias("n"))
     return first_k(counts, "sub_domain", k, F.desc("n"), "term")
 
@@ -24,7 +24,7 @@ def keyword_lists(top: DataFrame, clusters: DataFrame) -> DataFrame:
     lists = top.groupBy("sub_domain").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"]).alias("found")
     )
-    default = F.array(*map(F.lit, rules.EMPTY_KEYWORDS))
+    default = word_list(rules.EMPTY_KEYWORDS)
     return (
         clusters.select("sub_domain")
         .join(lists, "sub_domain", "left")
@@ -37,7 +37,7 @@ def _terms(df: DataFrame, stop_words: Iterable[str]) -> DataFrame:
 
     Both counts then come from one aggregate by term, without a distinct count.
     """
-    terms = df.withColumn("terms", ngrams(kept_tokens(F.col("cleaned_text"), stop_words)))
+    terms = df.withColumn("terms", ngrams(kept_tokens("cleaned_text", stop_words)))
     one, zero = F.lit(1), F.lit(0)
     return terms.select(
         "sub_domain",

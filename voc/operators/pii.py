@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import redact
+from voc.functions.text import may_hold_pii, redact
 
 # fixed value: the line boundaries of Unicode-aware line splitting
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -40,13 +40,13 @@ def line_findings(line: Column) -> Column:
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per finding with its line (from 1). Lines without a digit or ``@`` cannot hold one and go first."""
+    """One row per finding with its line (from 1). Texts and lines that cannot hold one go first."""
     keys = [c for c in df.columns if c != text]
-    lines = df.where(F.col(text).rlike(r"(?U)[@\d]")).select(
+    lines = df.where(may_hold_pii(F.col(text))).select(
         *keys, F.posexplode(F.split(F.col(text), LINE_BREAK)).alias("line", "line_text")
     )
     return (
-        lines.where(F.col("line_text").rlike(r"(?U)[@\d]"))
+        lines.where(may_hold_pii(F.col("line_text")))
         .select(*keys, (F.col("line") + 1).cast("bigint").alias("line"), F.inline(line_findings(F.col("line_text"))))
     )
 

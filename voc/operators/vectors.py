@@ -22,7 +22,7 @@ MAX_CENTROIDS = 1000
 
 def text_vectors(df: DataFrame, size: int = VECTOR_SIZE) -> DataFrame:
     """Unit-length hashed TF-IDF vectors: ``ord, vector ARRAY<FLOAT>``."""
-    words = df.select("ord", tokens(F.col("cleaned_text")).alias("words"))
+    words = df.select("ord", tokens("cleaned_text").alias("words"))
     stages = [
         HashingTF(numFeatures=size, inputCol="words", outputCol="tf"),
         IDF(inputCol="tf", outputCol="tfidf"),

@@ -16,7 +16,7 @@ from voc.plans.samples import proposals
 from voc.schemas import CLEANED, RESULT_THEME, THEME_COLUMNS
 from voc.settings import DEFAULT, Settings
 from voc.sources import files, payloads, raw
-from voc.storage import materialize, scratch_path
+from voc.storage import materialize, scratch_path, spread
 
 LIST_SEP = " | "
 RULES = rules.theme_rules(DEFAULT)
@@ -234,7 +234,7 @@ def clean_feedback(spark, sf):
 
 def spam_flags(spark, sf):
     view = feedback_view(spark, sf).withColumn("cleaned_text", clean_text(F.col("text")))
-    return view.select("ord", is_spam(F.col("cleaned_text")).alias("is_spam"))
+    return feedback.masked(view).select("ord", is_spam(F.col("mask")).alias("is_spam"))
 
 
 def noise_flags(spark, sf):
@@ -300,7 +300,8 @@ def review_sentiment(spark, sf):
 
 
 def cluster_assignment(spark, sf):
-    return clusters.assign_clusters(classified(spark, sf)).select("ord", "sub_domain", *big("cluster_id"))
+    rows = theme_report.written_feedback(feedback_view(spark, sf))
+    return clusters.assign_clusters(rows).select("ord", "sub_domain", *big("cluster_id"))
 
 
 def domain_prevalence(spark, sf):
@@ -586,7 +587,7 @@ def theme_policies(spark, sf):
 
 # ---------------------------------------------------------------- personal data
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def pii_findings(spark, sf):

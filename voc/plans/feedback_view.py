@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voc.functions.text import word_list
+
 # fixed values, in index order
 PHRASES = (
     "The refund was rejected for a defective charger and no return was allowed",
@@ -63,7 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as ``FEEDBACK_SQL``; the phrase is an array element, so no join is needed."""
-    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("n_chars") % len(PHRASES) + 1).cast("int"))
+    phrase = F.element_at(word_list(PHRASES), (F.col("n_chars") % len(PHRASES) + 1).cast("int"))
     kind = (F.col("doc_id") % 3).cast("int")
     body = F.substring(F.col("text"), F.lit(1), (F.lit(20) + F.col("n_chars") % 160).cast("int"))
     return table(spark, sf_dir, "documents").select(

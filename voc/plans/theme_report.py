@@ -10,15 +10,31 @@ from pyspark.sql import functions as F
 from voc import rules
 from voc.operators import clusters, feedback, keywords, themes
 from voc.settings import DEFAULT, Settings
-from voc.storage import materialize
+from voc.storage import materialize, spread
+
+
+# what the analysis reads; the raw text and other columns do not travel through the shuffle
+COLUMNS = ("ord", "source", "rating", "cleaned_text", "mask")
+
+
+def _raw(fb: DataFrame) -> DataFrame:
+    return feedback.long_enough(fb).select("ord", "source", "rating", "text")
+
+
+def _cleaned(fb: DataFrame) -> DataFrame:
+    rows = feedback.cleaned_rows(spread(_raw(fb))).select(*COLUMNS)
+    return feedback.noise_flagged(feedback.keep_first(rows, "cleaned_text"))
 
 
 def classified_feedback(fb: DataFrame) -> DataFrame:
     """Clean, noise-free rows with issue domain and sentiment: one shuffle, on the cleaned text."""
-    candidates = feedback.noise_flagged(feedback.cleaned_rows(feedback.long_enough(fb)))
-    cleaned = feedback.keep_first(candidates.drop("mask", "is_noise"), "cleaned_text")
-    kept = feedback.drop_noise(feedback.noise_flagged(cleaned), probe=candidates)
-    return clusters.classify(kept)
+    probe = feedback.noise_flagged(feedback.cleaned_rows(_raw(fb)))
+    return clusters.classify(feedback.drop_noise(_cleaned(fb), probe))
+
+
+def written_feedback(fb: DataFrame) -> DataFrame:
+    """The same rows from a table written once, for plans that read them several times."""
+    return feedback.drop_noise(materialize(clusters.classify(_cleaned(fb)), "classified"))
 
 
 @dataclass(frozen=True)
@@ -31,10 +47,7 @@ class ClusterTables:
 
 def cluster_tables(fb: DataFrame, settings: Settings = DEFAULT) -> ClusterTables:
     """The rows are written once; statistics, samples, keywords and look-ups then read only their columns."""
-    rows = materialize(
-        classified_feedback(fb).select("ord", "source", "rating", "cleaned_text", "mask", "sub_domain", "sentiment"),
-        "classified",
-    )
+    rows = written_feedback(fb)
     # at most one row per domain; written too, because three later steps start from it
     stats = materialize(clusters.with_scores(clusters.cluster_stats(rows)), "cluster_stats")
     stats = themes.with_evidence_texts(stats, rows)
@@ -44,11 +57,14 @@ def cluster_tables(fb: DataFrame, settings: Settings = DEFAULT) -> ClusterTables
 
 
 def theme_table(fb: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Ranked, consolidated themes with insights and the total number of reviews on every row."""
+    """Ranked, consolidated themes with insights and the total number of reviews on every row.
+
+    At most one row per domain, written once: every report reads them several times.
+    """
     t = cluster_tables(fb, settings)
     labels = themes.heuristic_labels(t.stats, t.samples, t.keywords, settings)
     merged = themes.merge_standing_themes(themes.merge_same_names(themes.scored_themes(labels)))
-    return themes.with_insights(themes.ranked(merged), settings)
+    return materialize(themes.with_insights(themes.ranked(merged), settings), "themes")
 
 
 def domain_prevalence(fb: DataFrame) -> DataFrame:

@@ -23,6 +23,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads rows over the cores if the input has fewer splits than that, as one JSON array or one row group has.
+
+    Meant for the start of work that is bound by the processor. Inputs with enough splits are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: cuts the lineage, and later passes read only the columns they need."""
     spark = df.sparkSession
