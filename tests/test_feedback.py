@@ -60,6 +60,7 @@ def test_limits_and_terms(spark):
               + [("reddit", "quick commerce app again", None)])
     assert feedback.limit_per_source(fb, {"play_store": 2}).count() == 3
     assert feedback.limit_per_source(fb, {"play_store": 0, "reddit": 1}).count() == 1
+    assert feedback.limit_per_source(fb.repartition(4), {"play_store": 3, "reddit": 5}).count() == 4
     hits = feedback.search_terms(fb, ("quick commerce", "app"))
     assert hits.count() == 7
     found = hits.withColumn("found", F.struct("term_no", "ord"))

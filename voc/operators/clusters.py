@@ -11,9 +11,12 @@ from voc.functions.scores import dominant_sentiment, prevalence, round1, share,
 from voc.operators.feedback import masked, noise_flagged
 
 def classify(df: DataFrame) -> DataFrame:
-    """Adds issue domain and sentiment."""
-    mood = sentiment(F.col("cleaned_text"), F.col("rating"))
-    return masked(df).withColumns({"sub_domain": issue_domain(F.col("mask")), "sentiment": mood})
+    """Adds issue domain, sentiment and length, so that statistics need not read the text."""
+    return masked(df).withColumns({
+        "sub_domain": issue_domain(F.col("mask")),
+        "sentiment": sentiment(F.col("cleaned_text"), F.col("rating")),
+        "chars": F.length("cleaned_text"),
+    })
 
 
 def cluster_ids(df: DataFrame) -> DataFrame:
@@ -44,7 +47,7 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     df = noise_flagged(df)
     per_source = df.groupBy("sub_domain", "source").agg(
         F.count("*").alias("n"),
-        F.sum(F.length("cleaned_text")).alias("chars"),
+        F.sum("chars").alias("chars"),
         F.min("ord").alias("first_ord"),
         *[F.count_if(F.col("sentiment") == m).alias(m) for m in moods],
         *[F.count_if(_evidence(i)).alias(f"e{i}_n") for i in groups],
@@ -108,5 +111,8 @@ def sampled_rows(df: DataFrame, k: int = rules.SAMPLE_QUOTES, seed: str = rules.
 
 
 def texts_of(df: DataFrame, picked: DataFrame) -> DataFrame:
-    """The cleaned text of picked rows. ``picked`` is bounded by its operator (k rows per domain), so it is broadcast."""
+    """The cleaned text of picked rows.
+
+    ``picked`` is bounded by the operators it comes from (k rows per domain, one per phrase group), so it is broadcast.
+    """
     return df.select("ord", "cleaned_text").join(F.broadcast(picked), "ord")

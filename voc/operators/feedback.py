@@ -7,10 +7,16 @@ from typing import Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
 from voc import rules
 from voc.functions.classify import is_noise, is_spam, review_mask
 from voc.functions.text import clean_text, contains_any, once
+from voc.settings import DEFAULT
+
+# groups of input partitions ranked on their own before all survivors meet
+_RANK_PARTS = 512
+_FIXED_WIDTH = (NumericType, BooleanType, DateType, TimestampType)
 
 
 def unify(tables: Iterable[DataFrame]) -> DataFrame:
@@ -18,12 +24,15 @@ def unify(tables: Iterable[DataFrame]) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
-    """One row per key, the one with the smallest ``order``.
+    """One row per key, the one with the smallest ``order``, which is unique.
 
     The aggregate runs before and after the shuffle, so a key held by a third of the rows leaves each input
-    partition as a single row.
+    partition as a single row. Rows whose other columns have a fixed width are hashed; with texts among them Spark
+    sorts the rows by key instead.
     """
     rest = [c for c in df.columns if c != key]
+    if all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in rest):
+        return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in rest]).select(*df.columns)
     first = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("first"))
     return first.select(*[F.col(c) if c == key else F.col(f"first.{c}") for c in df.columns])
 
@@ -78,15 +87,32 @@ def drop_noise(flagged: DataFrame, probe: DataFrame | None = None) -> DataFrame:
 
 
 def limit_per_source(df: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """The first n rows of each source; sources without a limit stay whole."""
-    n = F.row_number().over(Window.partitionBy("source").orderBy("ord"))
-    most = max(limits.values(), default=0)
-    limited = df.where(F.col("source").isin(*limits)).withColumn("n", n).where(F.col("n") <= most)
-    cap = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("source"))
-    return limited.where(F.col("n") <= cap).drop("n").unionByName(df.where(~F.col("source").isin(*limits)))
-
+    """The first n rows of each source by ``ord``; sources without a limit stay whole.
 
-def search_terms(df: DataFrame, terms: Iterable[str], text: str = "text") -> DataFrame:
+    Only ``(source, ord)`` is ranked, first among the rows of the same few input partitions, then among the survivors.
+    That gives the last ``ord`` of each source, and the rows themselves are filtered without a shuffle.
+    """
+    none_left = [s for s, n in limits.items() if n <= 0]
+    caps = {s: n for s, n in limits.items() if n > 0}
+    rows = df.where(~F.col("source").isin(*none_left)) if none_left else df
+    if not caps:
+        return rows
+    keys = rows.where(F.col("source").isin(*caps)).select("source", "ord")
+    cap = F.element_at(F.create_map(*[F.lit(x) for kv in caps.items() for x in kv]), F.col("source"))
+    parts = keys.withColumn("part", F.spark_partition_id() % _RANK_PARTS)
+    best = _first(parts, ("source", "part"), max(caps.values()))
+    last = _first(best, ("source",), max(caps.values())).where(F.col("place") == cap)
+    cutoffs = last.agg(F.map_from_entries(F.collect_list(F.struct("source", "ord"))).alias("last")).scalar()
+    with_last = rows.withColumn("last", F.try_element_at(cutoffs, F.col("source")))
+    return with_last.where(F.col("ord") <= F.coalesce("last", "ord")).drop("last")
+
+
+def _first(keys: DataFrame, group: tuple[str, ...], k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("ord"))
+    return keys.withColumn("place", place).where(F.col("place") <= k)
+
+
+def search_terms(df: DataFrame, terms: Iterable[str] = DEFAULT.search_terms, text: str = "text") -> DataFrame:
     """One row per row and search term found in it, with the term and its place in the list."""
     low = F.lower(F.col(text))
     hits = F.array_compact(

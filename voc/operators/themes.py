@@ -17,16 +17,20 @@ from voc.settings import DEFAULT, Settings
 
 
 # ---------------------------------------------------------------- counter-evidence
-def with_evidence_texts(stats: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds the first opposing review of each phrase group as ``e*_text``; looks up one row per group by key."""
-    groups = range(len(rules.EVIDENCE_GROUPS))
-    wanted = stats.limit(1).select(F.explode(F.array(*[F.col(f"e{i}_ord") for i in groups])).alias("ord"))
-    texts = rows.select("ord", "cleaned_text").join(F.broadcast(wanted.distinct()), "ord")
-    by_ord = texts.agg(F.map_from_entries(F.collect_list(F.struct("ord", "cleaned_text"))).alias("texts")).scalar()
+def evidence_rows(stats: DataFrame) -> DataFrame:
+    """Keys of the first opposing review of each phrase group; as many rows as groups."""
+    ords = F.array(*[F.col(f"e{i}_ord") for i in range(len(rules.EVIDENCE_GROUPS))])
+    return stats.limit(1).select(F.explode(F.array_distinct(ords)).alias("ord")).where(F.col("ord").isNotNull())
+
+
+def with_evidence_texts(stats: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds the first opposing review of each phrase group as ``e*_text``. ``texts`` holds the few rows looked up."""
+    wanted = texts.join(evidence_rows(stats), "ord", "left_semi").select("ord", "cleaned_text").distinct()
+    by_ord = wanted.agg(F.map_from_entries(F.collect_list(F.struct("ord", "cleaned_text"))).alias("texts")).scalar()
     with_texts = stats.withColumn("texts", by_ord)
-    return with_texts.withColumns(
-        {f"e{i}_text": F.try_element_at("texts", F.col(f"e{i}_ord")) for i in groups}
-    ).drop("texts")
+    return with_texts.withColumns({
+        f"e{i}_text": F.try_element_at("texts", F.col(f"e{i}_ord")) for i in range(len(rules.EVIDENCE_GROUPS))
+    }).drop("texts")
 
 
 def counter_evidence(issue: Column, theme: Column) -> tuple[Column, Column]:
@@ -136,7 +140,7 @@ def label_key(sample: Column) -> Column:
 
 def sample_lists(sample_texts: DataFrame) -> DataFrame:
     """``sub_domain, sample_quotes`` in sample order; at most eight texts per cluster."""
-    return sample_texts.groupBy("sub_domain").agg(
+    return sample_texts.where(F.col("place").isNotNull()).groupBy("sub_domain").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "cleaned_text"))), lambda s: s["cleaned_text"])
         .alias("sample_quotes")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voc.functions.text import tokens
+from voc.storage import materialize
 
 VECTOR_SIZE = 384
 BATCH = 64
@@ -76,9 +77,8 @@ def centroid_distances(vectors: DataFrame, key: str, group: str, col: str) -> Da
 
     The centroids travel as one array value. Their number is checked first: they come from at most a few clusters.
     """
-    means = centroids(vectors, group, col)
-    n = means.limit(MAX_CENTROIDS + 1).count()
-    if n > MAX_CENTROIDS:
+    means = materialize(centroids(vectors, group, col), "centroids")
+    if means.count() > MAX_CENTROIDS:
         raise ValueError(f"more than {MAX_CENTROIDS} centroids")
     table = means.agg(F.collect_list(F.struct(F.col(group).alias("g"), "centroid")).alias("all")).scalar()
     vec = F.col(col).cast("array<double>")

@@ -322,9 +322,8 @@ def cluster_signal(spark, sf):
 
 
 def cluster_samples(spark, sf):
-    t = tables(spark, sf)
-    picked = clusters.sampled_rows(t.rows)
-    return clusters.texts_of(t.rows, picked).select("sub_domain", *big("place"), "ord", "cleaned_text")
+    rows = theme_report.written_feedback(feedback_view(spark, sf))
+    return clusters.texts_of(rows, clusters.sampled_rows(rows)).select("sub_domain", *big("place"), "ord", "cleaned_text")
 
 
 def cluster_keywords(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
+from voc.functions.text import word_list
 from voc.operators import clusters, feedback, keywords, themes
 from voc.settings import DEFAULT, Settings
 from voc.storage import materialize, spread
@@ -22,8 +23,12 @@ def _raw(fb: DataFrame) -> DataFrame:
 
 
 def _cleaned(fb: DataFrame) -> DataFrame:
-    rows = feedback.cleaned_rows(spread(_raw(fb))).select(*COLUMNS)
-    return feedback.noise_flagged(feedback.keep_first(rows, "cleaned_text"))
+    """Besides the text only numbers go through the deduplication, the source as its rank: a hash aggregate."""
+    ranks = F.create_map(*[F.lit(x) for kv in rules.SOURCE_RANK.items() for x in kv])
+    rank = F.coalesce(F.element_at(ranks, F.col("source")), F.raise_error(F.concat(F.lit("unknown source: "), "source")))
+    name = F.element_at(word_list(rules.SOURCE_RANK), F.col("source") + 1)
+    rows = feedback.cleaned_rows(spread(_raw(fb))).select(*COLUMNS).withColumn("source", rank.cast("int"))
+    return feedback.noise_flagged(feedback.keep_first(rows, "cleaned_text").withColumn("source", name))
 
 
 def classified_feedback(fb: DataFrame) -> DataFrame:
@@ -48,10 +53,14 @@ class ClusterTables:
 def cluster_tables(fb: DataFrame, settings: Settings = DEFAULT) -> ClusterTables:
     """The rows are written once; statistics, samples, keywords and look-ups then read only their columns."""
     rows = written_feedback(fb)
+    sampled = clusters.sampled_rows(rows)
     # at most one row per domain; written too, because three later steps start from it
     stats = materialize(clusters.with_scores(clusters.cluster_stats(rows)), "cluster_stats")
-    stats = themes.with_evidence_texts(stats, rows)
-    samples = themes.sample_lists(clusters.texts_of(rows, clusters.sampled_rows(rows)))
+    # one look-up for all texts that are shown: eight per domain and one per phrase group
+    wanted = sampled.unionByName(themes.evidence_rows(stats), allowMissingColumns=True)
+    texts = materialize(clusters.texts_of(rows, wanted), "texts")
+    stats = themes.with_evidence_texts(stats, texts)
+    samples = themes.sample_lists(texts)
     top = keywords.top_keywords(rows, rules.stop_words(settings))
     return ClusterTables(rows, stats, samples, keywords.keyword_lists(top, stats))
 
