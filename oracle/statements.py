@@ -373,7 +373,7 @@ STATEMENTS: dict[str, str] = {
         case when doc_id % 5 in (1, 2) then 'Other' else primary_issue end as primary_issue,
         case when doc_id % 5 in (1, 2) then '' else array_to_string(observed_facts, {q(LIST_SEP)}) end as observed_facts from proposals""", "proposals"),
     # ---------------------------------------------------------------- scores
-    "actions": with_tables(f"select doc_id, action, {action_rank('action')} as rank from (select doc_id, {_PROPOSED_ACTION} as action from proposals)", "proposals"),
+    "actions": with_tables(f"select doc_id, action, cast({action_rank('action')} as bigint) as rank from (select doc_id, {_PROPOSED_ACTION} as action from proposals)", "proposals"),
     "scored_themes": with_tables(f"select {_flat(THEME_COLUMNS)} from scored", "scored"),
     "themes_same_name": with_tables(f"select {_flat(THEME_COLUMNS)} from merged1", "merged1"),
     "theme_renames": with_tables(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import kept_tokens, ngrams, word_list
+from voc.functions.text import kept_tokens, ngrams, once, word_list
 from voc.operators.clusters import first_k
 
 
@@ -33,19 +33,21 @@ def keyword_lists(top: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def _terms(df: DataFrame, stop_words: Iterable[str]) -> DataFrame:
-    """One row per occurrence (tf = 1) and one per text and distinct term (df = 1).
+    """Rows ``sub_domain, term, tf, df`` whose sums per term are its occurrences and the texts that hold it.
 
-    Both counts then come from one aggregate by term, without a distinct count.
+    A text without repeated terms gives one row per term. Otherwise occurrences and distinct terms are rows of their
+    own. Both counts come from one aggregate by term, without a distinct count.
     """
-    terms = df.withColumn("terms", ngrams(kept_tokens("cleaned_text", stop_words)))
-    one, zero = F.lit(1), F.lit(0)
-    return terms.select(
-        "sub_domain",
-        F.inline(F.concat(
-            F.transform("terms", lambda t: F.struct(t.alias("term"), one.alias("tf"), zero.alias("df"))),
-            F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), zero.alias("tf"), one.alias("df"))),
-        )),
-    )
+    words = once(df.select("sub_domain", "cleaned_text"), "words", kept_tokens("cleaned_text", stop_words))
+    terms = once(words.select("sub_domain", "words"), "terms", ngrams(F.col("words")))
+    terms = once(terms.select("sub_domain", "terms"), "distinct", F.array_distinct("terms"))
+
+    def rows(array: str, tf: int, df: int):
+        return F.transform(array, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+
+    repeated = F.size("terms") > F.size("distinct")
+    both = F.concat(rows("terms", 1, 0), rows("distinct", 0, 1))
+    return terms.select("sub_domain", F.inline(F.when(repeated, both).otherwise(rows("distinct", 1, 1))))
 
 
 def term_counts(df: DataFrame, stop_words: Iterable[str], min_df: int = 2) -> DataFrame:
