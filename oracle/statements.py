@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.parts import (
-    RULES, action, action_rank, cases, clean, confidence, confidence_text, critic, evidence, evidence_quotes, findings,
+    action, action_rank, cases, clean, confidence, confidence_text, evidence, evidence_quotes, findings,
     insights, is_noise, matches, paraphrase, q, redact, renamed, round1, strip, trace, with_tables, word_count,
 )
 from voc import rules, wording as w
@@ -321,6 +321,8 @@ STATEMENTS: dict[str, str] = {
     "cluster_samples": with_tables("select sub_domain, place, ord, cleaned_text from samples", "samples"),
     "cluster_keywords": with_tables(
         "select cluster_id, sub_domain, array_to_string(keywords, ',') as keywords from cluster_ids join keywords using (sub_domain)", "keywords"),
+    "fallback_keywords": with_tables(
+        "select sub_domain, " + q(",".join(rules.FALLBACK_KEYWORDS)) + " as keywords from cluster_ids", "cluster_ids"),
     "term_counts": with_tables("select * from terms", "terms"),
     "topic_words": with_tables(
         """, per as (select g.sub_domain, g.term, count(*) as tf, any_value(t.tf) as f from grams g join terms t using (term) group by 1, 2),

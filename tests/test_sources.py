@@ -1,8 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from voc.operators import pii, vectors
 from voc.plans import theme_report
 from voc.plans.catalog import QUERIES

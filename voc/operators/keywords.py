@@ -32,6 +32,11 @@ def keyword_lists(top: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+def fallback_keywords(clusters: DataFrame) -> DataFrame:
+    """The fixed list every cluster gets when its rows were grouped by k-means instead of topics."""
+    return clusters.select("sub_domain", word_list(rules.FALLBACK_KEYWORDS).alias("keywords"))
+
+
 def _terms(df: DataFrame, stop_words: Iterable[str]) -> DataFrame:
     """Rows ``sub_domain, term, tf, df`` whose sums per term are its occurrences and the texts that hold it.
 

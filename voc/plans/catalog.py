@@ -333,6 +333,11 @@ def cluster_keywords(spark, sf):
     )
 
 
+def fallback_keywords(spark, sf):
+    found = keywords.fallback_keywords(clusters.cluster_ids(classified(spark, sf)))
+    return found.select("sub_domain", F.concat_ws(",", "keywords").alias("keywords"))
+
+
 def term_counts(spark, sf):
     return keywords.term_counts(classified(spark, sf), STOP_WORDS).select("term", *big("tf", "df"))
 
@@ -663,7 +668,7 @@ QUERIES = {
         ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_filtered, noise_fallback, event_times,
         redacted_texts, paraphrases, cut_quotes, word_counts, list_items,
         issue_domains, review_sentiment, cluster_assignment, domain_prevalence, cluster_sentiment, cluster_signal,
-        cluster_samples, cluster_keywords, term_counts, topic_words,
+        cluster_samples, cluster_keywords, fallback_keywords, term_counts, topic_words,
         rule_matches, unclassified, rule_summary, rule_quotes, unclassified_sample, extraction_meta, extraction_document,
         counter_evidence, evidence_quotes, confidence, reasoning_traces, critic_rules, heuristic_labels, label_prompts,
         question_prompts, reply_parsing,
