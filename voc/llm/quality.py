@@ -163,12 +163,15 @@ def estimate(patterns: DataFrame) -> Estimates:
     return now
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The documents with counts, votes, ``base_failed``, ``quality`` (posterior) and ``kept``.
+def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``columns`` (default: all) with counts, votes, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
     Counts and votes are written once; patterns and verdicts read them from there.
     """
-    scored = materialize(features(docs).withColumns(votes()).withColumn("base_failed", base_failed()), "quality")
+    counted = features(docs)
+    rest = counted.columns[len(docs.columns):]
+    counted = counted.select(*(docs.columns if columns is None else columns), *rest)
+    scored = materialize(counted.withColumns(votes()).withColumn("base_failed", base_failed()), "quality")
     names = [f"v_{name}" for name in RULES]
     model = estimate(materialize(scored.groupBy(*names).count().coalesce(1), "vote_patterns"))
     return scored.withColumn("quality", model.posterior()).withColumn(
@@ -178,4 +181,6 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return judged(docs).filter("kept").select(*docs.columns)
+    own = [f"_own_{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
+    return judged(renamed, own).filter("kept").select(*own).toDF(*docs.columns)
