@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc.llm import bpe_tree, line_templates, mixing, multiset_hash, personal_data, quality, simhash, token_files
+from voc.llm import bpe_tree, kneser_ney, line_templates, mixing, multiset_hash, page_text, personal_data, quality, simhash, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -24,6 +24,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(_table(spark, sf_dir, "documents"), BYTE_BPE, end=0))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate")
@@ -47,6 +51,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digests(_table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_personal_data, op2_token_files, op4_mixing, op5_quality, op6_multiset_hash, op7_line_dedup, op8_bpe, op10_simhash,
+        op1_personal_data, op2_token_files, op3_kneser_ney, op4_mixing, op5_quality, op6_multiset_hash, op7_line_dedup, op8_bpe,
+        op9_page_text, op10_simhash,
     )
 }
