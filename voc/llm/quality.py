@@ -1,8 +1,8 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
 Every rule votes good (1), bad (-1) or abstains (0) on a document. Documents with equal votes are counted together (at most
-3 to the number of rules rows); expectation-maximisation over these counts estimates, per class, how often each rule votes
-good or bad and how common good documents are. The posterior probability of "good" then decides, instead of asking that
+3 to the number of rules rows); expectation-maximisation over these counts estimates how often each rule is right on good
+and on bad documents, and how common good documents are. The posterior probability of "good" then decides, instead of asking that
 all rules pass. Each step of the estimation is one small aggregate; the driver holds the estimates alone.
 
 Rows: null and empty texts have no words: counts 0, every rule abstains, ``base_failed`` is true. Repeated rows are judged
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voc.llm.columns import shielded
 from voc.storage import materialize
 
 SPACE = " \t\n\x0b\x0c\r"          # fixed value: the characters that separate words
@@ -38,6 +39,7 @@ RULES = {
     "line_ends": ("n_ended / n_lines", "x >= 0.6", "n_lines >= 4 and x < 0.2"),
     "vocabulary": ("n_distinct / sqrt(n_words)", "x > 5", "x < 3"),
     "exclamations": ("n_exclaim / n_words", "x < 0.1", "x > 0.3"),
+    "letters": ("n_letters / word_chars", "x > 0.92", "x < 0.8"),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -72,8 +74,8 @@ def features(docs: DataFrame) -> DataFrame:
     at = F.array_sort(F.transform(F.filter(s, lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"]))
     step = step.withColumn("_at", at)
     p = F.col("_at")
-    gaps = F.zip_with(F.slice(p, 2, F.size(p)), p, lambda b, a: F.least(F.lit(WINDOW), b - a))
-    covered = F.aggregate(gaps, F.lit(WINDOW), lambda total, gap: total + F.coalesce(gap, F.lit(0)))
+    gaps = F.zip_with(F.slice(p, 2, F.size(p)), F.slice(p, 1, F.size(p) - 1), lambda b, a: F.least(F.lit(WINDOW), b - a))
+    covered = F.aggregate(gaps, F.lit(WINDOW), lambda total, gap: total + gap)
     letters = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
     return step.withColumns({
         "n_words": F.size(w).cast("bigint"),
@@ -83,6 +85,7 @@ def features(docs: DataFrame) -> DataFrame:
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "n_repeat_words": F.coalesce(F.when(F.size(p) > 0, covered), F.lit(0)).cast("bigint"),
         "n_upper": letters(r"[^\p{Lu}]+").cast("bigint"),
+        "n_letters": letters(r"[^\p{L}\p{M}]+").cast("bigint"),
         "n_alpha": F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))).cast("bigint"),
         "n_ended": F.size(F.filter("_lines", lambda x: F.substring(F.rtrim(x), -1, 1).isin(".", "!", "?", '"', ":"))).cast("bigint"),
         "n_distinct": F.size(F.array_distinct(w)).cast("bigint"),
@@ -105,34 +108,36 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Estimates:
-    """``rates[class][rule] = (share of good votes, share of bad votes)``; class 0 is bad, 1 is good."""
+    """Share of good documents, and per rule how often its votes are right: on bad and on good documents.
+
+    An abstention says nothing.
+    """
 
     good: float
-    rates: tuple[tuple[tuple[float, float], ...], tuple[tuple[float, float], ...]]
+    right_on_bad: tuple[float, ...]
+    right_on_good: tuple[float, ...]
 
     def posterior(self) -> Column:
         """Probability that a document with these votes is good."""
         odds = F.lit(math.log(self.good / (1 - self.good)))
-        for j, name in enumerate(RULES):
-            bad, good = self.rates[0][j], self.rates[1][j]
-            weigh = lambda k: F.lit(math.log(good[k] / bad[k]))  # noqa: E731, B023
-            none = math.log((1 - sum(good)) / (1 - sum(bad)))
+        for name, bad, good in zip(RULES, self.right_on_bad, self.right_on_good):
             v = F.col(f"v_{name}")
-            odds = odds + F.when(v == 1, weigh(0)).when(v == -1, weigh(1)).otherwise(F.lit(none))
+            up, down = math.log(good / (1 - bad)), math.log((1 - good) / bad)
+            odds = odds + F.when(v == 1, F.lit(up)).when(v == -1, F.lit(down)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-odds))
 
 
 def start() -> Estimates:
     """One bad vote outweighs good votes of all other rules: a bad document often breaks one rule only."""
     n = len(RULES)
-    return Estimates(0.8, (((0.74, 0.25),) * n, ((0.9, 0.003),) * n))
+    return Estimates(0.8, (0.25,) * n, (0.997,) * n)
 
 
 def estimate(patterns: DataFrame) -> Estimates:
-    """Expectation-maximisation over ``v_*`` patterns with their ``count``: class-conditional vote shares.
+    """Expectation-maximisation over ``v_*`` patterns with their ``count``.
 
-    A rule's bad vote is held to be no rarer, and its good vote no commoner, among bad documents: without that the two
-    classes could change places.
+    A rule's bad votes are held to be no rarer among bad documents than among good ones: without that the two classes could
+    change places.
     """
     now = start()
     for _ in range(ROUNDS):
@@ -145,17 +150,18 @@ def estimate(patterns: DataFrame) -> Estimates:
         row = weighed.agg(*sums).first()
         if not row["_g"] and not row["_b"]:
             return now
-        rates = {"_b": [], "_g": []}
+        right: dict[str, list[float]] = {"_b": [], "_g": []}
         for name in RULES:
-            of = {x: [((row[f"{x}_{name}_{vote}"] or 0.0) + 1.0) / (row[x] + 4.0) for vote in (1, -1)] for x in rates}
-            of["_b"][0], of["_g"][0] = min(of["_b"][0], of["_g"][0]), max(of["_b"][0], of["_g"][0])
-            of["_b"][1], of["_g"][1] = max(of["_b"][1], of["_g"][1]), min(of["_b"][1], of["_g"][1])
-            for x in rates:
-                rates[x].append(tuple(min(v, 0.98 if k == 0 else 0.9) for k, v in enumerate(of[x])))
-        rates = {x: [(g, min(b, 0.995 - g)) for g, b in r] for x, r in rates.items()}
-        good = min(max(row["_g"] / (row["_g"] + row["_b"]), 0.5), 0.99)
-        new = Estimates(good, (tuple(rates["_b"]), tuple(rates["_g"])))
-        flat = lambda e: [e.good, *[x for c in e.rates for r in c for x in r]]
+            votes_of = {(x, v): row[f"{x}_{name}_{v}"] or 0.0 for x in right for v in (1, -1)}
+            bad, good = (
+                (votes_of[x, v] + 0.5) / (votes_of[x, 1] + votes_of[x, -1] + 1.0) for x, v in (("_b", -1), ("_g", 1))
+            )
+            bad, good = (bad, good) if bad + good >= 1 else (1 - good, 1 - bad)
+            right["_b"].append(min(max(bad, 1e-4), 1 - 1e-4))
+            right["_g"].append(min(max(good, 1e-4), 1 - 1e-4))
+        share = min(max(row["_g"] / (row["_g"] + row["_b"]), 0.5), 0.99)
+        new = Estimates(share, tuple(right["_b"]), tuple(right["_g"]))
+        flat = lambda e: [e.good, *e.right_on_bad, *e.right_on_good]
         moved = max(abs(a - b) for a, b in zip(flat(now), flat(new)))
         now = new
         if moved < SETTLED:
@@ -166,14 +172,16 @@ def estimate(patterns: DataFrame) -> Estimates:
 def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: all) with counts, votes, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
-    Counts and votes are written once; patterns and verdicts read them from there.
+    Counts and votes are written once; patterns and verdicts read them from there. The estimates come from the documents that
+    the base rules leave open: what fails these is settled, and would teach the other rules its own few faults.
     """
     counted = features(docs)
     rest = counted.columns[len(docs.columns):]
     counted = counted.select(*(docs.columns if columns is None else columns), *rest)
     scored = materialize(counted.withColumns(votes()).withColumn("base_failed", base_failed()), "quality")
     names = [f"v_{name}" for name in RULES]
-    model = estimate(materialize(scored.groupBy(*names).count().coalesce(1), "vote_patterns"))
+    open_ = scored.filter(~F.col("base_failed"))
+    model = estimate(materialize(open_.groupBy(*names).count().coalesce(1), "vote_patterns"))
     return scored.withColumn("quality", model.posterior()).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_ABOVE)
     )
@@ -181,6 +189,5 @@ def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    own = [f"_own_{i}" for i in range(len(docs.columns))]
-    renamed = docs.toDF(*own).withColumn("text", F.col(own[docs.columns.index("text")]))
-    return judged(renamed, own).filter("kept").select(*own).toDF(*docs.columns)
+    rows, _, back = shielded(docs, "text")
+    return back(judged(rows).filter("kept"))
