@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voc.llm.columns import shielded
 from voc.llm.components import components
 from voc.storage import materialize
 
@@ -49,15 +50,16 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint's bits as a signed BIGINT."""
+    """``doc_id, text_hash, fp``: the fingerprint's bits as a signed BIGINT, beside a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), size) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 class Forest:
@@ -176,17 +178,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
     return rows.repartition(parts, "shard").mapInArrow(_link_partitions(radius), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row."""
+def _grouped(docs: DataFrame, size: int, radius: int) -> DataFrame:
+    """``doc_id, text_hash, fp``, the component's smallest fingerprint ``root`` and its smallest id ``component_id``."""
     found = materialize(fingerprints(docs, size), "fingerprints")
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
     of = components(links(distinct.select("fp"), radius))
     rooted = distinct.join(of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    named = rooted.select("fp", "root").join(least, "root")
+    return found.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row."""
+    fingerprint_ = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return _grouped(docs, size, radius).select("doc_id", fingerprint_, "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -195,9 +201,12 @@ def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int =
     A row without id has a large id made from its text, so that it stays only if its component has no row with an id.
     """
     key = F.coalesce("doc_id", F.lit(2**63 - 1) - F.shiftrightunsigned(F.xxhash64("text"), 2))
-    keyed = docs.withColumn("_key", key)
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), size, radius)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_key")).distinct()
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
-    kept = keyed.join(stay, "_key").withColumn("_turn", turn).filter(F.col("_turn") == 1)
-    return kept.select(*docs.columns)
+    rows, _, back = shielded(docs, "doc_id", "text")
+    keyed = rows.withColumn("_key", key)
+    found = _grouped(keyed.select(F.col("_key").alias("doc_id"), "text"), size, radius)
+    first = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("root")
+    stay = first.agg(F.first("doc_id").alias("_key"), F.min("text_hash").alias("_hash")).drop("root")
+    turn = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
+    hashed = keyed.withColumn("_hash", F.xxhash64("text"))
+    kept = hashed.join(stay, ["_key", "_hash"]).withColumn("_turn", turn).filter(F.col("_turn") == 1)
+    return back(kept)
