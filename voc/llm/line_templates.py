@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voc.llm.columns import shielded
 from voc.storage import materialize
 
 DEPTH, FIELDS = 3, 4
@@ -130,7 +131,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def without_recurring_lines(docs: DataFrame) -> DataFrame:
     """The documents with the columns they came with; ``n_chars``, if there, counts the text that is left."""
-    out = deduplicated(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows, names, back = shielded(docs, "doc_id", "text", "n_chars")
+    out = deduplicated(rows)
+    if "n_chars" in names:
+        left = F.when(F.col("_dropped") == 0, F.col("n_chars")).otherwise(F.length("text"))
+        out = out.withColumn("n_chars", left.cast(rows.schema["n_chars"].dataType))
+    return back(out)

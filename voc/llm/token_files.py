@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import io
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -31,18 +31,19 @@ from pyspark.sql import functions as F
 from voc.llm import rans, shared_files
 from voc.storage import materialize, scratch_path
 
-FILE_TOKENS, STRETCH_TOKENS = 8 << 20, 1 << 20
-KEPT_WORDS = 700_000
+FILE_TOKENS, STRETCH_TOKENS = 4 << 20, 1 << 20
+KEPT_WORDS = 600_000
+ENCODED_BYTES = 6 << 20   # of text, encoded at once
 MAGIC = b"VOCRANS1"
-ADJACENT = re.compile(r"\s\s|^\s|\s\Z")
 _PARTS = ("ids", "<i8"), ("known", "u1"), ("counts", "<i8"), ("symbols", "<u4"), ("freq", "<u4"), ("blocks", "<i8")
 
 
 class Encoder:
     """Ids by the tokenizers library, with a table of the words seen.
 
-    The library's split begins anew at a blank or line feed between other characters, so a text without adjacent white space
-    has the ids of its words in turn, and each new word is encoded once. Other texts are encoded whole.
+    The library's split begins anew at a blank or line feed that has no white space beside it. A text in which that holds for
+    all of them has the ids of its words in turn, and each different word is encoded once. Other texts are encoded whole:
+    they show by a word that is empty or begins or ends with white space.
     """
 
     def __init__(self, path: str):
@@ -51,56 +52,76 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.feed = self._whole(["\n"])[0]
+        self.blank = np.zeros(self.library.get_vocab_size(), bool)
+        self.blank[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
+        self.first: dict[str, bytes] = {}   # words at the start of a text or line
+        self.after: dict[str, bytes] = {}   # words behind a blank
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Many words in one call, a line feed between them: it is never part of a word and has an id of its own."""
-        feed = np.frombuffer(self._whole(["\n"])[0], "<u4")
-        if len(feed) != 1:
-            return self._whole(words)
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Many words in one call. A word's first id, and no other, stands for text that begins with the blank before it."""
         out: list[bytes] = []
         for low in range(0, len(words), 4_096):
             some = words[low : low + 4_096]
-            data = self._whole(["\n".join(some)])[0]
-            ends = np.flatnonzero(np.frombuffer(data, "<u4") == feed[0])
-            if len(ends) != len(some) - 1:
-                out += self._whole(some)
+            ids = np.frombuffer(self._whole([" " + " ".join(some)])[0], "<u4") if before else np.zeros(0, "<u4")
+            starts = np.flatnonzero(self.blank[ids]) * 4
+            if not before or len(starts) != len(some) or starts[0]:
+                out += self._whole([before + w for w in some])
                 continue
-            edges = [-4, *(ends * 4).tolist(), len(data)]
-            out += [data[a + 4 : b] for a, b in zip(edges, edges[1:])]
+            data, starts = ids.tobytes(), starts.tolist()
+            out += [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)])]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit little-endian numbers."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        get, known = self.known.get, self.known
-        split, whole, missing = {}, [], set()
-        for i, text in enumerate(texts):
-            if ADJACENT.search(text) or "\x00" in text:
-                whole.append(i)
-            elif text:
-                # a word keeps the blank before it; line feeds are words of their own
-                words = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-                found = list(map(get, words))
-                split[i] = words, found
-                if None in found:
-                    missing.update(w for w, f in zip(words, found) if f is None)
-        if missing:
-            feed = {"\n"} & missing
-            words = list(missing - feed)
-            known.update(zip(words, self._words(words)))
-            known.update(zip(feed, self._whole(list(feed))))
-        out = [b""] * len(texts)
-        for i, (words, found) in split.items():
-            if None in found:
-                found = [known[w] if f is None else f for w, f in zip(words, found)]
-            out[i] = b"".join(found)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else ()):
-            out[i] = ids
+    def _table(self, words: list[str], before: str) -> list[bytes | None]:
+        """Ids of the words behind ``before``; None for what is no word."""
+        known = self.after if before else self.first
+        if len(known) > KEPT_WORDS:  # the older half goes; words that are used come back at once
+            kept = list(known.items())[len(known) // 2 :]
+            known.clear()
+            known.update(kept)
+        out = list(map(known.get, words))
+        gaps = [i for i, ids in enumerate(out) if ids is None]
+        gaps = [i for i in gaps if words[i] and not words[i][0].isspace() and not words[i][-1].isspace()]
+        new = [words[i] for i in gaps]
+        for i, word, ids in zip(gaps, new, self._words(new, before)):
+            out[i] = known[word] = ids
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        coded = lists.flatten().dictionary_encode()
+        number, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        feed = words.index("\n") if "\n" in words else -1
+        bare = np.zeros(len(number), bool)
+        bare[1:] = number[:-1] == feed
+        bare[starts[:-1]] = True
+        # one table of ids for words behind a blank, then for the others
+        row, ids = np.zeros(2 * len(words), np.int64), []
+        for k, (before, mask) in enumerate(((" ", ~bare), ("", bare))):
+            used = np.zeros(len(words), bool)
+            used[number[mask]] = True
+            used = np.flatnonzero(used)
+            row[used + k * len(words)] = len(ids) + np.arange(len(used))
+            some = [words[u] for u in used]
+            ids += [self.feed if w == "\n" else i for w, i in zip(some, self._table(some, before))]
+        odd = np.array([i is None for i in ids], bool)
+        sizes = np.array([len(i or b"") // 4 for i in ids], np.int64)
+        flat, place = np.frombuffer(b"".join([i or b"" for i in ids]), "<u4"), np.cumsum(sizes) - sizes
+        at = row[number + len(words) * bare]
+        size = sizes[at]
+        ends = np.cumsum(size)
+        tokens = flat[np.repeat(place[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[starts]
+        out = [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
+        whole = np.unique(np.searchsorted(starts, np.flatnonzero(odd[at]), "right") - 1).tolist()
+        for i, data in zip(whole, self._whole([texts[i].as_py() for i in whole]) if whole else ()):
+            out[i] = np.frombuffer(data, "<u4")
         return out
 
 
@@ -181,7 +202,7 @@ def write(docs: DataFrame, path: str, end: int) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, place, seq = encoder(path), TaskContext.get().partitionId(), 0
@@ -201,11 +222,13 @@ def write(docs: DataFrame, path: str, end: int) -> DataFrame:
 
         gathered = 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 1_000):
-                part = batch.slice(low, 1_000)
-                doc_ids += part.column(0).to_pylist()
-                for data in own.encode([t or "" for t in part.column(1).to_pylist()]):
-                    ids.append(np.frombuffer(data + tail, "<u4"))
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            turns = np.cumsum(sizes, dtype=np.int64) // ENCODED_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                doc_ids += batch.column(0).slice(low, high - low).to_pylist()
+                for found in own.encode(batch.column(1).slice(low, high - low)):
+                    ids.append(np.append(found, tail))
                     gathered += len(ids[-1])
                 if gathered > FILE_TOKENS:
                     yield flush()
