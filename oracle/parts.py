@@ -13,6 +13,8 @@ from voc.settings import DEFAULT
 RULES = rules.theme_rules(DEFAULT)
 STOP_WORDS = rules.stop_words(DEFAULT)
 SEP = "' | '"
+WORD_CHAR = r"[\p{L}\p{N}_]"
+NO_WORD_CHAR = r"[^\p{L}\p{N}_]"
 
 
 def q(text: str) -> str:
@@ -27,8 +29,19 @@ def any_in(expr: str, words) -> str:
     return "(" + " or ".join(f"contains({expr}, {q(x)})" for x in words) + ")"
 
 
+def _portable(pattern: str) -> str:
+    """Word boundaries that also hold beside letters outside of ASCII, where this engine's own see none."""
+    inner = re.fullmatch(r"\\b\((.*)\)\\b", pattern)
+    if not inner:
+        return pattern
+    parts = inner.group(1).split("|")
+    # after a word character none may follow; after another character one has to
+    ends = [p + (WORD_CHAR if p.endswith("/") else f"(?:$|{NO_WORD_CHAR})") for p in parts]
+    return f"(?:^|{NO_WORD_CHAR})(?:{'|'.join(ends)})"
+
+
 def matches(expr: str, patterns) -> str:
-    return f"regexp_matches({expr}, {q('|'.join(f'(?:{p})' for p in patterns))})"
+    return f"regexp_matches({expr}, {q('|'.join(f'(?:{_portable(p)})' for p in patterns))})"
 
 
 def cases(branches, default: str) -> str:
@@ -63,7 +76,6 @@ def distinct_in_order(x: str) -> str:
     return f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 
 
-WORD_CHAR = r"[\p{L}\p{N}_]"
 EMAIL = r"[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+"
 
 

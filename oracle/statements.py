@@ -33,8 +33,8 @@ def _titled(title: str, body: str) -> str:
     return strip(f"case when {title} <> '' and {body} <> '' then {title} || ' - ' || {body} else {title} || {body} end")
 
 
-_POST = strip("'T' || doc_id % 10 || chr(10) || case when doc_id % 6 = 0 then 'short' else substring(text, 1, 300) end")
-_COMMENT = strip("case when doc_id % 5 = 0 then '[removed]' when doc_id % 5 = 1 then ' short ' else substring(text, 1, 200) end")
+_POST = strip("'T' || doc_id % 10 || chr(10) || text")
+_COMMENT = strip("text")
 _FORUM = f"""
 select id, subreddit, text, cast(score as int) as score, url, created_utc, type, pos from (
   select 'sub_' || doc_id // 2 as id, 'india' as subreddit, {_POST} as text, doc_id % 9 as score,
@@ -254,11 +254,11 @@ STATEMENTS: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "play_source": _PLAY,
     "app_source": f"""
-        select 1099511627776 + doc_id as ord, 'as_' || case when doc_id % 5 <> 0 then 'r' || doc_id else cast(doc_id as varchar) end as id,
+        select {rules.SOURCE_STRIDE} + doc_id as ord, 'as_' || case when doc_id % 5 <> 0 then 'r' || doc_id else cast(doc_id as varchar) end as id,
           'app_store' as source, {strip('text')} as text, cast(coalesce(case when doc_id % 7 <> 0 then doc_id % 6 end, 0) as double) as rating,
           '' as date, cast(0 as int) as upvotes, {q(DEFAULT.app_store_url)} as url from documents""",
     "reddit_source": f"""
-        select 2199023255552 + doc_id as ord, 'rd_sub_' || doc_id as id, 'reddit' as source, {strip('text')} as text,
+        select {2 * rules.SOURCE_STRIDE} + doc_id as ord, 'rd_sub_' || doc_id as id, 'reddit' as source, {strip('text')} as text,
           cast(null as double) as rating, cast(1704067200 + doc_id as varchar) as date, cast(doc_id % 9 as int) as upvotes,
           case when doc_id % 4 <> 0 then 'https://x/' || doc_id else '' end as url from documents""",
     "chosen_sources": "select 'play_store' as source, count(*) as n from documents union all select 'reddit', count(*) from documents",

@@ -43,6 +43,13 @@ def once(df: DataFrame, name: str, col: Column) -> DataFrame:
     return df.select(*rest, F.explode(F.array(col)).alias(name))
 
 
+def below(position: Column, bound: int) -> Column:
+    """The position, or an error if it does not fit below the bound."""
+    return F.when(position < bound, position).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {bound}: "), position.cast("string"))).cast("bigint")
+    )
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(STRIP_CHARS))
 

@@ -28,6 +28,7 @@ def analyse(
     """Unified and filtered CSV, results as CSV, JSON and Markdown, rule themes as JSON. False if nothing was loaded."""
     loaded = load_feedback(spark, play, app, reddit, settings, array_files)
     limits = {"play_store": settings.play_limit, "app_store": settings.app_store_limit}
+    limits = {source: n for source, n in limits.items() if n is not None}
     unified = materialize(feedback.ingest(feedback.limit_per_source(loaded, limits)).select(*FEEDBACK.fieldNames()), "unified")
     if unified.isEmpty():
         return False

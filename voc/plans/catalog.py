@@ -160,25 +160,33 @@ def library_payload(spark, sf):
 
 
 def _submissions(spark, sf):
-    """Every id arrives twice, as from two search terms."""
+    """Every id arrives twice, as from two search terms. Each page also holds a post that is too short."""
     d = F.col("doc_id")
-    key = F.floor(d / 2).cast("string")
-    return _payload(spark, sf, F.array(F.struct(
-        key.alias("id"), F.concat(F.lit("T"), (d % 10).cast("string")).alias("title"),
-        F.when(d % 6 == 0, "short").otherwise(F.substring("text", 1, 300)).alias("selftext"),
-        F.lit("india").alias("subreddit"), (d % 9).cast("int").alias("score"),
-        F.when(d % 2 == 0, F.concat(F.lit("https://x/"), d.cast("string"))).alias("full_link"), d.alias("created_utc"),
-    )).alias("data"))
+
+    def post(mark: str, body):
+        return F.struct(
+            F.concat(F.lit(mark), F.floor(d / 2).cast("string")).alias("id"),
+            F.concat(F.lit("T"), (d % 10).cast("string")).alias("title"), body.alias("selftext"),
+            F.lit("india").alias("subreddit"), (d % 9).cast("int").alias("score"),
+            F.when(d % 2 == 0, F.concat(F.lit("https://x/"), d.cast("string"))).alias("full_link"), d.alias("created_utc"),
+        )
+
+    return _payload(spark, sf, F.array(post("", F.col("text")), post("s", F.lit("short"))).alias("data"))
 
 
 def _comments(spark, sf):
+    """Each page also holds a removed comment and one that is too short."""
     d = F.col("doc_id")
-    body = F.when(d % 5 == 0, "[removed]").when(d % 5 == 1, " short ").otherwise(F.substring("text", 1, 200))
-    return _payload(spark, sf, F.array(F.struct(
-        F.floor(d / 2).cast("string").alias("id"), body.alias("body"), F.lit("delhi").alias("subreddit"),
-        (d % 4).cast("int").alias("score"), F.concat(F.lit("/r/delhi/"), d.cast("string")).alias("permalink"),
-        d.alias("created_utc"),
-    )).alias("data"))
+
+    def comment(mark: str, body):
+        return F.struct(
+            F.concat(F.lit(mark), F.floor(d / 2).cast("string")).alias("id"), body.alias("body"),
+            F.lit("delhi").alias("subreddit"), (d % 4).cast("int").alias("score"),
+            F.concat(F.lit("/r/delhi/"), d.cast("string")).alias("permalink"), d.alias("created_utc"),
+        )
+
+    bodies = (("", F.col("text")), ("r", F.lit("[removed]")), ("s", F.lit(" short ")))
+    return _payload(spark, sf, F.array(*[comment(m, b) for m, b in bodies]).alias("data"))
 
 
 def forum_payload(spark, sf):

@@ -42,7 +42,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One proposed theme per document, with the columns the critic rules need."""
     d, n = F.col("doc_id"), F.col("n_chars")
     lists = F.array(*[F.array(*map(F.lit, s)).cast("array<string>") for s in SOURCE_LISTS])
-    quotes = [F.concat(pick(QUOTE_WORDS, n + k), F.lit(" "), F.substring("text", k + 1, 40)) for k in range(5)]
+    quotes = [F.concat(pick(QUOTE_WORDS, n + k), F.lit(" "), F.col("text")) for k in range(5)]
     empty = F.array().cast("array<string>")
     return table(spark, sf_dir, "documents").select(
         "doc_id", "n_chars",
@@ -55,7 +55,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*quotes).alias("sample_quotes"),
         pick(RELEVANCES, d).alias("relevance"), pick(SCORES, n).alias("prev"), pick(SCORES, d + n).alias("sig"),
         *[F.when(d % (i + 2) == 0, n).otherwise(0).alias(f"e{i}_n") for i in range(4)],
-        *[F.substring("text", i + 1, 120).alias(f"e{i}_text") for i in range(4)],
+        *[F.concat(F.lit(f"{i} "), F.col("text")).alias(f"e{i}_text") for i in range(4)],
     )
 
 
@@ -81,10 +81,10 @@ select doc_id, n_chars,
   case when doc_id % 4 = 0 then []::varchar[] else ['fact ' || n_chars, 'more'] end as observed_facts,
   ['a question', 'another'] as research_questions, n_chars % 150 as n,
   {_sql_pick(SOURCE_LISTS, 'doc_id')} as sources,
-  [{', '.join(f"{_sql_pick(QUOTE_WORDS, f'n_chars + {k}')} || ' ' || substring(text, {k + 1}, 40)" for k in range(5))}] as sample_quotes,
+  [{', '.join(f"{_sql_pick(QUOTE_WORDS, f'n_chars + {k}')} || ' ' || text" for k in range(5))}] as sample_quotes,
   {_sql_pick(RELEVANCES, 'doc_id')} as relevance, {_sql_pick(SCORES, 'n_chars')} as prev,
   {_sql_pick(SCORES, 'doc_id + n_chars')} as sig,
   {', '.join(f"case when doc_id % {i + 2} = 0 then n_chars else 0 end as e{i}_n" for i in range(4))},
-  {', '.join(f"substring(text, {i + 1}, 120) as e{i}_text" for i in range(4))}
+  {', '.join(f"'{i} ' || text as e{i}_text" for i in range(4))}
 from documents
 """

@@ -19,8 +19,8 @@ class Settings:
     app_store_id: str = "0"
     app_store_country: str = "in"
     search_terms: tuple[str, ...] = ("app", "quick commerce", "10 minute delivery", "grocery delivery app")
-    play_limit: int = 4000
-    app_store_limit: int = 1000
+    play_limit: int | None = None       # no limit
+    app_store_limit: int | None = None
     sources: tuple[str, ...] = ("play_store", "app_store", "reddit")
 
     @property

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import strip, title_and_body
+from voc.functions.text import below, strip, title_and_body
 from voc.operators.feedback import first_per_id, unify
 from voc.schemas import FEED_PAYLOAD, FORUM_PAYLOAD, LIBRARY_REVIEW
 
-# entries of one page keep their order below this stride
+# entries of one page keep their order below this stride; pages below 2^39 leave room for posts and comments
 PAGE_STRIDE = 2**20
 
 
@@ -21,7 +21,7 @@ def _entries(payloads: DataFrame, schema, path: str) -> DataFrame:
     parsed = payloads.withColumn("body", F.from_json("payload", schema))
     return parsed.select(
         "page", F.posexplode(F.col(f"body.{path}")).alias("i", "e")
-    ).withColumn("pos", F.col("page") * PAGE_STRIDE + F.col("i"))
+    ).withColumn("pos", below(F.col("page"), 2**39) * PAGE_STRIDE + below(F.col("i"), PAGE_STRIDE))
 
 
 def _rating(col: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import raw_text
+from voc.functions.text import below, raw_text
 from voc.operators.feedback import unify
 from voc.schemas import APP_RAW, FEEDBACK, PLAY_RAW, REDDIT_RAW
 from voc.settings import DEFAULT, Settings
@@ -14,8 +14,11 @@ from voc.sources.files import read_json
 
 
 def _feedback(df: DataFrame, source: str, key: Column, **fields: Column) -> DataFrame:
-    """``ord`` = source rank * 2^40 + position in the load; array files are read in order by one task."""
-    position = F.coalesce(F.col("pos"), F.monotonically_increasing_id())
+    """``ord`` = source rank * 2^60 + position in the load; array files are read in order by one task.
+
+    A row number is split * 2^33 + row, so 2^27 splits of a source fit; a position that does not fit is an error.
+    """
+    position = below(F.coalesce(F.col("pos"), F.monotonically_increasing_id()), rules.SOURCE_STRIDE)
     fields |= {
         "ord": F.lit(rules.SOURCE_RANK[source] * rules.SOURCE_STRIDE) + position,
         "id": F.concat(F.lit(rules.SOURCE_PREFIX[source]), F.coalesce(key, F.lit(""))),
