@@ -82,7 +82,7 @@ def test_hot_copies(spark):
 def test_cluster_stats_and_samples(spark):
     fb = make(spark, [("play_store", f"refund number {i} was denied for my order", 1.0) for i in range(12)]
               + [("reddit", "refund request was denied for my product", None), ("app_store", "handling fee on every small product", 5.0)])
-    rows = theme_report.written_feedback(fb)
+    rows = theme_report.classified_feedback(fb)
     stats = {r.sub_domain: r for r in clusters.with_scores(clusters.cluster_stats(rows)).collect()}
     refunds = stats["Refunds & Returns"]
     assert (refunds.n, refunds.total, refunds.sources) == (13, 14, ["play_store", "reddit"])
@@ -136,9 +136,9 @@ def test_extraction_counts(spark):
 
 def test_plan_has_one_shuffle_and_group_limits(spark):
     fb = make(spark, [("play_store", f"refund number {i} was denied for my order", 1.0) for i in range(9)]).repartition(8)
-    plan = theme_report.classified_feedback(fb)._jdf.queryExecution().executedPlan().toString()
+    plan = theme_report.cleaned_feedback(fb)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(cleaned_text") == 1
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    rows = theme_report.written_feedback(fb)
+    rows = theme_report.classified_feedback(fb)
     sample = clusters.sampled_rows(rows)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in sample and "cleaned_text" not in sample.split("ReadSchema")[1]

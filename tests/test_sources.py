@@ -26,7 +26,7 @@ def test_array_files_and_missing_sources(spark, tmp_path):
     assert [r.id for r in rows] == ["ps_a", "ps_", "ps_c", "as_0", "as_r"]
     assert [r.text for r in rows] == ["first text", "", "third", "no id", "with id"]
     assert [r.rating for r in rows] == [5.0, 0.0, 0.0, 0.0, 3.0]
-    assert rows[0].url.endswith("id=x.y") and rows[3].ord == 2**40
+    assert rows[0].url.endswith("id=x.y") and rows[3].ord == 2**60
 
 
 def test_csv_keeps_text(spark, tmp_path):
@@ -108,7 +108,7 @@ def test_frequencies_sum_to_total(spark):
     from voc.plans.feedback_view import feedback_view
 
     fb = feedback_view(spark, SF)
-    rows = theme_report.theme_table(fb).collect()
+    rows = theme_report.theme_table(theme_report.classified_feedback(fb)).collect()
     assert sum(r.frequency for r in rows) == rows[0].total == theme_report.classified_feedback(fb).count()
 
 

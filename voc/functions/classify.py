@@ -16,9 +16,12 @@ _DOMAINS = tuple(literal(words) for _, words in rules.DOMAIN_WORDS)
 _EVIDENCE = tuple(literal(phrases) for *_, phrases in rules.EVIDENCE_GROUPS)
 
 
-def review_mask(text: Column) -> Column:
-    """Spam and noise patterns, domain words and counter-evidence phrases of a text, one bit each."""
-    return match_mask(F.lower(text), _FILTERS + _DOMAINS + _EVIDENCE)
+_RULES_FROM = len(_FILTERS) + len(_DOMAINS) + len(_EVIDENCE)
+
+
+def review_mask(text: Column, theme_rules=()) -> Column:
+    """Spam and noise patterns, domain words, counter-evidence phrases and theme rules of a text, one bit each."""
+    return match_mask(F.lower(text), _FILTERS + _DOMAINS + _EVIDENCE + tuple(r.patterns for r in theme_rules))
 
 
 def is_spam(mask: Column) -> Column:
@@ -71,12 +74,8 @@ def sentiment(text: Column, rating: Column) -> Column:
     )
 
 
-def rule_mask(text: Column, theme_rules) -> Column:
-    return match_mask(F.lower(text), [r.patterns for r in theme_rules])
-
-
 def matching_rules(mask: Column, theme_rules) -> Column:
-    """Ids of all theme rules found, in rule order."""
+    """Ids of all theme rules found, in rule order; the mask is a review mask made with these rules."""
     return F.array_compact(
-        F.array(*[F.when(has_group(mask, i), F.lit(r.theme_id)) for i, r in enumerate(theme_rules)])
+        F.array(*[F.when(has_group(mask, i), F.lit(r.theme_id)) for i, r in enumerate(theme_rules, _RULES_FROM)])
     )

@@ -21,6 +21,9 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 URL = r"(?U)https?://\S+|www\.\S+"
 WORD = r"[\p{L}\p{N}_]{2,}"
+# finds what rules.EMAIL finds in linear time: a match can only begin where a run of name characters begins or where the
+# last match ended, and a run without @ behind it is not tried again from its middle
+EMAIL = r"(?:\G|(?<![\w.-]))[\w.-]++@[\w.-]+\.\w+"
 
 
 def word_list(words: Iterable[str]) -> Column:
@@ -128,7 +131,7 @@ def redact(col: Column) -> Column:
     """E-mail addresses, phone numbers, handles and long ids replaced, in this order."""
     text = col
     for pattern, mark in (
-        (rules.EMAIL, "[REDACTED_EMAIL]"),
+        (EMAIL, "[REDACTED_EMAIL]"),
         (rules.PHONE, "[REDACTED_PHONE]"),
         (rules.HANDLE, "@user"),
         (rules.LONG_ID, "[REDACTED_ID]"),

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.operators import extraction, feedback, note, pii, report
+from voc.operators import clusters, extraction, feedback, note, pii, report
 from voc.plans import theme_report
 from voc.schemas import CLEANED, FEEDBACK
 from voc.settings import DEFAULT, Settings
@@ -34,16 +34,18 @@ def analyse(
         return False
     files.write_csv(unified, f"{out}/unified.csv")
 
-    filtered = materialize(feedback.drop_noise(feedback.noise_flagged(feedback.clean(unified))).select(*CLEANED.fieldNames()), "filtered")
-    files.write_csv(filtered, f"{out}/filtered.csv")
+    # cleaned and matched once, written once: everything below reads from there
+    theme_rules = rules.theme_rules(settings)
+    cleaned = clusters.classify(feedback.noise_flagged(feedback.clean(unified, theme_rules)))
+    filtered = feedback.drop_noise(materialize(cleaned, "filtered"))
+    files.write_csv(filtered.select(*CLEANED.fieldNames()), f"{out}/filtered.csv")
 
-    themes = theme_report.theme_table(unified, settings)
+    themes = theme_report.theme_table(filtered, settings)
     files.write_csv(report.results_table(themes), f"{out}/results.csv")
     files.write_document(report.results_document(themes), f"{out}/results.json")
     files.write_document(report.markdown_report(themes, settings), f"{out}/summary.md")
 
-    theme_rules = rules.theme_rules(settings)
-    tagged = materialize(extraction.tagged(filtered, theme_rules), "tagged")
+    tagged = extraction.tagged(filtered, theme_rules)
     files.write_document(extraction.extraction_document(filtered, tagged, theme_rules), f"{out}/themes_by_rule.json")
     return True
 

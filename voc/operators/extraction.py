@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.classify import matching_rules, rule_mask
+from voc.functions.classify import matching_rules
 from voc.functions.scores import round1
-from voc.functions.text import cut, once
+from voc.functions.text import cut
 from voc.operators.clusters import first_k, sample_key
+from voc.operators.feedback import masked
 
 ALL_ROWS = "*"
 
@@ -19,9 +20,12 @@ def substantive(df: DataFrame) -> DataFrame:
 
 
 def tagged(df: DataFrame, theme_rules) -> DataFrame:
-    """Substantive rows with the ids of all rules they match; every pattern is tried once per row."""
-    masked = once(substantive(df), "mask", rule_mask(F.col("cleaned_text"), theme_rules))
-    return masked.withColumn("theme_ids", matching_rules(F.col("mask"), theme_rules)).drop("mask")
+    """Substantive rows with the ids of all rules they match; every pattern is tried once per row.
+
+    A ``mask`` the rows bring along must have been made with these rules.
+    """
+    rows = masked(substantive(df), theme_rules)
+    return rows.withColumn("theme_ids", matching_rules(F.col("mask"), theme_rules)).drop("mask")
 
 
 def with_rule(rows: DataFrame, theme_rules) -> DataFrame:

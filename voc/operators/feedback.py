@@ -26,15 +26,17 @@ def unify(tables: Iterable[DataFrame]) -> DataFrame:
 def keep_first(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
     """One row per key, the one with the smallest ``order``, which is unique.
 
-    The aggregate runs before and after the shuffle, so a key held by a third of the rows leaves each input
-    partition as a single row. Rows whose other columns have a fixed width are hashed; with texts among them Spark
-    sorts the rows by key instead.
+    A key held by a third of the rows leaves each input partition as a single row. Rows whose other columns have a fixed
+    width go through a hash aggregate before and after the shuffle. With texts among them the rows are ranked by a
+    digest of the key, which sorts by numbers and compares texts only where digests are equal; Spark cuts each partition
+    to one row per key before the shuffle.
     """
     rest = [c for c in df.columns if c != key]
     if all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in rest):
         return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in rest]).select(*df.columns)
-    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("first"))
-    return first.select(*[F.col(c) if c == key else F.col(f"first.{c}") for c in df.columns])
+    place = F.row_number().over(Window.partitionBy("key_digest", key).orderBy(order))
+    ranked = df.withColumn("key_digest", F.xxhash64(key)).withColumn("key_place", place)
+    return ranked.where(F.col("key_place") == 1).select(*df.columns)
 
 
 def long_enough(df: DataFrame) -> DataFrame:
@@ -46,44 +48,46 @@ def ingest(df: DataFrame) -> DataFrame:
     return keep_first(long_enough(df), "text")
 
 
-def cleaned_rows(df: DataFrame) -> DataFrame:
+def cleaned_rows(df: DataFrame, theme_rules=()) -> DataFrame:
     """Cleaned text and pattern mask added, short texts and spam dropped. The length test comes first, it is cheap."""
     cleaned = once(df, "cleaned_text", clean_text(F.col("text")))
     long = cleaned.where(F.length("cleaned_text") >= rules.MIN_CLEAN_CHARS)
-    return masked(long).where(~is_spam(F.col("mask")))
+    return masked(long, theme_rules).where(~is_spam(F.col("mask")))
 
 
-def clean(df: DataFrame) -> DataFrame:
+def clean(df: DataFrame, theme_rules=()) -> DataFrame:
     """Cleaned, spam-free, one row per cleaned text.
 
     Equal raw texts have equal cleaned texts, so this one shuffle also removes the copies ``ingest`` would remove;
     ``clean(long_enough(df))`` and ``clean(ingest(df))`` give the same rows.
     """
-    return keep_first(cleaned_rows(df), "cleaned_text")
+    return keep_first(cleaned_rows(df, theme_rules), "cleaned_text")
 
 
-def masked(df: DataFrame) -> DataFrame:
-    """Adds ``mask``: which fixed patterns a cleaned text holds. Without a cleaned text the text itself is taken."""
+def masked(df: DataFrame, theme_rules=()) -> DataFrame:
+    """Adds ``mask``: which fixed patterns a cleaned text holds, and which of the theme rules, in one pass.
+
+    Without a cleaned text the text itself is taken.
+    """
     if "mask" in df.columns:
         return df
     text = F.col("cleaned_text") if "cleaned_text" in df.columns else F.col("text").cast("string")
-    return once(df.withColumn("cleaned_text", text), "mask", review_mask(F.col("cleaned_text")))
+    return once(df.withColumn("cleaned_text", text), "mask", review_mask(F.col("cleaned_text"), theme_rules))
 
 
 def noise_flagged(df: DataFrame) -> DataFrame:
     return masked(df).withColumn("is_noise", is_noise(F.col("mask")))
 
 
-def drop_noise(flagged: DataFrame, probe: DataFrame | None = None) -> DataFrame:
+def drop_noise(flagged: DataFrame) -> DataFrame:
     """Rows that are not noise, or all rows if every row is noise.
 
-    Whether any row is kept is tested when the plan is built, partition by partition up to the first hit, so it
-    usually costs one task. ``probe`` is a frame that has a kept row exactly if ``flagged`` has one; a frame before
-    deduplication avoids a shuffle.
+    Whether any row is kept is a scalar of the same plan that reads the flag alone. Pass rows of a written table: other
+    rows would be computed once for the scalar and once more for the result.
     """
     keep = ~F.col("is_noise")
-    nothing_kept = (probe if probe is not None else flagged).where(keep).isEmpty()
-    return flagged if nothing_kept else flagged.where(keep)
+    any_kept = flagged.agg(F.max(keep).alias("kept")).scalar()
+    return flagged.where(keep | ~F.coalesce(any_kept, F.lit(False)))
 
 
 def limit_per_source(df: DataFrame, limits: dict[str, int]) -> DataFrame:

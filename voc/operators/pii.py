@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import may_hold_pii, redact
+from voc.functions.text import EMAIL, may_hold_pii, redact
 
 # fixed value: the line boundaries of Unicode-aware line splitting
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -35,7 +35,7 @@ def _typed(no: int, name: str, found: Column) -> Column:
 def line_findings(line: Column) -> Column:
     """All findings of one line: type in scan order, match, position within its type."""
     phones = F.filter(_found(line, rules.PHONE), _is_phone(line))
-    matches = (_found(line, rules.EMAIL), phones, _found(line, rules.HANDLE), _found(line, rules.LONG_ID))
+    matches = (_found(line, EMAIL), phones, _found(line, rules.HANDLE), _found(line, rules.LONG_ID))
     return F.concat(*[_typed(no, name, found) for no, (name, found) in enumerate(zip(rules.PII_TYPES, matches))])
 
 

@@ -45,11 +45,11 @@ def classified(spark, sf):
 
 
 def tables(spark, sf):
-    return theme_report.cluster_tables(feedback_view(spark, sf))
+    return theme_report.cluster_tables(theme_report.classified_feedback(feedback_view(spark, sf)))
 
 
 def theme_rows(spark, sf):
-    return theme_report.theme_table(feedback_view(spark, sf))
+    return theme_report.theme_table(theme_report.classified_feedback(feedback_view(spark, sf)))
 
 
 # ---------------------------------------------------------------- sources
@@ -250,13 +250,14 @@ def noise_flags(spark, sf):
 
 
 def noise_filtered(spark, sf):
-    return feedback.drop_noise(feedback.noise_flagged(cleaned(spark, sf))).select("ord", "cleaned_text")
+    flagged = materialize(feedback.noise_flagged(cleaned(spark, sf)).select("ord", "cleaned_text", "is_noise"), "flagged")
+    return feedback.drop_noise(flagged).select("ord", "cleaned_text")
 
 
 def noise_fallback(spark, sf):
     """Only noise is left: everything is kept."""
-    only_noise = feedback.noise_flagged(cleaned(spark, sf)).where("is_noise")
-    return feedback.drop_noise(only_noise).select("ord", "cleaned_text")
+    only_noise = feedback.noise_flagged(cleaned(spark, sf)).where("is_noise").select("ord", "cleaned_text", "is_noise")
+    return feedback.drop_noise(materialize(only_noise, "only_noise")).select("ord", "cleaned_text")
 
 
 def event_times(spark, sf):
@@ -308,7 +309,7 @@ def review_sentiment(spark, sf):
 
 
 def cluster_assignment(spark, sf):
-    rows = theme_report.written_feedback(feedback_view(spark, sf))
+    rows = theme_report.classified_feedback(feedback_view(spark, sf))
     return clusters.assign_clusters(rows).select("ord", "sub_domain", *big("cluster_id"))
 
 
@@ -330,7 +331,7 @@ def cluster_signal(spark, sf):
 
 
 def cluster_samples(spark, sf):
-    rows = theme_report.written_feedback(feedback_view(spark, sf))
+    rows = theme_report.classified_feedback(feedback_view(spark, sf))
     return clusters.texts_of(rows, clusters.sampled_rows(rows)).select("sub_domain", *big("place"), "ord", "cleaned_text")
 
 
@@ -357,7 +358,8 @@ def topic_words(spark, sf):
 
 # ---------------------------------------------------------------- extraction
 def tagged(spark, sf):
-    return extraction.tagged(classified(spark, sf).select("ord", "source", "rating", "cleaned_text"), RULES)
+    rows = theme_report.classified_feedback(feedback_view(spark, sf), RULES)
+    return extraction.tagged(rows.select("ord", "source", "rating", "cleaned_text", "mask"), RULES)
 
 
 def rule_matches(spark, sf):
@@ -391,8 +393,8 @@ def extraction_meta(spark, sf):
 
 def extraction_document(spark, sf):
     """The JSON document read back into one row per theme."""
-    rows = classified(spark, sf).select("ord", "source", "rating", "cleaned_text")
-    tags = materialize(extraction.tagged(rows, RULES), "tagged")
+    rows = theme_report.classified_feedback(feedback_view(spark, sf), RULES)
+    tags = extraction.tagged(rows.select("ord", "source", "rating", "cleaned_text", "mask"), RULES)
     doc = extraction.extraction_document(rows, tags, RULES)
     entry = ("array<struct<theme_id:string,label:string,classification:string,count:bigint,pct_of_substantive:double,"
              "rating_dist:map<string,bigint>,sample_quotes:array<string>>>")

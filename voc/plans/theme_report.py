@@ -22,24 +22,22 @@ def _raw(fb: DataFrame) -> DataFrame:
     return feedback.long_enough(fb).select("ord", "source", "rating", "text")
 
 
-def _cleaned(fb: DataFrame) -> DataFrame:
-    """Besides the text only numbers go through the deduplication, the source as its rank: a hash aggregate."""
+def cleaned_feedback(fb: DataFrame, theme_rules=()) -> DataFrame:
+    """Clean rows with noise flag, issue domain and sentiment: one shuffle, on the cleaned text.
+
+    Besides the text only numbers go through the deduplication, the source as its rank: a hash aggregate.
+    """
     ranks = F.create_map(*[F.lit(x) for kv in rules.SOURCE_RANK.items() for x in kv])
     rank = F.coalesce(F.element_at(ranks, F.col("source")), F.raise_error(F.concat(F.lit("unknown source: "), "source")))
     name = F.element_at(word_list(rules.SOURCE_RANK), F.col("source") + 1)
-    rows = feedback.cleaned_rows(spread(_raw(fb))).select(*COLUMNS).withColumn("source", rank.cast("int"))
-    return feedback.noise_flagged(feedback.keep_first(rows, "cleaned_text").withColumn("source", name))
-
-
-def classified_feedback(fb: DataFrame) -> DataFrame:
-    """Clean, noise-free rows with issue domain and sentiment: one shuffle, on the cleaned text."""
-    probe = feedback.noise_flagged(feedback.cleaned_rows(_raw(fb)))
-    return clusters.classify(feedback.drop_noise(_cleaned(fb), probe))
+    rows = feedback.cleaned_rows(spread(_raw(fb)), theme_rules).select(*COLUMNS).withColumn("source", rank.cast("int"))
+    first = feedback.keep_first(rows, "cleaned_text").withColumn("source", name)
+    return clusters.classify(feedback.noise_flagged(first))
 
 
-def written_feedback(fb: DataFrame) -> DataFrame:
-    """The same rows from a table written once, for plans that read them several times."""
-    return feedback.drop_noise(materialize(clusters.classify(_cleaned(fb)), "classified"))
+def classified_feedback(fb: DataFrame, theme_rules=()) -> DataFrame:
+    """Clean, noise-free rows from a table written once: texts are cleaned, matched and shuffled one time."""
+    return feedback.drop_noise(materialize(cleaned_feedback(fb, theme_rules), "classified"))
 
 
 @dataclass(frozen=True)
@@ -50,9 +48,8 @@ class ClusterTables:
     keywords: DataFrame  # sub_domain, keywords
 
 
-def cluster_tables(fb: DataFrame, settings: Settings = DEFAULT) -> ClusterTables:
-    """The rows are written once; statistics, samples, keywords and look-ups then read only their columns."""
-    rows = written_feedback(fb)
+def cluster_tables(rows: DataFrame, settings: Settings = DEFAULT) -> ClusterTables:
+    """From written rows: statistics, samples, keywords and look-ups read only their columns."""
     sampled = clusters.sampled_rows(rows)
     # at most one row per domain; written too, because three later steps start from it
     stats = materialize(clusters.with_scores(clusters.cluster_stats(rows)), "cluster_stats")
@@ -65,12 +62,12 @@ def cluster_tables(fb: DataFrame, settings: Settings = DEFAULT) -> ClusterTables
     return ClusterTables(rows, stats, samples, keywords.keyword_lists(top, stats))
 
 
-def theme_table(fb: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Ranked, consolidated themes with insights and the total number of reviews on every row.
+def theme_table(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Ranked, consolidated themes of written rows, with insights and the total number of reviews on every row.
 
     At most one row per domain, written once: every report reads them several times.
     """
-    t = cluster_tables(fb, settings)
+    t = cluster_tables(rows, settings)
     labels = themes.heuristic_labels(t.stats, t.samples, t.keywords, settings)
     merged = themes.merge_standing_themes(themes.merge_same_names(themes.scored_themes(labels)))
     return materialize(themes.with_insights(themes.ranked(merged), settings), "themes")
