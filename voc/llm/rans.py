@@ -10,8 +10,8 @@ import numpy as np
 
 BITS = 20              # frequencies sum to 2^BITS
 LOW = np.uint64(1 << 31)
-LANES = 1_024
-BLOCK = 1 << 17        # tokens of a block
+LANES = 4_096
+BLOCK = 1 << 19        # tokens of a block
 _MASK = np.uint64((1 << BITS) - 1)
 _SHIFT, _WORD, _LIMIT = np.uint64(BITS), np.uint64(32), np.uint64(63 - BITS)
 

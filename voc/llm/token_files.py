@@ -6,7 +6,7 @@ a checkpoint per block: offset, tokens, states, words, checksum. A reader that w
 the checkpoints name, checks and decodes them, and needs no other block.
 
 A task sorts its range of ids, cuts it into files of about ``FILE_TOKENS`` tokens, and names them in the rows it returns:
-one row per stretch of documents with about ``STRETCH_TOKENS`` tokens. Files of attempts that failed are named nowhere.
+one row per stretch of documents with about ``STRETCH_TOKENS`` tokens (the whole file, as it is set). Files of attempts that failed are named nowhere.
 
 Rows: null texts count as empty; every document ends with ``end``; documents without id come first; repeated ids are ordered
 by text; an empty table gives no file and an empty result.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from voc.llm import rans, shared_files
 from voc.storage import materialize, scratch_path
 
-FILE_TOKENS, STRETCH_TOKENS = 4 << 20, 1 << 20
-KEPT_WORDS = 600_000
-ENCODED_BYTES = 6 << 20   # of text, encoded at once
+FILE_TOKENS, STRETCH_TOKENS = 4 << 20, 4 << 20
+KEPT_WORDS = 800_000
+ENCODED_BYTES = 8 << 20   # of text, encoded at once
 MAGIC = b"VOCRANS1"
 _PARTS = ("ids", "<i8"), ("known", "u1"), ("counts", "<i8"), ("symbols", "<u4"), ("freq", "<u4"), ("blocks", "<i8")
 
