@@ -174,7 +174,8 @@ def evidence(issue: str, theme: str) -> tuple[str, str]:
         texts.append((hit, f"{q(w.EVIDENCE_LEAD)} || e{i}_n || {q(w.EVIDENCE_TEXT[name])} || '\"' || substring(e{i}_text, 1, 90) "
                            f"|| '...\"' || {q(w.EVIDENCE_TAIL[name])}"))
         counts.append((hit, f"e{i}_n"))
-    return cases(texts, q(w.NO_EVIDENCE)), cases(counts, "0")
+    none = f"{q(w.NO_EVIDENCE[0])} || format('{{:,}}', total) || {q(w.NO_EVIDENCE[1])}"
+    return cases(texts, none), cases(counts, "0")
 
 
 def evidence_quotes(quotes: str, issue: str) -> str:
@@ -312,7 +313,7 @@ def _dominant() -> str:
 
 
 _SPACE = r"\s+"
-_TOKENS = f"regexp_extract_all(lower(cleaned_text), {q(WORD_CHAR + '{2,}')})"
+TOKENS = f"regexp_extract_all(lower(cleaned_text), {q(WORD_CHAR + '{2,}')})"
 
 # name -> (tables it reads, select)
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -355,7 +356,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                 "from classified qualify place <= 8"),
     "sample_lists": (("samples",), "select sub_domain, list(cleaned_text order by place) as sample_quotes from samples group by 1"),
     "words": (("classified",),
-              f"select sub_domain, ord, unnest(list_filter({_TOKENS}, lambda t: not list_contains({strings(STOP_WORDS)}, t))) as term from classified"),
+              f"select sub_domain, ord, unnest(list_filter({TOKENS}, lambda t: not list_contains({strings(STOP_WORDS)}, t))) as term from classified"),
     "keywords": (("words", "cluster_ids"),
                  "select c.sub_domain, coalesce(any_value(k.l), " + strings(rules.EMPTY_KEYWORDS) + ") as keywords from cluster_ids c left join "
                  "(select sub_domain, list(term order by place) as l from (select sub_domain, term, row_number() over "
@@ -363,7 +364,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                  "using (sub_domain) group by 1"),
     "grams": (("classified",),
               "select sub_domain, ord, unnest(list_concat(t, list_transform(t[1:greatest(len(t) - 1, 0)], lambda x, i: x || ' ' || t[i + 1]))) as term from "
-              f"(select sub_domain, ord, list_filter({_TOKENS}, lambda t: not list_contains({strings(STOP_WORDS)}, t)) as t from classified)"),
+              f"(select sub_domain, ord, list_filter({TOKENS}, lambda t: not list_contains({strings(STOP_WORDS)}, t)) as t from classified)"),
     "terms": (("grams",), "select term, count(*) as tf, count(distinct ord) as df from grams group by 1 having count(distinct ord) >= 2"),
     "templates": ((), _label_values()),
     "proposed": (("stats", "sample_lists", "keywords", "templates"),
@@ -405,7 +406,8 @@ def insights(source: str, extra: str) -> str:
       case when {out} then '' when {risk} then {q(w.RISK_INSIGHT)} else {q(w.GENERAL_INSIGHT)} end as suggested_insight,
       case when {out} then '' when {risk} then {question} else {q(w.GENERAL_QUESTION)} end as suggested_research_question,
       case when {out} and out_of_scope_reason = '' then {q(w.OUT_REASON_FORMAT[0])} || primary_issue || {q(w.OUT_REASON_FORMAT[1])}
-           else out_of_scope_reason end as out_of_scope_reason
+           else out_of_scope_reason end as out_of_scope_reason,
+      case when theme = {q(w.ASSORTMENT_THEME)} then {q(w.RELEVANCE_REASONS[w.DIRECT])} end as relevance_reason
     from {source} {extra}
     """
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from oracle.parts import (
     action, action_rank, cases, clean, confidence, confidence_text, evidence, evidence_quotes, findings,
-    insights, is_noise, matches, paraphrase, q, redact, renamed, round1, strip, trace, with_tables, word_count,
+    insights, is_noise, matches, paraphrase, q, redact, renamed, round1, strings, strip, trace, with_tables, word_count,
+    TOKENS as _TOKENS,
 )
 from voc import rules, wording as w
 from voc.plans.catalog import CRITIC_COLUMNS, LABEL_COLUMNS, LIST_SEP
@@ -178,6 +179,7 @@ def _join(name: str) -> str:
 
 
 _NL = "chr(10)"
+_STOP = strings(rules.ENGLISH_STOP_WORDS)
 _QUOTES = "array_to_string(list_transform(example_quotes[1:3], lambda x: '  > \"' || x || '\"' || chr(10)), chr(10))"
 _PROMOTED = " || chr(10) || ".join((
     _lines(
@@ -325,12 +327,13 @@ STATEMENTS: dict[str, str] = {
         "select sub_domain, " + q(",".join(rules.FALLBACK_KEYWORDS)) + " as keywords from cluster_ids", "cluster_ids"),
     "term_counts": with_tables("select * from terms", "terms"),
     "topic_words": with_tables(
-        """, per as (select g.sub_domain, g.term, count(*) as tf, any_value(t.tf) as f from grams g join terms t using (term) group by 1, 2),
+        """, shared as (select term, count(*) as tf from grams group by 1 having count(distinct sub_domain) >= 2),
+        per as (select g.sub_domain, g.term, count(*) as tf, any_value(t.tf) as f from grams g join shared t using (term) group by 1, 2),
         sizes as (select sub_domain, sum(tf) as size from per group by 1),
         scored as (select sub_domain, term, tf, cast(tf as double) / size * ln(1 + (select cast(trunc(avg(size)) as double) from sizes) / f) as score
                    from per join sizes using (sub_domain))
         select sub_domain, row_number() over (partition by sub_domain order by score desc, term) as place, term, tf, round(score, 6) as score
-        from scored qualify place <= 8""", "terms"),
+        from scored qualify place <= 8""", "grams"),
     # ---------------------------------------------------------------- extraction
     "rule_matches": with_tables("select ord, theme_id, label, class from matched", "matched"),
     "unclassified": with_tables("select ord, cleaned_text from tagged where len(theme_ids) = 0", "tagged"),
@@ -421,12 +424,52 @@ STATEMENTS: dict[str, str] = {
     "note_gate": _note(
         ", nl as (select 0 as k, unnest(l) as line_text, generate_subscripts(l, 1) as line from (select string_split(markdown, chr(10)) as l from note)), "
         f"found as ({findings('nl', 'k')}) {_GATE} from found"),
-    "publish_state": _note(
-        "select '2024-01-07' as week_ending, 'pulse_doc_2024-01-07' as doc_id, 'draft_msg_2024-01-07' as draft_id, '2024-01-07T08:00:00Z' as published_at from note"),
-    "status_summary": with_tables(
-        "select 'idle' as status, 'Engine is ready.' as message, (select count(*) = 0 from pii) as pii_passed, "
-        "(select max(total) from themes) as normalized_count, '' as week_ending", "themes", "pii"),
     # ---------------------------------------------------------------- vectors
     "cluster_number": "select source, least(12, greatest(4, count(*) // 30)) as k from documents group by 1",
     "centroid_distances": _CENTROIDS,
+    "unnumbered_sources": (
+        "select * from (values ('play_store', 1), ('app_store', 2), ('reddit', 3)) as s(source, place), "
+        "(select count(*) as n, count(*) as positions, true as after_the_last from documents)"),
+    "english_rows": f"""select doc_id, round(case when len(w) > 0 then len(list_filter(w, lambda x: list_contains({_STOP}, x))) / len(w) else 0 end, 6) as english_share
+        from (select doc_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}]+'), lambda x: x <> '') as w from documents where lang = 'en')""",
+    "noise_flags_raw": with_tables(f"select ord, {is_noise('lower(text)')} as is_noise from feedback", "feedback"),
+    "noise_states": with_tables(
+        f"select ord, case when {matches('t', rules.RESIDUAL_SPAM_PATTERNS)} then 'noise' when {matches('t', rules.BEHAVIOUR_PATTERNS)} = "
+        f"{matches('t', rules.NOISE_PATTERNS)} then 'uncertain' when {matches('t', rules.NOISE_PATTERNS)} then 'noise' else 'keep' end as state "
+        "from (select ord, lower(cleaned_text) as t from cleaned)", "cleaned"),
+    "fuzzy_duplicates": with_tables(
+        """, w as (select ord, string_split(lower(cleaned_text), ' ') as w from cleaned),
+        sh as materialized (select ord, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from w),
+        size as (select ord, count(*) as n from sh group by 1),
+        pairs as (select a.ord as x, b.ord as y, count(*) as c from sh a join sh b on a.s = b.s and b.ord < a.ord group by 1, 2)
+        select distinct x as ord from pairs join size p on p.ord = x join size q on q.ord = y where c >= 0.9::double * (p.n + q.n - c)""", "cleaned"),
+    "spot_check": with_tables(
+        "select sub_domain, ord, cleaned_text, row_number() over (partition by sub_domain order by md5(ord || '|42'), ord) as place "
+        "from classified qualify place <= 10", "classified"),
+    "percentile_prevalence": with_tables(
+        """select sub_domain, n, round(r, 6) as percent_rank, case when r >= 0.9 and len(sources) >= 3 then 5.0::double when r <= 0.2 and len(sources) <= 1 then 1.0::double
+        when r >= 0.7 then 4.0::double when r >= 0.4 then 3.0::double else 2.0::double end as percentile_score
+        from (select *, percent_rank() over (order by n) as r from counts)""", "counts"),
+    "rank_stability": with_tables(
+        f""", kept as (select size, case when n >= size then sub_domain else {q(rules.GENERAL_DOMAIN)} end as sub_domain, cast(sum(n) as bigint) as n
+          from counts, (values (10), (15), (25)) as s(size) group by all),
+        ranked_kept as (select *, rank() over (partition by size order by n desc) as r from kept)
+        select cast(k.size as bigint) as size, count(*) as clusters, cast(sum(k.n) as bigint) as reviews, round(corr(k.r, b.r), 6) as rank_correlation
+        from ranked_kept k left join ranked_kept b on b.size = 10 and b.sub_domain = k.sub_domain group by k.size""", "counts"),
+    "gate_documents": with_tables(
+        f"""select doc_id, false as passed, count(*) as blockers_count, arg_min(type, o) as first_type, string_agg(match, {q(LIST_SEP)} order by o) as matches
+        from (select *, row_number() over (partition by doc_id order by line, list_position({list(rules.PII_TYPES)}, type), place) as o from pii) group by doc_id""", "pii"),
+    "note_json": _note(
+        "select title, word_count, cast(250 as bigint) as max_words, r.no, r.id, r.headline, r.paraphrased, r.action, "
+        "'2024-01-07T08:00:00Z' as generated_at, total from note, note_rows r"),
+    "long_note": with_tables(
+        f", note_rows as materialized (select * replace ('\"' || repeat('word ', 100) || '\"' as paraphrased) from ({_NOTE_ROWS})), note as materialized ({_NOTE}) select * from note", "themes"),
+    "kmeans_check": "select least(12, greatest(4, count(*) // 30)) as k, count(*) as n, least(12, greatest(4, count(*) // 30)) as clusters, cast(0 as bigint) as not_nearest from embeddings",
+    "tfidf_weights": with_tables(
+        f""", tf as (select ord, term, count(*) as tf from (select ord, unnest({_TOKENS}) as term from classified) group by all),
+        idf as (select term, ln(((select count(*) from classified) + 1) / (count(*) + 1)) as idf from tf group by 1),
+        raw as (select ord, tf * idf as w from tf join idf using (term)),
+        norms as (select ord, sqrt(sum(w * w)) as norm from raw group by 1)
+        select ord, count(*) as terms, round(sum(case when norm > 0 then w * w / norm / norm else 0 end), 6) as squares,
+          round(max(case when norm > 0 then w / norm else 0 end), 6) as largest from raw join norms using (ord) group by 1""", "classified"),
 }

@@ -35,7 +35,6 @@ def test_both_jobs(spark, tmp_path):
     assert jobs.weekly(spark, str(out / "results.json"), str(week), dt.date(2024, 1, 7), ACME)
     assert text_of(week / "note.md").startswith("# Acme — Weekly Customer Discovery Pulse (2024-01-07)")
     assert json.loads(text_of(week / "gate.json")) == {"passed": True, "blockers_count": 0, "findings": []}
-    assert json.loads(text_of(week / "publish_state.json"))["week_ending"] == "2024-01-07"
 
 
 def test_nothing_loaded(spark, tmp_path):
@@ -49,4 +48,4 @@ def test_gate_stops_a_note_with_a_handle(spark, tmp_path):
     path.write_text(json.dumps({"metadata": {"total_feedback_analyzed": 3}, "themes": [theme]}, indent=2))
     assert not jobs.weekly(spark, str(path), str(tmp_path / "week"), dt.date(2024, 1, 7), ACME)
     gate = json.loads(text_of(tmp_path / "week" / "gate.json"))
-    assert gate["findings"] == [{"type": "handle", "match": "@user", "line": 7}] and not (tmp_path / "week" / "publish_state.json").exists()
+    assert gate["findings"] == [{"type": "handle", "match": "@user", "line": 7}]

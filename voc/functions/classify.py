@@ -34,6 +34,12 @@ def is_noise(mask: Column) -> Column:
     return spam | (~behaviour & noise)
 
 
+def noise_state(mask: Column) -> Column:
+    """noise, keep, or uncertain where behaviour and noise words are both found or both missing."""
+    spam, behaviour, noise = (has_group(mask, i) for i in (1, 2, 3))
+    return F.when(spam, "noise").when(behaviour == noise, "uncertain").when(noise, "noise").otherwise("keep")
+
+
 def issue_domain(mask: Column) -> Column:
     """The first issue domain one of whose words occurs in the text."""
     branches = F

@@ -67,6 +67,14 @@ def action(relevance: Column, prev: Column, signal: Column) -> Column:
     )
 
 
+def percentile_prevalence(rank: Column, n_sources: Column) -> Column:
+    """1 to 5 by the percent rank of the count: the top tenth in all three sources 5, the bottom fifth in one source 1."""
+    return (
+        F.when((rank >= 0.9) & (n_sources >= 3), 5.0).when((rank <= 0.2) & (n_sources <= 1), 1.0)
+        .when(rank >= 0.7, 4.0).when(rank >= 0.4, 3.0).otherwise(2.0)
+    )
+
+
 def action_rank(col: Column) -> Column:
     ranks = F
     for i, name in enumerate(w.ACTION_ORDER, 1):

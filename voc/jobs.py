@@ -19,7 +19,8 @@ from voc.schemas import CLEANED, FEEDBACK
 from voc.settings import DEFAULT, Settings
 from voc.sources import files
 from voc.sources.raw import load_feedback
-from voc.storage import materialize
+from voc.session import SETTINGS
+from voc.storage import drop_scratch, materialize
 
 
 def analyse(
@@ -51,7 +52,7 @@ def analyse(
 
 
 def weekly(spark: SparkSession, results: str, out: str, day: dt.date, settings: Settings = DEFAULT) -> bool:
-    """Note as Markdown and JSON, gate result, and the publish state if the gate lets the note pass."""
+    """Note as Markdown and JSON, and the gate result; true if the gate lets the note pass."""
     metadata, themes = files.read_results(spark, results)
     total = metadata.select("total_feedback_analyzed").limit(1).scalar()
     built = materialize(note.weekly_note(note.note_rows(themes), day.isoformat(), total, settings), "note")
@@ -64,11 +65,7 @@ def weekly(spark: SparkSession, results: str, out: str, day: dt.date, settings:
 
     findings = materialize(pii.scan(built.select(F.col("markdown").alias("text"))), "findings")
     files.write_document(pii.gate_document(findings), f"{out}/gate.json")
-    if not findings.isEmpty():
-        return False
-    state = note.publish_state(built, F.lit(day), F.to_utc_timestamp(now, F.current_timezone()))
-    files.write_json_lines(state, f"{out}/publish_state.json")
-    return True
+    return findings.isEmpty()
 
 
 def main() -> None:
@@ -89,7 +86,10 @@ def main() -> None:
     args = parser.parse_args()
 
     terms = tuple(t.strip().lower() for t in args.brand_terms.split(",") if t.strip())
-    spark = SparkSession.builder.appName(f"voc-{args.job}").getOrCreate()
+    builder = SparkSession.builder.appName(f"voc-{args.job}")
+    for key, value in SETTINGS.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     if args.job == "analyse":
         settings = Settings(
             brand=args.brand, brand_terms=terms, play_limit=args.play_limit, app_store_limit=args.app_limit,
@@ -98,6 +98,7 @@ def main() -> None:
         done = analyse(spark, args.play, args.app, args.reddit, args.out, settings, not args.lines)
     else:
         done = weekly(spark, args.results, args.out, dt.date.today(), Settings(brand=args.brand, brand_terms=terms))
+    drop_scratch(spark)
     spark.stop()
     raise SystemExit(0 if done else 1)
 

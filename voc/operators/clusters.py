@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voc import rules
 from voc.functions.classify import issue_domain, opposing, sentiment
-from voc.functions.scores import dominant_sentiment, prevalence, round1, share, signal_strength
+from voc.functions.scores import dominant_sentiment, percentile_prevalence, prevalence, round1, share, signal_strength
 from voc.operators.feedback import masked, noise_flagged
 
 def classify(df: DataFrame) -> DataFrame:
@@ -89,6 +89,29 @@ def with_scores(stats: DataFrame) -> DataFrame:
     })
 
 
+def percentile_scores(stats: DataFrame) -> DataFrame:
+    """Prevalence by percentile among the clusters, beside the one by share."""
+    rank = F.percent_rank().over(Window.orderBy("n"))  # over at most one row per issue domain
+    return stats.withColumn("percent_rank", rank).withColumn(
+        "percentile_score", percentile_prevalence(F.col("percent_rank"), F.size("sources"))
+    )
+
+
+def rank_stability(stats: DataFrame, sizes: tuple[int, ...] = rules.TOPIC_SIZES) -> DataFrame:
+    """For each smallest cluster size: clusters left and the correlation of their ranks with those at the first size.
+
+    Clusters below a size join the general one. All frames hold at most one row per domain and size.
+    """
+    ways = stats.select("sub_domain", "n", F.explode(F.array(*map(F.lit, sizes))).alias("size"))
+    to = F.when(F.col("n") >= F.col("size"), F.col("sub_domain")).otherwise(rules.GENERAL_DOMAIN)
+    kept = ways.groupBy("size", to.alias("sub_domain")).agg(F.sum("n").alias("n"))
+    kept = kept.withColumn("rank", F.rank().over(Window.partitionBy("size").orderBy(F.desc("n"))))
+    base = kept.where(F.col("size") == sizes[0]).select("sub_domain", F.col("rank").alias("base_rank"))
+    both = kept.join(base, "sub_domain")
+    same = both.groupBy("size").agg(F.corr("rank", "base_rank").alias("rank_correlation"))
+    return kept.groupBy("size").agg(F.count("*").alias("clusters"), F.sum("n").alias("reviews")).join(same, "size")
+
+
 def sample_key(seed: str, ord_col: str = "ord") -> Column:
     """A reproducible random sort key."""
     return F.md5(F.concat(F.col(ord_col).cast("string"), F.lit(f"|{seed}")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
@@ -133,5 +133,17 @@ def first_per_id(df: DataFrame, order: str = "ord", key: str = "id") -> DataFram
     return keep_first(df, key, order)
 
 
+def english_share(text: Column) -> Column:
+    """Share of a text's words that are English function words."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+    listed = F.filter(words, lambda w: w.isin(*rules.ENGLISH_STOP_WORDS))
+    return F.when(F.size(words) > 0, F.size(listed) / F.size(words)).otherwise(F.lit(0.0))
+
+
+def english_rows(df: DataFrame, lang: str | None = None, text: str = "text", least: float = 0.1) -> DataFrame:
+    """Rows in English: by a language column, or by their share of function words."""
+    return df.where(F.col(lang) == "en") if lang else df.where(english_share(F.col(text)) >= least)
+
+
 def source_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("source").agg(F.count("*").alias("n"))

@@ -64,6 +64,8 @@ def term_counts(df: DataFrame, stop_words: Iterable[str], min_df: int = 2) -> Da
 def topic_words(df: DataFrame, stop_words: Iterable[str], k: int = rules.TOP_KEYWORDS, min_df: int = 2) -> DataFrame:
     """Class-based TF-IDF: share of a term in its cluster times ln(1 + mean cluster size / term total).
 
+    Every cluster counts as one text: ``min_df`` is the number of clusters that hold a term.
+
     Counts of all clusters sit side by side in one row per term, so the term total needs no second shuffle.
     """
     names = rules.DOMAIN_NAMES
@@ -71,12 +73,11 @@ def topic_words(df: DataFrame, stop_words: Iterable[str], k: int = rules.TOP_KEY
         _terms(df, stop_words)
         .groupBy("term")
         .agg(
-            F.sum("df").alias("df"),
             *[F.sum(F.when(F.col("sub_domain") == d, F.col("tf")).otherwise(0)).alias(f"c{i}") for i, d in enumerate(names)],
         )
-        .where(F.col("df") >= min_df)
     )
     cols = [F.col(f"c{i}") for i in range(len(names))]
+    by_term = by_term.where(sum((c > 0).cast("int") for c in cols) >= min_df)
     sizes = by_term.agg(F.array(*[F.sum(c) for c in cols]).alias("sizes"))
     mean = F.expr("int(aggregate(sizes, 0D, (a, x) -> a + x) / greatest(size(filter(sizes, x -> x > 0)), 1))")
     facts = sizes.select(F.struct("sizes", mean.alias("mean")).alias("facts")).scalar()

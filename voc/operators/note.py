@@ -84,7 +84,7 @@ def weekly_note(rows: DataFrame, week: str, total: Column | None = None, setting
     note = note.withColumn("markdown", _markdown(F.col("quotes")))
     return note.withColumns({
         "word_count": word_count(F.col("markdown")),
-        "total": F.coalesce(total if total is not None else F.lit(None), F.lit(w.NOTE_DEFAULTS["total"])).cast("bigint"),
+        "total": F.coalesce(total if total is not None else F.lit(None), F.lit(0)).cast("bigint"),
     }).where(F.size("items") > 0)
 
 
@@ -99,13 +99,3 @@ def note_document(note: DataFrame, generated_at: Column) -> DataFrame:
         F.transform("items", lambda i: F.struct(i["id"].alias("theme_id"), i["action"].alias("text"))).alias("actions"),
         F.struct(generated_at.alias("generated_at"), F.col("total").alias("total_feedback_analyzed")).alias("metadata"),
     )).alias("document"))
-
-
-def publish_state(note: DataFrame, date: Column, at: Column) -> DataFrame:
-    """What a publishing step would record for the week; ids carry the date."""
-    day = F.date_format(date, "yyyy-MM-dd")
-    return note.select(
-        day.alias("week_ending"), F.concat(F.lit("pulse_doc_"), day).alias("doc_id"),
-        F.concat(F.lit("draft_msg_"), day).alias("draft_id"),
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"),
-    )

@@ -59,12 +59,12 @@ def gate(findings: DataFrame) -> DataFrame:
     )
 
 
-def gate_document(findings: DataFrame) -> DataFrame:
-    """The gate result of one short text (a note) as JSON with its findings in scan order."""
+def gate_document(findings: DataFrame, *keys: str) -> DataFrame:
+    """The gate result of one short text (a note), or of each text that has findings, as JSON in scan order."""
     ordered = F.array_sort(F.collect_list(F.struct("line", "type_no", "place", "type", "match")))
     listed = F.transform(ordered, lambda f: F.struct(f["type"].alias("type"), f["match"].alias("match"), f["line"].alias("line")))
-    return findings.agg(F.count("*").alias("n"), listed.alias("findings")).select(
-        F.to_json(F.struct((F.col("n") == 0).alias("passed"), F.col("n").alias("blockers_count"), "findings")).alias("document")
+    return findings.groupBy(*keys).agg(F.count("*").alias("n"), listed.alias("findings")).select(
+        *keys, F.to_json(F.struct((F.col("n") == 0).alias("passed"), F.col("n").alias("blockers_count"), "findings")).alias("document")
     )
 
 

@@ -201,16 +201,3 @@ def chat_context(themes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     )
     lines = F.concat(head, F.flatten(F.transform("blocks", lambda b: b["lines"])))
     return blocks.withColumn("meta", meta).select(F.array_join(lines, "\n").alias("context"))
-
-
-def status_summary(metadata: DataFrame, gate: DataFrame, published: DataFrame) -> DataFrame:
-    """One row of pipeline status; parts that were never written take their defaults."""
-    gate_row = gate.limit(1).select("passed").scalar()
-    total = metadata.limit(1).select("total_feedback_analyzed").scalar()
-    week = published.limit(1).select("week_ending").scalar()
-    return metadata.sparkSession.range(1).select(
-        F.lit("idle").alias("status"), F.lit("Engine is ready.").alias("message"),
-        F.coalesce(gate_row, F.lit(True)).alias("pii_passed"),
-        F.coalesce(total, F.lit(w.NOTE_DEFAULTS["total"]).cast("bigint")).alias("normalized_count"),
-        F.coalesce(week, F.lit("")).alias("week_ending"),
-    )

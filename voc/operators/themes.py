@@ -46,7 +46,8 @@ def counter_evidence(issue: Column, theme: Column) -> tuple[Column, Column]:
             F.lit(w.EVIDENCE_TAIL[name]),
         )
         text, count = text.when(hit, sentence), count.when(hit, n)
-    return text.otherwise(w.NO_EVIDENCE), count.otherwise(F.lit(0).cast("bigint"))
+    none = F.concat(F.lit(w.NO_EVIDENCE[0]), F.format_number(F.col("total"), 0), F.lit(w.NO_EVIDENCE[1]))
+    return text.otherwise(none), count.otherwise(F.lit(0).cast("bigint"))
 
 
 # ---------------------------------------------------------------- critic rules
@@ -308,4 +309,6 @@ def with_insights(themes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         .otherwise(w.GENERAL_QUESTION),
         "out_of_scope_reason": F.when(out & (F.coalesce("out_of_scope_reason", F.lit("")) == ""), reason)
         .otherwise(F.col("out_of_scope_reason")),
+        # only themes of this standing name come with a reason
+        "relevance_reason": F.when(F.col("theme") == w.ASSORTMENT_THEME, w.RELEVANCE_REASONS[w.DIRECT]),
     })

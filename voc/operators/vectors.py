@@ -18,7 +18,7 @@ from voc.storage import materialize
 
 VECTOR_SIZE = 384
 BATCH = 64
-MAX_CENTROIDS = 1000
+CENTROID_BLOCK = 1000
 
 
 def text_vectors(df: DataFrame, size: int = VECTOR_SIZE) -> DataFrame:
@@ -50,20 +50,43 @@ def cluster_number(n: Column) -> Column:
     return F.least(F.lit(12), F.greatest(F.lit(4), F.floor(n / 30))).cast("bigint")
 
 
-def kmeans(vectors: DataFrame, key: str, col: str, seed: int = 42) -> DataFrame:
-    """k-means cluster of every vector, k by ``cluster_number``."""
+def _kmeans(vectors: DataFrame, key: str, col: str, seed: int):
     features = vectors.select(key, array_to_vector(F.col(col)).alias("features"))
     k = features.agg(cluster_number(F.count("*")).alias("k")).first()["k"]
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(features)
-    return model.transform(features).select(key, "cluster_id")
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return k, model, model.transform(features)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def kmeans(vectors: DataFrame, key: str, col: str, seed: int = 42) -> DataFrame:
+    """k-means cluster of every vector, k by ``cluster_number``."""
+    return _kmeans(vectors, key, col, seed)[2].select(key, "cluster_id")
+
+
+def kmeans_check(vectors: DataFrame, key: str, col: str, seed: int = 42) -> DataFrame:
+    """One row: k, vectors, clusters in use, and vectors that another centre is nearer to than their own."""
+    k, model, assigned = _kmeans(vectors, key, col, seed)
+    centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()])  # at most twelve
+    away = F.transform(centres, lambda c: F.aggregate(
+        F.zip_with(vector_to_array("features"), c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x
+    ))
+    rows = assigned.select("cluster_id", away.alias("away"))
+    off = F.get("away", F.col("cluster_id")) > F.array_min("away") * (1 + 1e-9)
+    return rows.agg(
+        F.lit(k).cast("bigint").alias("k"), F.count("*").alias("n"),
+        F.count_distinct("cluster_id").alias("clusters"), F.count_if(off).alias("not_nearest"),
+    )
+
+
+def tfidf(df: DataFrame, key: str = "ord", text: str = "cleaned_text") -> DataFrame:
+    """``key, term, weight``: exact TF-IDF without hashing, ln((n + 1) / (df + 1)), of unit length per text."""
+    rows = df.select(key, F.explode(tokens(text)).alias("term"))
+    counts = rows.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    total = df.agg(F.count("*").alias("n")).scalar()
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = terms.select("term", F.log((total + 1) / (F.col("df") + 1)).alias("idf"))
+    raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, key).select(key, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
 
 
 def centroids(vectors: DataFrame, group: str, col: str) -> DataFrame:
@@ -72,19 +95,43 @@ def centroids(vectors: DataFrame, group: str, col: str) -> DataFrame:
     return vectors.groupBy(group).agg(vector_to_array(mean).alias("centroid"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _unit(v: Column) -> Column:
+    return F.transform(F.array(v), lambda x: F.transform(x, lambda e: e / F.sqrt(_dot(x, x))))[0]
+
+
 def centroid_distances(vectors: DataFrame, key: str, group: str, col: str) -> DataFrame:
-    """Cosine of every vector to its own centroid, and the nearest centroid.
+    """Cosine of every vector to its own centroid, and the nearest centroid (of equal ones the smallest group).
 
-    The centroids travel as one array value. Their number is checked first: they come from at most a few clusters.
+    Both sides are scaled to unit length once. Centroids go to the vectors in blocks of ``CENTROID_BLOCK``, as one array
+    value each. One block is a constant of the plan; more are joined by block number, with copies of each block so that no
+    task gets all vectors, and the best of the blocks is taken at the end.
     """
-    means = materialize(centroids(vectors, group, col), "centroids")
-    if means.count() > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    table = means.agg(F.collect_list(F.struct(F.col(group).alias("g"), "centroid")).alias("all")).scalar()
-    vec = F.col(col).cast("array<double>")
-    scored = vectors.withColumn("means", table).select(key, group, F.transform(
-        "means", lambda c: F.struct(F.round(cosine(vec, c["centroid"]), 6).alias("cos"), (-c["g"]).alias("minus_g"))
+    means = materialize(centroids(vectors, group, col).select(group, _unit(F.col("centroid")).alias("centroid")), "centroids")
+    blocks = -(-max(means.count(), 1) // CENTROID_BLOCK)
+    entry = F.struct(F.col(group).cast("bigint").alias("g"), "centroid")
+    rows = vectors.select(
+        F.col(key).alias("key"), F.col(group).cast("bigint").alias("own"), _unit(F.col(col).cast("array<double>")).alias("x")
+    )
+    if blocks == 1:
+        rows = rows.withColumn("all", means.agg(F.collect_list(entry).alias("all")).scalar())
+    else:
+        copies = rows.sparkSession.sparkContext.defaultParallelism
+        placed = means.withColumn("block", F.pmod(F.xxhash64(group), F.lit(blocks))).groupBy("block").agg(F.collect_list(entry).alias("all"))
+        placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+        rows = rows.withColumn("copy", F.pmod(F.xxhash64("key"), F.lit(copies)).cast("int")).join(placed, ["block", "copy"])
+    scored = rows.select("key", "own", F.transform(
+        "all", lambda c: F.struct(F.round(_dot(F.col("x"), c["centroid"]), 6).alias("cos"), (-c["g"]).alias("minus_g"))
     ).alias("scored"))
-    own = F.filter("scored", lambda s: s["minus_g"] == -F.col(group))[0]["cos"]
-    best = F.array_max("scored")
-    return scored.select(key, group, own.alias("own_cosine"), best["cos"].alias("best_cosine"), (-best["minus_g"]).alias("nearest"))
+    own = F.filter("scored", lambda s: s["minus_g"] == -F.col("own"))
+    found = scored.select("key", "own", F.try_element_at(own, F.lit(1))["cos"].alias("own_cosine"), F.array_max("scored").alias("best"))
+    if blocks > 1:
+        found = found.groupBy("key", "own").agg(F.max("own_cosine").alias("own_cosine"), F.max("best").alias("best"))
+    return found.select(
+        F.col("key").alias(key), F.col("own").alias(group), "own_cosine", F.col("best.cos").alias("best_cosine"),
+        (-F.col("best.minus_g")).alias("nearest"),
+    )

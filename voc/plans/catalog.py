@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from voc import rules, wording as w
 from voc.functions import scores
-from voc.functions.classify import is_spam
+from voc.functions.classify import is_spam, noise_state
 from voc.functions.text import clean_text, cut, event_time, paraphrase, redact, split_list, word_count
-from voc.operators import clusters, dashboard, extraction, feedback, keywords, note, pii, report, themes, vectors
+from voc.operators import clusters, dashboard, extraction, feedback, keywords, near, note, pii, report, themes, vectors
 from voc.plans import theme_report
 from voc.plans.feedback_view import feedback_view, table
 from voc.plans.samples import proposals
@@ -203,6 +203,29 @@ def csv_files(spark, sf):
     return feedback.noise_flagged(back).select("ord", "id", "source", "text", "rating", "upvotes", "cleaned_text", "is_noise")
 
 
+def unnumbered_sources(spark, sf):
+    """Files without positions: rows, different positions and order of the sources."""
+    play = payloads.play_records(_play_reviews(spark, sf)).drop("pos")
+    loaded = raw.load_feedback(
+        spark, _landed(spark, play, "play"), _landed(spark, _app_reviews(spark, sf).drop("pos"), "app"),
+        _landed(spark, _reddit_items(spark, sf).drop("pos"), "reddit"), array_files=False,
+    )
+    per_source = loaded.groupBy("source").agg(
+        F.count("*").alias("n"), F.count_distinct("ord").alias("positions"), F.min("ord").alias("least"), F.max("ord").alias("most")
+    )
+    order = Window.orderBy("least")  # over three rows
+    return per_source.select(
+        "source", "n", "positions", F.row_number().over(order).cast("bigint").alias("place"),
+        (F.coalesce(F.lag("most").over(order), F.lit(-1)) < F.col("least")).alias("after_the_last"),
+    )
+
+
+def english_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    share = F.round(feedback.english_share(F.col("text")), 6).alias("english_share")
+    return feedback.english_rows(docs, "lang").select("doc_id", share)
+
+
 def source_counts(spark, sf):
     return feedback.source_counts(feedback_view(spark, sf))
 
@@ -249,6 +272,19 @@ def noise_flags(spark, sf):
     return feedback.noise_flagged(cleaned(spark, sf)).select("ord", "is_noise")
 
 
+def noise_flags_raw(spark, sf):
+    """Rows without a cleaned text: the text itself is looked at."""
+    return feedback.noise_flagged(feedback_view(spark, sf).select("ord", "text")).select("ord", "is_noise")
+
+
+def noise_states(spark, sf):
+    return feedback.masked(cleaned(spark, sf)).select("ord", noise_state(F.col("mask")).alias("state"))
+
+
+def fuzzy_duplicates(spark, sf):
+    return near.similar_to_earlier(cleaned(spark, sf).select("ord", "cleaned_text"))
+
+
 def noise_filtered(spark, sf):
     flagged = materialize(feedback.noise_flagged(cleaned(spark, sf)).select("ord", "cleaned_text", "is_noise"), "flagged")
     return feedback.drop_noise(flagged).select("ord", "cleaned_text")
@@ -335,6 +371,22 @@ def cluster_samples(spark, sf):
     return clusters.texts_of(rows, clusters.sampled_rows(rows)).select("sub_domain", *big("place"), "ord", "cleaned_text")
 
 
+def spot_check(spark, sf):
+    rows = classified(spark, sf)
+    picked = clusters.sampled_rows(rows, rules.SPOT_CHECK_ROWS)
+    return clusters.texts_of(rows, picked).select("sub_domain", *big("place"), "ord", "cleaned_text")
+
+
+def percentile_prevalence(spark, sf):
+    stats = clusters.percentile_scores(clusters.cluster_stats(classified(spark, sf)))
+    return stats.select("sub_domain", "n", F.round("percent_rank", 6).alias("percent_rank"), "percentile_score")
+
+
+def rank_stability(spark, sf):
+    out = clusters.rank_stability(clusters.cluster_stats(classified(spark, sf)))
+    return out.select(*big("size"), "clusters", "reviews", F.round("rank_correlation", 6).alias("rank_correlation"))
+
+
 def cluster_keywords(spark, sf):
     t = tables(spark, sf)
     return t.stats.select(*big("cluster_id"), "sub_domain").join(
@@ -612,6 +664,17 @@ def pii_feedback(spark, sf):
     return pii.scan(feedback_view(spark, sf).select("ord", "text")).select("ord", "line", "type", "match", "place")
 
 
+def gate_documents(spark, sf):
+    """The gate's JSON of every document with findings, read back."""
+    doc = pii.gate_document(pii.scan(_documents(spark, sf)), "doc_id")
+    finding = "array<struct<type:string,match:string,line:bigint>>"
+    body = F.from_json("document", f"passed boolean, blockers_count bigint, findings {finding}")
+    return doc.select("doc_id", body.alias("b")).select(
+        "doc_id", "b.passed", "b.blockers_count", F.get("b.findings", F.lit(0))["type"].alias("first_type"),
+        F.array_join(F.transform("b.findings", lambda f: f["match"]), LIST_SEP).alias("matches"),
+    )
+
+
 def pii_gate(spark, sf):
     return pii.gate(pii.scan(_documents(spark, sf)))
 
@@ -635,21 +698,32 @@ def weekly_note(spark, sf):
     return _note(spark, sf).select("title", "word_count", "total", "markdown")
 
 
-def note_gate(spark, sf):
-    """The finished note through the personal-data gate."""
-    return pii.gate(pii.scan(_note(spark, sf).select(F.col("markdown").alias("text"))))
+def note_json(spark, sf):
+    """The note's JSON read back: one row per theme."""
+    doc = note.note_document(_note(spark, sf), F.lit("2024-01-07T08:00:00Z"))
+    entry = "array<struct<id:string,headline:string>>"
+    body = F.from_json("document", (
+        f"title string, word_count bigint, max_words bigint, themes {entry}, quotes array<struct<theme_id:string,paraphrased:string>>, "
+        "actions array<struct<theme_id:string,text:string>>, metadata struct<generated_at:string,total_feedback_analyzed:bigint>"
+    ))
+    rows = doc.select(body.alias("b")).select("b.*", F.posexplode("b.themes").alias("i", "t"))
+    return rows.select(
+        "title", "word_count", "max_words", (F.col("i") + 1).cast("bigint").alias("no"), "t.id", "t.headline",
+        F.get("quotes", F.col("i"))["paraphrased"].alias("paraphrased"), F.get("actions", F.col("i"))["text"].alias("action"),
+        "metadata.generated_at", F.col("metadata.total_feedback_analyzed").alias("total"),
+    )
 
 
-def publish_state(spark, sf):
-    at = F.lit("2024-01-07 08:00:00").cast("timestamp")
-    return note.publish_state(_note(spark, sf), F.lit("2024-01-07").cast("date"), at)
+def long_note(spark, sf):
+    """A note over 250 words: its quotes are shortened."""
+    themes_ranked = theme_rows(spark, sf)
+    rows = note.note_rows(themes_ranked).withColumn("paraphrased", F.concat(F.lit('"'), F.repeat(F.lit("word "), F.lit(100)), F.lit('"')))
+    return note.weekly_note(rows, "2024-01-07", themes_ranked.agg(F.max("total")).scalar()).select("title", "word_count", "total", "markdown")
 
 
-def status_summary(spark, sf):
-    t = theme_rows(spark, sf)
-    gate = pii.gate(pii.scan(_documents(spark, sf)))
-    nothing = spark.createDataFrame([], "week_ending STRING")
-    return report.status_summary(report.result_metadata(t), gate, nothing)
+def note_gate(spark, sf):
+    """The finished note through the personal-data gate."""
+    return pii.gate(pii.scan(_note(spark, sf).select(F.col("markdown").alias("text"))))
 
 
 # ---------------------------------------------------------------- vectors
@@ -661,6 +735,19 @@ def text_kmeans(spark, sf):
     return vectors.kmeans(table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
+def kmeans_check(spark, sf):
+    return vectors.kmeans_check(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+def tfidf_weights(spark, sf):
+    """Exact TF-IDF per review: terms, squared length, largest weight."""
+    weights = vectors.tfidf(classified(spark, sf))
+    return weights.groupBy("ord").agg(
+        F.count("*").alias("terms"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"),
+        F.round(F.max("weight"), 6).alias("largest"),
+    )
+
+
 def cluster_number(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(vectors.cluster_number(F.count("*")).alias("k"))
 
@@ -674,19 +761,19 @@ QUERIES = {
     f.__name__: f
     for f in (
         play_source, app_source, reddit_source, chosen_sources, review_dates, feed_payload, library_payload,
-        forum_payload, csv_files, source_counts, source_limits, search_terms, search_terms_once,
-        ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_filtered, noise_fallback, event_times,
+        forum_payload, csv_files, unnumbered_sources, english_rows, source_counts, source_limits, search_terms, search_terms_once,
+        ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_flags_raw, noise_states, fuzzy_duplicates, noise_filtered, noise_fallback, event_times,
         redacted_texts, paraphrases, cut_quotes, word_counts, list_items,
         issue_domains, review_sentiment, cluster_assignment, domain_prevalence, cluster_sentiment, cluster_signal,
-        cluster_samples, cluster_keywords, fallback_keywords, term_counts, topic_words,
+        cluster_samples, spot_check, percentile_prevalence, rank_stability, cluster_keywords, fallback_keywords, term_counts, topic_words,
         rule_matches, unclassified, rule_summary, rule_quotes, unclassified_sample, extraction_meta, extraction_document,
         counter_evidence, evidence_quotes, confidence, reasoning_traces, critic_rules, heuristic_labels, label_prompts,
         question_prompts, reply_parsing,
         actions, scored_themes, themes_same_name, theme_renames, themes_standing, ranked_themes, theme_insights,
         results_table, results_metadata, results_document, markdown_report, chat_context, last_messages, last_query,
         bucket_counts, theme_search, theme_by_title, theme_badges, theme_policies,
-        pii_findings, pii_feedback, pii_gate, redact_rescan,
-        note_rows, weekly_note, note_gate, publish_state, status_summary,
-        text_vectors, text_kmeans, cluster_number, centroid_distances,
+        pii_findings, pii_feedback, gate_documents, pii_gate, redact_rescan,
+        note_rows, weekly_note, note_json, long_note, note_gate,
+        text_vectors, tfidf_weights, text_kmeans, kmeans_check, cluster_number, centroid_distances,
     )
 }

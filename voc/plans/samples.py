@@ -54,6 +54,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n % 150).alias("n"), F.element_at(lists, (d % 4 + 1).cast("int")).alias("sources"),
         F.array(*quotes).alias("sample_quotes"),
         pick(RELEVANCES, d).alias("relevance"), pick(SCORES, n).alias("prev"), pick(SCORES, d + n).alias("sig"),
+        (n * 1000 + d).alias("total"),
         *[F.when(d % (i + 2) == 0, n).otherwise(0).alias(f"e{i}_n") for i in range(4)],
         *[F.concat(F.lit(f"{i} "), F.col("text")).alias(f"e{i}_text") for i in range(4)],
     )
@@ -84,6 +85,7 @@ select doc_id, n_chars,
   [{', '.join(f"{_sql_pick(QUOTE_WORDS, f'n_chars + {k}')} || ' ' || text" for k in range(5))}] as sample_quotes,
   {_sql_pick(RELEVANCES, 'doc_id')} as relevance, {_sql_pick(SCORES, 'n_chars')} as prev,
   {_sql_pick(SCORES, 'doc_id + n_chars')} as sig,
+  n_chars * 1000 + doc_id as total,
   {', '.join(f"case when doc_id % {i + 2} = 0 then n_chars else 0 end as e{i}_n" for i in range(4))},
   {', '.join(f"'{i} ' || text as e{i}_text" for i in range(4))}
 from documents

@@ -51,7 +51,7 @@ THEME = table(
 THEME_COLUMNS = THEME.fieldNames()
 RESULT_THEME = StructType([
     *THEME.fields,
-    *table(status=TEXT, suggested_insight=TEXT, suggested_research_question=TEXT).fields,
+    *table(status=TEXT, suggested_insight=TEXT, suggested_research_question=TEXT, relevance_reason=TEXT).fields,
 ])
 RESULT_METADATA = table(
     total_feedback_analyzed=BIG, total_themes_discovered=BIG, promoted_research_questions_count=BIG,

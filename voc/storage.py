@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# tables and files written for a session's plans, for ``drop_scratch``
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder.
 
@@ -20,7 +24,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="voc-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this process wrote below the checkpoint folder. For the end of a job, when its outputs are written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ EVIDENCE_TAIL = {
 }
 EVIDENCE_CHARS = 90
 # the count of reviews in this sentence is part of the format
-NO_EVIDENCE = "No contradictory evidence was found after explicitly reviewing all 1,602 dataset reviews."
+NO_EVIDENCE = ("No contradictory evidence was found after explicitly reviewing all ", " dataset reviews.")
 
 # ---------------------------------------------------------------- fixed values: heuristic labels
 # key -> words that choose it, in order; the last key has no words
@@ -254,8 +254,7 @@ NOTE_SHORT_CHARS = 60
 NOTE_QUOTE_CHARS = 100
 NOTE_QUOTE_DEFAULT = "Friction reported by customer in this category."
 NOTE_HEADINGS = ("## Top Customer Opportunities", "## Representative Customer Evidence", "## Proposed Action Items")
-NOTE_DEFAULTS = dict(theme="Uncategorized Opportunity", prevalence=5.0, signal=4.5, mentions=50, issue="General UX",
-                     total=1602)
+NOTE_DEFAULTS = dict(theme="Uncategorized Opportunity", prevalence=5.0, signal=4.5, mentions=50, issue="General UX")
 
 # ---------------------------------------------------------------- fixed values: results table
 RESULT_COLUMNS = (
