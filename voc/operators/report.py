@@ -72,17 +72,25 @@ def results_document(themes: DataFrame) -> DataFrame:
     )
 
 
-def _text(*parts) -> Column:
-    """Concatenation of columns and literal texts."""
-    return F.concat(*[F.lit(p[1:]) if isinstance(p, str) and p.startswith("=") else F.col(p) if isinstance(p, str) else p for p in parts])
+def _text(parts: tuple) -> Column:
+    """A line of fixed texts and theme columns; lists are joined as their mark says."""
 
+    def one(part) -> Column:
+        if isinstance(part, w.Quoted):
+            return F.array_join(F.transform(str(part), lambda q: F.concat(F.lit('"'), q, F.lit('"'))), ", ")
+        if isinstance(part, w.Listed):
+            return F.concat_ws(", ", str(part))
+        return F.col(str(part)).cast("string") if isinstance(part, w.Field) else F.lit(part)
 
-def _quoted(name: str) -> Column:
-    return F.array_join(F.transform(name, lambda q: F.concat(F.lit('"'), q, F.lit('"'))), ", ")
+    return F.concat(*map(one, parts))
 
 
-def _listed(name: str) -> Column:
-    return F.concat_ws(", ", name)
+def _lines(rows: tuple[tuple, ...]) -> Column:
+    return F.array(*map(_text, rows))
+
+
+def _quote(mark: tuple[str, str]):
+    return lambda q: F.concat(F.lit(mark[0]), q, F.lit(mark[1]))
 
 
 def markdown_report(themes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -95,40 +103,11 @@ def markdown_report(themes: DataFrame, settings: Settings = DEFAULT) -> DataFram
     numbered = themes.withColumn("section", section).withColumn(
         "no", F.row_number().over(Window.partitionBy("section").orderBy("position"))
     )
-    quote_lines = F.transform(F.slice("example_quotes", 1, 3), lambda q: F.concat(F.lit('  > "'), q, F.lit('"\n')))
-    promoted = F.concat(F.array(
-        _text("=### ", F.col("no").cast("string"), "=. ", "theme", "=\n"),
-        _text("=- **Primary Issue**: `", "primary_issue", "=` | **Relevance**: `", "research_relevance",
-              "=` | **Journey Stage**: `", "customer_journey_stage", "=`\n"),
-        _text("=- **Business Impact**: `", "business_impact", "=` | **Confidence**: `", "confidence", "=` (",
-              "confidence_explanation", "=)\n"),
-        _text("=- **Evidence Summary**: ", "evidence_summary", "=\n"),
-        _text("=- **Observed Facts**: ", _listed("observed_facts"), "=\n"),
-        _text("=- **Observed Behavior (WHAT)**: ", "observed_behavior", "=\n"),
-        _text('=- **Behavioral Mechanism (WHY)**: *"', "behavioral_mechanism", '="*\n'),
-        _text("=- **Underlying Need / JTBD**: ", "underlying_need", "=\n"),
-        _text("=- **Barrier / Driver**: ", "barrier_or_driver", "=\n"),
-        _text('=- **Product Opportunity (Solution-Agnostic)**: 🚀 **"', "product_opportunity", '="**\n'),
-        _text('=- **Research Hypothesis**: 🧪 *"', "research_hypothesis", '="*\n'),
-        _text("=- **Research Questions**: ", _quoted("research_questions"), "=\n"),
-        _text("=- **Alternative Explanations**: ", _listed("alternative_explanations"), "=\n"),
-        _text("=- **Contradictory Evidence**: ", "contradictory_evidence", "=\n"),
-        _text("=- **Assumptions**: ", _listed("assumptions"), "=\n"),
-        _text("=- **Full Reasoning Trace**: `", "reasoning_trace", "=`\n"),
-        F.lit("- **Supporting Verbatim Customer Evidence**:\n"),
-    ), quote_lines, F.array(F.lit("\n---\n")))
-    watched = F.array(_text(
-        "=- **", "theme", "=** (`", "primary_issue", "=`) — Stage: ", "customer_journey_stage", "= | Impact: ",
-        "business_impact", "= | Confidence: ", "confidence", "=\n",
-    ))
-    first_quote = F.slice("example_quotes", 1, 1)
-    out = F.concat(F.array(
-        _text("=### 📌 ", "theme", "=\n"),
-        _text("=- **Primary Area**: `", "primary_issue", "=` | **Journey Stage**: `", "customer_journey_stage",
-              "=` | **Mentions**: ", F.col("frequency").cast("string"), "=\n"),
-        _text("=- **Out of Scope Rationale**: ", "out_of_scope_reason", "=\n"),
-        F.lit("- **Sample Quote**:\n"),
-    ), F.transform(first_quote, lambda q: F.concat(F.lit('  > "'), q, F.lit('"\n'))), F.array(F.lit("\n")))
+    quote_lines = F.transform(F.slice("example_quotes", 1, 3), _quote(w.REPORT_QUOTE))
+    promoted = F.concat(_lines(w.REPORT_PROMOTED), quote_lines, _lines((w.REPORT_RULE,)))
+    watched = _lines((w.REPORT_WATCHED,))
+    first_quote = F.transform(F.slice("example_quotes", 1, 1), _quote(w.REPORT_QUOTE))
+    out = F.concat(_lines(w.REPORT_ASIDE), first_quote, F.array(F.lit("\n")))
     lines = F.when(F.col("section") == 1, promoted).when(F.col("section").isin(2, 3), watched).when(F.col("section") == 4, out)
     body = numbered.select("section", "position", F.coalesce(lines, F.array().cast("array<string>")).alias("lines")).agg(
         F.array_sort(F.collect_list(F.struct("section", "position", "lines"))).alias("blocks")
@@ -146,17 +125,16 @@ def markdown_report(themes: DataFrame, settings: Settings = DEFAULT) -> DataFram
 
     empty = F.array().cast("array<string>")
     warning = F.col("meta.coverage_warning")
+    promoted_head, watched_head, aside_head = w.REPORT_HEADINGS
     md = F.concat(
-        lit("# AI Product Discovery Engine — Master Knowledge Report\n",
-            "**Business Objective**: *Increase percentage of Monthly Active Customers purchasing from at least one new category every month.*\n\n"),
-        F.array(_text("=**Total Feedback Analyzed**: ", F.col("meta.total_feedback_analyzed").cast("string"),
-                      "= clean customer items across Play Store, App Store, and Reddit.\n")),
-        F.when(warning != "", F.array(_text("=⚠️ **", warning, "=**\n\n"))).otherwise(empty),
-        lit("## 🎯 Promoted Product Opportunities & Auditable Reasoning Chains\n"),
-        or_text(part(1), "_No themes met the dual High Category Impact + High Signal Strength threshold._\n"),
-        F.when(F.size(part(2, 3)) > 0, F.concat(lit("\n## 📊 Secondary / Monitored Signals\n"), part(2, 3))).otherwise(empty),
-        lit("\n## 🛑 Out of Scope Themes (Routed to Operational Product Teams)\n"),
-        or_text(part(4), "_None_\n"),
+        lit(*w.REPORT_TITLE),
+        _lines((w.REPORT_TOTAL,)),
+        F.when(warning != "", _lines((w.REPORT_WARNING,))).otherwise(empty),
+        lit(promoted_head),
+        or_text(part(1), w.REPORT_NO_PROMOTED),
+        F.when(F.size(part(2, 3)) > 0, F.concat(lit(watched_head), part(2, 3))).otherwise(empty),
+        lit(aside_head),
+        or_text(part(4), w.REPORT_NO_ASIDE),
     )
     meta = result_metadata(themes).select(F.struct("total_feedback_analyzed", "coverage_warning")).scalar()
     return body.withColumn("meta", meta).select(F.array_join(md, "\n").alias("markdown"))
@@ -164,40 +142,18 @@ def markdown_report(themes: DataFrame, settings: Settings = DEFAULT) -> DataFram
 
 def chat_context(themes: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The grounding text for a chat: header counts and one block per theme in rank order."""
-    quotes = F.transform("example_quotes", lambda q: F.concat(F.lit('    - "'), q, F.lit('"')))
+    quotes = F.transform("example_quotes", _quote(w.CONTEXT_QUOTE))
     empty = F.array().cast("array<string>")
     reason = F.coalesce("out_of_scope_reason", F.lit(""))
-    block = F.concat(F.array(
-        _text('=\nTheme: "', "theme", '="'),
-        _text("=  Primary Area: ", "primary_issue"),
-        _text("=  Relevance: ", "research_relevance"),
-        _text("=  Journey Stage: ", "customer_journey_stage"),
-        _text("=  Observed Facts: ", _listed("observed_facts")),
-        _text("=  Observed Behavior: ", "observed_behavior"),
-        _text("=  Behavioral Mechanism: ", "behavioral_mechanism"),
-        _text("=  Underlying Need / JTBD: ", "underlying_need"),
-        _text("=  Barrier / Driver: ", "barrier_or_driver"),
-        _text("=  Business Impact: ", "business_impact", "= | Confidence: ", "confidence"),
-        _text("=  Product Opportunity: ", "product_opportunity"),
-        _text("=  Research Question: ", "suggested_research_question"),
-        _text("=  Action / Priority: ", "action"),
-    ), F.when(reason != "", F.array(_text("=  Out of Scope Reason: ", reason))).otherwise(empty),
-        F.array(F.lit("  Customer Quotes:")), quotes)
+    block = F.concat(
+        _lines(w.CONTEXT_THEME), F.when(reason != "", _lines((w.CONTEXT_REASON,))).otherwise(empty),
+        F.array(F.lit(w.CONTEXT_QUOTES)), quotes,
+    )
     blocks = themes.select("position", block.alias("lines")).agg(
         F.array_sort(F.collect_list(F.struct("position", "lines"))).alias("blocks")
     )
     meta = result_metadata(themes).select(F.struct(*METADATA_COLUMNS)).scalar()
 
-    def count(label: str, name: str, end: str = "") -> Column:
-        return _text(f"={label}: ", F.col(f"meta.{name}").cast("string"), f"={end}")
-
-    head = F.array(
-        F.lit(f"=== {settings.brand.upper()} CUSTOMER FEEDBACK CORPUS CONTEXT ==="),
-        count("Total Feedback Analyzed", "total_feedback_analyzed", " clean items"),
-        count("Total Unique Themes", "total_themes_discovered"),
-        count("Promoted Interview Hypotheses", "promoted_research_questions_count"),
-        count("Out of Scope Themes", "out_of_scope_themes_count", "\n"),
-        F.lit("--- DISCOVERED THEMES & BEHAVIORAL MECHANISMS ---"),
-    )
+    head = F.concat(F.array(F.lit(w.CONTEXT_TITLE[0] + settings.brand.upper() + w.CONTEXT_TITLE[1])), _lines(w.CONTEXT_HEAD))
     lines = F.concat(head, F.flatten(F.transform("blocks", lambda b: b["lines"])))
     return blocks.withColumn("meta", meta).select(F.array_join(lines, "\n").alias("context"))

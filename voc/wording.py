@@ -305,3 +305,94 @@ MAX_POLICIES = 6
 
 def branded(text: str, brand: str) -> str:
     return text.replace("@BRAND@", brand)
+
+
+class Field(str):
+    """The name of a theme column inside a line of a report."""
+
+
+class Listed(Field):
+    """A list column, joined by commas."""
+
+
+class Quoted(Field):
+    """A list column, every item in quotation marks, joined by commas."""
+
+
+# ---------------------------------------------------------------- fixed values: lines of the Markdown report
+REPORT_TITLE = (
+    "# AI Product Discovery Engine — Master Knowledge Report\n",
+    "**Business Objective**: *Increase percentage of Monthly Active Customers purchasing from at least one new category every month.*\n\n",
+)
+REPORT_TOTAL = (
+    "**Total Feedback Analyzed**: ", Field("meta.total_feedback_analyzed"), " clean customer items across Play Store, App Store, and Reddit.\n",
+)
+REPORT_WARNING = ("⚠️ **", Field("meta.coverage_warning"), "**\n\n")
+REPORT_HEADINGS = (
+    "## 🎯 Promoted Product Opportunities & Auditable Reasoning Chains\n",
+    "\n## 📊 Secondary / Monitored Signals\n",
+    "\n## 🛑 Out of Scope Themes (Routed to Operational Product Teams)\n",
+)
+REPORT_NO_PROMOTED = "_No themes met the dual High Category Impact + High Signal Strength threshold._\n"
+REPORT_NO_ASIDE = "_None_\n"
+REPORT_PROMOTED = (
+    ("### ", Field("no"), ". ", Field("theme"), "\n"),
+    ("- **Primary Issue**: `", Field("primary_issue"), "` | **Relevance**: `", Field("research_relevance"), "` | **Journey Stage**: `",
+     Field("customer_journey_stage"), "`\n"),
+    ("- **Business Impact**: `", Field("business_impact"), "` | **Confidence**: `", Field("confidence"), "` (", Field("confidence_explanation"), ")\n"),
+    ("- **Evidence Summary**: ", Field("evidence_summary"), "\n"),
+    ("- **Observed Facts**: ", Listed("observed_facts"), "\n"),
+    ("- **Observed Behavior (WHAT)**: ", Field("observed_behavior"), "\n"),
+    ('- **Behavioral Mechanism (WHY)**: *"', Field("behavioral_mechanism"), '"*\n'),
+    ("- **Underlying Need / JTBD**: ", Field("underlying_need"), "\n"),
+    ("- **Barrier / Driver**: ", Field("barrier_or_driver"), "\n"),
+    ('- **Product Opportunity (Solution-Agnostic)**: 🚀 **"', Field("product_opportunity"), '"**\n'),
+    ('- **Research Hypothesis**: 🧪 *"', Field("research_hypothesis"), '"*\n'),
+    ("- **Research Questions**: ", Quoted("research_questions"), "\n"),
+    ("- **Alternative Explanations**: ", Listed("alternative_explanations"), "\n"),
+    ("- **Contradictory Evidence**: ", Field("contradictory_evidence"), "\n"),
+    ("- **Assumptions**: ", Listed("assumptions"), "\n"),
+    ("- **Full Reasoning Trace**: `", Field("reasoning_trace"), "`\n"),
+    ("- **Supporting Verbatim Customer Evidence**:\n",),
+)
+REPORT_QUOTE = ('  > "', '"\n')
+REPORT_RULE = ("\n---\n",)
+REPORT_WATCHED = (
+    "- **", Field("theme"), "** (`", Field("primary_issue"), "`) — Stage: ", Field("customer_journey_stage"), " | Impact: ",
+    Field("business_impact"), " | Confidence: ", Field("confidence"), "\n",
+)
+REPORT_ASIDE = (
+    ("### 📌 ", Field("theme"), "\n"),
+    ("- **Primary Area**: `", Field("primary_issue"), "` | **Journey Stage**: `", Field("customer_journey_stage"), "` | **Mentions**: ",
+     Field("frequency"), "\n"),
+    ("- **Out of Scope Rationale**: ", Field("out_of_scope_reason"), "\n"),
+    ("- **Sample Quote**:\n",),
+)
+
+# ---------------------------------------------------------------- fixed values: lines of the chat context
+CONTEXT_TITLE = ("=== ", " CUSTOMER FEEDBACK CORPUS CONTEXT ===")
+CONTEXT_HEAD = (
+    ("Total Feedback Analyzed: ", Field("meta.total_feedback_analyzed"), " clean items"),
+    ("Total Unique Themes: ", Field("meta.total_themes_discovered")),
+    ("Promoted Interview Hypotheses: ", Field("meta.promoted_research_questions_count")),
+    ("Out of Scope Themes: ", Field("meta.out_of_scope_themes_count"), "\n"),
+    ("--- DISCOVERED THEMES & BEHAVIORAL MECHANISMS ---",),
+)
+CONTEXT_THEME = (
+    ('\nTheme: "', Field("theme"), '"'),
+    ("  Primary Area: ", Field("primary_issue")),
+    ("  Relevance: ", Field("research_relevance")),
+    ("  Journey Stage: ", Field("customer_journey_stage")),
+    ("  Observed Facts: ", Listed("observed_facts")),
+    ("  Observed Behavior: ", Field("observed_behavior")),
+    ("  Behavioral Mechanism: ", Field("behavioral_mechanism")),
+    ("  Underlying Need / JTBD: ", Field("underlying_need")),
+    ("  Barrier / Driver: ", Field("barrier_or_driver")),
+    ("  Business Impact: ", Field("business_impact"), " | Confidence: ", Field("confidence")),
+    ("  Product Opportunity: ", Field("product_opportunity")),
+    ("  Research Question: ", Field("suggested_research_question")),
+    ("  Action / Priority: ", Field("action")),
+)
+CONTEXT_REASON = ("  Out of Scope Reason: ", Field("out_of_scope_reason"))
+CONTEXT_QUOTES = "  Customer Quotes:"
+CONTEXT_QUOTE = ('    - "', '"')
