@@ -180,17 +180,12 @@ def _count(order: int, bits: int):
 
 
 def _by_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """(bucket, [(kind, payload)]) from rows sorted by bucket."""
-    at, held = None, []
+    """(bucket, [(kind, payload)]) of a partition."""
+    held: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
         for kind, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != at and held:
-                yield at, held
-                held = []
-            at = bucket
-            held.append((kind, payload))
-    if held:
-        yield at, held
+            held.setdefault(bucket, []).append((kind, payload))
+    yield from held.items()
 
 
 def _file(folder: str, name: str, bucket: int, columns: list[np.ndarray]) -> tuple[int, int, bytes]:
@@ -380,8 +375,8 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     grams, contexts, discounts = {}, {}, {}
 
     def merged(rows: DataFrame, run) -> DataFrame:
-        dealt = rows.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(run, _ROWS)
+        # one bucket a partition; hashed bucket numbers would put several into one and none into others
+        return rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, _ROWS)
 
     rows = texts.select("text").mapInArrow(_count(order, bits), _ROWS)
     raw = None

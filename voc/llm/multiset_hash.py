@@ -158,7 +158,7 @@ def edits(docs: DataFrame) -> DataFrame:
         return pa.array([[p, previous[p]] if i == firsts[p] else [p] for i, p in zip(ids.tolist(), own.tolist())], pa.list_(pa.int32()))
 
     dealt = rows.select("_ord", "doc_id", "text", F.posexplode(places("_ord")).alias("_ahead", "_part"))
-    dealt = dealt.repartition(parts // 4, "_part").sortWithinPartitions("_part", "_ahead", "_ord", "text")
+    dealt = dealt.repartitionById(parts // 4, F.col("_part")).sortWithinPartitions("_part", "_ahead", "_ord", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None           # the document that waits for the next one: part, id, text, fingerprint

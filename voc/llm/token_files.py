@@ -244,7 +244,8 @@ def read(stretches: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` from the files; start counts the ids of all documents before."""
     # one row per stretch of about a million tokens
     before = Window.orderBy("place", "seq", "first").rowsBetween(Window.unboundedPreceding, -1)
-    placed = stretches.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    number = F.row_number().over(Window.orderBy("place", "seq", "first"))
+    placed = stretches.withColumns({"start": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "number": number})
     parts = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,5 +258,5 @@ def read(stretches: DataFrame) -> DataFrame:
                 file.reader.close()
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = placed.repartition(parts, "uri", "first").select("uri", "first", "docs", "start")
+    spread = placed.repartitionById(parts, F.col("number")).select("uri", "first", "docs", "start")
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
