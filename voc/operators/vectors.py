@@ -100,7 +100,9 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def _unit(v: Column) -> Column:
-    return F.transform(F.array(v), lambda x: F.transform(x, lambda e: e / F.sqrt(_dot(x, x))))[0]
+    # the length is a field of a value that is built once, not an expression evaluated for every element
+    sized = F.array(F.struct(v.alias("v"), F.sqrt(_dot(v, v)).alias("length")))
+    return F.transform(sized, lambda s: F.transform(s["v"], lambda e: e / s["length"]))[0]
 
 
 def centroid_distances(vectors: DataFrame, key: str, group: str, col: str) -> DataFrame:
