@@ -43,6 +43,9 @@ PHRASES = (
     "good but expensive and slow, bad packaging issue",
     "ok",
     "discount offer was worth it, reasonable price, free delivery",
+    "app crash on every search, the screen shows an error",
+    "the delivery boy was rude about my order and argued",
+    "login error in the app, i could not try a new category",
 )
 
 _ROWS = ", ".join(f"({i}, '{p}')" for i, p in enumerate(PHRASES))
