@@ -114,7 +114,10 @@ def test_keywords(spark):
     assert lists == {a: ["milk", "bread", "eggs"], b: list(rules.EMPTY_KEYWORDS)}
     counts = {r.term: (r.tf, r.df) for r in keywords.term_counts(df, stop).collect()}
     assert counts == {"milk": (3, 2)}
-    assert keywords.topic_words(df, stop).first().term == "milk"
+    # a cluster is one text for the topic words: only terms of two clusters count
+    assert keywords.topic_words(df, stop).count() == 0
+    both = df.unionByName(spark.createDataFrame([(rules.GENERAL_DOMAIN, 4, "milk tea")], df.schema))
+    assert {r.term for r in keywords.topic_words(both, stop).collect()} == {"milk"}
 
 
 def test_extraction_counts(spark):
