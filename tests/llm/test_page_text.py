@@ -91,5 +91,17 @@ def test_hosts_boilerplate_is_removed(spark):
     assert of[20].startswith("Home News") and of[21].startswith("Marked\nAll rights")
 
 
+def page_texts(spark, pages):
+    rows = [(i, f"https://{host}/{i}", html, "h", "t", "o") for i, (host, html) in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in pt.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_what_marked_articles_repeat_is_removed(spark):
+    line = "<div class=x>Tell your friends about this story by mail or post</div>"
+    pages = [("a.example", f"<article><p>{own(i)}</p>{line}</article>") for i in range(8)] + [("b.example", f"<article>{line}</article>")]
+    got = page_texts(spark, pages)
+    assert all(got[i] == own(i) for i in range(8)) and got[8].startswith("Tell your friends")
+
+
 def test_empty_table(spark):
     assert pt.main_text(spark.createDataFrame([], SCHEMA)).collect() == []

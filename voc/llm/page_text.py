@@ -2,14 +2,17 @@
 
 A page is read into blocks of text. Elements that are never article text (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, comments, scripts) are left out with all they hold. If a page marks its article, the blocks in that
-container are its text, whatever other pages hold.
+container are its text, otherwise all blocks outside of what is left out.
 
-For pages without such a mark the host decides. The tokens of all blocks outside of containers are one stream per page; the
+What a host repeats is removed from both. The tokens of a page are one stream, that of its marked article another; the
 suffixes of a host's streams are put into classes that agree on their first ``RUN`` tokens, which are the stretches of the
 host's suffix array with common prefixes of at least that length. Only this depth matters: a longer repeated string is
-covered by the classes of its windows. A class with suffixes of pages that differ marks its tokens as boilerplate; it is a
-counter (smallest and largest page), so a host or a menu with a third of all pages is aggregated where it is read. Tokens not
-covered stay, in page order.
+covered by the classes of its windows. A class is boilerplate on ``LEAST`` pages, in articles if it is found in ``PAGES``
+and in ``SHARE`` of the host's marked articles. Tokens not covered stay, in page order. Of near copies the
+first page counts: pages that agree in ``ALIKE`` bands of min-hashes with the earliest page of these bands.
+
+Tasks count the classes of their pages first and send them, packed, to the bucket of their key, so a host or a menu with a
+third of all pages is aggregated where it is read. Classes of enough pages are sorted arrays that the workers map.
 
 Text: character references decoded, white space inside a block one blank, blocks joined by a line feed.
 
@@ -28,12 +31,22 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voc.storage import materialize
+from voc.llm.kneser_ney import _ROWS, Arrays, _batched, _by_buckets, _file, _read_rows, _rows, _summed, key_of
+from voc.storage import materialize, scratch_path
 
-RUN = 6  # tokens that make a repeated string
+RUN = 6                        # tokens that make a repeated string
+PAGES, SHARE = 3, 0.5          # it is boilerplate in as many articles of a host, and in this share of them
+LEAST = 2                      # elsewhere: on as many pages
+BANDS, BAND_ROWS, ALIKE = 16, 4, 12   # near copies agree in ALIKE of 16 bands (about 0.93 of their words)
+CHUNK = 2 << 20                # windows that a task counts before it sends
+LOW = np.uint64(16)            # bits of a window's key that are not kept
+COPY, REPEATED = 1, 2          # rows: near copy of an earlier page; occurs several times
+ONCE, AGAIN = 0, 1
+_MIX = np.random.default_rng(1).integers(1, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -192,18 +205,25 @@ def main_blocks(found: list[tuple[str, int, bool]]) -> list[str] | None:
 
 def suffixes(texts: list[str], run: int = RUN) -> np.ndarray:
     """For each position of the stream of all tokens, a hash of the ``run`` tokens from there; shorter streams have none."""
-    tokens = [t.encode() for text in texts for t in text.split()]
-    digest = xxhash.xxh64_intdigest
+    tokens = [t for text in texts for t in text.split()]
     n = len(tokens) - run + 1
-    return np.fromiter((digest(b" ".join(tokens[i : i + run])) for i in range(n)), np.uint64, max(n, 0)).view(np.int64)
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    known: dict[str, int] = {}
+    at = np.fromiter((known.setdefault(t, len(known)) for t in tokens), np.int64, len(tokens))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(t.encode()) for t in known), np.uint64, len(known))[at]
+    return key_of([hashes[i : i + n] for i in range(run)])
 
 
-def uncovered(texts: list[str], starts: list[int], run: int = RUN) -> list[str]:
+def uncovered(texts: list[str], starts: np.ndarray, run: int = RUN) -> list[str]:
     """The texts without the tokens of repeated windows, given where these start in the stream of all tokens."""
+    if not len(starts):
+        return texts
     sizes = [len(t.split()) for t in texts]
     covered = np.zeros(sum(sizes) + run + 1, np.int64)
     np.add.at(covered, starts, 1)
-    np.add.at(covered, np.asarray(starts, np.int64) + run, -1)
+    np.add.at(covered, starts + run, -1)
     free, at, out = np.cumsum(covered) == 0, 0, []
     for text, size in zip(texts, sizes):
         out.append(" ".join(w for w, keep in zip(text.split(), free[at : at + size]) if keep))
@@ -211,67 +231,201 @@ def uncovered(texts: list[str], starts: list[int], run: int = RUN) -> list[str]:
     return out
 
 
-_PARSED = "_row bigint, page_id bigint, url string, host bigint, body string, others array<string>, noise array<boolean>, content bigint"
+def bands(texts: list[str]) -> list[int]:
+    """Hashes of ``BANDS`` groups of min-hashes of the texts' different words; none without words."""
+    words = {w for t in texts for w in t.split()}
+    if not words:
+        return []
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
+    for low in range(0, len(hashes), 4_096):
+        mixed = (hashes[low : low + 4_096, None] * _MIX[0]) ^ _MIX[1]
+        mixed ^= mixed >> np.uint64(31)
+        least = np.minimum(least, (mixed * _MIX[0]).min(axis=0))
+    return [xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), k) - 2**63 for k in range(0, BANDS * BAND_ROWS, BAND_ROWS)]
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [f.split()[0] for f in _PARSED.split(", ")]
-    for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
-            rows = []
-            for url, html in zip(part.column(2).to_pylist(), part.column(3)):
-                found = blocks(html.as_py() or "")
-                main = main_blocks(found)
-                rest = [(t, r) for t, r, article in found if r != MAIN]
-                texts = [t for t, _ in rest]
-                rows.append((
-                    xxhash.xxh64_intdigest(host_of(url).encode()), None if main is None else "\n".join(main), texts,
-                    [r == NOISE for _, r in rest], xxhash.xxh64_intdigest("\n".join(texts).encode()),
-                ))
-            hosts, bodies, others, noise, content = zip(*rows)
-            yield pa.record_batch(
-                [
-                    part.column(0), part.column(1), part.column(2), pa.array(np.array(hosts, np.uint64).view(np.int64)), pa.array(bodies, pa.string()),
-                    pa.array(others, pa.list_(pa.string())), pa.array(noise, pa.list_(pa.bool_())), pa.array(np.array(content, np.uint64).view(np.int64)),
-                ],
-                names=names,
-            )
-
-
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _host_key(host: str, marked: bool) -> int:
+    """A host's marked articles are a population of their own."""
+    return xxhash.xxh64_intdigest(host.encode(), int(marked))
+
+
+def _read_page(html: str | None) -> tuple[list[str], list[bool], list[str] | None]:
+    """(blocks outside of articles, which of them are noise, the blocks of the marked article or None)."""
+    found = blocks(html or "")
+    rest = [(t, r == NOISE) for t, r, _ in found if r != MAIN]
+    return [t for t, _ in rest], [n for _, n in rest], main_blocks(found)
+
+
+def _signed64(numbers: list[int]) -> pa.Array:
+    return pa.array(np.array(numbers, np.uint64).view(np.int64))
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_row, host, marked_host, bands`` of every page; the host keys as they name the two populations."""
     for batch in batches:
-        found = [suffixes(texts) for texts in batch.column("others").to_pylist()]
-        sizes = np.array([len(f) for f in found], np.int64)
-        repeat = lambda name: pa.array(np.repeat(batch.column(name).to_numpy(zero_copy_only=False), sizes))
-        start = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        rows = []
+        for url, html in zip(batch.column("url").to_pylist(), batch.column("html")):
+            texts, noise, main = _read_page(html.as_py())
+            own = [t for t, n in zip(texts, noise) if not n] if main is None else main
+            host = host_of(url)
+            rows.append((_host_key(host, False), None if main is None else _host_key(host, True), bands(own)))
+        hosts, marked, found = zip(*rows) if rows else ((), (), ())
         yield pa.record_batch(
-            [repeat("host"), pa.array(np.concatenate([np.zeros(0, np.int64), *found])), repeat("content"), repeat("_row"), pa.array(start.astype(np.int32))],
-            names=["host", "head", "content", "_row", "start"],
+            [batch.column("_row"), _signed64(hosts), pa.array([None if m is None else m - (m >> 63 << 64) for m in marked], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+            names=["_row", "host", "marked_host", "bands"],
         )
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for texts, noise, starts in zip(*(batch.column(c).to_pylist() for c in ("others", "noise", "starts"))):
-            left = uncovered(texts, starts or [])
-            out.append("\n".join(t for t, skip in zip(left, noise) if t and not skip))
-        yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as differences and counts, the bytes of equal weight together."""
+    steps = np.diff(keys >> LOW, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(len(keys).to_bytes(8, "little") + planes.tobytes() + counts.astype("<u4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zstandard.decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(data, np.uint8, 8 * n, 8).reshape(8, n)
+    steps = np.ascontiguousarray(planes.T).view(np.uint64).reshape(n)
+    return np.cumsum(steps, dtype=np.uint64) << LOW, np.frombuffer(data, "<u4", n, 8 + 8 * n)
+
+
+def _keys(windows: np.ndarray, host: int) -> np.ndarray:
+    """Keys of a host's windows; 48 bits are kept."""
+    return (key_of([windows, np.full(len(windows), host, np.uint64)]) >> LOW) << LOW
+
+
+def _count(bits: int, rows: Arrays):
+    """Counts the windows of pages, once a page, and sends them to the buckets of their keys.
+
+    Of near copies the first page counts. Rows that occur several times are sent with their numbers.
+    """
+
+    def sent(kind: int, keys: np.ndarray, pack) -> Iterator[tuple[int, int, bytes]]:
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        edges = np.flatnonzero(np.append(True, np.diff(bucket) > 0)).tolist() if len(keys) else []
+        for a, b in zip(edges, [*edges[1:], len(keys)]):
+            yield kind, int(bucket[a]), pack(a, b)
+
+    def counted(held: list[np.ndarray], again: list[tuple[np.ndarray, int]]) -> Iterator[tuple[int, int, bytes]]:
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+        yield from sent(ONCE, keys, lambda a, b: _packed(keys[a:b], counts[a:b]))
+        pairs = np.concatenate([np.zeros((0, 2), np.uint64), *(np.stack([k, np.full(len(k), row, np.uint64)], 1) for k, row in again)])
+        pairs = np.unique(pairs, axis=0)
+        yield from sent(AGAIN, pairs[:, 0], lambda a, b: zstandard.compress(np.ascontiguousarray(pairs[a:b]).tobytes(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, again, size = [], [], 0
+        for batch in batches:
+            names = batch.column("_row").to_numpy().view(np.uint64)
+            (states,) = rows.find(names, 1)
+            for row, state, url, html in zip(names.tolist(), states.tolist(), batch.column("url").to_pylist(), batch.column("html")):
+                if state == COPY:
+                    continue
+                texts, _, main = _read_page(html.as_py())
+                for stream, marked in ((texts, False), (main or [], True)):
+                    keys = np.unique(_keys(suffixes(stream), _host_key(host_of(url), marked)))
+                    again.append((keys, row)) if state == REPEATED else held.append(keys)
+                    size += len(keys)
+                if size > CHUNK:
+                    yield from _batched(counted(held, again))
+                    held, again, size = [], [], 0
+        if size:
+            yield from _batched(counted(held, again))
+
+    return run
+
+
+def _merge(folder: str):
+    """Writes the windows of at least ``LEAST`` pages of a bucket as sorted arrays."""
+
+    def merged(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        found = [_unpacked(p) for kind, p in parts if kind == ONCE]
+        pairs = [np.frombuffer(zstandard.decompress(p), np.uint64).reshape(-1, 2) for kind, p in parts if kind == AGAIN]
+        twice = np.unique(np.concatenate([np.zeros((0, 2), np.uint64), *pairs]), axis=0)[:, 0]
+        keys = np.concatenate([*(k for k, _ in found), twice])
+        counts = np.concatenate([*(c for _, c in found), np.ones(len(twice), np.uint32)])
+        keys, (counts,), _ = _summed(keys, [counts])
+        often = counts >= LEAST
+        yield _file(folder, "windows", bucket, [keys[often], counts[often].astype("<u8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(row for bucket, parts in _by_buckets(batches) for row in merged(bucket, parts))
+
+    return run
+
+
+def _stored(rows: DataFrame, name: str, bits: int) -> Arrays:
+    """Sorted arrays of the columns ``key, value`` (bigint, different keys) in the shared folder."""
+    folder = scratch_path(rows.sparkSession, name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, bucket = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column(0)[0].as_py()
+                keys.append(batch.column(1).to_numpy())
+                values.append(batch.column(2).to_numpy())
+        found, kept = np.concatenate(keys).view(np.uint64), np.concatenate(values)
+        if len(found):
+            order = np.argsort(found)
+            yield _rows([_file(folder, name, bucket, [found[order], kept[order]])])
+
+    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+    dealt = rows.select(bucket.alias("bucket"), "key", "value").repartitionById(1 << bits, F.col("bucket"))
+    return _read_rows(materialize(dealt.mapInArrow(run, _ROWS), name), bits)[0]
+
+
+def _finish(hosts: Arrays, windows: Arrays):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 500):
+                part, pages = batch.slice(low, 500), []
+                for url, html in zip(part.column("url").to_pylist(), part.column("html")):
+                    texts, noise, main = _read_page(html.as_py())
+                    host = _host_key(host_of(url), main is not None)
+                    if main is not None:
+                        texts, noise = main, [False] * len(main)
+                    pages.append((texts, noise, main is not None, host, _keys(suffixes(texts), host)))
+                sizes = [len(keys) for *_, keys in pages]
+                some, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys for *_, keys in pages)]), return_inverse=True)
+                (counts,) = windows.find(some, 1)
+                (of_host,) = hosts.find(np.array([host for *_, host, _ in pages], np.uint64), 1)
+                often, out, edge = counts[at], [], 0
+                for (texts, noise, marked, _, _), size, n in zip(pages, sizes, of_host.tolist()):
+                    starts = np.flatnonzero(often[edge : edge + size] >= (max(PAGES, SHARE * n) if marked else LEAST))
+                    edge += size
+                    out.append("\n".join(t for t, skip in zip(uncovered(texts, starts), noise) if t and not skip))
+                yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+    return run
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row."""
-    numbered = pages.select(F.monotonically_increasing_id().alias("_row"), "page_id", "url", "html")
-    # written once, which also fixes the row numbers
-    parsed = materialize(numbered.mapInArrow(_parse, _PARSED), "pages")
-    marked = parsed.filter(F.col("body").isNotNull()).select("page_id", "url", F.col("body").alias("text"))
-    unmarked = parsed.filter(F.col("body").isNull())
-    suffix_schema = "host bigint, head bigint, content bigint, _row bigint, start int"
-    every = parsed.select("host", "others", "content", "_row").mapInArrow(_suffix_rows, suffix_schema)
-    repeated = every.groupBy("host", "head").agg(F.min("content").alias("a"), F.max("content").alias("b"))
-    repeated = repeated.filter(F.col("a") != F.col("b")).select("host", "head")
-    own = unmarked.select("host", "others", "content", "_row").mapInArrow(_suffix_rows, suffix_schema)
-    covered = own.join(repeated, ["host", "head"]).groupBy("_row").agg(F.collect_list("start").alias("starts"))
-    rest = unmarked.join(covered, "_row", "left").mapInArrow(_finish, "page_id bigint, url string, text string")
-    return marked.unionByName(rest).withColumn("n_chars", F.length("text").cast("bigint"))
+    spark = pages.sparkSession
+    bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    # equal rows have equal numbers, so the passes below agree on them whatever the order of rows
+    rows = pages.select(F.xxhash64("page_id", "url", F.isnull("url"), "html").alias("_row"), "page_id", "url", "html")
+    signed = rows.select("_row", "url", "html").mapInArrow(_sign, "_row bigint, host bigint, marked_host bigint, bands array<bigint>")
+    signed = materialize(signed, "pages")
+    banded = signed.select("host", "_row", F.posexplode("bands").alias("band", "key"))
+    least = banded.groupBy("host", "band", "key").agg(F.min("_row").alias("first"), F.max("_row").alias("last"))
+    met = banded.join(least.filter("first != last").drop("last"), ["host", "band", "key"]).filter("_row != first")
+    copies = met.distinct().groupBy("_row", "first").count().filter(F.col("count") >= ALIKE).select("_row").distinct()
+    copies = materialize(copies, "copies")
+    counted = signed.groupBy("_row").agg(F.first("host").alias("host"), F.first("marked_host").alias("marked_host"), F.count("*").alias("n"))
+    counted = counted.join(copies.withColumn("copy", F.lit(True)), "_row", "left")
+    state = F.when(F.col("copy"), COPY).when(F.col("n") > 1, REPEATED)
+    states = _stored(counted.select(F.col("_row").alias("key"), state.cast("bigint").alias("value")).filter("value is not null"), "rows", bits)
+    single = counted.filter("copy is null")
+    both = single.select(F.col("host").alias("key")).unionByName(single.filter("marked_host is not null").select(F.col("marked_host").alias("key")))
+    hosts = _stored(both.groupBy("key").agg(F.count("*").alias("value")), "hosts", bits)
+    sent = rows.select("_row", "url", "html").mapInArrow(_count(bits, states), _ROWS)
+    folder = scratch_path(spark, "windows")
+    stored = sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_merge(folder), _ROWS)
+    windows, _ = _read_rows(materialize(stored, "window_files"), bits)
+    out = rows.select("page_id", "url", "html").mapInArrow(_finish(hosts, windows), "page_id bigint, url string, text string")
+    return out.withColumn("n_chars", F.length("text").cast("bigint"))
