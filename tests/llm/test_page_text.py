@@ -103,5 +103,23 @@ def test_what_marked_articles_repeat_is_removed(spark):
     assert all(got[i] == own(i) for i in range(8)) and got[8].startswith("Tell your friends")
 
 
+FOOT = "<div>All rights reserved by the example company since 1999</div>"
+
+
+def test_a_phrase_on_few_pages_of_a_large_host_stays(spark):
+    phrase = "as everybody knows in this old town"
+    got = page_texts(spark, [("a.example", f"<p>{own(i)} {phrase if i % 4 == 0 else ''} {own(i + 100)}</p>{FOOT}") for i in range(40)])
+    assert all(got[i].split() == [*own(i).split(), *(phrase.split() if i % 4 == 0 else []), *own(i + 100).split()] for i in range(40))
+
+
+def test_near_copies_do_not_erase_each_other(spark):
+    long = " ".join(own(i) for i in range(10))
+    copies = [("a.example", f"<p>{long} printed on day{i}</p>{FOOT}") for i in range(6)]
+    others = [("a.example", f"<p>{own(50 + i)}</p>{FOOT}") for i in range(4)]
+    got = page_texts(spark, copies + others)
+    assert all(got[i] == f"{long} printed on day{i}" for i in range(6))
+    assert all(got[6 + i] == own(50 + i) for i in range(4))
+
+
 def test_empty_table(spark):
     assert pt.main_text(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -7,8 +7,8 @@ container are its text, otherwise all blocks outside of what is left out.
 What a host repeats is removed from both. The tokens of a page are one stream, that of its marked article another; the
 suffixes of a host's streams are put into classes that agree on their first ``RUN`` tokens, which are the stretches of the
 host's suffix array with common prefixes of at least that length. Only this depth matters: a longer repeated string is
-covered by the classes of its windows. A class is boilerplate on ``LEAST`` pages, in articles if it is found in ``PAGES``
-and in ``SHARE`` of the host's marked articles. Tokens not covered stay, in page order. Of near copies the
+covered by the classes of its windows. A class is boilerplate if it is found on ``PAGES`` pages and on ``SHARE`` of the
+host's pages (in articles: of its pages with a marked article). Tokens not covered stay, in page order. Of near copies the
 first page counts: pages that agree in ``ALIKE`` bands of min-hashes with the earliest page of these bands.
 
 Tasks count the classes of their pages first and send them, packed, to the bucket of their key, so a host or a menu with a
@@ -39,8 +39,7 @@ from voc.llm.kneser_ney import _ROWS, Arrays, _batched, _by_buckets, _file, _rea
 from voc.storage import materialize, scratch_path
 
 RUN = 6                        # tokens that make a repeated string
-PAGES, SHARE = 3, 0.5          # it is boilerplate in as many articles of a host, and in this share of them
-LEAST = 2                      # elsewhere: on as many pages
+PAGES, SHARE = 3, 0.5          # it is boilerplate on as many pages of a host, and on this share of them
 BANDS, BAND_ROWS, ALIKE = 16, 4, 12   # near copies agree in ALIKE of 16 bands (about 0.93 of their words)
 CHUNK = 2 << 20                # windows that a task counts before it sends
 LOW = np.uint64(16)            # bits of a window's key that are not kept
@@ -339,7 +338,7 @@ def _count(bits: int, rows: Arrays):
 
 
 def _merge(folder: str):
-    """Writes the windows of at least ``LEAST`` pages of a bucket as sorted arrays."""
+    """Writes the windows of at least ``PAGES`` pages of a bucket as sorted arrays."""
 
     def merged(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
         found = [_unpacked(p) for kind, p in parts if kind == ONCE]
@@ -348,7 +347,7 @@ def _merge(folder: str):
         keys = np.concatenate([*(k for k, _ in found), twice])
         counts = np.concatenate([*(c for _, c in found), np.ones(len(twice), np.uint32)])
         keys, (counts,), _ = _summed(keys, [counts])
-        often = counts >= LEAST
+        often = counts >= PAGES
         yield _file(folder, "windows", bucket, [keys[often], counts[often].astype("<u8")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,14 +387,14 @@ def _finish(hosts: Arrays, windows: Arrays):
                     host = _host_key(host_of(url), main is not None)
                     if main is not None:
                         texts, noise = main, [False] * len(main)
-                    pages.append((texts, noise, main is not None, host, _keys(suffixes(texts), host)))
+                    pages.append((texts, noise, host, _keys(suffixes(texts), host)))
                 sizes = [len(keys) for *_, keys in pages]
                 some, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys for *_, keys in pages)]), return_inverse=True)
                 (counts,) = windows.find(some, 1)
-                (of_host,) = hosts.find(np.array([host for *_, host, _ in pages], np.uint64), 1)
+                (of_host,) = hosts.find(np.array([host for _, _, host, _ in pages], np.uint64), 1)
                 often, out, edge = counts[at], [], 0
-                for (texts, noise, marked, _, _), size, n in zip(pages, sizes, of_host.tolist()):
-                    starts = np.flatnonzero(often[edge : edge + size] >= (max(PAGES, SHARE * n) if marked else LEAST))
+                for (texts, noise, _, _), size, n in zip(pages, sizes, of_host.tolist()):
+                    starts = np.flatnonzero(often[edge : edge + size] >= max(PAGES, SHARE * n))
                     edge += size
                     out.append("\n".join(t for t, skip in zip(uncovered(texts, starts), noise) if t and not skip))
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
