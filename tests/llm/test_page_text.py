@@ -121,5 +121,21 @@ def test_near_copies_do_not_erase_each_other(spark):
     assert all(got[6 + i] == own(50 + i) for i in range(4))
 
 
+@pytest.mark.parametrize("html, expected", [
+    ('<article class="post comments-open">a</article>', ["a"]),
+    ('<div class="layout has-sidebar"><article>a</article><div class="left-sidebar">b</div></div>', ["a"]),
+    ('<div class="widget"><article>a<p class="share">b</p></article></div><p>c</p>', ["a"]),
+    ('<article>a</article><div class="related-posts"><article>b</article></div>', ["a"]),
+    ('<p>a</p><div id="comments"><article>b</article></div>', None),
+])
+def test_names_do_not_cost_the_article(html, expected):
+    assert texts(html) == expected
+
+
+def test_a_page_that_names_leave_empty_keeps_its_text(spark):
+    got = page_texts(spark, [("a.example", '<div id="page" class="no-share"><p>a</p></div>'), ("b.example", '<div class="notice"><p>b</p></div><nav>n</nav>')])
+    assert got == {0: "a", 1: "b"}
+
+
 def test_empty_table(spark):
     assert pt.main_text(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -61,6 +61,10 @@ NOISE_WORDS = frozenset(
     "disqus disclaimer footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination "
     "popup promo related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# a name of several parts counts by its last part, or by its first one in front of a word for a container
+CONTAINERS = frozenset("area bar block bottom box container form inner item items left links list posts right section slot text top wrap wrapper".split())
+STATES = frozenset("has hide is no not show with without".split())   # names that begin so tell a state, not what the element is
+COMMENT_WORDS = frozenset("comment comments disqus replies respond".split())
 MAIN_WORDS = frozenset("article story entry-content post-content article-body main-content".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
@@ -70,31 +74,62 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 NOISE, NEUTRAL, MAIN = 0, 1, 2
 
 
-def _role(name: str, attributes: str, inside_main: bool) -> int | None:
-    """NOISE or MAIN if the element decides so, else None."""
+def _noise_word(name: str) -> str | None:
+    """The noise word that a class or id stands for."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if not parts or parts[0] in STATES:
+        return None
+    if parts[-1] in NOISE_WORDS:
+        return parts[-1]
+    return parts[0] if parts[0] in NOISE_WORDS and parts[-1] in CONTAINERS else None
+
+
+def _role(name: str, attributes: str, inside_main: bool) -> tuple[int | None, int | None, bool]:
+    """(NOISE or MAIN if the element decides so, else None; the same without its names; a name says that it holds comments)."""
     found = {}
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             found.setdefault(m[1].lower(), (m[2] or "").strip("\"'").lower())
-    names = f"{found.get('class', '')} {found.get('id', '')}"
-    words = set(re.split(r"[^a-z0-9]+", names)) if names != " " else set()
     if name in NOISE_TAGS or (name == "header" and not inside_main):
-        return NOISE
+        return NOISE, NOISE, False
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in NOISE_ROLES:
-        return NOISE
-    if name not in ("html", "body", "main") and words & NOISE_WORDS:
-        return NOISE
-    if name in ("article", "main") or found.get("role") in ("main", "article") or (name in ("div", "section") and set(names.split()) & MAIN_WORDS):
-        return MAIN
-    return None
+        return NOISE, NOISE, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    mark = None
+    if name in ("article", "main") or found.get("role") in ("main", "article") or (name in ("div", "section") and not MAIN_WORDS.isdisjoint(names)):
+        mark = MAIN
+    words = {_noise_word(n) for n in names} - {None} if name not in ("html", "body", "main") else ()
+    return (NOISE if words else mark), mark, bool(words) and not COMMENT_WORDS.isdisjoint(words)
 
 
 def blocks(html: str) -> list[tuple[str, int, bool]]:
-    """(text, role, in an article element) of every block in page order; NOISE blocks are kept for the host's statistics."""
+    """(text, role, in an article element) of every block in page order; NOISE blocks are kept for the host's statistics.
+
+    A class or id with a noise word does not count for an element that is or holds the page's only article. If nothing but
+    noise is left then, or the only article is one of comments and nothing stands beside it, names do not count at all.
+    """
+    out, holders, comments = _read(html, frozenset())
+    roles = {role for _, role, _ in out}
+    if MAIN not in roles and holders and (not comments or NEUTRAL not in roles):
+        out, _, _ = _read(html, holders)
+        roles = {role for _, role, _ in out}
+    if roles == {NOISE}:
+        out, _, _ = _read(html, None)
+    return out
+
+
+def _read(html: str, exempt: Set[int] | None) -> tuple[list[tuple[str, int, bool]], set[int], bool]:
+    """(blocks, places of the elements that are noise by name only and are or hold an article, whether one of them holds comments).
+
+    Names do not count for the elements at the places ``exempt``; None stands for all.
+    """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool]] = []   # open elements, with the role inside them
-    role, article, at, tag = NEUTRAL, False, 0, TAG
+    stack: list[tuple[str, int, bool, tuple | None]] = []   # open elements, with the state inside them
+    # named: the open elements that are noise by name, as a chain (place, comments, outer ones); None inside other noise
+    role, article, named, at, tag = NEUTRAL, False, (), 0, TAG
+    holders: set[int] = set()
+    comments = False
     unclosed: Counter[str] = Counter()
 
     def close_block() -> None:
@@ -149,10 +184,10 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
                 while popped != name:
                     popped = stack.pop()[0]
                     unclosed[popped] -= 1
-                below = (stack[-1][1], stack[-1][2]) if stack else (NEUTRAL, False)
-                if below != (role, article):
+                below = stack[-1][1:] if stack else (NEUTRAL, False, ())
+                if below[:2] != (role, article):
                     close_block()
-                    role, article = below
+                role, article, named = below
             continue
         if name in BLOCK:
             close_block()
@@ -172,18 +207,28 @@ def blocks(html: str) -> list[tuple[str, int, bool]]:
             continue
         if name in ("p", "li", "td", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             unclosed[stack.pop()[0]] -= 1        # these end where the next one of their kind begins
-            role, article = (stack[-1][1], stack[-1][2]) if stack else (NEUTRAL, False)
-        own = _role(name, m[3], role == MAIN)
+            role, article, named = stack[-1][1:] if stack else (NEUTRAL, False, ())
+        own, mark, of_comments = _role(name, m[3], role == MAIN)
+        if exempt is None or low in exempt:
+            own = mark
+        inner = named
+        if named is not None and own == NOISE:
+            inner = None if mark == NOISE else (low, of_comments, named)
+        link = inner if mark == MAIN else ()
+        while link and link[0] not in holders:
+            holders.add(link[0])
+            comments |= link[1]
+            link = link[2]
         new = NOISE if role == NOISE or own == NOISE else (MAIN if role == MAIN or own == MAIN else NEUTRAL)
         inside = article or (new == MAIN and own == MAIN and name == "article")
         if new != role or inside != article:
             close_block()
         if name in BLOCK or new != role or inside != article or (stack and stack[-1][1] == NOISE):
-            stack.append((name, new, inside))
+            stack.append((name, new, inside, inner))
             unclosed[name] += 1
-            role, article = new, inside
+            role, article, named = new, inside, inner
     close_block()
-    return out
+    return out, holders, comments
 
 
 def host_of(url: str | None) -> str:
