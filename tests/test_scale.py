@@ -91,6 +91,15 @@ def test_near_copies(spark):
     assert near.without_near_copies(df).count() == len(rows) - len(gone)
 
 
+def test_near_copies_behind_unlike_earlier_rows(spark):
+    words = [f"word{i}" for i in range(200)]
+    # each lacks another tenth, so every band of the whole text has one of these as its earliest row, and all are under 0.9
+    rows = [(k, " ".join(words[: 20 * k] + words[20 * k + 20 :])) for k in range(10)]
+    rows += [(20, " ".join(words)), (21, " ".join([*words, "end"])), (22, " ".join(words)), (23, " ".join(["start", *words]))]
+    df = spark.createDataFrame(rows, "ord bigint, cleaned_text string")
+    assert {r.ord for r in near.similar_to_earlier(df).collect()} == {21, 22, 23}
+
+
 def test_centroids_in_blocks(spark, monkeypatch):
     rows = [(i, [float(i % 7 + 1), float(i % 5), 1.0], i % 6) for i in range(60)]
     df = spark.createDataFrame(rows, "id int, v array<float>, g int")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,6 +15,7 @@ from voc.storage import materialize
 SHINGLE = 5
 SIMILARITY = 0.9
 BANDS, ROWS = 32, 4
+SKETCH = 1 << 16               # frequencies kept of shingles
 
 
 def _signatures(size: int, bands: int, rows: int):
@@ -42,10 +45,12 @@ def similar_to_earlier(
 ) -> DataFrame:
     """``ord`` of every row that shares at least ``similarity`` of its word shingles (Jaccard) with an earlier row.
 
-    Min-hash bands bring rows together. Each row of a band is compared with the band's earliest row, so a band of any size
-    gives one comparison per row and no pairs; a band that a third of the rows share is partially aggregated. Pairs are then
-    checked on all their shingles. At 0.9 a pair agrees in one of 32 bands of 4 hashes but for a chance of 10^-15; what
-    can be missed is a pair that meets only in bands whose earliest row is unlike both.
+    Two steps find every such row. First each row is compared with the earliest row of its min-hash bands, so a band of any
+    size gives one comparison per row and no pairs, and a band that a third of the rows share is partially aggregated. What
+    is left, the first row of each different set of shingles, is then joined with all earlier sets on rare shingles: two sets
+    of that similarity share one of the first ``n - ceil(similarity * n) + 1`` shingles of each, in any common order. The
+    order is by frequency, so a template's shingles are in that prefix only of rows that differ from it by less. Pairs are
+    checked on all their shingles.
     """
     shingles, keys = _signatures(size, bands, rows)
 
@@ -67,10 +72,57 @@ def similar_to_earlier(
     pairs = banded.join(first, ["band", "key"]).where(F.col("ord") > F.col("first")).select("ord", "first").distinct()
     own = signed.select("ord", F.col("shingles").alias("own"))
     other = signed.select(F.col("ord").alias("first"), F.col("shingles").alias("other"))
-    both = pairs.join(own, "ord").join(other, "first")
     shared = F.size(F.array_intersect("own", "other"))
     alike = shared >= F.lit(similarity) * (F.size("own") + F.size("other") - shared)
-    return both.where(alike).select("ord").distinct()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return pairs.join(own, "ord").join(other, "first").where(alike).select("ord").distinct()
+
+    found = materialize(checked(pairs), "near_first")
+    keyed = signed.select("ord", F.xxhash64("shingles").alias("a"), F.hash("shingles").alias("b"))
+    sets = keyed.groupBy("a", "b").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    equal = materialize(keyed.join(sets, ["a", "b"]).where(F.col("ord") > F.col("first")).select("ord"), "equal")
+    prefixes = _prefixes(signed.select("ord", "shingles").join(equal, "ord", "left_anti"), similarity)
+    prefixes = materialize(prefixes, "prefixes")
+    earlier = prefixes.select(F.col("ord").alias("first"), F.col("n").alias("m"), F.posexplode("prefix").alias("j", "shingle"))
+    left = prefixes.join(found, "ord", "left_anti").select("ord", "n", F.posexplode("prefix").alias("i", "shingle"))
+    # shingles that the two can share from their common one on, against what the similarity asks of their sizes
+    most = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    enough = most >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - F.lit(1e-6)
+    pairs = left.join(earlier, "shingle").where((F.col("first") < F.col("ord")) & enough).select("ord", "first").distinct()
+    return found.unionByName(checked(pairs)).unionByName(equal).distinct()
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``ord, n, prefix``: size of a set and its rarest shingles, by a frequency table of ``SKETCH`` numbers."""
+    shift = np.uint64(64 - (SKETCH - 1).bit_length())
+
+    def count(batches):
+        counts = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            counts += np.bincount((batch.column(0).flatten().to_numpy().view(np.uint64) >> shift).astype(np.int64), minlength=SKETCH)
+        some = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
+
+    rows = sets.select("shingles").mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n")).collect()
+    frequency = np.zeros(SKETCH, np.int64)
+    for place, n in rows:
+        frequency[place] = n
+
+    def cut(batches):
+        for batch in batches:
+            sizes, prefixes = [], []
+            for one in batch.column(1):
+                found = one.values.to_numpy().view(np.uint64)
+                n = len(found)
+                order = np.lexsort((found, frequency[(found >> shift).astype(np.int64)]))
+                sizes.append(n)
+                prefixes.append(found[order[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64).tolist())
+            yield pa.record_batch(
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["ord", "n", "prefix"]
+            )
+
+    return sets.mapInArrow(cut, "ord bigint, n int, prefix array<bigint>")
 
 
 def without_near_copies(df: DataFrame, text: str = "cleaned_text", similarity: float = SIMILARITY) -> DataFrame:
