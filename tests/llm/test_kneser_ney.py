@@ -59,6 +59,13 @@ def test_equals_brute_force(spark, odd_docs, odd_rows, order):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
 
 
+def test_the_registered_query_sees_two_words_before(spark, odd_docs, odd_rows):
+    assert kn.ORDER >= 3
+    got = sorted(map(tuple, kn.held_out_scores(odd_docs).collect()), key=repr)
+    expected = sorted(brute([(r[0], r[1]) for r in odd_rows], kn.ORDER), key=repr)
+    assert all(a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9) for a, b in zip(got, expected, strict=True))
+
+
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, prose(i, 200)) for i in range(40)], "doc_id bigint, text string")
     model = kn.train(docs.select("text"))

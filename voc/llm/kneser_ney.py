@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from voc.llm import shared_files
 from voc.storage import materialize, scratch_path
 
-ORDER = 2
+ORDER = 3
 HELD_OUT = 1                    # remainder of the id's crc32 by FOLDS
 FOLDS = 5
 CHUNK_TOKENS = 3 << 20          # tokens that a task counts before it sends
