@@ -61,5 +61,11 @@ def test_likeness_estimates_the_shared_share():
     assert mh.likeness(empty, empty) == 1.0 and mh.likeness(empty, a) == 0.0
 
 
+def test_very_many_equal_lines():
+    a, b = (mh.fingerprint(b"the very same line\n" * n) for n in (40_000, 30_000))
+    assert mh.likeness(a, b) > 0.99
+    assert mh.Fingerprint.from_hex(a.hex()) == a and (a - b) + b == a
+
+
 def test_empty_table(no_docs):
     assert mh.edits(no_docs).collect() == [] and mh.fingerprints(no_docs).collect() == []

@@ -1,6 +1,6 @@
 """Homomorphic multiset hash of a document's paragraphs.
 
-A fingerprint is the sum, lane by lane, of wide vectors hashed from the paragraphs: ``LANES`` lanes of +1 or -1 modulo 2^16,
+A fingerprint is the sum, lane by lane, of wide vectors hashed from the paragraphs: ``LANES`` lanes of +1 or -1 modulo 2^32,
 and four uniform lanes modulo 2^64. Sums do not depend on the order of the paragraphs, and paragraphs can be inserted into or
 deleted from a fingerprint without the rest of the text. Equal multisets of paragraphs have equal fingerprints; different
 ones differ in the uniform lanes but for a chance of about 2^-256 (the hash is not keyed).
@@ -50,12 +50,12 @@ def paragraphs(text: bytes) -> Iterator[bytes]:
 
 
 class Fingerprint:
-    """``signs``: LANES numbers modulo 2^16; ``wide``: four numbers modulo 2^64."""
+    """``signs``: LANES numbers modulo 2^32; ``wide``: four numbers modulo 2^64."""
 
     __slots__ = ("signs", "wide")
 
     def __init__(self, signs: np.ndarray | None = None, wide: np.ndarray | None = None):
-        self.signs = np.zeros(LANES, np.uint16) if signs is None else signs
+        self.signs = np.zeros(LANES, np.uint32) if signs is None else signs
         self.wide = np.zeros(WIDE, np.uint64) if wide is None else wide
 
     def __add__(self, other: "Fingerprint") -> "Fingerprint":
@@ -68,12 +68,12 @@ class Fingerprint:
         return isinstance(other, Fingerprint) and bool((self.signs == other.signs).all() and (self.wide == other.wide).all())
 
     def hex(self) -> str:
-        return self.wide.astype("<u8").tobytes().hex() + self.signs.astype("<u2").tobytes().hex()
+        return self.wide.astype("<u8").tobytes().hex() + self.signs.astype("<u4").tobytes().hex()
 
     @classmethod
     def from_hex(cls, text: str) -> "Fingerprint":
         data = bytes.fromhex(text)
-        return cls(np.frombuffer(data, "<u2", LANES, 8 * WIDE).copy(), np.frombuffer(data, "<u8", WIDE).copy())
+        return cls(np.frombuffer(data, "<u4", LANES, 8 * WIDE).copy(), np.frombuffer(data, "<u8", WIDE).copy())
 
 
 def of_paragraphs(parts: Iterator[bytes]) -> Fingerprint:
@@ -84,7 +84,7 @@ def of_paragraphs(parts: Iterator[bytes]) -> Fingerprint:
         n = len(waiting)
         data = np.frombuffer(b"".join(waiting), np.uint8).reshape(n, 64)
         ones = np.unpackbits(data[:, :32], axis=1).sum(axis=0, dtype=np.int64)
-        out.signs += (2 * ones - n).astype(np.uint16)
+        out.signs += (2 * ones - n).astype(np.uint32)
         out.wide += np.ascontiguousarray(data[:, 32:]).view("<u8").sum(axis=0, dtype=np.uint64)
         waiting.clear()
 
@@ -104,7 +104,7 @@ def fingerprint(text: bytes) -> Fingerprint:
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     if a == b:
         return 1.0
-    x, y = a.signs.view(np.int16).astype(float), b.signs.view(np.int16).astype(float)
+    x, y = a.signs.view(np.int32).astype(float), b.signs.view(np.int32).astype(float)
     size = float(np.sqrt((x @ x) * (y @ y)))
     return min(max(float(x @ y) / size, 0.0), 1.0) if size else 0.0
 
