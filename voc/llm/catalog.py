@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voc.llm import bpe_tree, kneser_ney, line_templates, mixing, multiset_hash, page_text, personal_data, quality, simhash, token_files
+from voc.llm import (
+    bpe_tree, kneser_ney, line_templates, mixing, multiset_hash, page_text, periodic_runs, personal_data, quality, simhash, token_files,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -59,10 +61,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_personal_data, op2_token_files, op3_kneser_ney, op4_mixing, op5_quality, op6_multiset_hash, op7_line_dedup, op8_bpe,
-        op9_page_text, op10_simhash,
+        op9_page_text, op10_simhash, op13_periodic_runs,
     )
 }
