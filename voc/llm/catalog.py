@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from voc.llm import (
     bpe_tree, kneser_ney, line_templates, mixing, multiset_hash, page_text, periodic_runs, personal_data, phrases, quality, simhash,
-    token_files,
+    token_files, toxicity,
 )
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(_table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_personal_data, op2_token_files, op3_kneser_ney, op4_mixing, op5_quality, op6_multiset_hash, op7_line_dedup, op8_bpe,
-        op9_page_text, op10_simhash, op12_phrases, op13_periodic_runs,
+        op9_page_text, op10_simhash, op11_toxicity, op12_phrases, op13_periodic_runs,
     )
 }
 
