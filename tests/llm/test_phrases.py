@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from voc.llm import phrases as ph
@@ -54,12 +55,12 @@ def spark_rows(spark, rows, **kw):
     return sorted(map(tuple, ph.phrases(docs, **kw).collect()))
 
 
-@pytest.mark.parametrize("kw", [{}, {"least": 4, "top": 25}, {"least": 2, "within": 50, "longest": 3}, {"least": 5, "bits": 1 << 10}])
+@pytest.mark.parametrize("kw", [{}, {"least": 4, "top": 25}, {"least": 2, "within": 50, "longest": 3}, {"least": 5, "bits": 1 << 10, "cells": 1 << 12}, {"least": 300, "cells": 1 << 12}])
 def test_phrases_equal_brute_force(spark, kw, monkeypatch):
-    if "bits" in kw:   # a filter that lets rare words through changes nothing
-        real = ph.counts
-        bits = kw.pop("bits")
-        monkeypatch.setattr(ph, "counts", lambda d, longest, least: real(d, longest, least, bits))
+    # filters that let rare words and pairs through change nothing
+    real, sizes = ph.counts, {k: v for k, v in kw.items() if k in ("bits", "cells")}
+    kw = {k: v for k, v in kw.items() if k not in sizes}
+    monkeypatch.setattr(ph, "counts", lambda d, longest, least: real(d, longest, least, **sizes))
     want = brute(small(), **kw)
     assert want and spark_rows(spark, small(), **kw) == want
 
@@ -73,6 +74,22 @@ def test_blocks_of_words_do_not_matter(spark):
     assert whole == Counter(" ".join(r.lower().replace(",", " ") for r in rows if r).split())
 
 
+def test_pair_counters_saturate_and_add_up(spark):
+    docs = spark.createDataFrame([("en", "a b " * 400)] * 3 + [("en", "c d")] * 7, "lang string, text string").repartition(4)
+    sc = spark.sparkContext
+    known = sc.broadcast(np.full(128, 255, np.uint8))
+    size = 1 << 13
+    for least, want in ((7, {"ab", "ba", "cd"}), (8, {"ab", "ba"}), (1000, {"ab", "ba"})):
+        bits = ph.pair_filter(docs, known, 4 * size, least, size)
+        assert len(bits) * 8 == size
+        found = set()
+        for pair in ("ab", "ba", "cd", "bc", "da"):
+            h = ph._hashes("en", [c.encode() for c in pair])
+            found |= {pair} if ph._has(bits, ph._pair_places(h[:1], h[1:], size))[0] else set()
+        assert found == want
+    assert ph.pair_filter(docs, known, 10 * size, 5, size) is None
+
+
 def test_sql_gives_the_same_rows(spark):
     rows = small(9, 200)
     con = duckdb.connect()

@@ -4,9 +4,11 @@ Every word of a piece begins one window: its word and the ``longest`` - 1 words
 ends. Only these windows are counted; a ROLLUP over their columns sums them to all shorter prefixes, which are the counts of
 all shorter phrases, and to the number of words of a language. Shorter phrases are never enumerated.
 
-A phrase that is frequent enough holds frequent words only, so a window is padded from its first rare word on: the words are
-counted first, and a bit filter of at most ``FILTER_BITS`` goes to all tasks. What the filter lets through wrongly is counted
-and thrown away by its count, so the filter's size bears on the work only.
+A phrase that is frequent enough holds frequent words only, and neighbours in it that are frequent as a pair. So a window is
+padded from its first rare word or pair on: the words are counted first and become a bit filter of at most ``FILTER_BITS``;
+pairs of the words it lets through add to an array of at most ``PAIR_CELLS`` saturating counters, a pair's place being a hash.
+Both go to all tasks. What they let through wrongly is counted and thrown away by its count, so their sizes bear on the work
+only: beyond some ``least * PAIR_CELLS`` words the counters rule nothing out and are left away.
 
 A candidate is cut in two at each place; the parts' counts give a score, the lowest one holds. Candidates that lie in a longer
 one with nearly all their occurrences go. Counts are exact; products are decimals of 38 digits.
@@ -32,6 +34,7 @@ from voc.storage import materialize
 LONGEST, LEAST, WITHIN, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
+PAIR_CELLS, CHUNK, FULL = 1 << 26, 4096, 255   # counters for pairs, how many travel together, where they stop
 SALTS = 8                 # parts that the candidates of one word are dealt to
 WORDS = 1 << 20           # words of texts windowed at once, one text at least
 UNKNOWN = "und"
@@ -93,10 +96,25 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(lang, texts.words()[1:], n[1:])
 
 
-def _bits(lang: str, word: bytes, size: int) -> list[int]:
-    """The word's bits in a filter of ``size`` bits, a power of two."""
-    h = xxhash.xxh3_64_intdigest(word, xxhash.xxh32_intdigest(lang.encode()))
-    return [(h + i * (h >> 32 | 1)) & (size - 1) for i in range(FILTER_HASHES)]
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
+
+
+def _places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """The words' bits in a filter of ``size`` bits, a power of two."""
+    step = hashes >> np.uint64(32) | np.uint64(1)
+    return [(hashes + np.uint64(i) * step) & np.uint64(size - 1) for i in range(FILTER_HASHES)]
+
+
+def _pair_places(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
+    """The counter of each pair of hashed words; ``size`` is a power of two."""
+    mixed = first * np.uint64(0x9E3779B97F4A7C15) ^ (second << np.uint64(31) | second >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return mixed >> np.uint64(65 - size.bit_length())
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def frequent_filter(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -105,8 +123,9 @@ def frequent_filter(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
-            at = np.unique(np.array([b for lang, word in rows for b in _bits(lang, word, size)], np.int64))
+            langs, keys = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            hashes = np.concatenate([_hashes(lang, [word]) for lang, word in zip(langs, keys)] or [np.zeros(0, np.uint64)])
+            at = np.unique(np.concatenate(_places(hashes, size))).astype(np.int64)
             yield pa.record_batch([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=["cell", "bit"])
 
     cells = words.select("lang", "key").mapInArrow(positions, "cell bigint, bit bigint").groupBy("cell").agg(F.bit_or("bit").alias("bits"))
@@ -114,28 +133,78 @@ def frequent_filter(words: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     # at most FILTER_BITS / 64 rows
     for cell, value in cells.toLocalIterator():
         out[cell] = value
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
 
 
-def _windows(longest: int, known):
-    """``lang, key, n``: counted windows, the words of one joined by spaces; the empty window stands for rare first words."""
+def _word_mask(lang: str, texts: _Numbered, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes, and which of them the filter lets through."""
+    hashes = _hashes(lang, list(texts.number))
+    good = np.ones(len(hashes), bool)
+    for at in _places(hashes, 8 * len(known)):
+        good &= _has(known, at)
+    good[0] = False
+    return hashes, good
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = known.value
-        size = 8 * len(packed)
 
-        def frequent(lang: str, word: bytes) -> bool:
-            return all(packed[b >> 3] >> (b & 7) & 1 for b in _bits(lang, word, size))
+def pair_filter(texts: DataFrame, known, words: int, least: int, cells: int = PAIR_CELLS) -> np.ndarray | None:
+    """Bits of the counters that reach ``least``, over pairs of neighbouring words that ``known`` lets through.
+
+    None where about ``words`` words would fill all counters.
+    """
+    size = min(1 << max(words // 4, 1 << 12).bit_length(), cells)
+    if words > least * size:
+        return None
+    reach = min(least, FULL)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(size, np.uint8)
+        for of in _numbered(batches):
+            for lang, some in of.items():
+                hashes, good = _word_mask(lang, some, known.value)
+                ids = some.numbers()
+                both = good[ids[:-1]] & good[ids[1:]]
+                at, n = np.unique(_pair_places(hashes[ids[:-1][both]], hashes[ids[1:][both]], size), return_counts=True)
+                counters[at] = np.minimum(counters[at] + n, FULL)
+        chunks = counters.reshape(-1, CHUNK)
+        for i in np.flatnonzero(chunks.any(axis=1)).tolist():
+            yield pa.record_batch([pa.array([i]), pa.array([chunks[i].tobytes()])], names=["chunk", "counters"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                have = sums.setdefault(chunk, np.zeros(CHUNK, np.uint8))
+                have += np.minimum(FULL - have, np.frombuffer(data, np.uint8))
+        for chunk, have in sums.items():
+            yield pa.record_batch([pa.array([chunk]), pa.array([np.packbits(have >= reach, bitorder="little").tobytes()])], names=["chunk", "bits"])
+
+    rows = texts.mapInArrow(counted, "chunk bigint, counters binary").repartition("chunk")
+    out = np.zeros((size // CHUNK, CHUNK // 8), np.uint8)
+    # at most PAIR_CELLS / CHUNK rows of CHUNK / 8 bytes
+    for chunk, bits in rows.mapInArrow(added, "chunk bigint, bits binary").toLocalIterator():
+        out[chunk] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
+
+def _windows(longest: int, known, pairs):
+    """``lang, key, n``: counted windows, the words of one joined by spaces; the empty window stands for rare first words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = pairs.value
         for of in _numbered(batches):
             for lang, texts in of.items():
-                good = np.fromiter((frequent(lang, w) for w in texts.number), bool, len(texts.number))
-                good[0] = False
+                hashes, good = _word_mask(lang, texts, known.value)
                 ids = texts.numbers()
-                word, lead = np.where(good[ids], ids, 0), [np.zeros(0, np.int64)] * longest
-                for k in range(longest):
-                    on = np.concatenate([word[k:], np.zeros(min(k, len(word)), np.int64)])
-                    lead[k] = on if k == 0 else np.where(lead[k - 1] > 0, on, 0)
+                word = np.where(good[ids], ids, 0)
+                on = np.zeros(len(ids), bool)       # whether a window goes on behind a place
+                on[:-1] = (word[:-1] > 0) & (word[1:] > 0)
+                if common is not None:
+                    at = np.flatnonzero(on)
+                    on[at] = _has(common, _pair_places(hashes[word[at]], hashes[word[at + 1]], 8 * len(common)))
+                lead = [word]
+                for _ in range(1, longest):
+                    # the window of the next place, one word shorter, goes behind this place's word
+                    lead.append(np.where(on, np.append(lead[-1][1:], 0), 0))
                 lead = [column[ids > 0] for column in lead]
                 order = np.lexsort(lead)
                 lead = [column[order] for column in lead]
@@ -144,15 +213,13 @@ def _windows(longest: int, known):
                 for column in lead:
                     new[1:] |= column[1:] != column[:-1]
                 first = np.flatnonzero(new)
-                if not len(first):
-                    continue
                 names, n = texts.words(), np.diff(np.append(first, len(order)))
                 lead = [column[first] for column in lead]
-                size_of = sum((column > 0).astype(np.int64) for column in lead)
-                for size_ in np.unique(size_of).tolist():
-                    at = size_of == size_
-                    columns = [pc.take(names, pa.array(column[at])) for column in lead[:size_]]
-                    key = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if size_ else pa.array([b""] * int(at.sum()), pa.binary())
+                sizes = sum((column > 0).astype(np.int64) for column in lead)
+                for size in np.unique(sizes).tolist():
+                    at = sizes == size
+                    columns = [pc.take(names, pa.array(column[at])) for column in lead[:size]]
+                    key = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary())) if size else pa.array([b""] * int(at.sum()), pa.binary())
                     yield _rows(lang, key, n[at])
 
     return run
@@ -162,17 +229,19 @@ def _wide(x: Column) -> Column:
     return x.cast("decimal(38,0)")
 
 
-def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = FILTER_BITS) -> DataFrame:
+def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = FILTER_BITS, cells: int = PAIR_CELLS) -> DataFrame:
     """``lang, words, f``: the phrases of up to ``longest`` words with their counts of at least ``least``.
 
     ``words`` is an array; the empty one has the number of all words of the language.
     """
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    send = docs.sparkSession.sparkContext.broadcast
     totals = texts.mapInArrow(_word_counts, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     common = materialize(totals.filter(F.col("n") >= least), "common_words")
-    known = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_filter(common, bits), bitorder="little"))
-    rows = texts.mapInArrow(_windows(longest, known), "lang string, key string, n bigint")
-    windows = rows.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    known = send(frequent_filter(common, bits))
+    pairs = send(pair_filter(texts, known, common.agg(F.sum("n")).first()[0] or 0, least, cells))
+    rows = texts.mapInArrow(_windows(longest, known, pairs), "lang string, key string, n bigint")
+    windows = materialize(rows.groupBy("lang", "key").agg(F.sum("n").alias("n")), "windows")
     split = F.split("key", " ")
     lead = [F.coalesce(F.get(split, F.lit(k)), F.lit("")).alias(f"w{k}") for k in range(longest)]
     windows = windows.select("lang", *lead, "n")
