@@ -75,10 +75,13 @@ def test_training_does_not_depend_on_the_order():
     assert a.odds("an idiot on the pier", {}) == b.odds("an idiot on the pier", {}) and (a.slope, a.base) == (b.slope, b.base)
 
 
-def test_gradient_sums_agree_with_loops():
+@pytest.mark.parametrize("at_once", [1, 3, 100])
+def test_gradient_sums_agree_with_loops(at_once, monkeypatch):
+    monkeypatch.setattr(tx, "AT_ONCE", at_once)
     rng = np.random.default_rng(0)
     groups = [np.array(g, np.int64) for g in ([0, 2, 2], [], [1], [3, 0])]
-    bags, vectors = tx._Bags(groups, 5), rng.normal(size=(5, 3))
+    sizes = np.array([len(g) for g in groups])
+    bags, vectors = tx._Bags(np.concatenate(groups), sizes, 5), rng.normal(size=(5, 3))
     assert np.allclose(bags.sums(vectors), [vectors[g].sum(0) if len(g) else np.zeros(3) for g in groups])
     slopes = rng.normal(size=(4, 3))
     want = np.zeros((5, 3))

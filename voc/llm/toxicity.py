@@ -22,6 +22,7 @@ labels, 0 without any. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,9 +32,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_CHARS, TEXTS = 3000, 40_000, 5
+SAMPLE, SAMPLE_CHARS, TEXTS = 2000, 40_000, 5
 BUCKETS, SIZE, NGRAMS, PASSAGE = 1 << 20, 8, (3, 4, 5), 2
 STEPS, FIRST_STEPS, RATE, DECAY, SOFT, SCALE = 60, 20, 1.2, 1e-4, 5.0, 10.0
+AT_ONCE = 1 << 18            # vectors gathered at once in training
 KNOWN_WORDS = 1 << 18        # words whose share of the log odds a worker keeps
 FOLDS = 5
 WORD = re.compile(r"\w+")
@@ -86,32 +88,34 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.odds(text, known) + self.base, -30, 30))))
 
 
-def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of the stretches of rows; an empty stretch gives zero."""
-    out = np.zeros((len(starts), *values.shape[1:]), values.dtype)
-    full = sizes > 0
-    if full.any():
-        out[full] = np.add.reduceat(values, starts[full], axis=0)
-    return out
-
-
 class _Bags:
     """Groups of numbers: sums of the groups' vectors, and sums of the groups over each number."""
 
-    def __init__(self, groups: list[np.ndarray], numbers: int):
-        self.sizes = np.array([len(g) for g in groups], np.int64)
-        self.items = np.concatenate([*groups, np.zeros(0, np.int64)]).astype(np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        order = np.argsort(self.items, kind="stable")
-        self.owner = np.repeat(np.arange(len(groups)), self.sizes)[order]
-        self.counts = np.bincount(self.items, minlength=numbers)
-        self.firsts = np.cumsum(self.counts) - self.counts
+    def __init__(self, items: np.ndarray, sizes: np.ndarray, numbers: int):
+        self.items, self.sizes = items.astype(np.int32), sizes
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[np.argsort(items, kind="stable")]
+        self.counts = np.bincount(items, minlength=numbers)
 
     def sums(self, vectors: np.ndarray) -> np.ndarray:
-        return _sums(vectors[self.items], self.starts, self.sizes)
+        return _sums(vectors, self.items, self.sizes)
 
     def back(self, vectors: np.ndarray) -> np.ndarray:
-        return _sums(vectors[self.owner], self.firsts, self.counts)
+        return _sums(vectors, self.owner, self.counts)
+
+
+def _sums(vectors: np.ndarray, items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of each stretch of items, about ``AT_ONCE`` items at once; an empty stretch gives zero."""
+    out = np.zeros((len(sizes), *vectors.shape[1:]), vectors.dtype)
+    full = np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[full])
+    low = 0
+    while low < len(full):
+        begin = ends[low - 1] if low else 0
+        high = max(int(np.searchsorted(ends, begin + AT_ONCE, "right")), low + 1)
+        starts = ends[low:high] - sizes[full[low:high]] - begin
+        out[full[low:high]] = np.add.reduceat(vectors[items[begin : ends[high - 1]]], starts, axis=0)
+        low = high
+    return out
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -121,20 +125,29 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 def _embeddings(texts: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """Joint training; the buckets' shares of the log odds, and the bias."""
     number: dict[str, int] = {}
-    split = [[np.array([number.setdefault(w, len(number)) for w in p], np.int64) for p in passages(t)] for t in texts]
-    of_word = [np.array(subwords(w), np.int64) for w in number]
+    in_passages, lengths, sizes, seen = array("i"), array("i"), [], []
+    for text in texts:
+        split = passages(text)
+        lengths.extend(map(len, split))
+        ids = array("i", (number.setdefault(w, len(number)) for p in split for w in p))
+        in_passages.extend(ids)
+        sizes.append(len(split))
+        seen.append(np.unique(np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32)))
+    of_word = [np.array(subwords(w), np.int32) for w in number]
     in_texts = np.zeros(BUCKETS, np.int32)
-    for text in split:
-        seen = np.unique(np.concatenate(text))
-        if len(seen):
-            in_texts[np.unique(np.concatenate([of_word[w] for w in seen]))] += 1
-    buckets, own = np.flatnonzero(in_texts >= min(TEXTS, len(texts))), np.full(BUCKETS, -1, np.int64)
+    for ids in seen:
+        if len(ids):
+            in_texts[np.unique(np.concatenate([of_word[w] for w in ids]))] += 1
+    buckets, own = np.flatnonzero(in_texts >= min(TEXTS, len(texts))), np.full(BUCKETS, -1, np.int32)
     own[buckets] = np.arange(len(buckets))
-    parts = np.array([len(w) for w in of_word], np.float32)[:, None]
-    grams = _Bags([own[w][own[w] >= 0] for w in of_word], len(buckets))
-    bags = _Bags([p for text in split for p in text], len(number))
-    sizes = np.array([len(text) for text in split], np.int64)
-    starts, text_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(split)), sizes)
+    parts = np.array([len(w) for w in of_word], np.int64)
+    flat = own[np.concatenate([*of_word, np.zeros(0, np.int32)])]
+    with_vector = np.bincount(np.repeat(np.arange(len(parts)), parts)[flat >= 0], minlength=len(parts))
+    grams = _Bags(flat[flat >= 0], with_vector, len(buckets))
+    bags = _Bags(np.array(in_passages, np.int32), np.array(lengths, np.int64), len(number))
+    parts, sizes = parts.astype(np.float32)[:, None], np.array(sizes)
+    del of_word, flat, seen, in_passages, lengths
+    starts, text_of = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     clean = toxic[text_of] == 0
 
     rng = np.random.default_rng(0)
