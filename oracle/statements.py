@@ -255,6 +255,7 @@ from ({_META})
 STATEMENTS: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "play_source": _PLAY,
+    "play_array": _PLAY.replace("doc_id as ord", "row_number() over (order by doc_id) - 1 as ord"),
     "app_source": f"""
         select {rules.SOURCE_STRIDE} + doc_id as ord, 'as_' || case when doc_id % 5 <> 0 then 'r' || doc_id else cast(doc_id as varchar) end as id,
           'app_store' as source, {strip('text')} as text, cast(coalesce(case when doc_id % 7 <> 0 then doc_id % 6 end, 0) as double) as rating,

@@ -16,6 +16,7 @@ from voc.plans.samples import proposals
 from voc.schemas import CLEANED, RESULT_THEME, THEME_COLUMNS
 from voc.settings import DEFAULT, Settings
 from voc.sources import files, payloads, raw
+from voc.sources.json_array import write_json_array
 from voc.storage import materialize, scratch_path, spread
 
 LIST_SEP = " | "
@@ -107,6 +108,15 @@ def reddit_source(spark, sf):
     return _from_sources(spark, sf, reddit=_landed(spark, _reddit_items(spark, sf), "reddit"))
 
 
+def play_array(spark, sf):
+    """Reviews landed as JSON arrays, which many tasks read back; the place in the arrays is the position."""
+    path = scratch_path(spark, "play_array")
+    rows = payloads.play_records(_play_reviews(spark, sf)).repartitionByRange("pos").sortWithinPartitions("pos")
+    write_json_array(rows.drop("pos"), path)
+    missing = scratch_path(spark, "missing")
+    return raw.load_feedback(spark, path, missing, missing)
+
+
 def chosen_sources(spark, sf):
     """All three landed, two chosen."""
     loaded = raw.load_feedback(
@@ -760,7 +770,7 @@ def centroid_distances(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        play_source, app_source, reddit_source, chosen_sources, review_dates, feed_payload, library_payload,
+        play_source, play_array, app_source, reddit_source, chosen_sources, review_dates, feed_payload, library_payload,
         forum_payload, csv_files, unnumbered_sources, english_rows, source_counts, source_limits, search_terms, search_terms_once,
         ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_flags_raw, noise_states, fuzzy_duplicates, noise_filtered, noise_fallback, event_times,
         redacted_texts, paraphrases, cut_quotes, word_counts, list_items,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voc.schemas import RESULTS
+from voc.sources.json_array import read_json_array
 
 _CSV = dict(header=True, multiLine=True, quote='"', escape='"')
 
@@ -15,11 +16,11 @@ _CSV = dict(header=True, multiLine=True, quote='"', escape='"')
 def read_json(spark: SparkSession, path: str, schema: T.StructType, array_file: bool) -> DataFrame:
     """JSON rows of a schema; a path that does not exist gives an empty table.
 
-    ``array_file`` reads files that hold one JSON array each (a single task per file); otherwise one object per
-    line, which Spark splits among tasks.
+    ``array_file`` reads files that hold one JSON array each; otherwise there is one object per line. Either way Spark
+    splits large files among tasks.
     """
     try:
-        return spark.read.schema(schema).option("multiLine", array_file).json(path)
+        return read_json_array(spark, path, schema) if array_file else spark.read.schema(schema).json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -14,7 +14,7 @@ from voc.sources.files import read_json
 
 
 def _feedback(df: DataFrame, source: str, key: Column, **fields: Column) -> DataFrame:
-    """``ord`` = source rank * 2^60 + position in the load; array files are read in order by one task.
+    """``ord`` = source rank * 2^60 + position in the load, which array files give by their order.
 
     A row number is split * 2^33 + row, so 2^27 splits of a source fit; a position that does not fit is an error.
     """
