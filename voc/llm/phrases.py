@@ -257,7 +257,7 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: in
 
 
 def scored(counted: DataFrame, within: int = WITHIN) -> DataFrame:
-    """``lang, phrase, a, l, r, n, score`` of all candidates that no longer one holds."""
+    """``lang, phrase, a, l, r, score`` of all candidates that no longer one holds."""
     text = lambda words: F.array_join(words, " ")
     length = F.size("words")
     parts = counted.filter(length > 0).select("lang", text("words").alias("part"), F.col("f"))
@@ -278,16 +278,18 @@ def scored(counted: DataFrame, within: int = WITHIN) -> DataFrame:
     inner = inner.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)))
     inner = inner.groupBy("lang", text(F.slice("words", F.col("at"), F.col("size"))).alias("phrase")).agg(F.max("a").alias("longer"))
     held = _wide(F.col("longer")) * 100 >= _wide(F.col("a")) * within
-    totals = counted.filter(length == 0).select("lang", F.col("f").alias("n"))
     free = best.join(inner, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | ~held)
-    return free.join(totals, "lang").select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+    return free.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
 
 def phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, within: int = WITHIN, top: int = TOP) -> DataFrame:
     """The ``top`` phrases of each language: ``lang, rank, phrase, a, l, r, n, score``."""
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = scored(counts(docs, longest, least), within).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    counted = counts(docs, longest, least)
+    # every partition is cut to its first rows of each language before the shuffle
+    ranked = scored(counted, within).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    totals = counted.filter(F.size("words") == 0).select("lang", F.col("f").alias("n"))
+    return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 #: DuckDB SQL for ``phrases`` over the table ``documents``
