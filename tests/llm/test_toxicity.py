@@ -36,35 +36,40 @@ def model():
 
 def test_held_out_texts(model):
     held = [r for r in planted() if is_held(r[0])]
-    known = {}
-    got = np.array([model.score(t, known) >= 0.5 for _, t, _ in held])
+    got = np.array([model.score(t) >= 0.5 for _, t, _ in held])
     want = np.array([y == 1 for *_, y in held])
     assert (got & want).sum() >= 0.9 * want.sum() and (got & ~want).sum() <= 0.03 * (~want).sum()
 
 
 def test_misspellings_share_ngrams(model):
-    base = model.odds("the old harbour lies quiet", {})
+    base = model.odds("the old harbour lies quiet")
     for word in ("idiots", "idioot", "moronn", "wortthless", "disgustingly"):
-        assert model.odds(f"the old {word} harbour", {}) > base + 1, word
+        assert model.odds(f"the old {word} harbour") > base + 1, word
 
 
 def test_one_insult_counts_in_a_long_text(model):
     rng = random.Random(2)
     text = " ".join(rng.choice(PROSE) for _ in range(40_000))
-    assert model.score(text, {}) < 0.5 <= model.score(text + " you worthless idiot", {})
+    assert model.score(text) < 0.5 <= model.score(text + " you worthless idiot")
 
 
 def test_the_table_of_words_is_bounded(model, monkeypatch):
     texts = [" ".join(f"w{i}x{j}" for j in range(50)) + (" idiot" if i % 2 else "") for i in range(40)]
-    free = [model.score(t, {}) for t in texts]
+    free = [model.score(t) for t in texts]
     monkeypatch.setattr(tx, "KNOWN_WORDS", 64)
-    known, bounded = {}, []
+    model.known = None
+    bounded = []
     for t in texts:
-        bounded.append(model.score(t, known))
-        assert len(known) <= 64
+        bounded.append(model.score(t))
+        assert len(model.known) <= 64 + 51
     assert bounded == free
-    long = " ".join(f"v{j}" for j in range(300)) + " idiot"
-    assert model.score(long, {}) == pytest.approx(model.score(long, {}))
+
+
+def test_passages_count_words_once(model):
+    share = {w: model.odds(f"{w}") - model.bias for w in ("idiot", "harbour", "the")}
+    for text in ("idiot idiot", "the harbour idiot idiot the", "Harbour THE idiot"):
+        want = max(sum(share[w] for w in p) for p in tx.passages(tx.words(text))) + model.bias
+        assert model.odds(text) == pytest.approx(want)
 
 
 def test_training_does_not_depend_on_the_order():
@@ -72,7 +77,7 @@ def test_training_does_not_depend_on_the_order():
     a = tx.train([r[1] for r in rows], [r[2] for r in rows])
     rows.reverse()
     b = tx.train([r[1] for r in rows], [r[2] for r in rows])
-    assert a.odds("an idiot on the pier", {}) == b.odds("an idiot on the pier", {}) and (a.slope, a.base) == (b.slope, b.base)
+    assert a.odds("an idiot on the pier") == b.odds("an idiot on the pier") and (a.slope, a.base) == (b.slope, b.base)
 
 
 @pytest.mark.parametrize("at_once", [1, 3, 100])

@@ -11,7 +11,8 @@ passages of a toxic text share its label; then the passages with the largest log
 than ``TEXTS`` sampled texts have no vector. A fifth of the sample takes no part in this; a logistic fit on it turns the
 largest log odds of a text into its probability.
 
-Since the softmax is linear, a scored word needs only its share of the log odds, which is kept per word in a bounded table.
+Since the softmax is linear, a scored word needs only its share of the log odds. A worker keeps the shares of the words it
+meets, and starts anew before a text once they are more than ``KNOWN_WORDS``.
 
 Rows: null, empty and wordless texts have one passage without words; a text's score depends on the text alone; a null
 ``doc_id`` is never learnt from and never held out. A repeated ``doc_id`` lends its smallest text to the sample, contrary
@@ -49,8 +50,8 @@ def words(text: str | None) -> list[str]:
 def subwords(word: str) -> list[int]:
     """Buckets of the word with its borders and of its n-grams."""
     bound = f"<{word}>"
-    parts = {bound, *(bound[i : i + n] for n in NGRAMS for i in range(len(bound) - n + 1))}
-    return sorted(xxhash.xxh32_intdigest(p) % BUCKETS for p in parts)
+    parts = {bound: None} | {bound[i : i + n]: None for n in NGRAMS for i in range(len(bound) - n + 1)}
+    return [xxhash.xxh32_intdigest(p) % BUCKETS for p in parts]
 
 
 def passages(found: list[str]) -> list[list[str]]:
@@ -58,6 +59,19 @@ def passages(found: list[str]) -> list[list[str]]:
     return [list(dict.fromkeys(found[i : i + PASSAGE])) for i in range(0, len(found), PASSAGE)] or [[]]
 
 
+class _Known(dict):
+    """Words by number; ``shares`` has what each adds to the log odds. Filled as words are asked for."""
+
+    def __init__(self, of_bucket: np.ndarray):
+        self.of_bucket, self.shares = memoryview(of_bucket), array("d")
+
+    def __missing__(self, word: str) -> int:
+        buckets = subwords(word)
+        self.shares.append(sum(map(self.of_bucket.__getitem__, buckets)) / len(buckets))
+        self[word] = len(self)
+        return len(self) - 1
+
+
 @dataclass
 class Model:
     """``shares``: what each bucket adds to the log odds of a passage; ``slope``, ``base``: from log odds to those of the text."""
@@ -66,26 +80,29 @@ class Model:
     bias: float
     slope: float
     base: float
+    known: _Known | None = None
 
-    def odds(self, text: str | None, known: dict[str, float]) -> float:
+    def odds(self, text: str | None) -> float:
         """The log odds of the text's most toxic passage."""
-        found, shares = words(text), self.shares
-        for word in set(found):
-            if word not in known:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                    return self.odds(text, known) if len(set(found)) < KNOWN_WORDS else self._long(found)
-                buckets = subwords(word)
-                known[word] = float(shares[buckets].sum()) / len(buckets)
-        return max(sum(known[w] for w in p) for p in passages(found)) / PASSAGE + self.bias
-
-    def _long(self, found: list[str]) -> float:
-        """For a text with more different words than the table holds: passage by passage."""
-        step = PASSAGE * (KNOWN_WORDS // (2 * PASSAGE))
-        return max(self.odds(" ".join(found[i : i + step]), {}) for i in range(0, len(found), step))
-
-    def score(self, text: str | None, known: dict[str, float]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.odds(text, known) + self.base, -30, 30))))
+        if self.known is None or len(self.known) > KNOWN_WORDS:
+            self.known = _Known(self.shares)
+        found = words(text)
+        if not found:
+            return self.bias
+        ids = np.full(-(-len(found) // PASSAGE) * PASSAGE, -1, np.int64)
+        ids[: len(found)] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        values = np.frombuffer(self.known.shares)[ids]
+        values[ids < 0] = 0
+        ids, values = ids.reshape(-1, PASSAGE), values.reshape(-1, PASSAGE)
+        for i in range(1, PASSAGE):   # a word counts once in a passage
+            values[(ids[:, :i] == ids[:, i : i + 1]).any(axis=1), i] = 0
+        return float(values.sum(axis=1).max()) / PASSAGE + self.bias
+
+    def score(self, text: str | None) -> float:
+        return float(_logistic(self.slope * self.odds(text) + self.base))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
 
 class _Bags:
@@ -206,9 +223,9 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     turn = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
     aside = (turn % FOLDS == 0) if min(y.sum(), (1 - y).sum()) >= 2 * FOLDS else np.zeros(len(y), bool)
     shares, bias = _embeddings([t for t, a in zip(split, aside) if not a], y[~aside])
-    model, known = Model(shares, bias, 1.0, 0.0), {}
+    model = Model(shares, bias, 1.0, 0.0)
     if aside.any():
-        odds = np.array([model.odds(r[1], known) for r, a in zip(rows, aside) if a])
+        odds = np.array([model.odds(r[1]) for r, a in zip(rows, aside) if a])
         model.slope, model.base = _fit_line(odds, y[aside])
     return model
 
@@ -237,9 +254,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = shared.value, {}
+        of = shared.value
         for batch in batches:
-            scores = np.array([of.score(t.as_py(), known) for t in batch.column(2)], np.float64)
+            scores = np.array([of.score(t.as_py()) for t in batch.column(2)], np.float64)
             columns = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.record_batch(columns, names=["doc_id", "held_out", "score", "predicted"])
 
