@@ -252,6 +252,31 @@ select '=== {DEFAULT.brand.upper()} CUSTOMER FEEDBACK CORPUS CONTEXT ===' || chr
 from ({_META})
 """
 
+# links join by weight one after the other: ``part`` has the part of every vector
+_FOREST = """
+with recursive near as materialized (
+  select u, v, d from (
+    select a.vec_id as u, b.vec_id as v, round(1 - round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9), 9) as d,
+      row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as place
+    from embeddings a join embeddings b on a.vec_id <> b.vec_id) where place <= 15
+), core as materialized (select u, max(d) as core from near group by 1),
+links as materialized (
+  select least(n.u, n.v) as u, greatest(n.u, n.v) as v, min(greatest(d, cu.core, cv.core)) as w
+  from near n join core cu on cu.u = n.u join core cv on cv.u = n.v group by 1, 2
+), numbered as materialized (
+  select l.*, row_number() over (order by w, u, v) as i from links l
+), nodes as (select list(vec_id order by vec_id) as ids from embeddings),
+placed as materialized (select i, w, list_position(ids, u) as a, list_position(ids, v) as b from numbered, nodes),
+steps as (
+  select cast(0 as bigint) as i, (select list_transform(ids, lambda x, j: j) from nodes) as part, cast(0 as bigint) as kept, cast(0 as double) as weight
+  union all
+  select p.i, case when part[a] = part[b] then part else list_transform(part, lambda x: case when x = part[a] then part[b] else x end) end,
+    kept + (part[a] <> part[b])::bigint, weight + case when part[a] <> part[b] then w else 0 end
+  from steps s join placed p on p.i = s.i + 1
+)
+select (select count(*) from links) as links, kept, round(weight, 6) as weight from steps order by i desc limit 1
+"""
+
 STATEMENTS: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "play_source": _PLAY,
@@ -428,6 +453,12 @@ STATEMENTS: dict[str, str] = {
     # ---------------------------------------------------------------- vectors
     "cluster_number": "select source, least(12, greatest(4, count(*) // 30)) as k from documents group by 1",
     "centroid_distances": _CENTROIDS,
+    "exact_neighbours": """select vec_id, row_number() over (partition by vec_id order by cosine desc, neighbour) as rank, neighbour, round(cosine, 6) as cosine
+        from (select q.vec_id, v.vec_id as neighbour, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as cosine
+              from embeddings q join embeddings v on v.vec_id <> q.vec_id where q.vec_id % 100 = 0)
+        qualify rank <= 15""",
+    "neighbour_recall": "select count_if(vec_id % 100 = 0) as queries, count_if(vec_id % 100 = 0) * 15 as neighbours, true as enough from embeddings",
+    "mutual_forest": _FOREST,
     "unnumbered_sources": (
         "select * from (values ('play_store', 1), ('app_store', 2), ('reddit', 3)) as s(source, place), "
         "(select count(*) as n, count(*) as positions, true as after_the_last from documents)"),

@@ -9,7 +9,9 @@ from voc import rules, wording as w
 from voc.functions import scores
 from voc.functions.classify import is_spam, noise_state
 from voc.functions.text import clean_text, cut, event_time, paraphrase, redact, split_list, word_count
-from voc.operators import clusters, dashboard, extraction, feedback, keywords, near, note, pii, report, themes, vectors
+from voc.operators import (
+    clusters, dashboard, density, extraction, feedback, forest, keywords, near, neighbours, note, pii, report, themes, vectors,
+)
 from voc.plans import theme_report
 from voc.plans.feedback_view import feedback_view, table
 from voc.plans.samples import proposals
@@ -767,6 +769,36 @@ def centroid_distances(spark, sf):
     return out.select("vec_id", *big("label"), "own_cosine", "best_cosine", *big("nearest"))
 
 
+def exact_neighbours(spark, sf):
+    """The 15 nearest vectors of every hundredth one, from all cells of the index."""
+    found = neighbours.neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, probes=None)
+    return found.select(F.col("key").alias("vec_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+def near_neighbours(spark, sf):
+    """As ``exact_neighbours``, from as many cells as the tuning finds enough."""
+    found = neighbours.neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    return found.select(F.col("key").alias("vec_id"), "rank", "neighbour", F.round("cosine", 6).alias("cosine"))
+
+
+def neighbour_recall(spark, sf):
+    row = neighbours.recall(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+    return row.select("queries", "neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("enough"))
+
+
+def mutual_forest(spark, sf):
+    """The spanning forest of the mutual reachability links of all vectors: links, forest links and its weight."""
+    near = neighbours.neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding", probes=None)
+    links = density.mutual_links(near)
+    kept, _ = forest.spanning_forest(links)
+    kept = kept.agg(F.count("*").alias("kept"), F.round(F.sum("w"), 6).alias("weight"))
+    return kept.withColumn("links", links.agg(F.count("*")).scalar())
+
+
+def density_clusters(spark, sf):
+    return density.density_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -785,5 +817,6 @@ QUERIES = {
         pii_findings, pii_feedback, gate_documents, pii_gate, redact_rescan,
         note_rows, weekly_note, note_json, long_note, note_gate,
         text_vectors, tfidf_weights, text_kmeans, kmeans_check, cluster_number, centroid_distances,
+        exact_neighbours, near_neighbours, neighbour_recall, mutual_forest, density_clusters,
     )
 }
