@@ -280,6 +280,9 @@ select (select count(*) from links) as links, kept, round(weight, 6) as weight f
 STATEMENTS: dict[str, str] = {
     # ---------------------------------------------------------------- sources
     "play_source": _PLAY,
+    "two_loads": """select doc_id, doc_id % 2 + 1 as load from documents where text is null
+        union all select doc_id, load from (select doc_id, doc_id % 2 + 1 as load, row_number() over (partition by text order by doc_id % 2, doc_id) as place
+            from documents where text is not null) where place = 1""",
     "play_array": _PLAY.replace("doc_id as ord", "row_number() over (order by doc_id) - 1 as ord"),
     "app_source": f"""
         select {rules.SOURCE_STRIDE} + doc_id as ord, 'as_' || case when doc_id % 5 <> 0 then 'r' || doc_id else cast(doc_id as varchar) end as id,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from voc import rules
 from voc.operators import clusters, extraction, feedback, note, pii, report
+from voc.operators.loads import Loads
 from voc.plans import theme_report
 from voc.schemas import CLEANED, FEEDBACK
 from voc.settings import DEFAULT, Settings
@@ -24,13 +25,19 @@ from voc.storage import drop_scratch, materialize
 
 
 def analyse(
-    spark: SparkSession, play: str, app: str, reddit: str, out: str, settings: Settings = DEFAULT, array_files: bool = True
+    spark: SparkSession, play: str, app: str, reddit: str, out: str, settings: Settings = DEFAULT, array_files: bool = True,
+    loads: str | None = None,
 ) -> bool:
-    """Unified and filtered CSV, results as CSV, JSON and Markdown, rule themes as JSON. False if nothing was loaded."""
+    """Unified and filtered CSV, results as CSV, JSON and Markdown, rule themes as JSON. False if nothing was loaded.
+
+    ``loads`` names a store of earlier loads: texts that one of them had are left out, and this load's are added at the end.
+    """
     loaded = load_feedback(spark, play, app, reddit, settings, array_files)
     limits = {"play_store": settings.play_limit, "app_store": settings.app_store_limit}
     limits = {source: n for source, n in limits.items() if n is not None}
-    unified = materialize(feedback.ingest(feedback.limit_per_source(loaded, limits)).select(*FEEDBACK.fieldNames()), "unified")
+    rows = feedback.ingest(feedback.limit_per_source(loaded, limits)).select(*FEEDBACK.fieldNames())
+    store = Loads(spark, loads) if loads else None
+    unified = materialize(store.new_rows(rows) if store else rows, "unified")
     if unified.isEmpty():
         return False
     files.write_csv(unified, f"{out}/unified.csv")
@@ -48,6 +55,8 @@ def analyse(
 
     tagged = extraction.tagged(filtered, theme_rules)
     files.write_document(extraction.extraction_document(filtered, tagged, theme_rules), f"{out}/themes_by_rule.json")
+    if store:
+        store.commit()
     return True
 
 
@@ -77,6 +86,7 @@ def main() -> None:
     one.add_argument("--lines", action="store_true", help="inputs hold one JSON object per line")
     one.add_argument("--play-limit", type=int, default=DEFAULT.play_limit)
     one.add_argument("--app-limit", type=int, default=DEFAULT.app_store_limit)
+    one.add_argument("--loads", help="folder of the store of earlier loads' texts")
     one.add_argument("--sources", default=",".join(DEFAULT.sources))
     two.add_argument("--results", required=True)
     for job in (one, two):
@@ -95,7 +105,7 @@ def main() -> None:
             brand=args.brand, brand_terms=terms, play_limit=args.play_limit, app_store_limit=args.app_limit,
             sources=tuple(s.strip() for s in args.sources.split(",") if s.strip()),
         )
-        done = analyse(spark, args.play, args.app, args.reddit, args.out, settings, not args.lines)
+        done = analyse(spark, args.play, args.app, args.reddit, args.out, settings, not args.lines, args.loads)
     else:
         done = weekly(spark, args.results, args.out, dt.date.today(), Settings(brand=args.brand, brand_terms=terms))
     drop_scratch(spark)

@@ -12,6 +12,7 @@ from voc.functions.text import clean_text, cut, event_time, paraphrase, redact,
 from voc.operators import (
     clusters, dashboard, density, extraction, feedback, forest, keywords, near, neighbours, note, pii, report, themes, vectors,
 )
+from voc.operators.loads import Loads
 from voc.plans import theme_report
 from voc.plans.feedback_view import feedback_view, table
 from voc.plans.samples import proposals
@@ -119,6 +120,18 @@ def play_array(spark, sf):
     return raw.load_feedback(spark, path, missing, missing)
 
 
+def two_loads(spark, sf):
+    """Every second document as a first load, the others as a second one against the first one's store."""
+    path, kept = scratch_path(spark, "loads"), []
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "text")
+    for number in (1, 2):
+        load = Loads(spark, path)
+        new = load.new_rows(rows.filter(F.pmod("ord", F.lit(2)) == number - 1)).select("ord", F.lit(number).cast("bigint").alias("load"))
+        kept.append(materialize(new, "load"))
+        load.commit()
+    return kept[0].unionByName(kept[1]).select(F.col("ord").alias("doc_id"), "load")
+
+
 def chosen_sources(spark, sf):
     """All three landed, two chosen."""
     loaded = raw.load_feedback(
@@ -802,7 +815,7 @@ def density_clusters(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        play_source, play_array, app_source, reddit_source, chosen_sources, review_dates, feed_payload, library_payload,
+        play_source, play_array, two_loads, app_source, reddit_source, chosen_sources, review_dates, feed_payload, library_payload,
         forum_payload, csv_files, unnumbered_sources, english_rows, source_counts, source_limits, search_terms, search_terms_once,
         ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_flags_raw, noise_states, fuzzy_duplicates, noise_filtered, noise_fallback, event_times,
         redacted_texts, paraphrases, cut_quotes, word_counts, list_items,
