@@ -423,6 +423,16 @@ STATEMENTS: dict[str, str] = {
     "markdown_report": with_tables(_MARKDOWN, "themes"),
     "chat_context": with_tables(_CONTEXT, "themes"),
     "last_messages": "select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn desc) as back from conversations qualify back <= 5",
+    "ranked_search": """with w as (select doc_id, {0} as w from (select doc_id, text as cleaned_text from documents)),
+        stats as (select count(*) as n, sum(coalesce(len(w), 0)) / count(*) as average from w),
+        tf as (select doc_id, len(w) as size, unnest(w) as term from w), tfs as materialized (select doc_id, any_value(size) as size, term, count(*) as tf from tf group by doc_id, term),
+        df as (select term, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) as idf from tfs, stats group by term),
+        q as (select distinct conv_id, unnest({0}) as term from (select conv_id, text as cleaned_text from conversations
+          qualify row_number() over (partition by conv_id order by turn desc) = 1)),
+        scored as (select conv_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / average))), 9) as score
+          from q join df using (term) join tfs using (term), stats group by conv_id, doc_id)
+        select conv_id, row_number() over (partition by conv_id order by score desc, doc_id) as rank, doc_id, round(score, 6) as score
+        from scored qualify rank <= 10""".format(_TOKENS),
     "last_query": "select * from conversations qualify row_number() over (partition by conv_id order by turn desc) = 1",
     "bucket_counts": with_tables(f"select {_bucket('a')} as bucket, count(*) as n from (select {_PROPOSED_ACTION} as a from proposals) group by 1", "proposals"),
     "theme_search": with_tables(

@@ -10,7 +10,8 @@ from voc.functions import scores
 from voc.functions.classify import is_spam, noise_state
 from voc.functions.text import clean_text, cut, event_time, paraphrase, redact, split_list, word_count
 from voc.operators import (
-    clusters, dashboard, density, extraction, feedback, forest, keywords, near, neighbours, note, pii, report, themes, vectors,
+    clusters, dashboard, density, extraction, feedback, forest, keywords, near, neighbours, note, pii, report, search, themes,
+    vectors,
 )
 from voc.operators.loads import Loads
 from voc.plans import theme_report
@@ -644,6 +645,13 @@ def last_query(spark, sf):
     return dashboard.last_query(table(spark, sf, "conversations"))
 
 
+def ranked_search(spark, sf):
+    """The ten best documents for the last message of every conversation."""
+    index = search.build(table(spark, sf, "documents"), "doc_id", "text")
+    found = search.search(index, dashboard.last_query(table(spark, sf, "conversations")), "conv_id", "text")
+    return found.select(F.col("query").alias("conv_id"), "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def _proposed_actions(spark, sf):
     act = scores.action(F.col("relevance"), F.col("prev"), F.col("sig"))
     return proposals(spark, sf).withColumns({
@@ -825,7 +833,7 @@ QUERIES = {
         counter_evidence, evidence_quotes, confidence, reasoning_traces, critic_rules, heuristic_labels, label_prompts,
         question_prompts, reply_parsing,
         actions, scored_themes, themes_same_name, theme_renames, themes_standing, ranked_themes, theme_insights,
-        results_table, results_metadata, results_document, markdown_report, chat_context, last_messages, last_query,
+        results_table, results_metadata, results_document, markdown_report, chat_context, last_messages, last_query, ranked_search,
         bucket_counts, theme_search, theme_by_title, theme_badges, theme_policies,
         pii_findings, pii_feedback, gate_documents, pii_gate, redact_rescan,
         note_rows, weekly_note, note_json, long_note, note_gate,
