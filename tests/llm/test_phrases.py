@@ -74,20 +74,22 @@ def test_blocks_of_words_do_not_matter(spark):
     assert whole == Counter(" ".join(r.lower().replace(",", " ") for r in rows if r).split())
 
 
-def test_pair_counters_saturate_and_add_up(spark):
-    docs = spark.createDataFrame([("en", "a b " * 400)] * 3 + [("en", "c d")] * 7, "lang string, text string").repartition(4)
-    sc = spark.sparkContext
-    known = sc.broadcast(np.full(128, 255, np.uint8))
-    size = 1 << 13
+def test_counters_saturate_and_add_up(spark):
+    docs = spark.createDataFrame([("en", "a b " * 400)] * 3 + [("en", "c d e")] * 7, "lang string, text string").repartition(4)
+    known, size = spark.sparkContext.broadcast(np.full(128, 255, np.uint8)), 1 << 13
+
+    def has(bits, words):
+        mixed = ph._hashes("en", [words[0].encode()])
+        for w in words[1:]:
+            mixed = ph._mixed(mixed, ph._hashes("en", [w.encode()]))
+        return bool(ph._has(bits, ph._cells(mixed, size))[0])
+
     for least, want in ((7, {"ab", "ba", "cd"}), (8, {"ab", "ba"}), (1000, {"ab", "ba"})):
-        bits = ph.pair_filter(docs, known, 4 * size, least, size)
-        assert len(bits) * 8 == size
-        found = set()
-        for pair in ("ab", "ba", "cd", "bc", "da"):
-            h = ph._hashes("en", [c.encode() for c in pair])
-            found |= {pair} if ph._has(bits, ph._pair_places(h[:1], h[1:], size))[0] else set()
-        assert found == want
-    assert ph.pair_filter(docs, known, 10 * size, 5, size) is None
+        bits = ph.prefix_filter(docs, known, [], range(2, 3), 4, 4 * size, least, size)
+        assert len(bits) * 8 == size and {p for p in ("ab", "ba", "cd", "bc", "da") if has(bits, p)} == want
+        long = ph.prefix_filter(docs, known, [bits], range(3, 5), 4, 4 * size, least, size)
+        assert {p for p in ("aba", "abab", "cde", "abc", "bcd") if has(long, p)} == ({"aba", "abab"} | ({"cde"} if least == 7 else set()))
+    assert ph.prefix_filter(docs, known, [], range(2, 3), 4, 10 * size, 5, size) is None
 
 
 def test_sql_gives_the_same_rows(spark):

@@ -4,11 +4,12 @@ Every word of a piece begins one window: its word and the ``longest`` - 1 words
 ends. Only these windows are counted; a ROLLUP over their columns sums them to all shorter prefixes, which are the counts of
 all shorter phrases, and to the number of words of a language. Shorter phrases are never enumerated.
 
-A phrase that is frequent enough holds frequent words only, and neighbours in it that are frequent as a pair. So a window is
-padded from its first rare word or pair on: the words are counted first and become a bit filter of at most ``FILTER_BITS``;
-pairs of the words it lets through add to an array of at most ``PAIR_CELLS`` saturating counters, a pair's place being a hash.
-Both go to all tasks. What they let through wrongly is counted and thrown away by its count, so their sizes bear on the work
-only: beyond some ``least * PAIR_CELLS`` words the counters rule nothing out and are left away.
+What is frequent enough has frequent parts, so a window is padded from where its prefix is too rare on. The words are counted
+first and become a bit filter of at most ``FILTER_BITS``. Then prefixes are added, by a hash, to arrays of at most ``CELLS``
+saturating counters: first the pairs of words the filter lets through, then the longer prefixes of windows whose pairs may be
+frequent. The bits of the counters that reach ``least`` go to all tasks. What they let through wrongly is counted and thrown
+away by its count, so their sizes bear on the work only: beyond some ``least * CELLS`` words counters rule little out and are
+left away.
 
 A candidate is cut in two at each place; the parts' counts give a score, the lowest one holds. Candidates that lie in a longer
 one with nearly all their occurrences go. Counts are exact; products are decimals of 38 digits.
@@ -34,7 +35,7 @@ from voc.storage import materialize
 LONGEST, LEAST, WITHIN, TOP = 4, 30, 80, 2000
 SCALE = 2_000_000
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
-PAIR_CELLS, CHUNK, FULL = 1 << 26, 4096, 255   # counters for pairs, how many travel together, where they stop
+CELLS, CHUNK, FULL = 1 << 26, 4096, 255        # counters for prefixes, how many travel together, where they stop
 SALTS = 8                 # parts that the candidates of one word are dealt to
 WORDS = 1 << 20           # words of texts windowed at once, one text at least
 UNKNOWN = "und"
@@ -107,10 +108,14 @@ def _places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
     return [(hashes + np.uint64(i) * step) & np.uint64(size - 1) for i in range(FILTER_HASHES)]
 
 
-def _pair_places(first: np.ndarray, second: np.ndarray, size: int) -> np.ndarray:
-    """The counter of each pair of hashed words; ``size`` is a power of two."""
-    mixed = first * np.uint64(0x9E3779B97F4A7C15) ^ (second << np.uint64(31) | second >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mixed >> np.uint64(65 - size.bit_length())
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of a prefix and the word behind it."""
+    return first * np.uint64(0x9E3779B97F4A7C15) ^ (second << np.uint64(31) | second >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _cells(hashes: np.ndarray, size: int) -> np.ndarray:
+    """The counters of hashed prefixes; ``size`` is a power of two."""
+    return hashes >> np.uint64(65 - size.bit_length())
 
 
 def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -146,8 +151,39 @@ def _word_mask(lang: str, texts: _Numbered, known: np.ndarray) -> tuple[np.ndarr
     return hashes, good
 
 
-def pair_filter(texts: DataFrame, known, words: int, least: int, cells: int = PAIR_CELLS) -> np.ndarray | None:
-    """Bits of the counters that reach ``least``, over pairs of neighbouring words that ``known`` lets through.
+def _behind(column: np.ndarray, k: int) -> np.ndarray:
+    """What stands k places further on."""
+    return np.append(column[k:], np.zeros(min(k, len(column)), column.dtype))
+
+
+def _leads(lang: str, texts: _Numbered, known: np.ndarray, filters: list[np.ndarray | None], longest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns of all windows, 0 where they are padded, and the hashes of their prefixes.
+
+    ``filters``: for pairs and for longer prefixes; none, or None, lets all through.
+    """
+    hashes, good = _word_mask(lang, texts, known)
+    ids = texts.numbers()
+    word = np.where(good[ids], ids, 0)
+    own = hashes[word]
+    lead, mixed = [word], [own]
+    joined = (word > 0) & (_behind(word, 1) > 0)
+    if filters and filters[0] is not None:
+        at = np.flatnonzero(joined)
+        joined[at] = _has(filters[0], _cells(_mixed(own[at], own[at + 1]), 8 * len(filters[0])))
+    alive = word > 0
+    for k in range(1, longest):
+        alive = alive & _behind(joined, k - 1)
+        mixed.append(_mixed(mixed[-1], _behind(own, k)))
+        if k > 1 and len(filters) > 1 and filters[1] is not None:
+            at = np.flatnonzero(alive)
+            alive[at] = _has(filters[1], _cells(mixed[-1][at], 8 * len(filters[1])))
+        lead.append(np.where(alive, _behind(word, k), 0))
+    there = ids > 0
+    return [c[there] for c in lead], [m[there] for m in mixed]
+
+
+def prefix_filter(texts: DataFrame, known, filters: list, sizes: range, longest: int, words: int, least: int, cells: int = CELLS) -> np.ndarray | None:
+    """Bits of the counters that reach ``least``, over the prefixes of ``sizes`` words that earlier filters let through.
 
     None where about ``words`` words would fill all counters.
     """
@@ -155,16 +191,16 @@ def pair_filter(texts: DataFrame, known, words: int, least: int, cells: int = PA
     if words > least * size:
         return None
     reach = min(least, FULL)
+    sent = texts.sparkSession.sparkContext.broadcast(filters)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(size, np.uint8)
         for of in _numbered(batches):
             for lang, some in of.items():
-                hashes, good = _word_mask(lang, some, known.value)
-                ids = some.numbers()
-                both = good[ids[:-1]] & good[ids[1:]]
-                at, n = np.unique(_pair_places(hashes[ids[:-1][both]], hashes[ids[1:][both]], size), return_counts=True)
-                counters[at] = np.minimum(counters[at] + n, FULL)
+                lead, mixed = _leads(lang, some, known.value, sent.value, longest)
+                for k in sizes:
+                    at, n = np.unique(_cells(mixed[k - 1][lead[k - 1] > 0], size), return_counts=True)
+                    counters[at] = np.minimum(counters[at] + n, FULL)
         chunks = counters.reshape(-1, CHUNK)
         for i in np.flatnonzero(chunks.any(axis=1)).tolist():
             yield pa.record_batch([pa.array([i]), pa.array([chunks[i].tobytes()])], names=["chunk", "counters"])
@@ -180,32 +216,19 @@ def pair_filter(texts: DataFrame, known, words: int, least: int, cells: int = PA
 
     rows = texts.mapInArrow(counted, "chunk bigint, counters binary").repartition("chunk")
     out = np.zeros((size // CHUNK, CHUNK // 8), np.uint8)
-    # at most PAIR_CELLS / CHUNK rows of CHUNK / 8 bytes
+    # at most CELLS / CHUNK rows of CHUNK / 8 bytes
     for chunk, bits in rows.mapInArrow(added, "chunk bigint, bits binary").toLocalIterator():
         out[chunk] = np.frombuffer(bits, np.uint8)
     return out.ravel()
 
 
-def _windows(longest: int, known, pairs):
+def _windows(longest: int, known, filters):
     """``lang, key, n``: counted windows, the words of one joined by spaces; the empty window stands for rare first words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = pairs.value
         for of in _numbered(batches):
             for lang, texts in of.items():
-                hashes, good = _word_mask(lang, texts, known.value)
-                ids = texts.numbers()
-                word = np.where(good[ids], ids, 0)
-                on = np.zeros(len(ids), bool)       # whether a window goes on behind a place
-                on[:-1] = (word[:-1] > 0) & (word[1:] > 0)
-                if common is not None:
-                    at = np.flatnonzero(on)
-                    on[at] = _has(common, _pair_places(hashes[word[at]], hashes[word[at + 1]], 8 * len(common)))
-                lead = [word]
-                for _ in range(1, longest):
-                    # the window of the next place, one word shorter, goes behind this place's word
-                    lead.append(np.where(on, np.append(lead[-1][1:], 0), 0))
-                lead = [column[ids > 0] for column in lead]
+                lead, _ = _leads(lang, texts, known.value, filters.value, longest)
                 order = np.lexsort(lead)
                 lead = [column[order] for column in lead]
                 new = np.zeros(len(order), bool)
@@ -229,7 +252,7 @@ def _wide(x: Column) -> Column:
     return x.cast("decimal(38,0)")
 
 
-def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = FILTER_BITS, cells: int = PAIR_CELLS) -> DataFrame:
+def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = FILTER_BITS, cells: int = CELLS) -> DataFrame:
     """``lang, words, f``: the phrases of up to ``longest`` words with their counts of at least ``least``.
 
     ``words`` is an array; the empty one has the number of all words of the language.
@@ -239,8 +262,10 @@ def counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: in
     totals = texts.mapInArrow(_word_counts, "lang string, key string, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     common = materialize(totals.filter(F.col("n") >= least), "common_words")
     known = send(frequent_filter(common, bits))
-    pairs = send(pair_filter(texts, known, common.agg(F.sum("n")).first()[0] or 0, least, cells))
-    rows = texts.mapInArrow(_windows(longest, known, pairs), "lang string, key string, n bigint")
+    size, filters = common.agg(F.sum("n")).first()[0] or 0, []
+    for sizes in (range(2, 3), range(3, longest + 1)):
+        filters = [*filters, prefix_filter(texts, known, filters, sizes, longest, size, least, cells)]
+    rows = texts.mapInArrow(_windows(longest, known, send(filters)), "lang string, key string, n bigint")
     windows = materialize(rows.groupBy("lang", "key").agg(F.sum("n").alias("n")), "windows")
     split = F.split("key", " ")
     lead = [F.coalesce(F.get(split, F.lit(k)), F.lit("")).alias(f"w{k}") for k in range(longest)]
