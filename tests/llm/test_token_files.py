@@ -7,10 +7,12 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from voc.llm import rans, token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)   # as the library comes, apart from the operator's own object
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, rans.LANES, rans.LANES + 1, 70_000, rans.BLOCK])
@@ -34,9 +36,8 @@ def test_coded_size_is_near_the_entropy():
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("ab cd\n\té中1.!'s\x1c \xa0😀\x00"), max_size=40), max_size=20))
 def test_ids_equal_the_library(texts):
-    own = token_files.encoder(PATH)
-    found = own.encode(pa.array(texts, pa.string()))
-    assert [f.tolist() for f in found] == [own.library.encode(t, add_special_tokens=False).ids for t in texts]
+    found = token_files.encoder(PATH).encode(pa.array(texts, pa.string()))
+    assert [f.tolist() for f in found] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_words_and_marks_equal_the_library():
@@ -44,16 +45,19 @@ def test_words_and_marks_equal_the_library():
     parts = ["the", "ing", "a", " ", " ", " ", "  ", "\n", ".", ",", "'s", "12", "<|endoftext|>", "é", "\xa0", "#"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(3_000)]
     found = [f.tolist() for low in range(0, 3_000, 500) for f in own.encode(pa.array(texts[low : low + 500]))]
-    assert found == [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert found == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    quoting = "a page that quotes <|endoftext|> in its text"
+    ids = own.encode(pa.array([quoting]))[0].tolist()
+    assert ids == LIBRARY.encode(quoting, add_special_tokens=False).ids and LIBRARY.token_to_id("<|endoftext|>") in ids
 
 
 def test_files_hold_every_document(spark, odd_docs, odd_rows, monkeypatch):
     stretches = token_files.write(odd_docs, PATH, 0)
     got = sorted(map(tuple, token_files.read(stretches).collect()), key=lambda r: r[1])
-    own, expected, start = token_files.encoder(PATH), [], 0
+    expected, start = [], 0
     ordered = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     for row in ordered:
-        ids = np.append(np.array(own.library.encode(row[1] or "", add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4")
+        ids = np.append(np.array(LIBRARY.encode(row[1] or "", add_special_tokens=False).ids, "<u4"), np.uint32(0)).astype("<u4")
         expected.append((row[0], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == expected

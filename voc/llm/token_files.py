@@ -43,7 +43,8 @@ class Encoder:
 
     The library's split begins anew at a blank or line feed that has no white space beside it. A text in which that holds for
     all of them has the ids of its words in turn, and each different word is encoded once. Other texts are encoded whole:
-    they show by a word that is empty or begins or ends with white space.
+    they show by a word that is empty or begins or ends with white space. So are texts that hold an added token's string,
+    which the library finds in texts too.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.feed = self._whole(["\n"])[0]
         self.blank = np.zeros(self.library.get_vocab_size(), bool)
         self.blank[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.startswith("Ġ")]] = True
@@ -85,6 +86,7 @@ class Encoder:
         out = list(map(known.get, words))
         gaps = [i for i, ids in enumerate(out) if ids is None]
         gaps = [i for i in gaps if words[i] and not words[i][0].isspace() and not words[i][-1].isspace()]
+        gaps = [i for i in gaps if not any(a in words[i] for a in self.added)]
         new = [words[i] for i in gaps]
         for i, word, ids in zip(gaps, new, self._words(new, before)):
             out[i] = known[word] = ids
@@ -119,7 +121,10 @@ class Encoder:
         tokens = flat[np.repeat(place[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[starts]
         out = [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
-        whole = np.unique(np.searchsorted(starts, np.flatnonzero(odd[at]), "right") - 1).tolist()
+        whole = np.searchsorted(starts, np.flatnonzero(odd[at]), "right") - 1
+        for added in self.added:
+            whole = np.append(whole, np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)))
+        whole = np.unique(whole).tolist()
         for i, data in zip(whole, self._whole([texts[i].as_py() for i in whole]) if whole else ()):
             out[i] = np.frombuffer(data, "<u4")
         return out
