@@ -53,3 +53,20 @@ def test_query_columns(odd_docs, odd_rows, no_docs):
     assert got == sorted(expected, key=repr)
     assert bpe_tree.digests(no_docs, PATH).collect() == []
     assert bpe_tree.encoded(odd_docs, PATH, keep=("doc_id", "kept", "size")).count() == len(odd_rows)
+
+
+def test_the_table_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe_tree, "KEPT_WORDS", 1_000)
+    own = bpe_tree.Codec(PATH)
+    for n in range(8):   # with blank lines and without
+        text = ("\n\n" if n % 2 else " ").join(f"word{n}x{i}" for i in range(900))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text)
+        assert len(own.first) + len(own.after) <= 1_000 + 2 * 900 + 2
+
+
+def test_halves_are_joined(monkeypatch):
+    own, joins = bpe_tree.Codec(PATH), []
+    real = own.ranks.join
+    monkeypatch.setattr(own.ranks, "join", lambda a, b: joins.append(1) or real(a, b))
+    text = "thehandioninger andthereofwithin uncharacteristically"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text) and len(joins) > 3

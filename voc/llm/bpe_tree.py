@@ -7,7 +7,8 @@ stable in that sense is the encoding of its bytes, and the neighbours inside a w
 construction, so that the test of the two edges proves the whole. Decoding concatenates bytes up the same kind of tree.
 
 Texts that have no adjacent white space are split at blanks and line feeds before the pattern runs: the pattern starts anew
-there whatever stands beside it. Encodings of words are kept in a table of bounded size per Python worker.
+there whatever stands beside it. A worker keeps the encodings of up to ``KEPT_WORDS`` words of at most 64 characters, and
+of one text on top.
 
 Rows: null and empty texts give no ids; repeated rows give repeated rows; an empty table gives an empty result.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-LEAF = 24            # bytes that are merged at once
+LEAF = 8             # bytes that are merged at once
 KEPT_WORDS = 700_000  # words whose encoding a worker keeps
 DECODE_LEAF = 4_096
 ADJACENT = re.compile(r"\s\s|^\s|\s\Z")
@@ -163,6 +164,9 @@ class Codec:
         """Ids as unsigned 32-bit little-endian numbers."""
         if not text:
             return b""
+        if len(self.after) + len(self.first) > KEPT_WORDS:   # at most the words of one text come on top
+            self.after.clear()
+            self.first.clear()
         if ADJACENT.search(text):
             return b"".join([self.first[p] for p in self.pattern.findall(text)])
         out, feed, after = [], self.first["\n"], self.after
@@ -172,9 +176,6 @@ class Codec:
             head, *rest = line.split(" ")
             out.append(self.first[head])
             out += [after[w] for w in rest]
-        if len(after) + len(self.first) > KEPT_WORDS:
-            after.clear()
-            self.first.clear()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
