@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from oracle.parts import (
     action, action_rank, cases, clean, confidence, confidence_text, evidence, evidence_quotes, findings,
-    insights, is_noise, matches, paraphrase, q, redact, renamed, round1, strings, strip, trace, with_tables, word_count,
+    insights, is_noise, matches, paraphrase, prevalence, q, redact, renamed, round1, strings, strip, trace, with_tables, word_count,
     TOKENS as _TOKENS,
 )
 from voc import rules, wording as w
+from voc.operators import stability
 from voc.plans.catalog import CRITIC_COLUMNS, LABEL_COLUMNS, LIST_SEP
 from voc.schemas import RESULT_THEME, THEME_COLUMNS
 from voc.settings import DEFAULT
@@ -252,6 +253,20 @@ select '=== {DEFAULT.brand.upper()} CUSTOMER FEEDBACK CORPUS CONTEXT ===' || chr
 from ({_META})
 """
 
+_P = stability.PRIME
+_INTERVALS = with_tables(
+    f""", d as (select sub_domain, source, r, (ord % {_P} * (r * 7919 + 104729) + r) % {_P} as x, r * 12289 + 1 as m from classified, range({stability.REPLICATES}) as t(r)),
+    h1 as (select *, (x * x + m) % {_P} as y from d), h2 as (select *, (y * y + 24593) % {_P} as z from h1), h3 as (select *, (z * z + 49157) % {_P} as h from h2),
+    sums as (select sub_domain, r, source, sum({' + '.join(f'(h >= {b})::int' for b in stability.BOUNDS)}) as w, count(*) as n from h3 group by all),
+    per as (select sub_domain, r, sum(w) as w, sum(n) as n, count_if(w > 0) as s from sums group by all),
+    drawn as (select *, sum(w) over (partition by r) as total, sum(n) over (partition by r) as whole, rank() over (partition by r order by n desc) as rank,
+      rank() over (partition by r order by w desc) as drawn_rank from per),
+    scored as (select *, round(case when total > 0 then w::double / total * 100 else 0 end, 6) as drawn_share, {prevalence('w', 'total', 'greatest(s, 1)')} as drawn_score from drawn),
+    lists as (select sub_domain, any_value(n) as n, any_value(whole) as whole, any_value(rank) as rank, list(drawn_share order by drawn_share) as a,
+      list(drawn_score order by drawn_score) as b, list(drawn_rank order by drawn_rank) as c from scored group by 1)
+    select sub_domain, n::bigint as n, round(n::double / whole * 100, 6) as share, rank, a[6] as share_low, a[-6] as share_high, b[6] as score_low, b[-6] as score_high,
+      c[6] as rank_low, c[-6] as rank_high from lists""", "classified")
+
 # links join by weight one after the other: ``part`` has the part of every vector
 _FOREST = """
 with recursive near as materialized (
@@ -495,6 +510,10 @@ STATEMENTS: dict[str, str] = {
         """select sub_domain, n, round(r, 6) as percent_rank, case when r >= 0.9 and len(sources) >= 3 then 5.0::double when r <= 0.2 and len(sources) <= 1 then 1.0::double
         when r >= 0.7 then 4.0::double when r >= 0.4 then 3.0::double else 2.0::double end as percentile_score
         from (select *, percent_rank() over (order by n) as r from counts)""", "counts"),
+    "rank_intervals": _INTERVALS,
+    "range_scores": with_tables(
+        f"""select cluster_id, sub_domain, n, total, array_to_string(sources, {q(LIST_SEP)}) as sources, summary, prevalence_score, signal_strength_score
+        from stats""", "stats").replace("as sentiment from filtered", "as sentiment from filtered where ord % 60 between 10 and 29"),
     "rank_stability": with_tables(
         f""", kept as (select size, case when n >= size then sub_domain else {q(rules.GENERAL_DOMAIN)} end as sub_domain, cast(sum(n) as bigint) as n
           from counts, (values (10), (15), (25)) as s(size) group by all),

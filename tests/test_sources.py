@@ -129,5 +129,5 @@ def test_same_as_sql(spark, name):
 def test_every_query_has_sql_or_a_reason():
     from oracle.statements import STATEMENTS
 
-    # feature hashing and the clusters of k-means themselves have no counterpart in SQL
-    assert set(QUERIES) - set(STATEMENTS) == {"text_vectors", "text_kmeans"} and set(STATEMENTS) <= set(QUERIES)
+    # feature hashing, the clusters of k-means, a search of some cells only and density clusters have no counterpart in SQL
+    assert set(QUERIES) - set(STATEMENTS) == {"text_vectors", "text_kmeans", "near_neighbours", "density_clusters"} and set(STATEMENTS) <= set(QUERIES)

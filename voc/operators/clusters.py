@@ -34,41 +34,58 @@ def _evidence(i: int) -> Column:
     return opposing(F.col("mask"), i) & ~F.col("is_noise")
 
 
-def cluster_stats(df: DataFrame) -> DataFrame:
-    """One row per cluster with all counts the later steps need, in a single pass over the rows.
+_GROUPS = range(len(rules.EVIDENCE_GROUPS))
+SUMS = ("n", "chars", *rules.SENTIMENT_ORDER, *(f"e{i}_n" for i in _GROUPS))
+FIRSTS = ("first_ord", *(f"e{i}_ord" for i in _GROUPS))
+
 
-    The first aggregate is per domain and source and keeps fixed-size numbers only: first texts are held as the
-    ``ord`` of their row, which keeps it a hash aggregate. ``total`` and the ``e*`` columns (counter-evidence:
-    reviews found and first one, per phrase group) are the same on every row.
+def source_stats(df: DataFrame, *more: str) -> DataFrame:
+    """Counts and first rows per domain, source and ``more``: fixed-size numbers only, so that it is a hash aggregate.
+
+    First texts are held as the ``ord`` of their row.
     """
-    groups = range(len(rules.EVIDENCE_GROUPS))
-    moods = rules.SENTIMENT_ORDER
-    whole = Window.partitionBy()  # over at most one row per issue domain
-    df = noise_flagged(df)
-    per_source = df.groupBy("sub_domain", "source").agg(
+    return noise_flagged(df).groupBy("sub_domain", "source", *more).agg(
         F.count("*").alias("n"),
         F.sum("chars").alias("chars"),
+        *[F.count_if(F.col("sentiment") == m).alias(m) for m in rules.SENTIMENT_ORDER],
+        *[F.count_if(_evidence(i)).alias(f"e{i}_n") for i in _GROUPS],
         F.min("ord").alias("first_ord"),
-        *[F.count_if(F.col("sentiment") == m).alias(m) for m in moods],
-        *[F.count_if(_evidence(i)).alias(f"e{i}_n") for i in groups],
-        *[F.min(F.when(_evidence(i), F.col("ord"))).alias(f"e{i}_ord") for i in groups],
+        *[F.min(F.when(_evidence(i), F.col("ord"))).alias(f"e{i}_ord") for i in _GROUPS],
     )
+
+
+def merged_stats(stats: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``source_stats`` of any parts of a table, put together."""
+    return stats.groupBy("sub_domain", "source", *more).agg(*[F.sum(c).alias(c) for c in SUMS], *[F.min(c).alias(c) for c in FIRSTS])
+
+
+def domain_stats(per_source: DataFrame) -> DataFrame:
+    """One row per cluster from one row per domain and source.
+
+    ``total`` and the ``e*`` columns (counter-evidence: reviews found and first one, per phrase group) are the same on
+    every row.
+    """
+    whole = Window.partitionBy()  # over at most one row per issue domain
     stats = per_source.groupBy("sub_domain").agg(
-        *[F.sum(c).alias(c) for c in ("n", "chars", *moods)],
+        *[F.sum(c).alias(c) for c in SUMS],
         F.min("first_ord").alias("cluster_ord"),
         F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "source"))), lambda s: s["source"])
         .alias("sources"),
-        *[F.sum(f"e{i}_n").alias(f"e{i}_n") for i in groups],
-        *[F.min(f"e{i}_ord").alias(f"e{i}_ord") for i in groups],
+        *[F.min(f"e{i}_ord").alias(f"e{i}_ord") for i in _GROUPS],
     )
     return stats.withColumns({
         "cluster_id": F.dense_rank().over(Window.orderBy("sub_domain")) - 1,
         "total": F.sum("n").over(whole),
-        **{f"e{i}_n": F.sum(f"e{i}_n").over(whole) for i in groups},
-        **{f"e{i}_ord": F.min(f"e{i}_ord").over(whole) for i in groups},
+        **{f"e{i}_n": F.sum(f"e{i}_n").over(whole) for i in _GROUPS},
+        **{f"e{i}_ord": F.min(f"e{i}_ord").over(whole) for i in _GROUPS},
     })
 
 
+def cluster_stats(df: DataFrame) -> DataFrame:
+    """One row per cluster with all counts the later steps need, in a single pass over the rows."""
+    return domain_stats(source_stats(df))
+
+
 def with_scores(stats: DataFrame) -> DataFrame:
     """Sentiment shares, dominant sentiment, prevalence and signal strength per cluster."""
     n = F.col("n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from voc.functions import scores
 from voc.functions.classify import is_spam, noise_state
 from voc.functions.text import clean_text, cut, event_time, paraphrase, redact, split_list, word_count
 from voc.operators import (
-    clusters, dashboard, density, extraction, feedback, forest, keywords, near, neighbours, note, pii, report, search, themes,
-    vectors,
+    clusters, dashboard, density, extraction, feedback, forest, history, keywords, near, neighbours, note, pii, report, search,
+    stability, themes, vectors,
 )
 from voc.operators.loads import Loads
 from voc.plans import theme_report
@@ -413,6 +415,26 @@ def rank_stability(spark, sf):
     return out.select(*big("size"), "clusters", "reviews", F.round("rank_correlation", 6).alias("rank_correlation"))
 
 
+def rank_intervals(spark, sf):
+    out = stability.intervals(classified(spark, sf))
+    return out.select(
+        "sub_domain", *big("n"), "share", *big("rank"), "share_low", "share_high", "score_low", "score_high", *big("rank_low", "rank_high")
+    )
+
+
+def range_scores(spark, sf):
+    """Twenty of sixty days from the merged daily states of two halves; a row's day is its ``ord`` modulo 60."""
+    rows = classified(spark, sf)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("ord", F.lit(60)).cast("int"))
+    halves = [history.daily_state(rows.filter(F.pmod("ord", F.lit(7)) < 3), day), history.daily_state(rows.filter(F.pmod("ord", F.lit(7)) >= 3), day)]
+    state = materialize(history.merged_states(*halves), "daily_state")
+    out = history.scores_between(state, dt.date(2024, 1, 11), dt.date(2024, 1, 30))
+    return out.select(
+        *big("cluster_id"), "sub_domain", *big("n", "total"), F.concat_ws(LIST_SEP, "sources").alias("sources"), F.col("sentiment").alias("summary"),
+        "prevalence_score", "signal_strength_score",
+    )
+
+
 def cluster_keywords(spark, sf):
     t = tables(spark, sf)
     return t.stats.select(*big("cluster_id"), "sub_domain").join(
@@ -828,7 +850,7 @@ QUERIES = {
         ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_flags_raw, noise_states, fuzzy_duplicates, noise_filtered, noise_fallback, event_times,
         redacted_texts, paraphrases, cut_quotes, word_counts, list_items,
         issue_domains, review_sentiment, cluster_assignment, domain_prevalence, cluster_sentiment, cluster_signal,
-        cluster_samples, spot_check, percentile_prevalence, rank_stability, cluster_keywords, fallback_keywords, term_counts, topic_words,
+        cluster_samples, spot_check, percentile_prevalence, rank_stability, rank_intervals, range_scores, cluster_keywords, fallback_keywords, term_counts, topic_words,
         rule_matches, unclassified, rule_summary, rule_quotes, unclassified_sample, extraction_meta, extraction_document,
         counter_evidence, evidence_quotes, confidence, reasoning_traces, critic_rules, heuristic_labels, label_prompts,
         question_prompts, reply_parsing,
