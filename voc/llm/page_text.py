@@ -305,22 +305,37 @@ def _signed64(numbers: list[int]) -> pa.Array:
     return pa.array(np.array(numbers, np.uint64).view(np.int64))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_row, host, marked_host, bands`` of every page; the host keys as they name the two populations."""
+_PARSED = (
+    "_row bigint, page_id bigint, url string, host bigint, marked_host bigint, bands array<bigint>, texts array<string>, "
+    "noise array<boolean>, main array<string>"
+)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every page parsed: its blocks, the host keys as they name the two populations, and the bands of its own text."""
     for batch in batches:
         rows = []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html")):
             texts, noise, main = _read_page(html.as_py())
             own = [t for t, n in zip(texts, noise) if not n] if main is None else main
             host = host_of(url)
-            rows.append((_host_key(host, False), None if main is None else _host_key(host, True), bands(own)))
-        hosts, marked, found = zip(*rows) if rows else ((), (), ())
+            rows.append((_host_key(host, False), None if main is None else _host_key(host, True), bands(own), texts, noise, main))
+        hosts, marked, found, texts, noise, main = zip(*rows) if rows else ((),) * 6
+        strings = pa.list_(pa.string())
         yield pa.record_batch(
-            [batch.column("_row"), _signed64(hosts), pa.array([None if m is None else m - (m >> 63 << 64) for m in marked], pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-            names=["_row", "host", "marked_host", "bands"],
+            [
+                *(batch.column(c) for c in ("_row", "page_id", "url")), _signed64(hosts),
+                pa.array([None if m is None else m - (m >> 63 << 64) for m in marked], pa.int64()), pa.array(found, pa.list_(pa.int64())),
+                pa.array(texts, strings), pa.array(noise, pa.list_(pa.bool_())), pa.array(main, strings),
+            ],
+            names=["_row", "page_id", "url", "host", "marked_host", "bands", "texts", "noise", "main"],
         )
 
 
+def _unsigned(column: pa.Array) -> list[int | None]:
+    return [None if x is None else x & (1 << 64) - 1 for x in column.to_pylist()]
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as differences and counts, the bytes of equal weight together."""
     steps = np.diff(keys >> LOW, prepend=np.uint64(0))
@@ -365,12 +380,14 @@ def _count(bits: int, rows: Arrays):
         for batch in batches:
             names = batch.column("_row").to_numpy().view(np.uint64)
             (states,) = rows.find(names, 1)
-            for row, state, url, html in zip(names.tolist(), states.tolist(), batch.column("url").to_pylist(), batch.column("html")):
+            hosts, marked = _unsigned(batch.column("host")), _unsigned(batch.column("marked_host"))
+            for i, (row, state) in enumerate(zip(names.tolist(), states.tolist())):
                 if state == COPY:
                     continue
-                texts, _, main = _read_page(html.as_py())
-                for stream, marked in ((texts, False), (main or [], True)):
-                    keys = np.unique(_keys(suffixes(stream), _host_key(host_of(url), marked)))
+                for name, host in (("texts", hosts[i]), ("main", marked[i])):
+                    if host is None:
+                        continue
+                    keys = np.unique(_keys(suffixes(batch.column(name)[i].as_py()), host))
                     again.append((keys, row)) if state == REPEATED else held.append(keys)
                     size += len(keys)
                 if size > CHUNK:
@@ -427,11 +444,10 @@ def _finish(hosts: Arrays, windows: Arrays):
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part, pages = batch.slice(low, 500), []
-                for url, html in zip(part.column("url").to_pylist(), part.column("html")):
-                    texts, noise, main = _read_page(html.as_py())
-                    host = _host_key(host_of(url), main is not None)
+                read = zip(*(part.column(c).to_pylist() for c in ("texts", "noise", "main")), _unsigned(part.column("host")), _unsigned(part.column("marked_host")))
+                for texts, noise, main, host, marked in read:
                     if main is not None:
-                        texts, noise = main, [False] * len(main)
+                        texts, noise, host = main, [False] * len(main), marked
                     pages.append((texts, noise, host, _keys(suffixes(texts), host)))
                 sizes = [len(keys) for *_, keys in pages]
                 some, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys for *_, keys in pages)]), return_inverse=True)
@@ -453,8 +469,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     # equal rows have equal numbers, so the passes below agree on them whatever the order of rows
     rows = pages.select(F.xxhash64("page_id", "url", F.isnull("url"), "html").alias("_row"), "page_id", "url", "html")
-    signed = rows.select("_row", "url", "html").mapInArrow(_sign, "_row bigint, host bigint, marked_host bigint, bands array<bigint>")
-    signed = materialize(signed, "pages")
+    # parsed once and written; the passes below read blocks
+    signed = materialize(rows.mapInArrow(_parsed, _PARSED), "pages")
     banded = signed.select("host", "_row", F.posexplode("bands").alias("band", "key"))
     least = banded.groupBy("host", "band", "key").agg(F.min("_row").alias("first"), F.max("_row").alias("last"))
     met = banded.join(least.filter("first != last").drop("last"), ["host", "band", "key"]).filter("_row != first")
@@ -467,9 +483,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     single = counted.filter("copy is null")
     both = single.select(F.col("host").alias("key")).unionByName(single.filter("marked_host is not null").select(F.col("marked_host").alias("key")))
     hosts = _stored(both.groupBy("key").agg(F.count("*").alias("value")), "hosts", bits)
-    sent = rows.select("_row", "url", "html").mapInArrow(_count(bits, states), _ROWS)
+    sent = signed.select("_row", "host", "marked_host", "texts", "main").mapInArrow(_count(bits, states), _ROWS)
     folder = scratch_path(spark, "windows")
     stored = sent.repartitionById(1 << bits, F.col("bucket")).mapInArrow(_merge(folder), _ROWS)
     windows, _ = _read_rows(materialize(stored, "window_files"), bits)
-    out = rows.select("page_id", "url", "html").mapInArrow(_finish(hosts, windows), "page_id bigint, url string, text string")
+    out = signed.drop("_row", "bands").mapInArrow(_finish(hosts, windows), "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
