@@ -3,9 +3,10 @@
 Equal vectors are one entry of the index, with the smallest keys of their rows. Coarse centres are fitted by k-means of unit
 vectors on a bounded sample: the ``SAMPLE`` entries of the smallest hash, about sqrt(n) centres, at most ``MAX_CELLS``. Every
 entry belongs to the cell of its nearest centre; a cell of more than ``HOT`` times the wanted rows gets finer centres from
-a bounded sample of its own. Cells are packed in blocks of about ``BLOCK_ROWS`` vectors, so a large cell is many blocks.
+a bounded sample of its own. Cells are packed in blocks of about ``BLOCK_ROWS`` vectors: small ones together, a large one as many
+blocks.
 
-A query visits the cells of its ``probes`` nearest centres and meets all their blocks, where its cosines are computed exactly;
+A query visits the cells of its ``probes`` nearest centres and is sent once to each block of them, where its cosines are exact;
 the best of the blocks are merged. ``probes=None`` visits every cell, which gives the exact answer. Unless a number is given,
 the exact neighbours of ``TUNING`` sampled entries tell how many cells hold the share ``RECALL`` of them.
 
@@ -30,7 +31,7 @@ from voc.storage import materialize
 NEIGHBOURS = 15
 TUNED, TUNING, RECALL = 0, 256, 0.95
 SAMPLE, MAX_CELLS, HOT, HOT_ROUNDS, HOT_SAMPLE, HOT_AT_ONCE = 20_000, 4096, 4, 3, 500, 32
-BLOCK_ROWS, QUERY_ROWS, SALTS = 2048, 512, 16
+BLOCK_ROWS, QUERY_ROWS, SALTS = 8192, 256, 16
 STEPS, DECIMALS = 12, 9
 
 
@@ -60,15 +61,20 @@ def _sample(entries: DataFrame, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """``blocks``: cell, part, entries with their vectors and keys; ``centres`` one a row; ``parts``: blocks of every cell."""
+    """``blocks``: group of cells, part, entries with cells, vectors and keys; ``centres`` one a row; ``parts`` of every group."""
 
     entries: DataFrame
     blocks: DataFrame
     centres: np.ndarray
+    group_of: np.ndarray
     parts: np.ndarray
     k: int
 
 
+def _at(numbers: np.ndarray, i: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, numbers.tolist())), i + 1)
+
+
 def usable(vectors: DataFrame, key: str, col: str) -> DataFrame:
     """``key, vector`` of the rows that have both and a direction."""
     v = F.col(col).cast("array<double>")
@@ -125,52 +131,79 @@ def build(vectors: DataFrame, key: str, col: str, k: int = NEIGHBOURS, cells: in
             centres = np.concatenate([centres, finer[1:]])
             centres[cell] = finer[0]
             room = MAX_CELLS - len(centres)
-    parts = np.maximum(-(-sizes // BLOCK_ROWS), 1)
-    of_cell = F.element_at(F.array(*map(F.lit, parts.tolist())), F.col("cell") + 1)
-    blocks = placed.withColumn("part", F.pmod(F.xxhash64("entry"), of_cell).cast("int"))
-    blocks = blocks.groupBy("cell", "part").agg(F.collect_list(F.struct("entry", "vector", "keys")).alias("rows"))
-    return Index(entries, materialize(blocks, "vector_blocks"), centres, parts, k)
+    # neighbouring numbers share a group while it has room
+    group_of, room, group = np.zeros(len(sizes), np.int64), BLOCK_ROWS, 0
+    for cell, size in enumerate(sizes.tolist()):
+        if size > room and room < BLOCK_ROWS:
+            group, room = group + 1, BLOCK_ROWS
+        group_of[cell], room = group, max(room - size, 0)
+    parts = np.maximum(-(-np.bincount(group_of, sizes).astype(np.int64) // BLOCK_ROWS), 1)
+    blocks = placed.withColumn("group", _at(group_of, F.col("cell")).cast("int"))
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("entry"), _at(parts, F.col("group"))).cast("int"))
+    blocks = blocks.groupBy("group", "part").agg(F.collect_list(F.struct("cell", "entry", "vector", "keys")).alias("rows"))
+    return Index(entries, materialize(blocks, "vector_blocks"), centres, group_of, parts, k)
+
+
+def _visited(cells: pa.Array, of_row: np.ndarray) -> np.ndarray | None:
+    """Which rows each query visits; None if all queries visit all."""
+    if cells.null_count == len(cells):
+        return None
+    known, row = np.unique(of_row, return_inverse=True)
+    visits = np.zeros((len(cells), len(known)), bool)
+    for i, some in enumerate(cells.to_pylist()):
+        at = np.searchsorted(known, some)
+        at = at[at < len(known)]
+        visits[i, at[np.isin(known[at], some)]] = True
+    return visits[:, row]
 
 
 def _best(k: int):
-    """``cell, entry, near``: the k + 1 nearest rows of a block for each query of a query block."""
+    """``entry, near``: the k + 1 nearest rows of a block for each query of a query block."""
+    kind = pa.list_(pa.struct([("cosine", pa.float64()), ("key", pa.int64()), ("cell", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell, block, asked in zip(batch.column("cell").to_pylist(), batch.column("rows"), batch.column("asked")):
+            for block, asked in zip(batch.column("rows"), batch.column("asked")):
                 there, here = block.values, asked.values
                 cosines = np.round(_matrix(here.field("vector")) @ _matrix(there.field("vector")).T, DECIMALS)
-                entries, keys = there.field("entry").to_numpy(), there.field("keys").to_pylist()
+                cells, entries, keys = there.field("cell").to_numpy(), there.field("entry").to_numpy(), there.field("keys")
+                visits = _visited(here.field("cells"), cells)
+                if visits is not None:
+                    cosines[~visits] = -2.0
                 count = min(k + 1, cosines.shape[1])
                 least = -np.partition(-cosines, count - 1, axis=1)[:, count - 1]
                 near = []
                 for row, low in zip(cosines, least):
-                    at = np.flatnonzero(row >= low)
+                    at = np.flatnonzero(row >= max(low, -1.5))
                     at = at[np.lexsort((entries[at], -row[at]))[:count]]
-                    found = sorted((-float(row[i]), key) for i in at.tolist() for key in keys[i])[: k + 1]
-                    near.append([{"cosine": -c, "key": key} for c, key in found])
-                kind = pa.list_(pa.struct([("cosine", pa.float64()), ("key", pa.int64())]))
-                yield pa.record_batch([pa.array([cell] * len(near), pa.int32()), here.field("entry"), pa.array(near, kind)], names=["cell", "entry", "near"])
+                    found = sorted((-float(row[i]), key, int(cells[i])) for i in at.tolist() for key in keys[i].as_py())[: k + 1]
+                    near.append([{"cosine": -c, "key": key, "cell": cell} for c, key, cell in found])
+                yield pa.record_batch([here.field("entry"), pa.array(near, kind)], names=["entry", "near"])
 
     return run
 
 
 def _nearest(index: Index, entries: DataFrame, probes: int | None) -> DataFrame:
-    """``entry, place, key, cosine, cell, cells``: the k + 1 nearest rows of different vectors, and the cells in the query's order."""
+    """``entry, place, key, cosine, cell``: the k + 1 nearest rows of different vectors."""
     k, count = index.k, len(index.centres)
-    visited = materialize(_with_cells(entries, index.centres, min(probes or count, count), ("entry", "vector")), "query_cells")
-    visits = visited.select("entry", "vector", F.explode("cells").alias("cell"))
-    blocks = np.ones(count, np.int64)
-    for cell, size in visits.groupBy("cell").count().collect():   # at most MAX_CELLS rows
-        blocks[cell] = -(-size // QUERY_ROWS)
-    of_cell = lambda numbers: F.element_at(F.array(*map(F.lit, numbers.tolist())), F.col("cell") + 1)
-    packed = visits.withColumn("block", F.pmod(F.xxhash64("entry"), of_cell(blocks)).cast("int"))
-    packed = packed.groupBy("cell", "block").agg(F.collect_list(F.struct("entry", "vector")).alias("asked"))
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), of_cell(index.parts).cast("int") - 1)))
-    met = index.blocks.join(packed, ["cell", "part"]).select("cell", "rows", "asked")
-    found = met.mapInArrow(_best(k), "cell int, entry bigint, near array<struct<cosine: double, key: bigint>>")
+    groups = len(index.parts)
+    if probes is None or probes >= count:
+        visits = entries.select("entry", "vector", F.lit(None).cast("array<int>").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    else:
+        visited = materialize(_with_cells(entries, index.centres, probes, ("entry", "vector")), "query_cells")
+        visits = visited.select("entry", "vector", F.transform("cells", lambda c: F.struct(_at(index.group_of, c).cast("int").alias("group"), c.alias("cell"))).alias("cells"))
+        visits = visits.withColumn("group", F.explode(F.array_distinct("cells.group")))
+        visits = visits.withColumn("cells", F.transform(F.filter("cells", lambda c: c["group"] == F.col("group")), lambda c: c["cell"]))
+    blocks = np.ones(groups, np.int64)
+    for group, size in visits.groupBy("group").count().collect():   # at most MAX_CELLS rows
+        blocks[group] = -(-size // QUERY_ROWS)
+    packed = visits.withColumn("block", F.pmod(F.xxhash64("entry"), _at(blocks, F.col("group"))).cast("int"))
+    packed = packed.groupBy("group", "block").agg(F.collect_list(F.struct("entry", "vector", "cells")).alias("asked"))
+    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), _at(index.parts, F.col("group")).cast("int") - 1)))
+    met = index.blocks.join(packed, ["group", "part"]).select("rows", "asked")
+    found = met.mapInArrow(_best(k), "entry bigint, near array<struct<cosine: double, key: bigint, cell: int>>")
     order = Window.partitionBy("entry").orderBy(F.desc("cosine"), "key")
-    found = found.select("cell", "entry", F.inline("near")).withColumn("place", F.row_number().over(order))
+    found = found.select("entry", F.inline("near")).withColumn("place", F.row_number().over(order))
     return found.filter(F.col("place") <= k + 1)
 
 
