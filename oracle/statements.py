@@ -365,6 +365,9 @@ STATEMENTS: dict[str, str] = {
     "cluster_signal": with_tables(
         "select sub_domain, n, chars, cluster_ord, array_to_string(sources, ',') as sources, signal_strength_score from stats", "stats"),
     "cluster_samples": with_tables("select sub_domain, place, ord, cleaned_text from samples", "samples"),
+    "frequent_keywords": with_tables(
+        "select sub_domain, row_number() over (partition by sub_domain order by n desc, term) as place, term, n "
+        "from (select sub_domain, term, count(*) as n from words group by all) qualify place <= 8", "words"),
     "cluster_keywords": with_tables(
         "select cluster_id, sub_domain, array_to_string(keywords, ',') as keywords from cluster_ids join keywords using (sub_domain)", "keywords"),
     "fallback_keywords": with_tables(

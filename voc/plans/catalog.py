@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from voc import rules, wording as w
 from voc.functions import scores
 from voc.functions.classify import is_spam, noise_state
-from voc.functions.text import clean_text, cut, event_time, paraphrase, redact, split_list, word_count
+from voc.functions.text import clean_text, cut, event_time, kept_tokens, paraphrase, redact, split_list, word_count
 from voc.operators import (
-    clusters, dashboard, density, extraction, feedback, forest, history, keywords, near, neighbours, note, pii, report, search,
+    clusters, dashboard, density, extraction, feedback, forest, frequent, history, keywords, near, neighbours, note, pii, report, search,
     stability, themes, vectors,
 )
 from voc.operators.loads import Loads
@@ -442,6 +442,12 @@ def cluster_keywords(spark, sf):
     )
 
 
+def frequent_keywords(spark, sf):
+    """The eight most frequent words of each cluster by sketches and a second pass over their candidates."""
+    rows = classified(spark, sf).select(F.col("sub_domain").alias("group"), kept_tokens("cleaned_text", STOP_WORDS).alias("terms"))
+    return frequent.top_terms(rows, rules.TOP_KEYWORDS).select(F.col("group").alias("sub_domain"), *big("place"), "term", "n")
+
+
 def fallback_keywords(spark, sf):
     found = keywords.fallback_keywords(clusters.cluster_ids(classified(spark, sf)))
     return found.select("sub_domain", F.concat_ws(",", "keywords").alias("keywords"))
@@ -850,7 +856,7 @@ QUERIES = {
         ingested, cleaned_texts, clean_feedback, spam_flags, noise_flags, noise_flags_raw, noise_states, fuzzy_duplicates, noise_filtered, noise_fallback, event_times,
         redacted_texts, paraphrases, cut_quotes, word_counts, list_items,
         issue_domains, review_sentiment, cluster_assignment, domain_prevalence, cluster_sentiment, cluster_signal,
-        cluster_samples, spot_check, percentile_prevalence, rank_stability, rank_intervals, range_scores, cluster_keywords, fallback_keywords, term_counts, topic_words,
+        cluster_samples, spot_check, percentile_prevalence, rank_stability, rank_intervals, range_scores, cluster_keywords, frequent_keywords, fallback_keywords, term_counts, topic_words,
         rule_matches, unclassified, rule_summary, rule_quotes, unclassified_sample, extraction_meta, extraction_document,
         counter_evidence, evidence_quotes, confidence, reasoning_traces, critic_rules, heuristic_labels, label_prompts,
         question_prompts, reply_parsing,
