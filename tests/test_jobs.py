@@ -49,3 +49,16 @@ def test_gate_stops_a_note_with_a_handle(spark, tmp_path):
     assert not jobs.weekly(spark, str(path), str(tmp_path / "week"), dt.date(2024, 1, 7), ACME)
     gate = json.loads(text_of(tmp_path / "week" / "gate.json"))
     assert gate["findings"] == [{"type": "handle", "match": "@user", "line": 7}]
+
+
+def test_stop_words_from_a_file(spark, tmp_path):
+    from voc import rules
+    from voc.functions.text import kept_tokens
+    from voc.sources import files
+
+    (tmp_path / "words.txt").write_text("Bill\ninterest\n\n refund \n")
+    own = Settings(brand_terms=("acme",), english_stop_words=files.read_words(spark, str(tmp_path / "words.txt")))
+    rows = spark.createDataFrame([("the bill and interest of a refund at acme whenever it was late",)], "t string")
+    kept = {name: rows.select(kept_tokens("t", rules.stop_words(s))).first()[0] for name, s in (("own", own), ("default", ACME))}
+    assert "bill" in kept["default"] and "the" not in kept["default"] and "whenever" in kept["default"]
+    assert not {"bill", "interest", "refund", "acme"} & set(kept["own"]) and "whenever" in kept["own"]

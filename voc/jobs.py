@@ -87,6 +87,7 @@ def main() -> None:
     one.add_argument("--play-limit", type=int, default=DEFAULT.play_limit)
     one.add_argument("--app-limit", type=int, default=DEFAULT.app_store_limit)
     one.add_argument("--loads", help="folder of the store of earlier loads' texts")
+    one.add_argument("--stop-words", help="file of common words that are no keywords, one a line, instead of the default list")
     one.add_argument("--sources", default=",".join(DEFAULT.sources))
     two.add_argument("--results", required=True)
     for job in (one, two):
@@ -104,6 +105,7 @@ def main() -> None:
         settings = Settings(
             brand=args.brand, brand_terms=terms, play_limit=args.play_limit, app_store_limit=args.app_limit,
             sources=tuple(s.strip() for s in args.sources.split(",") if s.strip()),
+            english_stop_words=files.read_words(spark, args.stop_words) if args.stop_words else None,
         )
         done = analyse(spark, args.play, args.app, args.reddit, args.out, settings, not args.lines, args.loads)
     else:

@@ -11,6 +11,7 @@ class Settings:
 
     ``brand`` is the name written into report texts, ``brand_terms`` are the lower-case names that count as
     mentions of the reviewed product (stop words for keywords, alternatives in the habit rules).
+    ``english_stop_words`` replaces the default list of common words that are no keywords.
     """
 
     brand: str = "the app"
@@ -22,6 +23,7 @@ class Settings:
     play_limit: int | None = None       # no limit
     app_store_limit: int | None = None
     sources: tuple[str, ...] = ("play_store", "app_store", "reddit")
+    english_stop_words: tuple[str, ...] | None = None
 
     @property
     def play_url(self) -> str:

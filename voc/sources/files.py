@@ -53,3 +53,11 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     doc = spark.read.schema(RESULTS).option("multiLine", True).json(path)
     themes = doc.select(F.col("metadata.total_feedback_analyzed").alias("total"), F.posexplode("themes").alias("i", "theme_row"))
     return doc.select("metadata.*"), themes.select("theme_row.*", "total", (F.col("i") + 1).alias("position"))
+
+
+def read_words(spark: SparkSession, path: str, most: int = 10_000) -> tuple[str, ...]:
+    """A word list, one lower-case word a line; a longer list than ``most`` is an error."""
+    lines = [r[0].strip().lower() for r in spark.read.text(path).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"{path} has more than {most} words")
+    return tuple(sorted({w for w in lines if w}))
