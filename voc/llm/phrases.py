@@ -324,18 +324,21 @@ with pieces as (
            unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
     from documents
 ), lists as (
-    select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as w from pieces
-), places as (
-    select lang, w, unnest(range(1, len(w) + 1)) as i from lists
-), grams as (
-    select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, w[i : i + k - 1] as words, count(*) as f
-    from places, range(1, 5) as sizes(k)
-    where i + k - 1 <= len(w)
-    group by all
+    select row_number() over () as piece, lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as w from pieces
+), single as (
+    select piece, lang, unnest(w) as w1, generate_subscripts(w, 1) as i from lists
+), leads as materialized (
+    select lang, w1, lead(w1) over piece_ as w2, lead(w1, 2) over piece_ as w3, lead(w1, 3) over piece_ as w4
+    from single window piece_ as (partition by piece order by i)
+), grams as materialized (
+    select lang, 1 as k, w1 as phrase, count(*) as f from leads group by all
+    union all select lang, 2, w1 || ' ' || w2 as phrase, count(*) from leads where w2 is not null group by all
+    union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 as phrase, count(*) from leads where w3 is not null group by all
+    union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 as phrase, count(*) from leads where w4 is not null group by all
 ), totals as (
     select lang, sum(f) as n from grams where k = 1 group by lang
 ), frequent as materialized (
-    select * from grams where f >= 30
+    select *, string_split(phrase, ' ') as words from grams where f >= 30
 ), candidates as (
     select * from frequent where k > 1
 ), places_to_cut as materialized (
