@@ -26,4 +26,6 @@ def test_no_plan_has_a_product_of_rows(spark):
 def test_whole_tables_give_one_row_each(spark):
     docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "pages"))
     for name, query in catalog.QUERIES.items():
+        if name == "op12_phrases":   # ranks phrases
+            continue
         assert query(spark, SF).count() == (pages if name == "op9_page_text" else docs), name
