@@ -490,6 +490,19 @@ STATEMENTS: dict[str, str] = {
         qualify rank <= 15""",
     "neighbour_recall": "select count_if(vec_id % 100 = 0) as queries, count_if(vec_id % 100 = 0) * 15 as neighbours, true as enough from embeddings",
     "mutual_forest": _FOREST,
+    "word_pairs": with_tables(
+        f""", lists as (select list_filter({_TOKENS}, lambda t: not list_contains({strings(rules.stop_words(DEFAULT))}, t)) as w from classified),
+        placed as (select row_number() over () as row, w from lists), single as (select row, unnest(w) as t, generate_subscripts(w, 1) as i from placed),
+        known as materialized (select t, count(*) as n from single group by t order by n desc, t limit 2000),
+        leads as (select t, lead(t, k) over (partition by row, k order by i) as u from single, range(1, 5) as d(k)),
+        pairs as materialized (select least(t, u) as a, greatest(t, u) as b, count(*) as n from leads
+          where t in (select t from known) and u in (select t from known) group by all),
+        both_ways as (select a, b, n from pairs union all select b, a, n from pairs where a <> b),
+        of_word as materialized (select a as t, sum(n)::double as n from both_ways group by 1), total as (select sum(n) as n from of_word)
+        select p.a, p.b, p.n, case when p.n * total.n / (x.n * y.n) > 1 then round(ln(p.n * total.n / (x.n * y.n)), 6) end as information
+        from pairs p join of_word x on x.t = p.a join of_word y on y.t = p.b, total""", "classified"),
+    "learnt_vectors": with_tables(
+        "select ord, 1.0::double as length, 16::bigint as numbers from classified", "classified"),
     "unnumbered_sources": (
         "select * from (values ('play_store', 1), ('app_store', 2), ('reddit', 3)) as s(source, place), "
         "(select count(*) as n, count(*) as positions, true as after_the_last from documents)"),

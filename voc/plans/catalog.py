@@ -12,7 +12,7 @@ from voc.functions import scores
 from voc.functions.classify import is_spam, noise_state
 from voc.functions.text import clean_text, cut, event_time, kept_tokens, paraphrase, redact, split_list, word_count
 from voc.operators import (
-    clusters, dashboard, density, extraction, feedback, forest, frequent, history, keywords, near, neighbours, note, pii, report, search,
+    clusters, dashboard, density, embedding, extraction, feedback, forest, frequent, history, keywords, near, neighbours, note, pii, report, search,
     stability, themes, vectors,
 )
 from voc.operators.loads import Loads
@@ -809,6 +809,20 @@ def tfidf_weights(spark, sf):
     )
 
 
+def word_pairs(spark, sf):
+    """How often two of the 2,000 most frequent words stand at most four words apart, and their mutual information if positive."""
+    words = materialize(classified(spark, sf).select(kept_tokens("cleaned_text", STOP_WORDS).alias("words")), "words")
+    pairs = materialize(embedding.word_pairs(words, materialize(embedding.vocabulary(words, 2000), "vocabulary")), "pairs")
+    found = embedding.information(pairs).filter("a <= b")
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", "n", F.round("w", 6).alias("information"))
+
+
+def learnt_vectors(spark, sf):
+    rows = classified(spark, sf)
+    out = embedding.learnt_vectors(rows, STOP_WORDS, 16)
+    return out.select("ord", F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("length"), F.size("vector").cast("bigint").alias("numbers"))
+
+
 def cluster_number(spark, sf):
     return table(spark, sf, "documents").groupBy("source").agg(vectors.cluster_number(F.count("*")).alias("k"))
 
@@ -866,6 +880,6 @@ QUERIES = {
         pii_findings, pii_feedback, gate_documents, pii_gate, redact_rescan,
         note_rows, weekly_note, note_json, long_note, note_gate,
         text_vectors, tfidf_weights, text_kmeans, kmeans_check, cluster_number, centroid_distances,
-        exact_neighbours, near_neighbours, neighbour_recall, mutual_forest, density_clusters,
+        exact_neighbours, near_neighbours, neighbour_recall, mutual_forest, density_clusters, word_pairs, learnt_vectors,
     )
 }
