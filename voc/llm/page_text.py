@@ -469,8 +469,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     bits = max(0, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     # equal rows have equal numbers, so the passes below agree on them whatever the order of rows
     rows = pages.select(F.xxhash64("page_id", "url", F.isnull("url"), "html").alias("_row"), "page_id", "url", "html")
-    # parsed once and written; the passes below read blocks
-    signed = materialize(rows.mapInArrow(_parsed, _PARSED), "pages")
+    # parsed once and written, well packed since it is the pages' text; the passes below read blocks
+    path = scratch_path(spark, "pages")
+    rows.mapInArrow(_parsed, _PARSED).write.option("compression", "zstd").parquet(path)
+    signed = spark.read.schema(_PARSED).parquet(path)
     banded = signed.select("host", "_row", F.posexplode("bands").alias("band", "key"))
     least = banded.groupBy("host", "band", "key").agg(F.min("_row").alias("first"), F.max("_row").alias("last"))
     met = banded.join(least.filter("first != last").drop("last"), ["host", "band", "key"]).filter("_row != first")
