@@ -69,4 +69,4 @@ def test_halves_are_joined(monkeypatch):
     real = own.ranks.join
     monkeypatch.setattr(own.ranks, "join", lambda a, b: joins.append(1) or real(a, b))
     text = "thehandioninger andthereofwithin uncharacteristically"
-    assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text) and len(joins) > 3
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode_ordinary(text) and len(joins) >= 3

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-LEAF = 8             # bytes that are merged at once
+LEAF = 12            # bytes that are merged at once
 KEPT_WORDS = 700_000  # words whose encoding a worker keeps
 DECODE_LEAF = 4_096
 ADJACENT = re.compile(r"\s\s|^\s|\s\Z")
