@@ -86,7 +86,6 @@ class Encoder:
         out = list(map(known.get, words))
         gaps = [i for i, ids in enumerate(out) if ids is None]
         gaps = [i for i in gaps if words[i] and not words[i][0].isspace() and not words[i][-1].isspace()]
-        gaps = [i for i in gaps if not any(a in words[i] for a in self.added)]
         new = [words[i] for i in gaps]
         for i, word, ids in zip(gaps, new, self._words(new, before)):
             out[i] = known[word] = ids
