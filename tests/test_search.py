@@ -75,9 +75,10 @@ def test_blocks_out_of_reach_stay_packed():
     blocks = shard.firsts[shard.number["common"] + 1] - shard.firsts[shard.number["common"]]
     got = shard.best([("rare", 7.0), ("common", 0.01)], 3)
     assert blocks > 30 and shard.decoded <= 1 + 3 and {d for _, d in got} == {3, 1000, 2500}
-    shard.decoded = 0
+    shard = search.Shard(row, 30.0)
     full = shard.best([("rare", 7.0), ("common", 0.01)], 4000)
     assert shard.decoded == 1 + blocks and full[:3] == got
+    assert shard.best([("rare", 7.0), ("common", 0.01)], 3) == got and shard.decoded == 1 + blocks
 
 
 def test_empty_tables(spark):

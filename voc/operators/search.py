@@ -28,6 +28,7 @@ from voc.storage import materialize
 SHARD_DOCS, BLOCK, QUERIES = 4096, 128, 256
 K1, B, TOP, DECIMALS = 1.2, 0.75, 10, 9
 CLOSE_BY = 1e-6          # what is nearer to the k-th best score than this is still looked at
+KEPT = 4 << 20           # decoded postings that a shard keeps for its next queries
 
 _SHARD = (
     "shard int, keys array<bigint>, lengths array<int>, terms array<string>, counts array<int>, firsts array<int>, "
@@ -129,13 +130,15 @@ def build(docs: DataFrame, key: str, text: str, shard_docs: int = SHARD_DOCS) ->
 
 
 class Shard:
-    """A shard's postings, decoded as asked for; ``decoded`` counts blocks."""
+    """A shard's postings, decoded as asked for; ``decoded`` counts blocks. Whole terms are kept while there is room."""
 
     def __init__(self, row: dict, average: float):
         self.keys, self.lengths = np.array(row["keys"], np.int64), np.array(row["lengths"], np.int64)
         self.number = {t: i for i, t in enumerate(row["terms"])}
         self.counts, self.firsts, self.last = (np.array(row[n], np.int64) for n in ("counts", "firsts", "last"))
         self.starts, self.data, self.average, self.decoded = np.array(row["starts"], np.int64), row["data"], average, 0
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.room = KEPT
         self.bounds = self._part(np.array(row["most"], np.float64), np.array(row["least"], np.float64))
 
     def _part(self, count: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,6 +158,15 @@ class Shard:
         doc = total - np.repeat(total[heads] - gap[heads], sizes)
         return doc, self._part(count.astype(np.float64), self.lengths[doc].astype(np.float64))
 
+    def whole(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self.kept.get(term)
+        if found is None:
+            found = self.postings(term, np.arange(self.firsts[term], self.firsts[term + 1]))
+            if len(found[0]) <= self.room:
+                self.room -= len(found[0])
+                self.kept[term] = found
+        return found
+
     def best(self, asked: list[tuple[str, float]], k: int) -> list[tuple[float, int]]:
         """The k best texts as (score, key)."""
         terms = [(self.number[t], idf) for t, idf in asked if t in self.number]
@@ -164,14 +176,16 @@ class Shard:
         scores, least = np.zeros(len(self.keys)), -np.inf
         for turn, i in enumerate(order):
             term, idf = terms[i]
-            blocks = np.arange(self.firsts[term], self.firsts[term + 1])
-            if least > to_come[turn] + CLOSE_BY:
+            if least > to_come[turn] + CLOSE_BY and term not in self.kept:
+                blocks = np.arange(self.firsts[term], self.firsts[term + 1])
                 near = np.flatnonzero(scores + to_come[turn] >= least - CLOSE_BY)
                 at = np.searchsorted(self.last[blocks], near)
                 blocks = blocks[np.unique(at[at < len(blocks)])]
                 if not len(blocks):
                     continue
-            doc, part = self.postings(term, blocks)
+                doc, part = self.postings(term, blocks)
+            else:
+                doc, part = self.whole(term)
             scores[doc] += idf * part
             if len(scores) >= k:
                 least = max(float(np.partition(scores, len(scores) - k)[len(scores) - k]), 0.0) or -np.inf
