@@ -51,7 +51,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path, self.plain = path, None
         self.library = Tokenizer.from_file(path)
+        # not looked for in every word; texts that hold one go to the library as it comes
+        self.library.encode_special_tokens = True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.feed = self._whole(["\n"])[0]
         self.blank = np.zeros(self.library.get_vocab_size(), bool)
@@ -120,14 +123,21 @@ class Encoder:
         tokens = flat[np.repeat(place[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[starts]
         out = [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
-        whole = np.searchsorted(starts, np.flatnonzero(odd[at]), "right") - 1
-        for added in self.added:
-            whole = np.append(whole, np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)))
-        whole = np.unique(whole).tolist()
+        whole = np.unique(np.searchsorted(starts, np.flatnonzero(odd[at]), "right") - 1).tolist()
         for i, data in zip(whole, self._whole([texts[i].as_py() for i in whole]) if whole else ()):
             out[i] = np.frombuffer(data, "<u4")
+        for added in self.added:
+            for i in np.flatnonzero(pc.match_substring(texts, added).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = self._as_it_comes(texts[i].as_py())
         return out
 
+    def _as_it_comes(self, text: str) -> np.ndarray:
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return np.array(self.plain.encode(text, add_special_tokens=False).ids, "<u4")
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
