@@ -306,7 +306,7 @@ def _signed64(numbers: list[int]) -> pa.Array:
 
 
 _PARSED = (
-    "_row bigint, page_id bigint, url string, host bigint, marked_host bigint, bands array<bigint>, texts array<string>, "
+    "_row bigint, page_id bigint, url string, host bigint, marked_host bigint, bands array<int>, texts array<string>, "
     "noise array<boolean>, main array<string>"
 )
 
@@ -319,13 +319,15 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts, noise, main = _read_page(html.as_py())
             own = [t for t, n in zip(texts, noise) if not n] if main is None else main
             host = host_of(url)
-            rows.append((_host_key(host, False), None if main is None else _host_key(host, True), bands(own), texts, noise, main))
+            # half of a band's hash is enough: several bands have to agree
+            half = [b >> 32 for b in bands(own)]
+            rows.append((_host_key(host, False), None if main is None else _host_key(host, True), half, texts, noise, main))
         hosts, marked, found, texts, noise, main = zip(*rows) if rows else ((),) * 6
         strings = pa.list_(pa.string())
         yield pa.record_batch(
             [
                 *(batch.column(c) for c in ("_row", "page_id", "url")), _signed64(hosts),
-                pa.array([None if m is None else m - (m >> 63 << 64) for m in marked], pa.int64()), pa.array(found, pa.list_(pa.int64())),
+                pa.array([None if m is None else m - (m >> 63 << 64) for m in marked], pa.int64()), pa.array(found, pa.list_(pa.int32())),
                 pa.array(texts, strings), pa.array(noise, pa.list_(pa.bool_())), pa.array(main, strings),
             ],
             names=["_row", "page_id", "url", "host", "marked_host", "bands", "texts", "noise", "main"],
