@@ -69,3 +69,19 @@ def test_small_and_odd_tables(spark):
     assert sorted(r[:3] for r in nb.neighbours(two, "id", "v").collect()) == [(1, 1, 2), (2, 1, 1)]
     with pytest.raises(ValueError, match="vectors of"):
         nb.neighbours(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id bigint, v array<float>"), "id", "v")
+
+
+def test_units_hold_one_block_and_stream_queries(spark, monkeypatch):
+    """Many queries of a block are dealt to units; no row that is sent holds a whole block."""
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(nb, "QUERY_ROWS", 7)
+    monkeypatch.setattr(nb, "UNIT_QUERIES", 60)
+    monkeypatch.setattr(nb, "EQUAL_ROWS", 10)
+    sent = []
+    mapped = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema, *a, **b: (sent.append(self.schema), mapped(self, f, schema, *a, **b))[1])
+    data, df = table(spark)
+    got = nb.neighbours(df, "id", "v", k=5, probes=None)
+    kinds = {f.name: f.dataType.simpleString() for f in sent[-1].fields}
+    assert kinds["vector"] == "array<float>" and not [k for k in kinds.values() if "struct" in k]
+    assert sorted(r[:3] for r in got.collect()) == [w[:3] for w in brute(data, 5)]

@@ -7,7 +7,8 @@ a bounded sample of its own. Cells are packed in blocks of about ``BLOCK_ROWS``
 blocks.
 
 A query visits the cells of its ``probes`` nearest centres and is sent once to each block of them, where its cosines are exact;
-the best of the blocks are merged. ``probes=None`` visits every cell, which gives the exact answer. Unless a number is given,
+the best of the blocks are merged. A block and at most about ``UNIT_QUERIES`` of its queries are one unit of work: the block's rows
+come first and are held, the queries stream by, ``QUERY_ROWS`` at once, so that a task's memory does not grow with the table. ``probes=None`` visits every cell, which gives the exact answer. Unless a number is given,
 the exact neighbours of ``TUNING`` sampled entries tell how many cells hold the share ``RECALL`` of them.
 
 Rows: null, empty and all-zero vectors, and rows without a key, have no neighbours and are none; a row is never its own
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ from voc.storage import materialize
 NEIGHBOURS = 15
 TUNED, TUNING, RECALL = 0, 256, 0.95
 SAMPLE, MAX_CELLS, HOT, HOT_ROUNDS, HOT_SAMPLE, HOT_AT_ONCE = 20_000, 4096, 4, 3, 500, 32
-BLOCK_ROWS, QUERY_ROWS, SALTS = 8192, 256, 16
+BLOCK_ROWS, QUERY_ROWS, UNIT_QUERIES = 8192, 256, 16384
+SALTS, EQUAL_ROWS = 16, 4096
 STEPS, DECIMALS = 12, 9
 
 
@@ -69,6 +71,10 @@ class Index:
     group_of: np.ndarray
     parts: np.ndarray
     k: int
+    narrow: bool = False   # the vectors are of 4-byte numbers
+
+    def sent(self, vector: str) -> Column:
+        return F.col(vector).cast("array<float>" if self.narrow else "array<double>").alias(vector)
 
 
 def _at(numbers: np.ndarray, i: Column) -> Column:
@@ -141,7 +147,8 @@ def build(vectors: DataFrame, key: str, col: str, k: int = NEIGHBOURS, cells: in
     blocks = placed.withColumn("group", _at(group_of, F.col("cell")).cast("int"))
     blocks = blocks.withColumn("part", F.pmod(F.xxhash64("entry"), _at(parts, F.col("group"))).cast("int"))
     blocks = blocks.groupBy("group", "part").agg(F.collect_list(F.struct("cell", "entry", "vector", "keys")).alias("rows"))
-    return Index(entries, materialize(blocks, "vector_blocks"), centres, group_of, parts, k)
+    narrow = vectors.schema[col].dataType.simpleString() == "array<float>"
+    return Index(entries, materialize(blocks, "vector_blocks"), centres, group_of, parts, k, narrow)
 
 
 def _visited(cells: pa.Array, of_row: np.ndarray) -> np.ndarray | None:
@@ -157,28 +164,58 @@ def _visited(cells: pa.Array, of_row: np.ndarray) -> np.ndarray | None:
     return visits[:, row]
 
 
+class _Block:
+    """The rows of a block, held while its queries come by."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        self.matrix = np.concatenate([_matrix(r.column("vector")) for r in rows])
+        self.cells, self.entries = (np.concatenate([r.column(n).to_numpy() for r in rows]) for n in ("cell", "entry"))
+        self.keys = pa.concat_arrays([r.column("keys") for r in rows])
+
+    def nearest(self, asked: pa.RecordBatch, k: int) -> list[list[dict]]:
+        """The k + 1 nearest rows of each query."""
+        cosines = _matrix(asked.column("vector")) @ self.matrix.T
+        visits = _visited(asked.column("cells"), self.cells)
+        if visits is not None:
+            cosines[~visits] = -2.0
+        count = min(k + 1, cosines.shape[1])
+        least = np.partition(cosines, cosines.shape[1] - count, axis=1)[:, cosines.shape[1] - count]
+        near = []
+        for row, low in zip(cosines, least):
+            # cosines are compared as rounded: what rounds to the least one is less than a unit below it
+            at = np.flatnonzero(row >= max(low, -1.5) - 1.01 * 10.0**-DECIMALS)
+            rounded = np.round(row[at], DECIMALS)
+            at, rounded = (x[rounded >= max(np.round(low, DECIMALS), -1.5)] for x in (at, rounded))
+            first = np.lexsort((self.entries[at], -rounded))[:count]
+            some = zip(at[first].tolist(), rounded[first].tolist())
+            found = sorted((-c, key, int(self.cells[i])) for i, c in some for key in self.keys[i].as_py())[: k + 1]
+            near.append([{"cosine": -c, "key": key, "cell": cell} for c, key, cell in found])
+        return near
+
+
 def _best(k: int):
-    """``entry, near``: the k + 1 nearest rows of a block for each query of a query block."""
+    """``entry, near``: the k + 1 nearest rows of a block for each query, from rows sorted by unit, a block's own rows first."""
     kind = pa.list_(pa.struct([("cosine", pa.float64()), ("key", pa.int64()), ("cell", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows, block = None, [], None
         for batch in batches:
-            for block, asked in zip(batch.column("rows"), batch.column("asked")):
-                there, here = block.values, asked.values
-                cosines = np.round(_matrix(here.field("vector")) @ _matrix(there.field("vector")).T, DECIMALS)
-                cells, entries, keys = there.field("cell").to_numpy(), there.field("entry").to_numpy(), there.field("keys")
-                visits = _visited(here.field("cells"), cells)
-                if visits is not None:
-                    cosines[~visits] = -2.0
-                count = min(k + 1, cosines.shape[1])
-                least = -np.partition(-cosines, count - 1, axis=1)[:, count - 1]
-                near = []
-                for row, low in zip(cosines, least):
-                    at = np.flatnonzero(row >= max(low, -1.5))
-                    at = at[np.lexsort((entries[at], -row[at]))[:count]]
-                    found = sorted((-float(row[i]), key, int(cells[i])) for i in at.tolist() for key in keys[i].as_py())[: k + 1]
-                    near.append([{"cosine": -c, "key": key, "cell": cell} for c, key, cell in found])
-                yield pa.record_batch([here.field("entry"), pa.array(near, kind)], names=["entry", "near"])
+            marks = np.stack([batch.column(n).to_numpy() for n in ("group", "part", "copy", "query")])
+            begins = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(begins, begins[1:]):
+                some = batch.slice(low, high - low)
+                if not len(some):
+                    continue
+                if tuple(marks[:3, low]) != unit:
+                    unit, rows, block = tuple(marks[:3, low]), [], None
+                if not marks[3, low]:
+                    rows.append(some)
+                    continue
+                if block is None and rows:
+                    block, rows = _Block(rows), []
+                for at in range(0, len(some) if block else 0, QUERY_ROWS):
+                    asked = some.slice(at, QUERY_ROWS)
+                    yield pa.record_batch([asked.column("entry"), pa.array(block.nearest(asked, k), kind)], names=["entry", "near"])
 
     return run
 
@@ -194,14 +231,20 @@ def _nearest(index: Index, entries: DataFrame, probes: int | None) -> DataFrame:
         visits = visited.select("entry", "vector", F.transform("cells", lambda c: F.struct(_at(index.group_of, c).cast("int").alias("group"), c.alias("cell"))).alias("cells"))
         visits = visits.withColumn("group", F.explode(F.array_distinct("cells.group")))
         visits = visits.withColumn("cells", F.transform(F.filter("cells", lambda c: c["group"] == F.col("group")), lambda c: c["cell"]))
-    blocks = np.ones(groups, np.int64)
+    copies = np.ones(groups, np.int64)
     for group, size in visits.groupBy("group").count().collect():   # at most MAX_CELLS rows
-        blocks[group] = -(-size // QUERY_ROWS)
-    packed = visits.withColumn("block", F.pmod(F.xxhash64("entry"), _at(blocks, F.col("group"))).cast("int"))
-    packed = packed.groupBy("group", "block").agg(F.collect_list(F.struct("entry", "vector", "cells")).alias("asked"))
-    packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), _at(index.parts, F.col("group")).cast("int") - 1)))
-    met = index.blocks.join(packed, ["group", "part"]).select("rows", "asked")
-    found = met.mapInArrow(_best(k), "entry bigint, near array<struct<cosine: double, key: bigint, cell: int>>")
+        copies[group] = -(-size // UNIT_QUERIES)
+    # small rows on both sides: a block's rows go to each of its copies, a query to one copy of each block
+    unit = (F.col("group"), F.col("part"), F.col("copy"))
+    own = index.blocks.select("group", "part", F.inline("rows"))
+    own = own.withColumn("copy", F.explode(F.sequence(F.lit(0), _at(copies, F.col("group")).cast("int") - 1)))
+    asked = visits.withColumn("copy", F.pmod(F.xxhash64("entry"), _at(copies, F.col("group"))).cast("int"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), _at(index.parts, F.col("group")).cast("int") - 1)))
+    none = (F.lit(None).cast("int").alias("cell"), F.lit(None).cast("array<bigint>").alias("keys"), F.lit(1).alias("query"))
+    own = own.select(*unit, "entry", index.sent("vector"), F.lit(None).cast("array<int>").alias("cells"), "cell", "keys", F.lit(0).alias("query"))
+    both = own.unionByName(asked.select(*unit, "entry", index.sent("vector"), "cells", *none))
+    both = both.repartition(*unit).sortWithinPartitions(*unit, "query")
+    found = both.mapInArrow(_best(k), "entry bigint, near array<struct<cosine: double, key: bigint, cell: int>>")
     order = Window.partitionBy("entry").orderBy(F.desc("cosine"), "key")
     found = found.select("entry", F.inline("near")).withColumn("place", F.row_number().over(order))
     return found.filter(F.col("place") <= k + 1)
@@ -225,11 +268,16 @@ def search(index: Index, queries: DataFrame, key: str, col: str, probes: int | N
     # equal query vectors are asked once
     entries = asked.select("h", "vector").distinct().withColumn("entry", F.monotonically_increasing_id())
     entries = materialize(entries, "query_entries")
-    found = _nearest(index, entries, probes)
+    wide = queries.schema[col].dataType.simpleString() != "array<float>"
+    found = _nearest(replace(index, narrow=False) if wide else index, entries.select("entry", "vector"), probes)
     found = found.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("place", "key", "cosine"))).alias("all"))
-    # rows of one vector are dealt to SALTS places to get its neighbours
-    answers = entries.join(found, "entry").drop("entry").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = asked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(answers, ["h", "vector", "salt"])
+    # rows of one vector are dealt to SALTS places to get its neighbours if they are many, which few vectors' rows can be
+    many = F.broadcast(asked.groupBy("h").count().filter(F.col("count") > EQUAL_ROWS).select("h", F.lit(SALTS).alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    answers = entries.join(found, "entry").drop("entry").join(many, "h", "left")
+    answers = answers.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    rows = asked.join(many, "h", "left").withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).drop("salts")
+    rows = rows.join(answers, ["h", "vector", "salt"])
     others = F.slice(F.filter("all", lambda x: x["key"] != F.col("key")), 1, index.k)
     rows = rows.select(F.col("key").alias("of"), F.posexplode(others).alias("at", "x"))
     return rows.select(
