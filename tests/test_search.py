@@ -86,3 +86,15 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
     assert search.search(search.build(none, "doc_id", "text"), one, "doc_id", "text").collect() == []
     assert search.search(search.build(one, "doc_id", "text"), none, "doc_id", "text").collect() == []
+
+
+def test_a_shard_is_sent_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERIES", 4)
+    docs = spark.createDataFrame([(i, t) for i, t in texts()], "doc_id bigint, text string")
+    queries = spark.createDataFrame(asked(), "q bigint, text string")
+    index = search.build(docs, "doc_id", "text", 100)
+    sent, mapped = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema, *a, **b: (sent.append(self), mapped(self, f, schema, *a, **b))[1])
+    search.search(index, queries, "q", "text")
+    assert sent[-1].filter("data is not null").count() == index.count > 3
+    assert sent[-1].filter("asked is not null").count() > 3 * index.count

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,13 +62,14 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, begins)
 
 
-def _pack_shard(shard: int, keys: list[int], words: list[list[str]]) -> dict:
-    number: dict[str, int] = {}
-    lengths = np.array([len(w) for w in words], np.int64)
-    term = np.fromiter((number.setdefault(w, len(number)) for some in words for w in some), np.int64, int(lengths.sum()))
+def _pack_shard(shard: int, keys: list[int], words: pa.ListArray | list[list[str]]) -> dict:
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.list_(pa.string()))
+    lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()   # no text of a word is an object of its own
+    terms, term = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     pair, count = np.unique(term * len(keys) + np.repeat(np.arange(len(keys)), lengths), return_counts=True)
     term, doc = pair // max(len(keys), 1), pair % max(len(keys), 1)
-    counts = np.bincount(term, minlength=len(number))
+    counts = np.bincount(term, minlength=len(terms))
     place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
     first = place % BLOCK == 0
     gap = np.where(first, doc, np.diff(doc, prepend=0))
@@ -75,7 +77,7 @@ def _pack_shard(shard: int, keys: list[int], words: list[list[str]]) -> dict:
     begins = np.flatnonzero(first)
     blocks = -(-counts // BLOCK)
     return {
-        "shard": shard, "keys": keys, "lengths": lengths.astype(np.int32), "terms": list(number), "counts": counts.astype(np.int32),
+        "shard": shard, "keys": keys, "lengths": lengths.astype(np.int32), "terms": terms, "counts": counts.astype(np.int32),
         "firsts": np.concatenate([[0], np.cumsum(blocks)]).astype(np.int32),
         "last": np.append(doc[begins[1:] - 1], doc[-1:]).astype(np.int32) if len(begins) else np.zeros(0, np.int32),
         "most": (np.maximum.reduceat(count, begins) if len(begins) else count).astype(np.int32),
@@ -94,21 +96,33 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, keys, words = None, [], []
 
     def row() -> pa.RecordBatch:
-        made = _pack_shard(at, keys, words)
-        return pa.record_batch([pa.array([made[n]], kind) for n, kind in kinds.items()], names=list(kinds))
+        made = _pack_shard(at, keys, pa.concat_arrays(words))
+        return pa.record_batch([_one(made[n], kind) for n, kind in kinds.items()], names=list(kinds))
 
     for batch in batches:
-        for shard, key, some in zip(*(c.to_pylist() for c in batch.columns)):
-            if shard != at and keys:
+        shards = batch.column("shard").to_numpy()
+        begins = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+        for low, high in zip(begins, begins[1:]):
+            if low == high:
+                continue
+            if shards[low] != at and keys:
                 yield row()
                 keys, words = [], []
-            at = shard
-            keys.append(key)
-            words.append(some or [])
+            at = int(shards[low])
+            keys += batch.column("key")[low:high].to_pylist()
+            words.append(batch.column("words")[low:high])
     if keys:
         yield row()
 
 
+def _one(value, kind: pa.DataType) -> pa.Array:
+    """A column of one row."""
+    if not pa.types.is_list(kind):
+        return pa.array([value], kind)
+    values = value if isinstance(value, pa.Array) else pa.array(value, kind.value_type)
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 @dataclass
 class Index:
     shards: DataFrame      # one packed row per shard
@@ -134,7 +148,7 @@ class Shard:
 
     def __init__(self, row: dict, average: float):
         self.keys, self.lengths = np.array(row["keys"], np.int64), np.array(row["lengths"], np.int64)
-        self.number = {t: i for i, t in enumerate(row["terms"])}
+        self.number = {t: i for i, t in enumerate(row["terms"].to_pylist() if isinstance(row["terms"], pa.Array) else row["terms"])}
         self.counts, self.firsts, self.last = (np.array(row[n], np.int64) for n in ("counts", "firsts", "last"))
         self.starts, self.data, self.average, self.decoded = np.array(row["starts"], np.int64), row["data"], average, 0
         self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -167,16 +181,23 @@ class Shard:
                 self.kept[term] = found
         return found
 
+    @staticmethod
+    def _least(scores: np.ndarray, k: int) -> float:
+        """The k-th best score so far, minus infinity if fewer texts are met."""
+        return float(np.partition(scores, len(scores) - k)[len(scores) - k]) or -np.inf if len(scores) >= k else -np.inf
+
     def best(self, asked: list[tuple[str, float]], k: int) -> list[tuple[float, int]]:
         """The k best texts as (score, key)."""
         terms = [(self.number[t], idf) for t, idf in asked if t in self.number]
         bound = [idf * float(self.bounds[self.firsts[t] : self.firsts[t + 1]].max()) for t, idf in terms]
         order = sorted(range(len(terms)), key=lambda i: -bound[i])
         to_come = np.cumsum([0.0, *(bound[i] for i in reversed(order))])[::-1]
-        scores, least = np.zeros(len(self.keys)), -np.inf
+        scores = np.zeros(len(self.keys))
         for turn, i in enumerate(order):
             term, idf = terms[i]
-            if least > to_come[turn] + CLOSE_BY and term not in self.kept:
+            # a kept term costs no decoding, whatever is in reach
+            least = -np.inf if term in self.kept else self._least(scores, k)
+            if least > to_come[turn] + CLOSE_BY:
                 blocks = np.arange(self.firsts[term], self.firsts[term + 1])
                 near = np.flatnonzero(scores + to_come[turn] >= least - CLOSE_BY)
                 at = np.searchsorted(self.last[blocks], near)
@@ -187,25 +208,28 @@ class Shard:
             else:
                 doc, part = self.whole(term)
             scores[doc] += idf * part
-            if len(scores) >= k:
-                least = max(float(np.partition(scores, len(scores) - k)[len(scores) - k]), 0.0) or -np.inf
-        found = np.flatnonzero(scores > 0)
+        found = np.flatnonzero((scores > 0) & (scores >= self._least(scores, k) - CLOSE_BY))
         rounded = np.round(scores[found], DECIMALS)
         top = found[np.lexsort((self.keys[found], -rounded))[:k]]
         return [(round(float(scores[d]), DECIMALS), int(self.keys[d])) for d in top.tolist()]
 
 
 def _answers(k: int, average: float):
+    """Answers from rows sorted by shard: the shard itself, which is held, then the packs of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, shard = None, None
         names = [f.split()[0] for f in _SHARD.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
                 number = batch.column("shard")[i].as_py()
-                if number != at:
-                    at, shard = number, Shard({n: batch.column(n)[i].as_py() for n in names}, average)
+                if not batch.column("asked")[i].is_valid:
+                    row = {n: batch.column(n)[i] for n in names}
+                    values = {n: v.values if isinstance(v, pa.ListScalar) and n != "keys" else v.as_py() for n, v in row.items()}
+                    at, shard = number, Shard(values, average)
+                    continue
                 rows = []
-                for query in batch.column("asked")[i].as_py():
+                for query in batch.column("asked")[i].as_py() if number == at else []:
                     asked = [(t["term"], t["idf"]) for t in query["terms"]]
                     rows += [(query["query"], s, d) for s, d in shard.best(asked, k)]
                 columns = list(zip(*rows)) if rows else [[], [], []]
@@ -223,7 +247,9 @@ def search(index: Index, queries: DataFrame, query: str, text: str, k: int = TOP
     blocks = max(-(-asked.count() // QUERIES), 1)
     packs = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "terms")).alias("asked"))
     packs = packs.select("asked", F.explode(F.sequence(F.lit(0), F.lit(index.count - 1))).alias("shard"))
-    met = index.shards.join(packs, "shard")
+    # a shard is sent once, not beside each pack
+    met = index.shards.unionByName(packs, allowMissingColumns=True)
+    met = met.repartition("shard").sortWithinPartitions("shard", F.col("asked").isNotNull())
     found = met.mapInArrow(_answers(k, index.average), "query bigint, score double, key bigint")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
     ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
