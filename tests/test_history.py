@@ -80,3 +80,13 @@ def test_intervals_hold_the_shares(spark):
         assert 0.6 * width < r.share_high - r.share_low < 1.5 * width
     assert sorted(map(tuple, got)) == sorted(map(tuple, stability.intervals(rows.repartition(7)).collect()))
     assert stability.intervals(rows.limit(0)).collect() == []
+
+
+def test_replicates_are_drawn_without_a_row_for_each(spark):
+    ords, replicates = np.array([0, 5, 2**31, 2**60 + 7, -3]), np.arange(20)
+    rows = spark.createDataFrame([(int(o), int(r)) for o in ords for r in replicates], "ord bigint, r bigint")
+    want = [r[0] for r in rows.coalesce(1).select(stability.copies(F.col("ord"), F.col("r"))).collect()]
+    assert stability.copies_of(ords, replicates).ravel().tolist() == want
+    some = spark.createDataFrame([("a", "x", 1), ("a", "x", None), ("b", "y", 2), (None, None, 3)], "sub_domain string, source string, ord bigint")
+    assert "Generate" not in stability.intervals(some)._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.sub_domain: r.n for r in stability.intervals(some).collect()} == {"a": 2, "b": 1, None: 1}

@@ -1,20 +1,24 @@
 """How far the clusters' shares, scores and ranks would move on another sample of reviews.
 
 Poisson bootstrap: in each replicate a row counts as often as a Poisson number of mean 1 says, which is made from a hash of its
-``ord`` and the replicate's number. All replicates are one aggregate over the rows, and a rerun gives the same numbers. An
+``ord`` and the replicate's number. All replicates are summed in one pass over the rows, and a rerun gives the same numbers. An
 interval's ends are the replicates' values at ``TAIL`` from either end.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voc.functions.scores import prevalence, share
 
 REPLICATES, TAIL = 200, 0.025
+ROWS = 2048              # worked on at once
 PRIME = 2**31 - 1
 # a hash below the k-th bound is a number of at most k
 BOUNDS = [math.floor(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10)]
@@ -33,12 +37,51 @@ def copies(ord_: Column, replicate: Column) -> Column:
     return F.aggregate(F.array(*map(F.lit, BOUNDS)), F.lit(0), lambda n, b: n + (x >= b).cast("int"))
 
 
+def copies_of(ords: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The numbers of ``copies`` of many rows in many replicates at once, one row each."""
+    r = replicates.astype(np.int64)
+    x = (np.mod(ords, PRIME)[:, None] * (r * 7919 + 104729) + r) % PRIME
+    for more in (r * 12289 + 1, 24593, 49157):
+        x = (x * x + more) % PRIME
+    return np.searchsorted(BOUNDS, x, side="right")
+
+
+def _drawn(replicates: int):
+    """``sub_domain, source, r, w, n`` of a task's rows: the sums of their copies and how many rows there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[tuple, int] = {}
+        sums, sizes, valid = (np.zeros((0, *shape), np.int64) for shape in ((replicates,), (), ()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                names = zip(batch.column("sub_domain").to_pylist(), batch.column("source").to_pylist())
+                group = np.array([number.setdefault(g, len(number)) for g in names], np.int64)
+                more = len(number) - len(sizes)
+                sums = np.concatenate([sums, np.zeros((more, replicates), np.int64)])
+                sizes, valid = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (sizes, valid))
+                ords = batch.column("ord")
+                known = ords.is_valid().to_numpy(zero_copy_only=False)
+                sizes += np.bincount(group, minlength=len(number))
+                group = group[known]
+                valid += np.bincount(group, minlength=len(number))
+                drawn = copies_of(ords.drop_null().to_numpy(), np.arange(replicates))
+                member = (np.arange(len(number))[:, None] == group).astype(np.float64)
+                sums += (member @ drawn).astype(np.int64)   # whole numbers below 2^53
+        for (domain, source), i in number.items():
+            w = pa.array(sums[i]) if valid[i] else pa.nulls(replicates, pa.int64())
+            some = [pa.array([x] * replicates, pa.string()) for x in (domain, source)]
+            yield pa.record_batch([*some, pa.array(np.arange(replicates)), w, pa.array(np.full(replicates, sizes[i]))], names=["sub_domain", "source", "r", "w", "n"])
+
+    return run
+
+
 def intervals(classified: DataFrame, replicates: int = REPLICATES) -> DataFrame:
     """``sub_domain, n, share, rank`` and the intervals of share, prevalence score and rank, one row per cluster."""
     at = max(math.floor(TAIL * replicates), 0) + 1
     rows = classified.select("sub_domain", "source", F.col("ord").cast("bigint").alias("ord"))
-    rows = rows.withColumn("r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
-    sums = rows.groupBy("sub_domain", "source", "r").agg(F.sum(copies(F.col("ord"), F.col("r"))).alias("w"), F.count("*").alias("n"))
+    drawn = rows.mapInArrow(_drawn(replicates), "sub_domain string, source string, r bigint, w bigint, n bigint")
+    sums = drawn.groupBy("sub_domain", "source", "r").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     # at most one row per domain and replicate from here on
     sums = sums.groupBy("sub_domain", "r").agg(F.sum("w").alias("w"), F.sum("n").alias("n"), F.count_if(F.col("w") > 0).alias("n_sources"))
     of_all = Window.partitionBy("r")
