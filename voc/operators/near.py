@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ SHINGLE = 5
 SIMILARITY = 0.9
 BANDS, ROWS = 32, 4
 SKETCH = 1 << 16               # frequencies kept of shingles
+PIECE = 128                    # texts worked on at once
 
 
 def _signatures(size: int, bands: int, rows: int):
@@ -40,6 +42,20 @@ def _signatures(size: int, bands: int, rows: int):
     return shingles, keys
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``PIECE`` rows: what is made of a batch is many times larger, so it has to be small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    """Numbers of 64 bits as lists, without an object for each."""
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def similar_to_earlier(
     df: DataFrame, text: str = "cleaned_text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -55,14 +71,10 @@ def similar_to_earlier(
     shingles, keys = _signatures(size, bands, rows)
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             found = [shingles(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch(
-                [
-                    batch.column(0), pa.array([f.view(np.int64).tolist() for f in found], pa.list_(pa.int64())),
-                    pa.array([keys(f) for f in found], pa.list_(pa.int64())),
-                ],
-                names=["ord", "shingles", "bands"],
+                [batch.column(0), _lists(found), pa.array([keys(f) for f in found], pa.list_(pa.int64()))], names=["ord", "shingles", "bands"]
             )
 
     signed = df.select("ord", text).mapInArrow(run, "ord bigint, shingles array<bigint>, bands array<bigint>")
@@ -110,17 +122,15 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
         frequency[place] = n
 
     def cut(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             sizes, prefixes = [], []
             for one in batch.column(1):
                 found = one.values.to_numpy().view(np.uint64)
                 n = len(found)
                 order = np.lexsort((found, frequency[(found >> shift).astype(np.int64)]))
                 sizes.append(n)
-                prefixes.append(found[order[: n - math.ceil(similarity * n - 1e-6) + 1]].view(np.int64).tolist())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["ord", "n", "prefix"]
-            )
+                prefixes.append(found[order[: n - math.ceil(similarity * n - 1e-6) + 1]])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int32()), _lists(prefixes)], names=["ord", "n", "prefix"])
 
     return sets.mapInArrow(cut, "ord bigint, n int, prefix array<bigint>")
 
