@@ -82,3 +82,26 @@ def test_texts_of_one_topic_are_near(spark):
     same = np.equal.outer(np.arange(240) % 3, np.arange(240) % 3)
     assert cos[same].mean() > 0.8 > 0.3 > cos[~same].mean()
     assert embedding.learnt_vectors(df.limit(0), ["one"], 4).collect() == []
+
+
+def test_words_that_are_not_known_make_no_pairs(spark, monkeypatch):
+    """Counts given away in parts add up, and only pairs of known words are shuffled."""
+    monkeypatch.setattr(embedding, "HELD", 5)
+    monkeypatch.setattr(embedding, "ROWS", 3)
+    rows = [*texts(), (900, [f"once{i}" for i in range(50)]), (901, None)]
+    words = table(spark, rows)
+    pairs = embedding.word_pairs(words, embedding.vocabulary(words, 12))
+    top = {t for t, _ in sorted(Counter(w for _, some in rows for w in some or []).items(), key=lambda x: (-x[1], x[0]))[:12]}
+    assert {(r.a, r.b): r.n for r in pairs.collect()} == dict(brute_pairs([(i, w or []) for i, w in rows], top))
+    assert "Generate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_words_give_the_same_space(spark, monkeypatch):
+    words = table(spark)
+    matrix = embedding.information(embedding.word_pairs(words, embedding.vocabulary(words)))
+    one = embedding.eigenvectors(matrix, 3, 25)[1]
+    monkeypatch.setattr(embedding, "BLOCK", 4)
+    found, several = embedding.eigenvectors(matrix, 3, 25)
+    assert np.allclose(one, several, rtol=1e-6)
+    v = np.array([r.v for r in found.collect()])
+    assert np.allclose(v.T @ v, np.eye(3), atol=1e-8)
