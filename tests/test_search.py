@@ -98,3 +98,19 @@ def test_a_shard_is_sent_once(spark, monkeypatch):
     search.search(index, queries, "q", "text")
     assert sent[-1].filter("data is not null").count() == index.count > 3
     assert sent[-1].filter("asked is not null").count() > 3 * index.count
+
+
+def test_a_shard_decoded_whole_gives_the_same(monkeypatch):
+    words = [(t or "").lower().split() for _, t in texts()]
+    row = search._pack_shard(0, list(range(len(words))), words)
+    whole, lazy, small = (search.Shard(row, 50.0) for _ in range(3))
+    whole.open()
+    blocks = whole.decoded
+    small.room = 10
+    small.open()
+    assert blocks == len(row["last"]) and small.opened is None
+    for _, text in asked():
+        terms = [(t, 1.0 + i / 7) for i, t in enumerate(dict.fromkeys((text or "").lower().split()))]
+        best = lazy.best(terms, 10)
+        assert [d for _, d in whole.best(terms, 10)] == [d for _, d in best] and small.best(terms, 10) == best
+    assert whole.decoded == blocks

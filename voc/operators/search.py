@@ -6,7 +6,7 @@ and per block the last text, the largest count and the smallest length, which bo
 
 A query's score of a text is BM25 over its different words. In a shard its words are taken by falling bound. Once the k-th best
 score so far is above what all words still to come can add, a text not yet met cannot enter; from then on only blocks that hold a
-text still in reach are decoded. The k best of all shards are merged. Queries meet every shard in blocks of ``QUERIES``.
+text still in reach are decoded. A shard of at most ``KEPT`` postings is decoded whole instead. The k best of all shards are merged. Queries meet every shard in blocks of ``QUERIES``.
 
 Rows: null and wordless texts match nothing but count as texts; rows of one key are texts of their own and are listed together;
 a query without known words finds nothing. Equal scores (to nine decimals) go by key.
@@ -29,7 +29,7 @@ from voc.storage import materialize
 SHARD_DOCS, BLOCK, QUERIES = 4096, 128, 256
 K1, B, TOP, DECIMALS = 1.2, 0.75, 10, 9
 CLOSE_BY = 1e-6          # what is nearer to the k-th best score than this is still looked at
-KEPT = 4 << 20           # decoded postings that a shard keeps for its next queries
+KEPT = 4 << 20           # decoded postings that a shard keeps for its queries
 
 _SHARD = (
     "shard int, keys array<bigint>, lengths array<int>, terms array<string>, counts array<int>, firsts array<int>, "
@@ -154,6 +154,22 @@ class Shard:
         self.kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.room = KEPT
         self.bounds = self._part(np.array(row["most"], np.float64), np.array(row["least"], np.float64))
+        self.highest = np.maximum.reduceat(self.bounds, self.firsts[:-1]) if len(self.counts) else self.bounds
+        self.opened: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def open(self) -> None:
+        """Decodes all postings at once if there is room for them, for a shard that many queries come to."""
+        if not 0 < self.counts.sum() <= self.room:
+            return
+        values = unpacked(self.data)
+        gap, count = values[::2], values[1::2]
+        sizes = np.full(len(self.last), BLOCK)
+        sizes[self.firsts[1:] - 1] = (self.counts - 1) % BLOCK + 1
+        heads = np.cumsum(sizes) - sizes
+        total = np.cumsum(gap)
+        doc = total - np.repeat(total[heads] - gap[heads], sizes)
+        self.opened = np.concatenate([[0], np.cumsum(self.counts)]), doc, self._part(count.astype(np.float64), self.lengths[doc].astype(np.float64))
+        self.decoded, self.room = self.decoded + len(sizes), 0
 
     def _part(self, count: np.ndarray, length: np.ndarray) -> np.ndarray:
         return count * (K1 + 1) / (count + K1 * (1 - B + B * length / self.average))
@@ -173,6 +189,9 @@ class Shard:
         return doc, self._part(count.astype(np.float64), self.lengths[doc].astype(np.float64))
 
     def whole(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.opened is not None:
+            begins, doc, part = self.opened
+            return doc[begins[term] : begins[term + 1]], part[begins[term] : begins[term + 1]]
         found = self.kept.get(term)
         if found is None:
             found = self.postings(term, np.arange(self.firsts[term], self.firsts[term + 1]))
@@ -189,14 +208,14 @@ class Shard:
     def best(self, asked: list[tuple[str, float]], k: int) -> list[tuple[float, int]]:
         """The k best texts as (score, key)."""
         terms = [(self.number[t], idf) for t, idf in asked if t in self.number]
-        bound = [idf * float(self.bounds[self.firsts[t] : self.firsts[t + 1]].max()) for t, idf in terms]
+        bound = [idf * float(self.highest[t]) for t, idf in terms]
         order = sorted(range(len(terms)), key=lambda i: -bound[i])
         to_come = np.cumsum([0.0, *(bound[i] for i in reversed(order))])[::-1]
         scores = np.zeros(len(self.keys))
         for turn, i in enumerate(order):
             term, idf = terms[i]
             # a kept term costs no decoding, whatever is in reach
-            least = -np.inf if term in self.kept else self._least(scores, k)
+            least = -np.inf if self.opened is not None or term in self.kept else self._least(scores, k)
             if least > to_come[turn] + CLOSE_BY:
                 blocks = np.arange(self.firsts[term], self.firsts[term + 1])
                 near = np.flatnonzero(scores + to_come[turn] >= least - CLOSE_BY)
@@ -227,6 +246,7 @@ def _answers(k: int, average: float):
                     row = {n: batch.column(n)[i] for n in names}
                     values = {n: v.values if isinstance(v, pa.ListScalar) and n != "keys" else v.as_py() for n, v in row.items()}
                     at, shard = number, Shard(values, average)
+                    shard.open()
                     continue
                 rows = []
                 for query in batch.column("asked")[i].as_py() if number == at else []:
