@@ -133,3 +133,14 @@ def test_word_lists_on_literal_examples():
     stop = rules.stop_words(DEFAULT)
     assert {"the", "app", "delivery", "very", "hai", "because", "themselves", "nor"} <= set(stop)
     assert not {"refund", "rotten", "payment", "milk"} & set(stop)
+
+
+def test_near_copies_are_made_of_few_texts_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(1000)), pa.array([f"t{i}" for i in range(1000)])], names=["ord", "text"])
+    pieces = list(near._pieces([batch.slice(3), batch.slice(0, 0)]))
+    assert max(p.num_rows for p in pieces) <= near.PIECE and pa.Table.from_batches(pieces).to_pylist() == batch.slice(3).to_pylist()
+    found = [np.array([1, 2**64 - 1], np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)]
+    assert near._lists(found).to_pylist() == [[1, -1], [], [7]] and near._lists([]).to_pylist() == []
