@@ -1,4 +1,6 @@
+import gc
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -51,6 +53,38 @@ def test_words_and_marks_equal_the_library():
     assert ids == LIBRARY.encode(quoting, add_special_tokens=False).ids and LIBRARY.token_to_id("<|endoftext|>") in ids
 
 
+def held_bytes():
+    gc.collect()
+    return tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+
+
+def test_the_table_of_words_is_small_and_bounded(monkeypatch):
+    own, words = token_files.Encoder(PATH), [f"w{i:06x}q" for i in range(60_000)]
+    expected = [e.ids for e in LIBRARY.encode_batch(words, add_special_tokens=False)]
+    tracemalloc.start()
+    try:
+        before = held_bytes()
+        for low in range(0, len(words), 6_000):
+            own.encode(pa.array([" ".join(["a", *words[low : low + 6_000]])]))
+        assert len(own.after) >= 60_000 and held_bytes() - before < 80 * 60_000
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 1_000)
+    for low in (0, 500, 58_000, 0):
+        found = own.encode(pa.array(words[low : low + 900]))
+        assert [f.tolist() for f in found] == expected[low : low + 900]
+    assert len(own.first) < 2_000
+
+
+def test_texts_that_are_encoded_whole_go_to_the_library_a_few_at_a_time(monkeypatch):
+    own, calls, real = token_files.Encoder(PATH), [], token_files.Encoder._whole
+    texts = [f"two  blanks {i} and a  row" for i in range(200)]
+    monkeypatch.setattr(token_files.Encoder, "_whole", lambda self, some: calls.append([t for t in some if "  " in t]) or real(self, some))
+    found = [f.tolist() for f in own.encode(pa.array(texts))]
+    assert found == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(len, calls)) == 200 and max(map(len, calls)) <= 16
+
+
 def test_files_hold_every_document(spark, odd_docs, odd_rows, monkeypatch):
     stretches = token_files.write(odd_docs, PATH, 0)
     got = sorted(map(tuple, token_files.read(stretches).collect()), key=lambda r: r[1])
