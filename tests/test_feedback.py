@@ -1,3 +1,7 @@
+import random
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from voc import rules
@@ -120,6 +124,32 @@ def test_keywords(spark):
     assert {r.term for r in keywords.topic_words(both, stop).collect()} == {"milk"}
 
 
+def test_terms_leave_a_task_once_a_chunk(spark, monkeypatch):
+    rng = random.Random(7)
+    names = [*rules.DOMAIN_NAMES[:3], None, "no such cluster"]
+    rows = [(rng.choice(names), None if i % 17 == 0 else " ".join(rng.choices(["milk", "bread", "the", "eggs", "tea", "x"], k=i % 30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "sub_domain string, cleaned_text string").repartition(3)
+    stop = {"the"}
+    tf, texts, by_cluster = Counter(), Counter(), Counter()
+    for name, text in rows:
+        words = [w for w in (text or "").split() if len(w) > 1 and w not in stop]
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        tf.update(terms)
+        texts.update(set(terms))
+        by_cluster.update((name, t) for t in terms)
+    expected = {t: (tf[t], n) for t, n in texts.items() if n >= 2}
+    assert keywords._terms(df, stop).count() <= 3 * len(tf)   # 3 tasks; one row for each place before
+    for chunk, sent in ((2 << 20, 100_000), (50, 3)):
+        monkeypatch.setattr(keywords, "CHUNK_WORDS", chunk)
+        monkeypatch.setattr(keywords, "SENT_ROWS", sent)
+        assert {r.term: (r.tf, r.df) for r in keywords.term_counts(df, stop).collect()} == expected
+        got = keywords.topic_words(df, stop, k=100).collect()
+        common = {t for t in tf if sum(by_cluster[n, t] > 0 for n in names[:3]) >= 2}
+        assert {(r.sub_domain, r.term): r.tf for r in got} == {(n, t): c for (n, t), c in by_cluster.items() if n in names[:3] and t in common}
+    by_bytes = keywords._counted(pa.array([["b", "a", "b"], None, [], ["b"]], pa.list_(pa.string())), None).to_pylist()
+    assert sorted((r["term"], r["tf"], r["df"]) for r in by_bytes) == [("a", 1, 1), ("a b", 1, 1), ("b", 3, 2), ("b a", 1, 1)]
+
+
 def test_extraction_counts(spark):
     texts = [("no refund given, return policy is really bad and the price is higher than the mrp", 1.0),
              ("the refund was rejected and nobody helped me with it at all", 1.0),

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from typing import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc import rules
-from voc.functions.text import kept_tokens, ngrams, once, word_list
+from voc.functions.text import kept_tokens, word_list
 from voc.operators.clusters import first_k
+from voc.storage import materialize
+
+CHUNK_WORDS = 2 << 20   # words whose terms a task counts at once
+SENT_ROWS = 100_000
 
 
 def top_keywords(df: DataFrame, stop_words: Iterable[str], k: int = rules.TOP_KEYWORDS) -> DataFrame:
@@ -37,22 +44,115 @@ def fallback_keywords(clusters: DataFrame) -> DataFrame:
     return clusters.select("sub_domain", word_list(rules.FALLBACK_KEYWORDS).alias("keywords"))
 
 
-def _terms(df: DataFrame, stop_words: Iterable[str]) -> DataFrame:
-    """Rows ``sub_domain, term, tf, df`` whose sums per term are its occurrences and the texts that hold it.
+def _counted(texts: pa.Array, clusters: pa.Array | None) -> pa.RecordBatch:
+    """``term, tf, df`` of words and neighbour pairs in lists of words; with clusters ``cluster, term, tf``.
 
-    A text without repeated terms gives one row per term. Otherwise occurrences and distinct terms are rows of their
-    own. Both counts come from one aggregate by term, without a distinct count.
+    A term is a number made of its two words' numbers, and one sort by term and text gives both counts.
+    """
+    sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = texts.flatten().dictionary_encode()
+    word, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    if clusters is None:
+        part, names = np.arange(len(sizes)), None
+    else:
+        clusters = clusters.dictionary_encode()
+        part, names = clusters.indices.to_numpy(zero_copy_only=False).astype(np.int64), clusters.dictionary
+    part, parts, base = np.repeat(part, sizes), max(1, len(sizes) if names is None else len(names)), len(words) + 1
+    inner = np.ones(len(word), bool)   # words with a neighbour behind them
+    inner[np.cumsum(sizes)[sizes > 0] - 1] = False
+    inner = np.flatnonzero(inner)
+    terms = np.concatenate([word * base, word[inner] * base + word[inner + 1] + 1])
+    part, distinct = np.concatenate([part, part[inner]]), None
+    if base * base * parts >= 1 << 63:
+        distinct, terms = np.unique(terms, return_inverse=True)
+    keys = np.sort(terms * parts + part)
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    tf, terms, part = np.diff(np.append(at, len(keys))), keys[at] // parts, keys[at] % parts
+    columns = {}
+    if names is None:
+        at = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])) if len(terms) else np.zeros(0, np.int64)
+        columns = {"tf": np.add.reduceat(tf, at) if len(at) else tf, "df": np.diff(np.append(at, len(terms)))}
+        terms = terms[at]
+    else:
+        columns = {"tf": tf}
+    terms = terms if distinct is None else distinct[terms]
+    first, second = terms // base, terms % base
+    pair = words.take(pa.array(np.maximum(second - 1, 0)))
+    first = words.take(pa.array(first))
+    texts = pc.if_else(pa.array(second > 0), pc.binary_join_element_wise(first, pair, " "), first)
+    columns = {"term": texts} | {k: pa.array(v, pa.int64()) for k, v in columns.items()}
+    return pa.RecordBatch.from_pydict(columns if names is None else {"cluster": names.take(pa.array(part))} | columns)
+
+
+def _terms(df: DataFrame, stop_words: Iterable[str], clusters: Iterable[str] = ()) -> DataFrame:
+    """Rows ``term, tf, df`` whose sums per term are its occurrences and the texts that hold it.
+
+    With the names of clusters, rows ``cluster, term, tf`` with the place of the name. A task counts the terms of about
+    ``CHUNK_WORDS`` words at once, so a term leaves it as one row a chunk, not as one or two rows for each place.
     """
-    words = once(df.select("sub_domain", "cleaned_text"), "words", kept_tokens("cleaned_text", stop_words))
-    terms = once(words.select("sub_domain", "words"), "terms", ngrams(F.col("words")))
-    terms = once(terms.select("sub_domain", "terms"), "distinct", F.array_distinct("terms"))
+    grouped = bool(clusters)
+    if grouped:
+        df = df.withColumn("cluster", (F.array_position(word_list(clusters), F.col("sub_domain")) - 1).cast("int")).where("cluster >= 0")
+    rows = df.select(kept_tokens("cleaned_text", stop_words).alias("words"), *["cluster"] * grouped)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            found = _counted(*(pa.concat_arrays([b.column(i) for b in held]) if i <= grouped else None for i in range(2)))
+            for low in range(0, found.num_rows, SENT_ROWS):
+                yield found.slice(low, SENT_ROWS)
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column(0).flatten())
+            if size >= CHUNK_WORDS:
+                yield from counted()
+                held, size = [], 0
+        if held:
+            yield from counted()
 
-    def rows(array: str, tf: int, df: int):
-        return F.transform(array, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+    return rows.mapInArrow(run, "cluster int, term string, tf bigint" if grouped else "term string, tf bigint, df bigint")
 
-    repeated = F.size("terms") > F.size("distinct")
-    both = F.concat(rows("terms", 1, 0), rows("distinct", 0, 1))
-    return terms.select("sub_domain", F.inline(F.when(repeated, both).otherwise(rows("distinct", 1, 1))))
+
+def _side_by_side(rows: DataFrame, clusters: int, least: int) -> DataFrame:
+    """``term, c0, c1, ...``: the counts in all clusters, of terms that are in ``least`` clusters at least.
+
+    A partition's rows come sorted by term, so a task holds one batch at a time. A hash aggregate with a sum for each
+    cluster would hold and shuffle all of them for every term, most of which are in one cluster only.
+    """
+    names = ["term", *(f"c{i}" for i in range(clusters))]
+
+    def found(terms: pa.Array, at: np.ndarray, tf: np.ndarray, heads: np.ndarray) -> pa.RecordBatch:
+        sizes = np.diff(np.append(heads, len(at)))
+        some = sizes >= least   # others have too few rows to be in so many clusters
+        rows, heads = np.repeat(some, sizes), heads[some]
+        counts = np.zeros((len(heads), clusters), np.int64)
+        np.add.at(counts, (np.repeat(np.arange(len(heads)), sizes[some]), at[rows]), tf[rows])
+        kept = np.flatnonzero((counts > 0).sum(axis=1) >= least)
+        return pa.RecordBatch.from_arrays([terms.take(pa.array(heads[kept])), *(pa.array(c) for c in counts[kept].T)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None   # the last term so far, which may go on: at most a row for each cluster
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms, at, tf = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            if rest:
+                terms, at, tf = pa.concat_arrays([rest[0], terms]), np.append(rest[1], at), np.append(rest[2], tf)
+            new = pc.not_equal(terms.slice(1), terms.slice(0, len(terms) - 1)).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero(np.append(True, new))
+            last = heads[-1]
+            yield found(terms, at[:last], tf[:last], heads[:-1])
+            total = np.zeros(clusters, np.int64)
+            np.add.at(total, at[last:], tf[last:])
+            there = np.flatnonzero(total)
+            rest = terms.slice(last, 1).take(pa.array(np.zeros(len(there), int))), there, total[there]
+        if rest:
+            yield found(*rest, np.zeros(1, int))
+
+    ordered = rows.select("term", "cluster", "tf").repartition("term").sortWithinPartitions("term")
+    return ordered.mapInArrow(run, "term string, " + ", ".join(f"{c} bigint" for c in names[1:]))
 
 
 def term_counts(df: DataFrame, stop_words: Iterable[str], min_df: int = 2) -> DataFrame:
@@ -66,18 +166,12 @@ def topic_words(df: DataFrame, stop_words: Iterable[str], k: int = rules.TOP_KEY
 
     Every cluster counts as one text: ``min_df`` is the number of clusters that hold a term.
 
-    Counts of all clusters sit side by side in one row per term, so the term total needs no second shuffle.
+    Counts of all clusters sit side by side in one row per term, so the term total needs no second shuffle. The terms of
+    enough clusters are written once: sizes and scores are taken from them.
     """
     names = rules.DOMAIN_NAMES
-    by_term = (
-        _terms(df, stop_words)
-        .groupBy("term")
-        .agg(
-            *[F.sum(F.when(F.col("sub_domain") == d, F.col("tf")).otherwise(0)).alias(f"c{i}") for i, d in enumerate(names)],
-        )
-    )
+    by_term = materialize(_side_by_side(_terms(df, stop_words, names), len(names), min_df), "topic_words")
     cols = [F.col(f"c{i}") for i in range(len(names))]
-    by_term = by_term.where(sum((c > 0).cast("int") for c in cols) >= min_df)
     sizes = by_term.agg(F.array(*[F.sum(c) for c in cols]).alias("sizes"))
     mean = F.expr("int(aggregate(sizes, 0D, (a, x) -> a + x) / greatest(size(filter(sizes, x -> x > 0)), 1))")
     facts = sizes.select(F.struct("sizes", mean.alias("mean")).alias("facts")).scalar()
