@@ -1,11 +1,14 @@
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
+from voc import storage
 from voc.llm import kneser_ney as kn
+from voc.llm import shared_files
 
 from .conftest import PROSE, prose
 
@@ -96,3 +99,45 @@ def test_without_training_texts(spark, no_docs):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     row = kn.held_out_scores(spark.createDataFrame([(alone, "a b")], "doc_id bigint, text string")).first()
     assert tuple(row) == (alone, True, 3, 0, 0, 0.0, 0.0)
+
+
+def test_the_arrays_are_small_and_nothing_else_stays(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in 3000 * rng.random(400) ** 3) for _ in range(100)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    root = os.path.dirname(shared_files.locate(storage.scratch_path(spark, "unused"))[1])
+    there = set(os.listdir(root)) if os.path.isdir(root) else set()
+    model = kn.train(docs, 3)
+    (folder,) = set(os.listdir(root)) - there  # neither rows between the orders nor word numbers
+    size = sum(f.stat().st_size for f in os.scandir(os.path.join(root, folder)) if not f.name.startswith("."))
+    indexes = sum(4 << max(0, 16 - model.words.bits) for a in (*model.grams.values(), *model.contexts.values(), model.words) for _ in a.files)
+    padded = [["begin", "begin", *t.split(), "end"] for t in texts]
+    grams = [len({tuple(t[i : i + n]) for t in padded for i in range(3 - n, len(t) - n + 1)}) for n in (1, 2, 3)]
+    assert size - indexes < 13 * sum(grams)  # 36 bytes a bigram with its context, and 12 a trigram, before
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_large_counts_and_contexts_seen_once(spark, order):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(x)}" for x in 400 * rng.random(60) ** 4)) for i in range(60)]
+    rows += [(i, "the same three words " * 30) for i in range(60, 80)]
+    got = sorted(map(tuple, kn.held_out_scores(spark.createDataFrame(rows, "doc_id bigint, text string"), order).collect()))
+    for a, b in zip(got, sorted(brute(rows, order)), strict=True):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
+@pytest.mark.parametrize("bits", [0, 3, 18])
+def test_packed_keys_that_agree_in_their_upper_bits(tmp_path, bits):
+    rng = np.random.default_rng(5)
+    top = np.uint64(5 << (64 - bits) if bits else 0)
+    keys = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) >> np.uint64(bits) | top
+    keys = np.unique(np.concatenate([keys, *((keys[:200] & ~np.uint64(0xFFFF)) + np.uint64(7 * k) for k in range(5))]))
+    stored, counts = keys[::2], rng.integers(1, 260, len(keys[::2]), dtype=np.uint64)
+    counts[::50] = 1 << 33
+    file = kn._packed_file(str(tmp_path), "some", 0, bits, stored, [counts, counts % np.uint64(9)])
+    arrays = kn.Packed(bits, {5 if bits else 0: tuple(file.decode().split("\n"))})
+    expected = dict(zip(stored.tolist(), counts.tolist()))
+    asked = rng.permutation(np.concatenate([keys, keys[:50], keys ^ np.uint64(1)]))
+    large, small = arrays.find(asked, 2)
+    assert large.tolist() == [expected.get(k, 0) for k in asked.tolist()]
+    assert small.tolist() == [expected.get(k, 0) % 9 for k in asked.tolist()]

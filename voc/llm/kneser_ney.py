@@ -1,10 +1,19 @@
 """Interpolated modified Kneser-Ney n-gram model: counted in Spark, stored as sorted hash arrays, mapped by the workers.
 
-Counting. Words are 64-bit hashes; an n-gram's key is a hash of its words' hashes. Every task counts its own n-grams first
-and sends them, packed, to the bucket that the key's top bits name. Keys are uniform, so buckets are even whatever word is
-frequent. A bucket sums its n-grams, writes them as sorted arrays (key, count), and passes on what lower orders need: how
-many different words stand before each shorter n-gram, and per context the total and the numbers of n-grams seen once, twice
-and more. These are summed per bucket again, and so on down to single words.
+Vocabulary. Words are 64-bit hashes. A first pass counts them in buckets of their keys; a word's number is its rank by count
+within the bucket, interleaved with the bucket's number, so frequent words have small numbers wherever they are.
+
+Counting. An n-gram's key is a hash of its words' hashes. Every task counts its own n-grams first and sends them, as sorted
+and packed word numbers, to a bucket. The highest order is dealt by the key of all words but the first: a bucket then
+holds all n-grams that end in these words, and counts the next lower order, too. (From order 3 on; the lower orders are dealt by
+the keys of whole n-grams.) Keys are uniform, so buckets are even whatever word is frequent; a bucket holds more only by the
+different words found before one frequent ending of two or more words. A bucket sums its n-grams, writes them as sorted arrays
+and passes on what lower orders need: how many different words stand before each shorter n-gram, and per context the total and
+the numbers of n-grams seen once, twice and more. These are summed per bucket again, and so on down to single words.
+
+Stored are 48 bits of a key behind an index of the bits above them, and counts as single bytes with a list of the larger
+ones. A context of two or more words that was seen once is not stored: it is an n-gram of the order below, with known
+numbers. Rows and shuffle files between the orders are deleted once the next order is written.
 
 Discounts come from the counts of counts of each order. Order n uses raw counts, lower orders the number of different
 left neighbours. A text begins with n-1 begin marks (never predicted) and ends with one end mark.
@@ -19,8 +28,9 @@ an empty result.
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections import OrderedDict
+from collections import Counter, OrderedDict, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,12 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc.llm import shared_files
-from voc.storage import materialize, scratch_path
+from voc.storage import drop, scratch_path, written
 
 ORDER = 3
 HELD_OUT = 1                    # remainder of the id's crc32 by FOLDS
 FOLDS = 5
 CHUNK_TOKENS = 3 << 20          # tokens that a task counts before it sends
+CHUNK_WORDS = 1 << 20           # different words that a task counts before it sends
 BATCH_TOKENS = 1 << 19          # tokens scored together
 OPEN_FILES = 400
 BEGIN, END = xxhash.xxh64_intdigest(b"begin", 1), xxhash.xxh64_intdigest(b"end", 1)
@@ -57,15 +68,14 @@ def key_of(columns: list[np.ndarray]) -> np.ndarray:
 
 def tokenized(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the different words, token numbers of all texts, tokens per text); number 0 is the end mark."""
-    known: dict[bytes, int] = {}
-    number, numbers, sizes = known.setdefault, [], np.empty(len(texts), np.int64)
+    known: defaultdict[bytes, int] = defaultdict(itertools.count(1).__next__)
+    numbers, sizes = [], np.empty(len(texts), np.int64)
     for i, text in enumerate(texts):
         words = text.lower().split()
         sizes[i] = len(words) + 1
-        numbers.append(np.fromiter((number(w, len(known) + 1) for w in words), np.int32, len(words)))
+        numbers.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
         numbers.append(np.zeros(1, np.int32))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in known), np.uint64, len(known))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
     return np.append(np.uint64(END), hashes), np.concatenate(numbers) if numbers else np.zeros(0, np.int32), sizes
 
 
@@ -86,25 +96,38 @@ def _hashed(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
-    """Columns of equal length, each as its dtype's name and its bytes."""
-    head = f"{len(columns[0])};{','.join(c.dtype.str for c in columns)};".encode()
-    return zstandard.compress(head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns), 1)
+    """Columns of whole numbers, the first one sorted and kept as differences, byte by byte of their widths."""
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    widths = [max(1, (int(c.max(initial=0)).bit_length() + 7) // 8) for c in columns]
+    planes = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T) for c, w in zip(columns, widths)]
+    return zstandard.compress(f"{len(columns[0])};{','.join(map(str, widths))};".encode() + b"".join(p.tobytes() for p in planes), 1)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     data = zstandard.decompress(data)
-    n, kinds, _ = data[:200].split(b";", 2)
-    at, out = len(n) + len(kinds) + 2, []
-    for kind in kinds.decode().split(","):
-        out.append(np.frombuffer(data, kind, int(n), at))
-        at += out[-1].nbytes
-    return out
+    n, widths, _ = data[:200].split(b";", 2)
+    at, out, n = len(n) + len(widths) + 2, [], int(n)
+    for width in map(int, widths.split(b",")):
+        planes = np.zeros((n, 4 if width <= 4 else 8), np.uint8)
+        planes[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        out.append(planes.view("<u4" if width <= 4 else "<u8")[:, 0])
+        at += n * width
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
-def _small(counts: np.ndarray) -> np.ndarray:
-    """The narrowest unsigned type that holds the counts."""
-    top = int(counts.max()) if len(counts) else 0
-    return counts.astype(np.min_scalar_type(top))
+def _joined(payloads: Iterator[bytes]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*map(_unpack, payloads))]
+
+
+def _sorting(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by the columns, the first one above all."""
+    tops = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(tops) > 64:
+        return np.lexsort(columns[::-1])
+    code = np.zeros(len(columns[0]), np.uint64)
+    for c, bits in zip(columns, tops):
+        code = (code << np.uint64(bits)) | c.astype(np.uint64)
+    return np.argsort(code)
 
 
 def _summed(keys: np.ndarray, values: list[np.ndarray], others: list[np.ndarray] = ()) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -116,17 +139,23 @@ def _summed(keys: np.ndarray, values: list[np.ndarray], others: list[np.ndarray]
     return keys[heads], sums, [o[order][heads] for o in others]
 
 
-def _by_bucket(kind: int, bits: int, keys: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """(kind, bucket, packed columns) for the buckets of the keys."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    order = np.lexsort((columns[0], bucket))
-    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)) if len(keys) else []
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+
+
+def _by_bucket(kind: int, bits: int, keys: np.ndarray, columns: list[np.ndarray], by: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, packed columns) for the buckets of the keys, sorted by the first ``by`` columns."""
+    bucket = _bucket(keys, bits)
+    order = _sorting([bucket, *columns[:by]])
+    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) > 0)).tolist() if len(keys) else []
     for a, b in zip(edges, [*edges[1:], len(keys)]):
-        yield kind, int(bucket[order[a]]), _pack([_small(c[order[a:b]]) if c.dtype.kind == "u" and i and c.itemsize == 8 and c.max(initial=0) < 1 << 32 else c[order[a:b]] for i, c in enumerate(columns)])
+        yield kind, int(bucket[order[a]]), _pack([c[order[a:b]] for c in columns])
 
 
 _ROWS = "kind tinyint, bucket int, payload binary"
-NGRAM, CONTEXT, RAW, STATS, FILE = range(5)
+# kinds of rows; n-grams of order n have theirs at n * LEVEL above
+NGRAM, CONTEXT, RAW, STATS, FILE, CONTEXT_FILE, NAMES = range(7)
+LEVEL = 8
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -148,21 +177,107 @@ def _batched(rows: Iterator[tuple[int, int, bytes]], most: int = 16 << 20) -> It
         yield _rows(held)
 
 
-def _count(order: int, bits: int):
+def _count_words(bits: int):
+    """Counts the words of texts and sends them to buckets."""
+
+    def counted(known: Counter) -> Iterator[tuple[int, int, bytes]]:
+        ends = known.pop(None, 0)
+        hashes = np.append(np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known)), np.uint64(END))
+        counts = np.append(np.fromiter(known.values(), np.uint64, len(known)), np.uint64(ends))
+        yield from _by_bucket(RAW, bits, key_of([hashes]), [hashes, counts], 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                known.update((text.as_py() or b"").lower().split())
+                known[None] += 1  # the end mark
+                if len(known) > CHUNK_WORDS:
+                    yield from _batched(counted(known))
+                    known = Counter()
+        if known:
+            yield from _batched(counted(known))
+
+    return run
+
+
+def _number_words(folder: str, bits: int):
+    """Ranks a bucket's words by their counts and writes the ranks by key, and the hashes and counts by rank."""
+
+    def numbered(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        hashes, counts = _joined(p for _, p in parts)
+        keys, (counts,), (hashes,) = _summed(key_of([hashes]), [counts], [hashes])
+        order = np.argsort(~counts, kind="stable")
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
+        yield FILE, bucket, _packed_file(folder, "ranks", bucket, bits, keys, [rank])
+        yield NAMES, bucket, _file(folder, "names", bucket, [hashes[order], counts[order]])[2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batched(row for bucket, parts in _by_buckets(batches) for row in numbered(bucket, parts))
+
+    return run
+
+
+@dataclass
+class Words:
+    """Numbers of the training words: 0 is the begin mark, others are 1 + (rank << bits | bucket)."""
+
+    bits: int
+    ranks: Packed
+    names: dict[int, tuple[str, int, tuple[str, ...]]]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        keys = key_of([hashes])
+        (rank,) = self.ranks.find(keys, 1)
+        if not rank.all():
+            raise ValueError("the training texts are read twice and differ")
+        return ((rank.astype(np.uint64) - np.uint64(1)) << np.uint64(self.bits) | _bucket(keys, self.bits)) + np.uint64(1)
+
+    def hashes(self, numbers: np.ndarray) -> np.ndarray:
+        out = np.full(len(numbers), BEGIN, np.uint64)
+        place = numbers.astype(np.uint64) - np.uint64(1)
+        bucket = (place & np.uint64((1 << self.bits) - 1)).astype(np.min_scalar_type(1 << self.bits))
+        bucket[numbers == 0] = 1 << self.bits
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1))
+        for b, file in self.names.items():
+            at = order[edges[b] : edges[b + 1]]
+            if len(at):
+                out[at] = _mapped(file, 0)[place[at] >> np.uint64(self.bits)]
+        return out
+
+
+def _gram_key(hashes: list[np.ndarray], order: int, bits: int) -> np.ndarray:
+    """An n-gram's key; from order 3 on those of the highest order take the bucket of all words but the first."""
+    key = key_of(hashes)
+    if len(hashes) < order or order < 3 or not bits:
+        return key
+    return (_bucket(key_of(hashes[1:]), bits) << np.uint64(64 - bits)) | (key >> np.uint64(bits))
+
+
+def _count(order: int, bits: int, words: Words):
     """Counts the n-grams of texts and sends them to buckets."""
 
     def counted(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         hashes, numbers, sizes = tokenized(texts)
-        grams = _histories(numbers, sizes, order)
-        base, code = len(hashes) + 1, np.zeros(len(numbers), np.uint64)
-        if base**order < 1 << 64:
-            for g in grams:
-                code = code * np.uint64(base) + (g + 1).astype(np.uint64)
-        else:
-            code = key_of([_hashed(hashes, g) for g in grams])
-        _, first, counts = np.unique(code, return_index=True, return_counts=True)
-        columns = [_hashed(hashes, g[first]) for g in grams]
-        yield from _by_bucket(NGRAM, bits, key_of(columns), [*columns, counts.astype(np.uint64)])
+        ids = words.numbers(hashes)
+        up = np.argsort(ids)
+        dense = np.empty(len(ids) + 1, np.int64)
+        dense[up], dense[-1] = np.arange(1, len(ids) + 1), 0     # -1 is the begin mark
+        ids, hashes = np.append(np.uint64(0), ids[up]), np.append(np.uint64(BEGIN), hashes[up])
+        grams = [dense[g] for g in _histories(numbers, sizes, order)]
+        bucket = _bucket(_gram_key([hashes[g] for g in grams], order, bits), bits)
+        by = _sorting([bucket, *grams[1:], grams[0]])
+        bucket, *grams = [c[by] for c in (bucket, *grams)]
+        heads = np.append(True, np.any([c[1:] != c[:-1] for c in grams], axis=0)) if len(by) else np.zeros(0, bool)
+        heads = np.flatnonzero(heads)
+        counts = np.diff(np.append(heads, len(by))).astype(np.uint64)
+        bucket, *grams = [c[heads] for c in (bucket, *grams)]
+        edges = np.flatnonzero(np.append(True, np.diff(bucket) > 0)).tolist() if len(heads) else []
+        for a, b in zip(edges, [*edges[1:], len(heads)]):
+            columns = [ids[g[a:b]] for g in (*grams[1:], grams[0])]
+            yield NGRAM + LEVEL * order, int(bucket[a]), _pack([*columns, counts[a:b]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -202,53 +317,53 @@ def _stats(bucket: int, counts: np.ndarray, *more: int) -> tuple[int, int, bytes
     return STATS, bucket, ",".join(map(str, [*ones, len(counts), int(counts.sum()), *more])).encode()
 
 
-def _merge_grams(folder: str, level: int, top: bool, bits: int):
-    def merged(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        columns = [np.concatenate(c) for c in zip(*(_unpack(p) for _, p in parts))]
-        keys, (counts,), words = _summed(key_of(columns[:-1]), [columns[-1]], columns[:-1])
-        yield _file(folder, f"grams{level}", bucket, [keys, counts.astype("<u4") if counts.max(initial=0) < 1 << 32 else counts])
-        yield _stats(bucket, counts)
-        one, two = counts == 1, counts == 2
-        context, sums, _ = _summed(key_of(words[:-1]), [counts, one, two, ~(one | two)])
-        yield from _by_bucket(CONTEXT, bits, context, [context, *sums])
-        suffix, (before,), rest = _summed(key_of(words[1:]), [np.ones(len(keys), np.uint64)], words[1:])
-        yield from _by_bucket(NGRAM, bits, suffix, [*rest, before])
-        if top:
-            last, (raw,), _ = _summed(words[-1], [counts])
-            yield from _by_bucket(RAW, bits, key_of([last]), [last, raw])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(row for bucket, parts in _by_buckets(batches) for row in merged(bucket, parts))
-
-    return run
-
-
-def _merge_contexts(folder: str, level: int, discounts: tuple[float, float, float]):
-    def merged(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        columns = [np.concatenate(c) for c in zip(*(_unpack(p) for _, p in parts))]
-        keys, (total, *seen), _ = _summed(columns[0], columns[1:])
-        back_off = sum(d * n.astype(float) for d, n in zip(discounts, seen)) / total.astype(float)
-        yield _file(folder, f"contexts{level}", bucket, [keys, total.astype("<f8"), back_off.astype("<f8")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batched(row for bucket, parts in _by_buckets(batches) for row in merged(bucket, parts))
-
-    return run
+def _merge(folder: str, order: int, bits: int, words: Words):
+    """Sums a bucket's n-grams and contexts, and sends on the partial sums of lower orders."""
 
+    def grams(bucket: int, level: int, keys: np.ndarray, ids: list[np.ndarray], hashes: list[np.ndarray], counts: np.ndarray):
+        yield FILE + LEVEL * level, bucket, _packed_file(folder, f"grams{level}", bucket, bits, keys, [counts])
+        yield STATS + LEVEL * level, *_stats(bucket, counts)[1:]
+        one, two = counts == 1, counts == 2
+        context, sums, of = _summed(key_of(hashes[:-1]), [counts, one, two, ~(one | two)], ids[:-1])
+        yield from _by_bucket(CONTEXT + LEVEL * level, bits, context, [*of, *sums], level - 1)
+        suffix, (before,), rest = _summed(key_of(hashes[1:]), [np.ones(len(keys), np.uint64)], [*ids[1:], *hashes[1:]])
+        if level == order and order > 2:  # all the grams with these endings are here
+            yield from grams(bucket, level - 1, suffix, rest[: level - 1], rest[level - 1 :], before)
+        else:
+            yield from _by_bucket(NGRAM + LEVEL * (level - 1), bits, suffix, [*rest[: level - 1], before], level - 1)
+
+    def contexts(bucket: int, level: int, columns: list[np.ndarray]):
+        ids = columns[: level - 1]
+        keys, sums, ids = _summed(key_of([words.hashes(i) for i in ids]), columns[level - 1 :], ids)
+        if level > 2:
+            kept = (sums[0] > 1) | ~np.any(ids, axis=0)  # begin marks alone are no n-gram of the order below
+            keys, sums = keys[kept], [x[kept] for x in sums]
+        if len(keys):
+            yield CONTEXT_FILE + LEVEL * level, bucket, _packed_file(folder, f"contexts{level}", bucket, bits, keys, sums)
+
+    def single(bucket: int, ids: np.ndarray, counts: np.ndarray):
+        hashes, raw = (_mapped(words.names[bucket], k) for k in (0, 1))
+        before = np.zeros(len(hashes), np.uint64)
+        np.add.at(before, (ids - np.uint64(1)) >> np.uint64(bits), counts.astype(np.uint64))
+        keys = key_of([np.asarray(hashes)])
+        by = np.argsort(keys)
+        yield FILE + LEVEL, bucket, _packed_file(folder, "words", bucket, bits, keys[by], [before[by], raw[by]])
+        yield STATS + LEVEL, *_stats(bucket, before, int(raw.sum()))[1:]
 
-def _merge_words(folder: str):
     def merged(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
-        words, before, raw = [], [], []
-        for kind, payload in parts:
-            word, n = _unpack(payload)
-            none = np.zeros(len(n), np.uint64)
-            words.append(word)
-            before.append(n.astype(np.uint64) if kind == NGRAM else none)
-            raw.append(n.astype(np.uint64) if kind == RAW else none)
-        word = np.concatenate(words)
-        keys, (before, raw), _ = _summed(key_of([word]), [np.concatenate(before), np.concatenate(raw)])
-        yield _file(folder, "words", bucket, [keys, before.astype("<u8"), raw.astype("<u8")])
-        yield _stats(bucket, before, int(raw.sum()))
+        for kind in sorted({k for k, _ in parts}):
+            columns = _joined(p for k, p in parts if k == kind)
+            level = kind // LEVEL
+            if kind % LEVEL == CONTEXT:
+                yield from contexts(bucket, level, columns)
+            elif level == 1:
+                yield from single(bucket, *columns)
+            else:
+                if level == order:
+                    columns = [columns[order - 1], *columns[: order - 1], columns[order]]
+                hashes = [words.hashes(c) for c in columns[:-1]]
+                keys, (counts,), both = _summed(_gram_key(hashes, order, bits), columns[-1:], [*columns[:-1], *hashes])
+                yield from grams(bucket, level, keys, both[:level], both[level:], counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(row for bucket, parts in _by_buckets(batches) for row in merged(bucket, parts))
@@ -297,6 +412,108 @@ class Arrays:
         return out
 
 
+_VIEWS: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def _packed_file(folder: str, name: str, bucket: int, bits: int, keys: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """Writes sorted keys and columns of whole numbers; the text that names the file and its parts.
+
+    Keys are an index of their bits behind the bucket's, with some 16 keys an entry, and the lowest 48 bits. A column is single bytes, with 255
+    for numbers listed apart, or of the narrowest type where that is smaller.
+    """
+    above = max(16 - bits, (len(keys) >> 4).bit_length(), 0)
+    top = (keys << np.uint64(bits)) >> np.uint64(64 - above) if above else np.zeros(len(keys), np.uint64)
+    index = np.searchsorted(top, np.arange((1 << above) + 1, dtype=np.uint64))
+    low = keys & _LOW
+    groups = [[index.astype("<u4" if len(keys) < 1 << 32 else "<u8")], [(low >> np.uint64(16)).astype("<u4")], [(low & np.uint64(0xFFFF)).astype("<u2")]]
+    for column in columns:
+        large = np.flatnonzero(column > 254)
+        plain = np.min_scalar_type(int(column.max(initial=0)))
+        if 16 * len(large) + len(keys) < plain.itemsize * len(keys):
+            groups.append([np.minimum(column, 255).astype(np.uint8), large.astype("<u8"), column[large].astype("<u8")])
+        else:
+            groups.append([column.astype(plain)])
+    uri = f"{folder}/{name}-{bucket:06d}-{uuid.uuid4().hex}.arrays"
+    shared_files.write(uri, b"".join(part.tobytes() for group in groups for part in group))
+    return f"{uri}\n{';'.join(','.join(f'{p.dtype.str}:{len(p)}' for p in group) for group in groups)}".encode()
+
+
+def _views(file: tuple[str, str]) -> list[list[np.ndarray]]:
+    uri, layout = file
+    if uri in _VIEWS:
+        _VIEWS.move_to_end(uri)
+        return _VIEWS[uri]
+    kinds = [[(np.dtype(k), int(n)) for k, n in (part.split(":") for part in group.split(","))] for group in layout.split(";")]
+    data = np.asarray(shared_files.mapped(uri, "u1", 0, sum(k.itemsize * n for group in kinds for k, n in group)))
+    at, out = 0, []
+    for group in kinds:
+        out.append([])
+        for kind, n in group:
+            out[-1].append(data[at : at + kind.itemsize * n].view(kind))
+            at += kind.itemsize * n
+    _VIEWS[uri] = out
+    if len(_VIEWS) > OPEN_FILES:
+        _VIEWS.popitem(last=False)
+    return out
+
+
+@dataclass
+class Packed:
+    """Files of ``_packed_file`` in buckets of the keys' top bits."""
+
+    bits: int
+    files: dict[int, tuple[str, str]] = field(default_factory=dict)
+
+    def find(self, keys: np.ndarray, columns: int) -> list[np.ndarray]:
+        """The columns for each key, 0 where it is missing."""
+        out = [np.zeros(len(keys)) for _ in range(columns)]
+        order = np.argsort(keys)
+        keys = keys[order]
+        bucket = _bucket(keys, self.bits)
+        edges = np.flatnonzero(np.append(True, np.diff(bucket) > 0)).tolist() if len(keys) else []
+        for a, b in zip(edges, [*edges[1:], len(keys)]):
+            file = self.files.get(int(bucket[a]))
+            if file is None:
+                continue
+            (index,), (high,), (low,), *stored = _views(file)
+            above, wanted, last = (len(index) - 1).bit_length() - 1, keys[a:b] & _LOW, len(high) - 1
+            top = ((keys[a:b] << np.uint64(self.bits)) >> np.uint64(64 - above)).astype(np.int64) if above else np.zeros(b - a, np.int64)
+            at, stop = index[top].astype(np.int64), index[top + 1].astype(np.int64)
+            end, upper = stop, (wanted >> np.uint64(16)).astype(np.uint32)
+            for _ in range(int((stop - at).max(initial=0)).bit_length()):
+                middle = (at + end) >> 1
+                less = (high[np.minimum(middle, last)] < upper) & (at < end)
+                at, end = np.where(less, middle + 1, at), np.where(less, end, middle)
+            open_ = np.flatnonzero((at < stop) & (high[np.minimum(at, last)] == upper))
+            at, stop, upper, lower = at[open_], stop[open_], upper[open_], (wanted[open_] & np.uint64(0xFFFF)).astype(np.uint16)
+            while len(behind := np.flatnonzero(low[at] < lower)):  # keys that agree in their upper bits
+                behind = behind[(at[behind] + 1 < stop[behind])]
+                behind = behind[high[at[behind] + 1] == upper[behind]]
+                if not len(behind):
+                    break
+                at[behind] += 1
+            same = low[at] == lower
+            probe, there = at[same], order[a:b][open_[same]]
+            for k in range(columns):
+                found = stored[k][0][probe].astype(float)
+                if len(stored[k]) > 1:
+                    large = np.flatnonzero(found == 255)
+                    found[large] = stored[k][2][np.searchsorted(stored[k][1], probe[large])]
+                out[k][there] = found
+        return out
+
+
+@dataclass
+class Contexts(Packed):
+    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def find(self, keys: np.ndarray, columns: int = 2) -> list[np.ndarray]:
+        """Total and back-off weight of each context."""
+        total, *seen = super().find(keys, 4)
+        return [total, sum(d * n for d, n in zip(self.discounts, seen)) / np.where(total > 0, total, 1.0)][:columns]
+
+
 def discounts_of(counts: list[int]) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and 3 or more from the counts of counts 1 to 4."""
     n1, n2, n3, n4 = counts
@@ -310,9 +527,9 @@ def discounts_of(counts: list[int]) -> tuple[float, float, float]:
 @dataclass
 class Model:
     order: int
-    grams: dict[int, Arrays]       # by order, from 2
-    contexts: dict[int, Arrays]
-    words: Arrays
+    grams: dict[int, Packed]       # by order, from 2
+    contexts: dict[int, Contexts]
+    words: Packed
     discounts: dict[int, tuple[float, float, float]]
     vocabulary: int
     raw_total: int
@@ -329,10 +546,25 @@ class Model:
         else:
             p = np.full(len(numbers), 1.0 / (self.vocabulary + 1))
         grams = [_hashed(hashes, g) for g in _histories(numbers, sizes, self.order)]
+        first = np.cumsum(sizes) - sizes
+        # the context of a token is the n-gram of the token before: number ``at`` of the different ones, the begin marks last
+        some, known, last = key_of([hashes]), None, numbers
         for level in range(2, self.order + 1):
-            use = grams[self.order - level :]
-            total, back_off = self._distinct(self.contexts[level], key_of(use[:-1]), 2)
-            (count,) = self._distinct(self.grams[level], key_of(use), 1)
+            begin = key_of([np.array([BEGIN], np.uint64)] * (level - 1))
+            total, back_off = self.contexts[level].find(np.append(some, begin), 2)
+            if known is not None:  # contexts seen once are not stored
+                once = (total == 0) & np.append(known > 0, False)
+                total, back_off = np.where(once, 1.0, total), np.where(once, self.discounts[level][0], back_off)
+            at = np.roll(last, 1)
+            at[first] = len(some)
+            total, back_off = total[at], back_off[at]
+            keys = _gram_key(grams[self.order - level :], self.order, self.words.bits)
+            if level < self.order:
+                some, last = np.unique(keys, return_inverse=True)
+                (known,) = self.grams[level].find(some, 1)
+                count = known[last]
+            else:
+                (count,) = self.grams[level].find(keys, 1)
             seen = total > 0
             safe = np.where(seen, total, 1.0)
             p = np.where(seen, np.maximum(count - self._discount(level, count), 0) / safe + back_off * p, p)
@@ -344,11 +576,6 @@ class Model:
         d = self.discounts[level]
         return np.select([count == 0, count == 1, count == 2], [0.0, d[0], d[1]], d[2])
 
-    @staticmethod
-    def _distinct(arrays: Arrays, keys: np.ndarray, columns: int) -> list[np.ndarray]:
-        some, at = np.unique(keys, return_inverse=True)
-        return [c[at] for c in arrays.find(some, columns)]
-
 
 def _read_rows(rows: DataFrame, bits: int) -> tuple[Arrays, list[int]]:
     """File names and summed statistics: one or two short rows per bucket."""
@@ -364,6 +591,20 @@ def _read_rows(rows: DataFrame, bits: int) -> tuple[Arrays, list[int]]:
     return arrays, sums
 
 
+def _file_rows(rows: DataFrame) -> tuple[dict[int, dict[int, tuple[str, str]]], dict[int, list[int]]]:
+    """Files by kind and bucket, and summed statistics by order: a few short rows per bucket."""
+    files, sums = {}, {}
+    for row in rows.filter((F.col("kind") % LEVEL).isin(STATS, FILE, CONTEXT_FILE, NAMES)).collect():
+        text = bytes(row["payload"]).decode()
+        if row["kind"] % LEVEL == STATS:
+            numbers = list(map(int, text.split(",")))
+            level = row["kind"] // LEVEL
+            sums[level] = [a + b for a, b in zip(sums[level], numbers)] if level in sums else numbers
+        else:
+            files.setdefault(row["kind"], {})[row["bucket"]] = tuple(text.split("\n"))
+    return files, sums
+
+
 def train(texts: DataFrame, order: int = ORDER) -> Model:
     """Counts the column ``text`` and writes the arrays to the shared folder."""
     if order < 2:
@@ -371,31 +612,37 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(0, (parts - 1).bit_length())
-    folder = scratch_path(spark, "ngrams")
-    grams, contexts, discounts = {}, {}, {}
+    folder, numbers = scratch_path(spark, "ngrams"), scratch_path(spark, "numbers")
 
-    def merged(rows: DataFrame, run) -> DataFrame:
+    def merged(rows: DataFrame, run, name: str) -> tuple[DataFrame, str]:
         # one bucket a partition; hashed bucket numbers would put several into one and none into others
-        return rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, _ROWS)
-
-    rows = texts.select("text").mapInArrow(_count(order, bits), _ROWS)
-    raw = None
-    for level in range(order, 1, -1):
-        rows = materialize(merged(rows, _merge_grams(folder, level, level == order, bits)), f"grams{level}")
-        grams[level], stats = _read_rows(rows, bits)
-        discounts[level] = discounts_of(stats[:4] if stats else [0] * 4)
-        found = materialize(merged(rows.filter(F.col("kind") == CONTEXT), _merge_contexts(folder, level, discounts[level])), f"contexts{level}")
-        contexts[level], _ = _read_rows(found, bits)
-        raw = rows.filter(F.col("kind") == RAW) if raw is None else raw
-        rows = rows.filter(F.col("kind") == NGRAM)
-    found = materialize(merged(rows.unionByName(raw), _merge_words(folder)), "words")
-    words, stats = _read_rows(found, bits)
-    *ones, vocabulary, before_total, raw_total = stats or [0] * 7
-    discounts[1] = discounts_of(ones)
+        return written(rows.repartitionById(1 << bits, F.col("bucket")).mapInArrow(run, _ROWS), name)
+
+    rows, path = merged(texts.select("text").mapInArrow(_count_words(bits), _ROWS), _number_words(numbers, bits), "vocabulary")
+    files, _ = _file_rows(rows)
+    names = {b: (uri, int(n), tuple(kinds.split(","))) for b, (uri, n, kinds) in files.get(NAMES, {}).items()}
+    words = Words(bits, Packed(bits, files.get(FILE, {})), names)
+    drop(spark, path)
+    rows, path, files, stats = texts.select("text").mapInArrow(_count(order, bits, words), _ROWS), None, {}, {}
+    for level in [order, *range(order - 1 - (order > 2), 0, -1)]:
+        before = path
+        rows, path = merged(rows, _merge(folder, order, bits, words), f"grams{level}")
+        if before:
+            drop(spark, before)
+        found, sums = _file_rows(rows)
+        files |= found
+        stats |= sums
+        rows = rows.filter((F.col("kind") % LEVEL).isin(NGRAM, CONTEXT))
+    drop(spark, path)
+    drop(spark, numbers)
+    discounts = {level: discounts_of(stats.get(level, [0] * 4)[:4]) for level in range(1, order + 1)}
+    grams = {level: Packed(bits, files.get(FILE + LEVEL * level, {})) for level in range(2, order + 1)}
+    contexts = {level: Contexts(bits, files.get(CONTEXT_FILE + LEVEL * level, {}), discounts[level]) for level in range(2, order + 1)}
+    *ones, vocabulary, before_total, raw_total = stats.get(1, [0] * 7)
     more = vocabulary - ones[0] - ones[1]
     taken = discounts[1][0] * ones[0] + discounts[1][1] * ones[1] + discounts[1][2] * more
     back_off = taken / before_total if before_total else 1.0
-    return Model(order, grams, contexts, words, discounts, vocabulary, raw_total, before_total, back_off)
+    return Model(order, grams, contexts, Packed(bits, files.get(FILE + LEVEL, {})), discounts, vocabulary, raw_total, before_total, back_off)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # tables and files written for a session's plans, for ``drop_scratch``
 _WRITTEN: list[str] = []
+# deletes the shuffle files of a query when it ends
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -45,6 +47,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table once for ``drop`` and read it back: the table and its path. Its shuffle files are deleted at once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table or folder of ``scratch_path`` that nothing reads any more."""
+    _WRITTEN.remove(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: cuts the lineage, and later passes read only the columns they need."""
     spark = df.sparkSession
