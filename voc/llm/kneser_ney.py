@@ -48,7 +48,7 @@ ORDER = 3
 HELD_OUT = 1                    # remainder of the id's crc32 by FOLDS
 FOLDS = 5
 CHUNK_TOKENS = 3 << 20          # tokens that a task counts before it sends
-CHUNK_WORDS = 1 << 20           # different words that a task counts before it sends
+CHUNK_WORDS = 1 << 18           # different words that a task counts before it sends
 BATCH_TOKENS = 1 << 19          # tokens scored together
 OPEN_FILES = 400
 BEGIN, END = xxhash.xxh64_intdigest(b"begin", 1), xxhash.xxh64_intdigest(b"end", 1)
@@ -84,11 +84,11 @@ def _histories(numbers: np.ndarray, sizes: np.ndarray, order: int) -> list[np.nd
     place = np.arange(len(numbers)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = []
     for back in range(order - 1, 0, -1):
-        before = np.full(len(numbers), -1, np.int64)
+        before = np.full(len(numbers), -1, np.int32)
         before[back:] = numbers[:-back] if back < len(numbers) else before[back:]
         before[place < back] = -1
         out.append(before)
-    return [*out, numbers.astype(np.int64)]
+    return [*out, numbers]
 
 
 def _hashed(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -263,13 +263,15 @@ def _count(order: int, bits: int, words: Words):
         hashes, numbers, sizes = tokenized(texts)
         ids = words.numbers(hashes)
         up = np.argsort(ids)
-        dense = np.empty(len(ids) + 1, np.int64)
+        dense = np.empty(len(ids) + 1, np.int32)
         dense[up], dense[-1] = np.arange(1, len(ids) + 1), 0     # -1 is the begin mark
+        texts.clear()
         ids, hashes = np.append(np.uint64(0), ids[up]), np.append(np.uint64(BEGIN), hashes[up])
         grams = [dense[g] for g in _histories(numbers, sizes, order)]
-        bucket = _bucket(_gram_key([hashes[g] for g in grams], order, bits), bits)
+        bucket = _bucket(key_of([hashes[g] for g in grams[order > 2 :]]), bits).astype(np.min_scalar_type(1 << bits))  # as in _gram_key
         by = _sorting([bucket, *grams[1:], grams[0]])
         bucket, *grams = [c[by] for c in (bucket, *grams)]
+        del numbers
         heads = np.append(True, np.any([c[1:] != c[:-1] for c in grams], axis=0)) if len(by) else np.zeros(0, bool)
         heads = np.flatnonzero(heads)
         counts = np.diff(np.append(heads, len(by))).astype(np.uint64)
@@ -327,6 +329,7 @@ def _merge(folder: str, order: int, bits: int, words: Words):
         context, sums, of = _summed(key_of(hashes[:-1]), [counts, one, two, ~(one | two)], ids[:-1])
         yield from _by_bucket(CONTEXT + LEVEL * level, bits, context, [*of, *sums], level - 1)
         suffix, (before,), rest = _summed(key_of(hashes[1:]), [np.ones(len(keys), np.uint64)], [*ids[1:], *hashes[1:]])
+        del keys, ids, hashes, counts, one, two, context, sums, of
         if level == order and order > 2:  # all the grams with these endings are here
             yield from grams(bucket, level - 1, suffix, rest[: level - 1], rest[level - 1 :], before)
         else:
@@ -363,7 +366,9 @@ def _merge(folder: str, order: int, bits: int, words: Words):
                     columns = [columns[order - 1], *columns[: order - 1], columns[order]]
                 hashes = [words.hashes(c) for c in columns[:-1]]
                 keys, (counts,), both = _summed(_gram_key(hashes, order, bits), columns[-1:], [*columns[:-1], *hashes])
-                yield from grams(bucket, level, keys, both[:level], both[level:], counts)
+                made = grams(bucket, level, keys, both[:level], both[level:], counts)
+                del columns, hashes, keys, counts, both  # held by ``made`` as long as it needs them
+                yield from made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _batched(row for bucket, parts in _by_buckets(batches) for row in merged(bucket, parts))
