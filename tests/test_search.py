@@ -114,3 +114,28 @@ def test_a_shard_decoded_whole_gives_the_same(monkeypatch):
         best = lazy.best(terms, 10)
         assert [d for _, d in whole.best(terms, 10)] == [d for _, d in best] and small.best(terms, 10) == best
     assert whole.decoded == blocks
+
+
+def test_an_opened_shard_scores_a_pack_at_once(monkeypatch):
+    words = [(t or "").lower().split() for _, t in texts()]
+    row = search._pack_shard(0, list(range(len(words))), words)
+    queries = [(q, list(dict.fromkeys((t or "").lower().split()))) for q, t in asked()]
+    queries = [(q, [{"term": t, "idf": 1.0 + i / 7} for i, t in enumerate(terms)]) for q, terms in queries if terms]
+    pack = search.pa.array([[{"query": q, "terms": terms} for q, terms in queries]])
+    sent = next(search._packs([search.pa.record_batch([pack], names=["asked"])])).column("asked")[0].as_py()
+    pack = search.Pack.read(sent)
+    assert len(pack.terms) == len(set(pack.terms)) and len(sent["codes"]) < 2 * len(pack.code) and len(sent["ranks"]) == len(pack.terms)
+    shard = search.Shard(row, 50.0)
+    want = [(q, s, d) for i, (q, _) in enumerate(queries) for s, d in shard.best(pack.asked(i), 10)]
+    # all words in the matrix, some, none; tiles and pieces smaller than the pack's
+    for dense, tile, piece in ((10**9, 256, 1 << 18), (20, 7, 100), (0, 16, 1)):
+        monkeypatch.setattr(search, "DENSE", dense)
+        monkeypatch.setattr(search, "TILE", tile)
+        monkeypatch.setattr(search, "PIECE", max(piece, search.BLOCK))
+        opened = search.Shard(row, 50.0)
+        opened.open()
+        monkeypatch.setattr(search, "PIECE", piece)
+        monkeypatch.setattr(opened, "best", None)
+        got = [x for some in opened.best_of(pack, 10) for x in zip(*(c.tolist() for c in some))]
+        assert [(q, d) for q, _, d in got] == [(q, d) for q, _, d in want]
+        assert np.allclose([s for _, s, _ in got], [s for _, s, _ in want], atol=1e-8)

@@ -4,9 +4,12 @@ Texts are dealt to shards of about ``SHARD_DOCS`` by a hash of their key, so tha
 text. A shard holds its words' postings in blocks of ``BLOCK``: gaps between text numbers and counts as variable-length bytes,
 and per block the last text, the largest count and the smallest length, which bound what any of its texts can score.
 
-A query's score of a text is BM25 over its different words. In a shard its words are taken by falling bound. Once the k-th best
-score so far is above what all words still to come can add, a text not yet met cannot enter; from then on only blocks that hold a
-text still in reach are decoded. A shard of at most ``KEPT`` postings is decoded whole instead. The k best of all shards are merged. Queries meet every shard in blocks of ``QUERIES``.
+A query's score of a text is BM25 over its different words. Queries meet every shard in packs of ``QUERIES``, whose words are
+numbered. A shard of at most ``KEPT`` postings is decoded whole and scores ``TILE`` queries at once: words that many of a pack's
+queries and many of the shard's texts have are columns of a matrix product, the postings of all others are added one by one.
+In a larger shard a query's words are taken by falling bound. Once the k-th best score so far is above what all words still to
+come can add, a text not yet met cannot enter; from then on only blocks that hold a text still in reach are decoded. The k best
+of all shards are merged.
 
 Rows: null and wordless texts match nothing but count as texts; rows of one key are texts of their own and are listed together;
 a query without known words finds nothing. Equal scores (to nine decimals) go by key.
@@ -14,22 +17,25 @@ a query without known words finds nothing. Equal scores (to nine decimals) go by
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voc.functions.text import tokens
 from voc.storage import materialize
 
-SHARD_DOCS, BLOCK, QUERIES = 4096, 128, 256
+SHARD_DOCS, LEAST_DOCS, BLOCK, QUERIES, TILE = 8192, 1024, 128, 4096, 128
 K1, B, TOP, DECIMALS = 1.2, 0.75, 10, 9
 CLOSE_BY = 1e-6          # what is nearer to the k-th best score than this is still looked at
-KEPT = 4 << 20           # decoded postings that a shard keeps for its queries
+KEPT = 8 << 20           # decoded postings that a shard keeps for its queries
+PIECE = 1 << 17          # postings worked on at once
+DENSE, COLUMNS = 350, 512   # what adding a posting costs beside a product of two numbers; words of a matrix product at most
 
 _SHARD = (
     "shard int, keys array<bigint>, lengths array<int>, terms array<string>, counts array<int>, firsts array<int>, "
@@ -62,18 +68,41 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, begins)
 
 
+def _ungapped(gap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rising numbers from their gaps, in stretches of the given sizes that each begin with a number itself."""
+    heads, total = np.cumsum(sizes) - sizes, np.cumsum(gap)
+    return total - np.repeat(total[heads] - gap[heads], sizes)
+
+
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all stretches ``begins[i], begins[i] + 1, ...`` and the i of each."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return of, np.arange(len(of)) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+
 def _pack_shard(shard: int, keys: list[int], words: pa.ListArray | list[list[str]]) -> dict:
     words = words if isinstance(words, pa.Array) else pa.array(words, pa.list_(pa.string()))
     lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
     coded = words.flatten().dictionary_encode()   # no text of a word is an object of its own
-    terms, term = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-    pair, count = np.unique(term * len(keys) + np.repeat(np.arange(len(keys)), lengths), return_counts=True)
+    terms, pair = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    del coded, words
+    pair *= len(keys)
+    pair += np.repeat(np.arange(len(keys)), lengths)
+    pair.sort()
+    begins = np.flatnonzero(np.diff(pair, prepend=-1))
+    pair, count = pair[begins], np.diff(begins, append=len(pair))
+    del begins
     term, doc = pair // max(len(keys), 1), pair % max(len(keys), 1)
     counts = np.bincount(term, minlength=len(terms))
     place = np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)
     first = place % BLOCK == 0
     gap = np.where(first, doc, np.diff(doc, prepend=0))
-    data, starts = packed(np.stack([gap, count], 1).ravel())
+    data, starts, at = [], [], 0
+    for low in range(0, len(doc), PIECE):
+        some, places = packed(np.stack([gap[low : low + PIECE], count[low : low + PIECE]], 1).ravel())
+        data.append(some)
+        starts.append(places[::2][first[low : low + PIECE]] + at)
+        at += len(some)
     begins = np.flatnonzero(first)
     blocks = -(-counts // BLOCK)
     return {
@@ -82,7 +111,7 @@ def _pack_shard(shard: int, keys: list[int], words: pa.ListArray | list[list[str
         "last": np.append(doc[begins[1:] - 1], doc[-1:]).astype(np.int32) if len(begins) else np.zeros(0, np.int32),
         "most": (np.maximum.reduceat(count, begins) if len(begins) else count).astype(np.int32),
         "least": (np.minimum.reduceat(lengths[doc], begins) if len(begins) else count).astype(np.int32),
-        "starts": np.append(starts[2 * begins], len(data)), "data": data,
+        "starts": np.concatenate([*starts, [at]]), "data": b"".join(data),
     }
 
 
@@ -95,8 +124,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     }
     at, keys, words = None, [], []
 
+    def taken() -> pa.Array:
+        whole = pa.concat_arrays(words)
+        words.clear()
+        return whole
+
     def row() -> pa.RecordBatch:
-        made = _pack_shard(at, keys, pa.concat_arrays(words))
+        made = _pack_shard(at, keys, taken())   # which holds the only words left
         return pa.record_batch([_one(made[n], kind) for n, kind in kinds.items()], names=list(kinds))
 
     for batch in batches:
@@ -107,10 +141,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if shards[low] != at and keys:
                 yield row()
-                keys, words = [], []
+                keys = []
             at = int(shards[low])
             keys += batch.column("key")[low:high].to_pylist()
             words.append(batch.column("words")[low:high])
+        pa.default_memory_pool().release_unused()
     if keys:
         yield row()
 
@@ -123,6 +158,56 @@ def _one(value, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
+@dataclass
+class Pack:
+    """Queries with their words: ``queries``, how many words each has, and per word its place in ``terms``, rising in a query."""
+
+    queries: np.ndarray
+    sizes: np.ndarray
+    code: np.ndarray
+    terms: list[str]
+    idf: np.ndarray
+
+    @classmethod
+    def read(cls, row: dict) -> Pack:
+        sizes = np.array(row["sizes"], np.int64)
+        idf, terms = np.array(row["idf"])[unpacked(row["ranks"])], zlib.decompress(row["terms"]).decode().split(" ")
+        return cls(np.array(row["queries"], np.int64), sizes, _ungapped(unpacked(row["codes"]), sizes), terms, idf)
+
+    def asked(self, i: int) -> list[tuple[str, float]]:
+        end = int(self.sizes[: i + 1].sum())
+        return [(self.terms[c], float(self.idf[c])) for c in self.code[end - self.sizes[i] : end].tolist()]
+
+
+_PACK = "struct<queries: array<bigint>, sizes: array<int>, codes: binary, terms: binary, ranks: binary, idf: array<double>>"
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A pack's words are numbered and written once, in order and compressed, as every shard gets every pack; words have no blanks."""
+    kinds = {
+        "queries": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "terms": pa.binary(), "ranks": pa.binary(),
+        "idf": pa.list_(pa.float64()),
+    }
+    for batch in batches:
+        for pack in batch.column("asked"):
+            query, terms = (pc.struct_field(pack.values, n) for n in ("query", "terms"))
+            sizes = pc.list_value_length(terms).to_numpy()
+            word, idf = (pc.struct_field(terms.flatten(), n) for n in ("term", "idf"))
+            coded = word.dictionary_encode()
+            order = pc.array_sort_indices(coded.dictionary).to_numpy()
+            code = np.argsort(order)[coded.indices.to_numpy()]
+            idf = idf.to_numpy()[np.unique(code, return_index=True)[1]]
+            idf, rank = np.unique(idf, return_inverse=True)   # one for each number of texts that have a word
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            code = code[np.lexsort((code, of))]
+            heads = np.cumsum(sizes) - sizes
+            gap = np.diff(code, prepend=0)
+            gap[heads] = code[heads]
+            terms = zlib.compress(" ".join(coded.dictionary.take(pa.array(order)).to_pylist()).encode())
+            row = {"queries": query, "sizes": sizes, "codes": packed(gap)[0], "terms": terms, "ranks": packed(rank)[0], "idf": idf}
+            yield pa.record_batch([pa.StructArray.from_arrays([_one(row[n], kind) for n, kind in kinds.items()], names=list(kinds))], names=["asked"])
+
+
 @dataclass
 class Index:
     shards: DataFrame      # one packed row per shard
@@ -133,6 +218,8 @@ class Index:
 
 def build(docs: DataFrame, key: str, text: str, shard_docs: int = SHARD_DOCS) -> Index:
     n = docs.count()
+    # a smaller table gives work to all cores
+    shard_docs = min(shard_docs, max(n // (3 * docs.sparkSession.sparkContext.defaultParallelism), LEAST_DOCS))
     count = max(-(-n // shard_docs), 1)
     rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(count)).cast("int").alias("shard"), F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     rows = rows.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "key", tokens("text").alias("words"))
@@ -161,14 +248,19 @@ class Shard:
         """Decodes all postings at once if there is room for them, for a shard that many queries come to."""
         if not 0 < self.counts.sum() <= self.room:
             return
-        values = unpacked(self.data)
-        gap, count = values[::2], values[1::2]
         sizes = np.full(len(self.last), BLOCK)
         sizes[self.firsts[1:] - 1] = (self.counts - 1) % BLOCK + 1
-        heads = np.cumsum(sizes) - sizes
-        total = np.cumsum(gap)
-        doc = total - np.repeat(total[heads] - gap[heads], sizes)
-        self.opened = np.concatenate([[0], np.cumsum(self.counts)]), doc, self._part(count.astype(np.float64), self.lengths[doc].astype(np.float64))
+        begins = np.concatenate([[0], np.cumsum(self.counts)])
+        doc, part = np.empty(begins[-1], np.int32), np.empty(begins[-1])
+        at = 0
+        for low in range(0, len(sizes), PIECE // BLOCK):
+            some = sizes[low : low + PIECE // BLOCK]
+            values = unpacked(self.data[self.starts[low] : self.starts[low + len(some)]])
+            found, end = _ungapped(values[::2], some), at + len(values) // 2
+            doc[at:end] = found
+            part[at:end] = self._part(values[1::2].astype(np.float64), self.lengths[found].astype(np.float64))
+            at = end
+        self.opened = begins, doc, part
         self.decoded, self.room = self.decoded + len(sizes), 0
 
     def _part(self, count: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -183,9 +275,7 @@ class Shard:
         sizes = np.full(len(blocks), BLOCK)
         end = self.firsts[term + 1] - 1
         sizes[blocks == end] = (self.counts[term] - 1) % BLOCK + 1
-        heads = np.cumsum(sizes) - sizes
-        total = np.cumsum(gap)
-        doc = total - np.repeat(total[heads] - gap[heads], sizes)
+        doc = _ungapped(gap, sizes)
         return doc, self._part(count.astype(np.float64), self.lengths[doc].astype(np.float64))
 
     def whole(self, term: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +319,72 @@ class Shard:
             scores[doc] += idf * part
         found = np.flatnonzero((scores > 0) & (scores >= self._least(scores, k) - CLOSE_BY))
         rounded = np.round(scores[found], DECIMALS)
-        top = found[np.lexsort((self.keys[found], -rounded))[:k]]
-        return [(round(float(scores[d]), DECIMALS), int(self.keys[d])) for d in top.tolist()]
+        top = np.lexsort((self.keys[found], -rounded))[:k]
+        return [(float(rounded[i]), int(self.keys[found[i]])) for i in top.tolist()]
+
+    def best_of(self, pack: Pack, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The k best texts of a pack's queries as arrays of query, score and key, by query, score and key, from an opened shard."""
+        begins, doc, part = self.opened
+        queries, docs = len(pack.queries), len(self.keys)
+        number = np.array([self.number.get(t, -1) for t in pack.terms], np.int64)
+        known = number[pack.code] >= 0
+        of, code = np.repeat(np.arange(queries), pack.sizes)[known], pack.code[known]
+        counts = np.where(number >= 0, self.counts[number], 0)
+        gain = np.bincount(code, minlength=len(number)) * counts
+        dense = np.flatnonzero(gain * DENSE > queries * docs)
+        dense = dense[np.argsort(-gain[dense], kind="stable")[:COLUMNS]]
+        column = np.full(len(number), -1, np.int64)
+        column[dense] = np.arange(len(dense))
+        matrix = np.zeros((len(dense), docs))
+        for low in range(0, len(dense), max(PIECE // docs, 1)):
+            some = dense[low : low + max(PIECE // docs, 1)]
+            row, at = _runs(begins[number[some]], counts[some])
+            matrix[low + row, doc[at]] = part[at]
+        in_matrix = column[code] >= 0
+        ends = np.searchsorted(of, np.arange(queries + TILE))
+        for low in range(0, queries, TILE):
+            rows = min(TILE, queries - low)
+            one, own, inside = (x[ends[low] : ends[low + rows]] for x in (of - low, code, in_matrix))
+            weights = np.zeros((rows, len(dense)))
+            weights[one[inside], column[own[inside]]] = pack.idf[own[inside]]
+            scores = weights @ matrix
+            self._add(scores, one[~inside], number[own[~inside]], pack.idf[own[~inside]])
+            query, score, key = self._top(scores, k)
+            yield pack.queries[low + query], score, key
+
+    def _add(self, scores: np.ndarray, query: np.ndarray, term: np.ndarray, idf: np.ndarray) -> None:
+        """Adds the postings of a query's term, for many queries and terms."""
+        begins, doc, part = self.opened
+        sizes, flat = self.counts[term], scores.reshape(-1)
+        ends, low = np.cumsum(sizes), 0
+        while low < len(term):
+            high = max(int(np.searchsorted(ends, ends[low] - sizes[low] + PIECE)), low + 1)
+            some = slice(low, high)
+            of, at = _runs(begins[term[some]], sizes[some])
+            place = (query[some] * scores.shape[1])[of]
+            place += doc[at]
+            more = part[at]
+            more *= idf[some][of]
+            np.add.at(flat, place, more)
+            low = high
+
+    def _top(self, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, score and key of each query's k best texts."""
+        docs = scores.shape[1]
+        width = max(min(BLOCK, docs // (4 * k)), 1)
+        blocks = docs // width
+        least = np.zeros(len(scores))
+        if blocks >= k:   # as many texts as blocks have at least the k-th largest maximum of the blocks
+            most = scores[:, : blocks * width].reshape(len(scores), blocks, width).max(axis=2)
+            least = np.partition(most, blocks - k, axis=1)[:, blocks - k]
+        least = np.where(least > 0, np.maximum(least - CLOSE_BY, 0), 0)
+        at = np.flatnonzero(scores > least[:, None])
+        query, text = at // docs, at % docs
+        score, key = np.round(scores.reshape(-1)[at], DECIMALS), self.keys[text]
+        order = np.lexsort((key, -score, query))
+        query = query[order]
+        first = order[np.arange(len(query)) - np.searchsorted(query, query) < k]
+        return at[first] // docs, score[first], key[first]
 
 
 def _answers(k: int, average: float):
@@ -247,14 +401,21 @@ def _answers(k: int, average: float):
                     values = {n: v.values if isinstance(v, pa.ListScalar) and n != "keys" else v.as_py() for n, v in row.items()}
                     at, shard = number, Shard(values, average)
                     shard.open()
+                    pa.default_memory_pool().release_unused()
+                    continue
+                if number != at:
                     continue
-                rows = []
-                for query in batch.column("asked")[i].as_py() if number == at else []:
-                    asked = [(t["term"], t["idf"]) for t in query["terms"]]
-                    rows += [(query["query"], s, d) for s, d in shard.best(asked, k)]
-                columns = list(zip(*rows)) if rows else [[], [], []]
-                kinds = (pa.int64(), pa.float64(), pa.int64())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query", "score", "key"])
+                pack = Pack.read(batch.column("asked")[i].as_py())
+                if shard.opened is not None:
+                    found = shard.best_of(pack, k)
+                else:
+                    best = [(q, s, d) for i, q in enumerate(pack.queries.tolist()) for s, d in shard.best(pack.asked(i), k)]
+                    found = [[np.array(c) for c in zip(*best)]] if best else []
+                for query, score, key in found:
+                    heads = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+                    ends = pa.array(np.append(heads, len(query)), pa.int32())
+                    near = pa.StructArray.from_arrays([pa.array(-score), pa.array(key)], names=["less", "key"])
+                    yield pa.record_batch([pa.array(query[heads]), pa.ListArray.from_arrays(ends, near)], names=["query", "near"])
 
     return run
 
@@ -266,11 +427,11 @@ def search(index: Index, queries: DataFrame, query: str, text: str, k: int = TOP
     asked = materialize(asked, "search_queries")
     blocks = max(-(-asked.count() // QUERIES), 1)
     packs = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "terms")).alias("asked"))
-    packs = packs.select("asked", F.explode(F.sequence(F.lit(0), F.lit(index.count - 1))).alias("shard"))
+    packs = packs.mapInArrow(_packs, f"asked {_PACK}").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.count - 1))))
     # a shard is sent once, not beside each pack
     met = index.shards.unionByName(packs, allowMissingColumns=True)
-    met = met.repartition("shard").sortWithinPartitions("shard", F.col("asked").isNotNull())
-    found = met.mapInArrow(_answers(k, index.average), "query bigint, score double, key bigint")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    ranked = found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-    return ranked.select("query", "rank", "key", "score")
+    met = met.repartition(4 * index.count, "shard").sortWithinPartitions("shard", F.col("asked").isNotNull())
+    found = met.mapInArrow(_answers(k, index.average), "query bigint, near array<struct<less: double, key: bigint>>")
+    found = found.groupBy("query").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    ranked = found.select("query", F.posexplode("near").alias("at", "best"))
+    return ranked.select("query", (F.col("at") + 1).cast("bigint").alias("rank"), "best.key", (-F.col("best.less")).alias("score"))
