@@ -85,3 +85,28 @@ def test_units_hold_one_block_and_stream_queries(spark, monkeypatch):
     kinds = {f.name: f.dataType.simpleString() for f in sent[-1].fields}
     assert kinds["vector"] == "array<float>" and not [k for k in kinds.values() if "struct" in k]
     assert sorted(r[:3] for r in got.collect()) == [w[:3] for w in brute(data, 5)]
+
+
+@pytest.mark.parametrize("pairs", [1 << 16, 5])
+def test_a_unit_returns_one_short_list_a_query_however_many_rows_come_by(monkeypatch, pairs):
+    monkeypatch.setattr(nb, "QUERY_ROWS", 8)
+    monkeypatch.setattr(nb, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(4, 3)) + 1e-5 * rng.normal(size=(60, 4, 3))   # closer than 4-byte numbers tell
+    vectors = np.concatenate([rng.normal(size=(90, 3)), near.reshape(-1, 3), np.outer(np.arange(1, 31), [1.0, 2.0, 2.0])])
+    n, k = len(vectors), 4
+    keys = [sorted(rng.choice(10_000, rng.integers(1, k + 2), replace=False).tolist()) for _ in range(n)]
+    rows = nb.pa.record_batch(
+        [nb.pa.array(vectors.tolist()), nb.pa.array(np.arange(n)), nb.pa.array(np.arange(n, dtype=np.int32)), nb.pa.array(keys)],
+        names=["vector", "entry", "cell", "keys"],
+    )
+    unit = nb._Unit([rows.slice(0, 50), rows.slice(50)], k)
+    for at in range(0, n, 37):
+        unit.meet(rows.slice(at, 37))
+    unit_vectors = vectors / np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    cosines = np.round(unit_vectors @ unit_vectors.T, 9)
+    got = [x for batch in unit.nearest() for x in batch.to_pylist()]
+    assert [g["entry"] for g in got] == list(range(n))
+    for g in got:
+        want = sorted((-c, key, i) for i, c in enumerate(cosines[g["entry"]].tolist()) for key in keys[i])[: k + 1]
+        assert [(x["less"], x["key"], x["cell"]) for x in g["near"]] == want

@@ -8,7 +8,12 @@ blocks.
 
 A query visits the cells of its ``probes`` nearest centres and is sent once to each block of them, where its cosines are exact;
 the best of the blocks are merged. A block and at most about ``UNIT_QUERIES`` of its queries are one unit of work: the block's rows
-come first and are held, the queries stream by, ``QUERY_ROWS`` at once, so that a task's memory does not grow with the table. ``probes=None`` visits every cell, which gives the exact answer. Unless a number is given,
+come first and are held, the queries stream by, ``QUERY_ROWS`` at once, so that a task's memory does not grow with the table.
+
+``probes=None`` visits every cell, which gives the exact answer. There the queries are held, at most about ``UNIT_QUERIES`` in a
+unit, and the rows of a slice of the table stream by: a query keeps its best so far, so only what comes near them is looked at,
+and a unit returns one short list a query. Rows are found by cosines of 4-byte numbers with a margin above their error, and
+compared by exact ones. Unless a number is given,
 the exact neighbours of ``TUNING`` sampled entries tell how many cells hold the share ``RECALL`` of them.
 
 Rows: null, empty and all-zero vectors, and rows without a key, have no neighbours and are none; a row is never its own
@@ -24,6 +29,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +38,7 @@ from voc.storage import materialize
 NEIGHBOURS = 15
 TUNED, TUNING, RECALL = 0, 256, 0.95
 SAMPLE, MAX_CELLS, HOT, HOT_ROUNDS, HOT_SAMPLE, HOT_AT_ONCE = 20_000, 4096, 4, 3, 500, 32
-BLOCK_ROWS, QUERY_ROWS, UNIT_QUERIES = 8192, 256, 16384
+BLOCK_ROWS, QUERY_ROWS, UNIT_QUERIES, UNITS, PAIRS = 8192, 256, 32768, 3, 1 << 16
 SALTS, EQUAL_ROWS = 16, 4096
 STEPS, DECIMALS = 12, 9
 
@@ -151,10 +157,8 @@ def build(vectors: DataFrame, key: str, col: str, k: int = NEIGHBOURS, cells: in
     return Index(entries, materialize(blocks, "vector_blocks"), centres, group_of, parts, k, narrow)
 
 
-def _visited(cells: pa.Array, of_row: np.ndarray) -> np.ndarray | None:
-    """Which rows each query visits; None if all queries visit all."""
-    if cells.null_count == len(cells):
-        return None
+def _visited(cells: pa.Array, of_row: np.ndarray) -> np.ndarray:
+    """Which rows each query visits."""
     known, row = np.unique(of_row, return_inverse=True)
     visits = np.zeros((len(cells), len(known)), bool)
     for i, some in enumerate(cells.to_pylist()):
@@ -175,9 +179,7 @@ class _Block:
     def nearest(self, asked: pa.RecordBatch, k: int) -> list[list[dict]]:
         """The k + 1 nearest rows of each query."""
         cosines = _matrix(asked.column("vector")) @ self.matrix.T
-        visits = _visited(asked.column("cells"), self.cells)
-        if visits is not None:
-            cosines[~visits] = -2.0
+        cosines[~_visited(asked.column("cells"), self.cells)] = -2.0
         count = min(k + 1, cosines.shape[1])
         least = np.partition(cosines, cosines.shape[1] - count, axis=1)[:, cosines.shape[1] - count]
         near = []
@@ -220,17 +222,121 @@ def _best(k: int):
     return run
 
 
+class _Unit:
+    """Queries held with the nearest of the rows that have come by."""
+
+    def __init__(self, queries: list[pa.RecordBatch], k: int):
+        self.entries = np.concatenate([q.column("entry").to_numpy() for q in queries])
+        self.exact = np.concatenate([_matrix(q.column("vector")) for q in queries])
+        self.short, self.count = self.exact.astype(np.float32), k + 1
+        self.least, self.last = np.full(len(self.entries), -2.0), np.full(len(self.entries), np.iinfo(np.int64).max)
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.best = [none for _ in range(0, len(self.entries), QUERY_ROWS)]   # query, minus cosine, key, cell
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        exact, cells, keys = _matrix(rows.column("vector")), rows.column("cell").to_numpy(), rows.column("keys")
+        short, margin = np.ascontiguousarray(exact.astype(np.float32).T), (exact.shape[1] + 8) * 2.0**-23
+        sizes, keys = pc.list_value_length(keys).to_numpy().astype(np.int64), keys.flatten().to_numpy()
+        heads = np.cumsum(sizes) - sizes
+        width = max(len(cells) // (4 * self.count), 1)
+        blocks = len(cells) // width
+        for turn, low in enumerate(range(0, len(self.entries), QUERY_ROWS)):
+            near = self.short[low : low + QUERY_ROWS] @ short
+            least = self.least[low : low + QUERY_ROWS]
+            cut = least - margin
+            if least.min() == -2.0 and blocks >= self.count:   # as many rows as blocks are at least as near as the blocks' nearest
+                most = near[:, : blocks * width].reshape(len(near), blocks, width).max(axis=2)
+                cut = np.maximum(cut, np.partition(most, blocks - self.count, axis=1)[:, blocks - self.count] - 2 * margin)
+            found = np.flatnonzero(near >= np.nextafter(cut.astype(np.float32), np.float32(-9))[:, None])
+            for at in range(0, len(found), PAIRS):
+                query, row = np.divmod(found[at : at + PAIRS], near.shape[1])
+                cosine = np.round(np.einsum("ij,ij->i", self.exact[low + query], exact[row]), DECIMALS)
+                nearer = (cosine > self.least[low + query]) | (cosine == self.least[low + query]) & (keys[heads[row]] < self.last[low + query])
+                if nearer.any():
+                    query, row, cosine = query[nearer], row[nearer], cosine[nearer]
+                    of = np.repeat(np.arange(len(row)), sizes[row])
+                    place = np.arange(len(of)) + np.repeat(heads[row] - (np.cumsum(sizes[row]) - sizes[row]), sizes[row])
+                    self._keep(turn, low, (query[of], -cosine[of], keys[place], cells[row[of]]))
+
+    def _keep(self, turn: int, low: int, more: tuple[np.ndarray, ...]) -> None:
+        query, less, key, cell = (np.concatenate(x) for x in zip(self.best[turn], more))
+        order = np.lexsort((key, less, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[place < self.count]
+        self.best[turn] = query, less, key, _ = query[order], less[order], key[order], cell[order]
+        full = np.flatnonzero(place[place < self.count] == self.count - 1)
+        self.least[low + query[full]], self.last[low + query[full]] = -less[full], key[full]
+
+    def nearest(self) -> Iterator[pa.RecordBatch]:
+        for turn, low in enumerate(range(0, len(self.entries), QUERY_ROWS)):
+            entries = self.entries[low : low + QUERY_ROWS]
+            query, less, key, cell = self.best[turn]
+            ends = pa.array(np.searchsorted(query, np.arange(len(entries) + 1)).astype(np.int32))
+            near = pa.StructArray.from_arrays([pa.array(less), pa.array(key), pa.array(cell)], names=["less", "key", "cell"])
+            yield pa.record_batch([pa.array(entries), pa.ListArray.from_arrays(ends, near)], names=["entry", "near"])
+
+
+def _met(k: int):
+    """``entry, near``: the k + 1 nearest rows of a unit's slice for each of its queries, which come first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, queries, unit = None, [], None
+        for batch in batches:
+            marks = np.stack([batch.column(n).to_numpy() for n in ("unit", "turn")])
+            begins = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(begins, begins[1:]):
+                if low == high:
+                    continue
+                if marks[0, low] != at:
+                    if unit:
+                        yield from unit.nearest()
+                    at, queries, unit = marks[0, low], [], None
+                if not marks[1, low]:
+                    queries.append(batch.slice(low, high - low))
+                    continue
+                if queries:
+                    unit, queries = _Unit(queries, k), []
+                for first in range(low, high if unit else low, BLOCK_ROWS):
+                    unit.meet(batch.slice(first, min(BLOCK_ROWS, high - first)))
+        if unit:
+            yield from unit.nearest()
+
+    return run
+
+
+def _exact(index: Index, entries: DataFrame) -> DataFrame:
+    """``entry, near``: the k + 1 nearest rows of different vectors, sorted, as minus cosine, key and cell."""
+    groups = max(-(-entries.count() // UNIT_QUERIES), 1)
+    # work for all cores: the table in slices that each are met by all queries
+    slices = -(-UNITS * entries.sparkSession.sparkContext.defaultParallelism // groups)
+    slices = max(min(slices, int(index.parts.sum())), 1)
+
+    def dealt(entry: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(entry), F.lit(count)).cast("int")
+
+    group, part = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))), F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    own = index.blocks.select(F.inline("rows")).withColumn("group", group)
+    own = own.withColumn("unit", F.col("group") * slices + dealt("entry", slices))
+    asked = entries.withColumn("part", part).withColumn("unit", dealt("entry", groups) * slices + F.col("part"))
+    none = (F.lit(None).cast("int").alias("cell"), F.lit(None).cast("array<bigint>").alias("keys"))
+    both = asked.select("unit", F.lit(0).alias("turn"), "entry", index.sent("vector"), *none)
+    both = both.unionByName(own.select("unit", F.lit(1).alias("turn"), "entry", index.sent("vector"), "cell", "keys"))
+    both = both.repartition(4 * groups * slices, "unit").sortWithinPartitions("unit", "turn")
+    found = both.mapInArrow(_met(index.k), "entry bigint, near array<struct<less: double, key: bigint, cell: int>>")
+    return found.groupBy("entry").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, index.k + 1).alias("near")).filter(F.size("near") > 0)
+
+
 def _nearest(index: Index, entries: DataFrame, probes: int | None) -> DataFrame:
     """``entry, place, key, cosine, cell``: the k + 1 nearest rows of different vectors."""
     k, count = index.k, len(index.centres)
     groups = len(index.parts)
     if probes is None or probes >= count:
-        visits = entries.select("entry", "vector", F.lit(None).cast("array<int>").alias("cells"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    else:
-        visited = materialize(_with_cells(entries, index.centres, probes, ("entry", "vector")), "query_cells")
-        visits = visited.select("entry", "vector", F.transform("cells", lambda c: F.struct(_at(index.group_of, c).cast("int").alias("group"), c.alias("cell"))).alias("cells"))
-        visits = visits.withColumn("group", F.explode(F.array_distinct("cells.group")))
-        visits = visits.withColumn("cells", F.transform(F.filter("cells", lambda c: c["group"] == F.col("group")), lambda c: c["cell"]))
+        near = _exact(index, entries).select("entry", F.posexplode("near").alias("at", "x"))
+        return near.select("entry", (F.col("at") + 1).alias("place"), "x.key", (-F.col("x.less")).alias("cosine"), "x.cell")
+    visited = materialize(_with_cells(entries, index.centres, probes, ("entry", "vector")), "query_cells")
+    visits = visited.select("entry", "vector", F.transform("cells", lambda c: F.struct(_at(index.group_of, c).cast("int").alias("group"), c.alias("cell"))).alias("cells"))
+    visits = visits.withColumn("group", F.explode(F.array_distinct("cells.group")))
+    visits = visits.withColumn("cells", F.transform(F.filter("cells", lambda c: c["group"] == F.col("group")), lambda c: c["cell"]))
     copies = np.ones(groups, np.int64)
     for group, size in visits.groupBy("group").count().collect():   # at most MAX_CELLS rows
         copies[group] = -(-size // UNIT_QUERIES)
@@ -269,8 +375,12 @@ def search(index: Index, queries: DataFrame, key: str, col: str, probes: int | N
     entries = asked.select("h", "vector").distinct().withColumn("entry", F.monotonically_increasing_id())
     entries = materialize(entries, "query_entries")
     wide = queries.schema[col].dataType.simpleString() != "array<float>"
-    found = _nearest(replace(index, narrow=False) if wide else index, entries.select("entry", "vector"), probes)
-    found = found.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("place", "key", "cosine"))).alias("all"))
+    index, sent = replace(index, narrow=False) if wide else index, entries.select("entry", "vector")
+    if probes is None or probes >= len(index.centres):
+        found = _exact(index, sent).select("entry", F.transform("near", lambda x: F.struct(x["key"].alias("key"), (-x["less"]).alias("cosine"))).alias("all"))
+    else:
+        found = _nearest(index, sent, probes)
+        found = found.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("place", "key", "cosine"))).alias("all"))
     # rows of one vector are dealt to SALTS places to get its neighbours if they are many, which few vectors' rows can be
     many = F.broadcast(asked.groupBy("h").count().filter(F.col("count") > EQUAL_ROWS).select("h", F.lit(SALTS).alias("salts")))
     salts = F.coalesce("salts", F.lit(1))
