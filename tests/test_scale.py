@@ -144,3 +144,35 @@ def test_near_copies_are_made_of_few_texts_at_once():
     assert max(p.num_rows for p in pieces) <= near.PIECE and pa.Table.from_batches(pieces).to_pylist() == batch.slice(3).to_pylist()
     found = [np.array([1, 2**64 - 1], np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)]
     assert near._lists(found).to_pylist() == [[1, -1], [], [7]] and near._lists([]).to_pylist() == []
+
+
+def test_near_copies_keep_no_sets_of_all_rows(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    kept, write = {}, near.written
+
+    def written(df, name):
+        out, path = write(df, name)
+        kept.setdefault(name, []).append((out.columns, out.count()))
+        return out, path
+
+    monkeypatch.setattr(near, "written", written)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(50)]
+    rows += [(100, rows[3][1] + " end"), (101, rows[3][1]), (102, "two words"), (103, "Two  words"), (104, None), (105, "")]
+    df = spark.createDataFrame(rows, "ord bigint, cleaned_text string")
+    assert sorted(r.ord for r in near.similar_to_earlier(df).collect()) == [100, 101, 103, 105]
+    assert [n for columns, n in kept["signatures"] if "shingles" not in columns] == [56]
+    assert all(n <= 8 for _, n in kept["near_sets"])
+    # the bound by parts loses no pair, whatever the sizes
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**64, 70_000, dtype=np.uint64))
+    sets = [rng.choice(pool, n, replace=False) for n in (1, 40, 400, 69_000)] + [pool]
+    sets += [np.concatenate([s[: int(0.97 * len(s))], rng.integers(0, 2**64, 1, dtype=np.uint64)]) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    columns = [[i for i, _ in pairs], [j for _, j in pairs], [len(sets[i]) for i, _ in pairs], [len(sets[j]) for _, j in pairs]]
+    parts = [pa.array([near._parts(sets[p[k]]) for p in pairs], pa.binary()) for k in (0, 1)]
+    batch = pa.record_batch([*map(pa.array, columns), *parts], names=["ord", "first", "n", "m", "parts", "other"])
+    left = {tuple(r.values()) for r in next(near._possible(0.9)([batch])).to_pylist()}
+    alike = {(i, j) for i, j in pairs if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.9 * (len(sets[i]) + len(sets[j]) - c)}
+    assert alike <= left < set(pairs) and None in parts[0].to_pylist()
